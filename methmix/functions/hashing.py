@@ -27,8 +27,10 @@ def digest(*parts: Column) -> Column:
 
 
 def row_words(row_digest: Column) -> dict[str, Column]:
-    """The two words of a row key."""
-    return {"row_x": _word(row_digest, 0), "row_y": _word(row_digest, 1)}
+    """The two words of a row key, and one uniform number in [0, 1) apart from them."""
+    fine = F.conv(F.substring(row_digest, 1 + 3 * HEX_DIGITS, 6), 16, 10).cast("bigint")
+    uniform = (_word(row_digest, 2) * 16777216 + fine).cast("double") / 4503599627370496.0  # 2^24, 2^52
+    return {"row_x": _word(row_digest, 0), "row_y": _word(row_digest, 1), "row_u": uniform}
 
 
 def mixture_words(mixture_digest: Column) -> dict[str, Column]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from methmix.labels import MIN_MOLECULES_ATLAS, SCORE_COLUMN
 from methmix.operators import relational
-from methmix.session import broadcast_if_small
 
 
 def panel_regions(panel: DataFrame, version_flag: str = "v23_conv") -> DataFrame:
@@ -40,7 +39,7 @@ def _reference_scores(scores: DataFrame, samples: DataFrame, regions: DataFrame,
     covered = scores.where(F.col("number_molecules") >= min_molecules) \
         .select("sample_id", "region_id", F.col(score).alias("score"))
     kept = relational.rows_with_key(covered, regions, "region_id")
-    return kept.join(broadcast_if_small(samples), "sample_id")
+    return kept.join(samples, "sample_id")
 
 
 def atlas_long(scores: DataFrame, samples: DataFrame, regions: DataFrame,
@@ -75,7 +74,7 @@ def outlier_flags(cells: DataFrame, fence: float = 1.5) -> DataFrame:
         F.percentile("score", 0.25).alias("q1"), F.percentile("score", 0.75).alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * fence
     outside = (F.col("score") < F.col("q1") - reach) | (F.col("score") > F.col("q3") + reach)
-    return cells.join(broadcast_if_small(quartiles), "ref_celltype") \
+    return cells.join(quartiles, "ref_celltype") \
         .withColumn("is_outlier", outside.cast("int"))
 
 
@@ -89,4 +88,4 @@ def mean_variance(flagged: DataFrame) -> DataFrame:
 
 def specific_scores(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """Atlas cells whose region targets their own cell type."""
-    return cells.join(broadcast_if_small(regions), ["region_id", "ref_celltype"], "left_semi")
+    return cells.join(regions, ["region_id", "ref_celltype"], "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from methmix.functions import solvers
 from methmix.labels import MIN_MOLECULES_ESTIMATE, SCORE_COLUMN
-from methmix.session import broadcast_if_small, materialize
+from methmix.session import materialize
 
 GROUP_REGIONS = 100_000  # atlas rows up to which a Huber fit may run inside one group
 TINY = 1e-10             # a non-negative Huber coefficient below this is zero
@@ -38,7 +38,7 @@ def aligned(scores: DataFrame, atlas: DataFrame, cell_types: list[str], score: s
     kept = scores if min_molecules is None else scores.where(F.col("number_molecules") >= min_molecules)
     chosen = kept.where(F.col(score).isNotNull()).select(
         *(keys or []), "region_id", F.col(score).cast("double").alias("b"))
-    return chosen.join(broadcast_if_small(atlas.select("region_id", *cell_types)), "region_id")
+    return chosen.join(atlas.select("region_id", *cell_types), "region_id")
 
 
 def zero_filled(scores: DataFrame, keys: list[str], score: str = SCORE_COLUMN,
@@ -110,7 +110,7 @@ def naive(scores: DataFrame, regions: DataFrame, keys: list[str], score: str = S
           min_molecules: int = MIN_MOLECULES_ESTIMATE) -> DataFrame:
     """Mean score of the regions that target a cell type, over covered regions."""
     covered = scores.where(F.col("number_molecules") >= min_molecules)
-    targeted = covered.join(broadcast_if_small(regions.select("region_id", "ref_celltype")), "region_id")
+    targeted = covered.join(regions.select("region_id", "ref_celltype"), "region_id")
     return targeted.groupBy(*keys, "ref_celltype").agg(F.avg(score).alias("coeff")) \
         .withColumn("method", F.lit("naive"))
 
@@ -210,11 +210,11 @@ def _huber_by_rounds(rows, keys, cell_types, epsilon, nonnegative, joint_scale,
         .withColumn("sigma", F.lit(1.0))
     fits = materialize(start.mapInPandas(step, schema), "huber-state")
     if joint_scale:
-        first = rows.join(broadcast_if_small(fits.drop("sigma")), keys).withColumn("_r", residual)
+        first = rows.join(fits.drop("sigma"), keys).withColumn("_r", residual)
         scales = first.groupBy(*keys).agg(F.greatest(F.stddev_pop("_r"), F.lit(1e-12)).alias("sigma"))
         fits = materialize(fits.drop("sigma").join(scales, keys).select(*schema.fieldNames()), "huber-state")
     for _ in range(rounds):
-        placed = rows.join(broadcast_if_small(fits.drop("moved")), keys).withColumn("_r", residual)
+        placed = rows.join(fits.drop("moved"), keys).withColumn("_r", residual)
         if joint_scale:
             inside = F.abs("_r") <= epsilon * F.col("sigma")
             sums = placed.groupBy(*keys).agg(
@@ -224,7 +224,7 @@ def _huber_by_rounds(rows, keys, cell_types, epsilon, nonnegative, joint_scale,
                 F.greatest(F.sqrt(F.col("_squares") / F.greatest("_left", F.lit(1e-300))), F.lit(1e-12)))
             rescaled = materialize(fits.join(sums, keys).withColumn("sigma", scale)
                                    .select(*schema.fieldNames()), "huber-scale")
-            placed = rows.join(broadcast_if_small(rescaled.drop("moved")), keys).withColumn("_r", residual)
+            placed = rows.join(rescaled.drop("moved"), keys).withColumn("_r", residual)
             fits = rescaled
         limit = epsilon * F.col("sigma")
         weight = F.when(F.abs("_r") > limit, limit / F.abs("_r")).otherwise(1.0)
@@ -259,6 +259,6 @@ def optimality(estimates: DataFrame, equations: DataFrame, keys: list[str], cell
 
 def squared_error(estimates: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Mean squared error of the coefficients against `true_proportion`."""
-    joined = estimates.join(broadcast_if_small(truth), keys)
+    joined = estimates.join(truth, keys)
     return joined.groupBy(*by).agg(
         F.avg(F.pow(F.col("coeff") - F.col("true_proportion"), F.lit(2))).alias("mse"))

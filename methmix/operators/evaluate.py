@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methmix.labels import LOD_TARGET, TOLERANCE
-from methmix.session import broadcast_if_small
 
 
 def with_truth(estimates: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Estimates with `true_proportion`."""
-    return estimates.join(broadcast_if_small(truth), keys)
+    return estimates.join(truth, keys)
 
 
 def _zero_rule(rate: Column, proportion: str, zero_at_zero: bool) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from methmix.functions import solvers
 from methmix.labels import SCORE_COLUMN
-from methmix.session import broadcast_if_small
 
 
 def singular_values(atlas: DataFrame, cell_types: list[str]) -> DataFrame:
@@ -26,7 +25,7 @@ def singular_values(atlas: DataFrame, cell_types: list[str]) -> DataFrame:
 
     def decompose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.to_dict("records"):
+            for row in frame.dropna().to_dict("records"):  # the sums of an empty atlas are null
                 g = np.empty((k, k))
                 for i, j in pairs:
                     g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
@@ -62,7 +61,7 @@ def sample_vectors(scores: DataFrame, score: str = SCORE_COLUMN) -> DataFrame:
     order = scores.select("region_id").distinct() \
         .withColumn("_place", F.row_number().over(Window.orderBy("region_id")))
     width = order.agg(F.max("_place").alias("_width")).withColumn("_one", F.lit(1))
-    placed = scores.join(broadcast_if_small(order), "region_id")
+    placed = scores.join(order, "region_id")
     cells = placed.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "_place", F.coalesce(F.col(score), F.lit(0.0))))).alias("_cells")).withColumn("_one", F.lit(1))
     values = F.transform(F.sequence(F.lit(1), F.col("_width")),

@@ -2,7 +2,7 @@
 
 All mixtures of an experiment come out of one pass over the pools. A pool row meets the
 mixtures of its cell type in a broadcast join and is kept where its draw is below the
-threshold of the mixture. Draws are pure functions of row key and mixture key (see
+threshold of the mixture; rows that are in no mixture are dropped before that. Draws are pure functions of row key and mixture key (see
 `functions.hashing`), so the sample does not depend on partitioning and survives lost tasks.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methmix.functions import hashing
-from methmix.session import fits_broadcast
+from methmix.operators import scoring
+from methmix.session import broadcast_if_small, fits_broadcast, materialize
 
 SALTS = 256  # pieces of a pool when the mixture table is too large to broadcast
 MIXTURE_KEYS = ["titrated", "proportion_id", "replicate"]
@@ -54,12 +55,73 @@ def copy_thresholds(fractions: DataFrame) -> DataFrame:
 
 
 def keyed_pools(pools: DataFrame, row_key: list[str]) -> DataFrame:
-    """Pools with the two words of the row key; `row_key` must tell rows apart (add `copy_no`
-    if molecules were exploded)."""
+    """Pools with the words of the row key; `row_key` must tell rows apart (add `copy_no` if
+    molecules were exploded)."""
     digested = pools.withColumn("_digest", hashing.digest(*[F.col(c) for c in row_key]))
     return digested.withColumns(hashing.row_words(F.col("_digest"))).drop("_digest")
 
 
+def number_regions(pools: DataFrame) -> DataFrame:
+    """The regions of the pools, numbered from 1."""
+    return pools.select("region_id").distinct().withColumn(
+        "region_no", F.row_number().over(Window.orderBy("region_id")).cast("bigint"))
+
+
+def hit_ranges(fractions: DataFrame) -> DataFrame:
+    """Adds `hit` = P(one copy or more) and the range [`any_from`, `any_to`) of the chance
+    that this is the first mixture, in order, to draw a row of the pool.
+
+    A row whose uniform number is beyond the last `any_to` of its pool is in no mixture at all
+    and never meets them. One whose number falls into a range has its first hit there. Later
+    mixtures draw it independently. Together this is the law of independent draws, but where
+    mixtures are small against their pools nearly all rows are settled by one comparison.
+    """
+    rate = F.col("fraction")
+    hit = F.when(rate > 1, 1 - F.exp(-rate)).otherwise(rate)
+    order = Window.partitionBy("cell_type").orderBy(*MIXTURE_KEYS)
+    missed = F.sum(F.ln(F.greatest(1 - F.col("hit"), F.lit(1e-300)))).over(order)
+    ranged = fractions.withColumn("hit", hit).withColumn("any_to", 1 - F.exp(missed))
+    return ranged.withColumn("any_from", F.lag("any_to", 1, 0.0).over(order))
+
+
+def mixture_plan(fractions: DataFrame, seed: int) -> DataFrame:
+    """The mixtures as a stored table of draws: one row per (mixture, cell type, copy) with the
+    words of the mixture key, its range and its limits. Mixtures and cell types get numbers,
+    so that the large join and sums compare integers, not names. The table grows with the
+    design alone."""
+    ranged = hit_ranges(fractions.where(F.col("fraction") > 0).select(*MIXTURE_KEYS, "cell_type", "fraction"))
+    key = hashing.digest(F.lit(seed), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
+    prime = F.lit(float(hashing.PRIME))
+    plan = copy_thresholds(ranged).withColumn("_key", key).withColumns({
+        **hashing.mixture_words(F.col("_key")),
+        "mixture_no": F.dense_rank().over(Window.orderBy(*MIXTURE_KEYS)).cast("bigint"),
+        "cell_no": F.dense_rank().over(Window.orderBy("cell_type")).cast("bigint"),
+        "limit": F.col("threshold") * prime,
+        "first_limit": F.col("threshold") / F.col("hit") * prime,
+    })
+    return materialize(plan.drop("_key", "fraction", "threshold", "hit"), "mixture-plan")
+
+
+def _draws(pools: DataFrame, plan: DataFrame) -> DataFrame:
+    """Drawn pool rows with `mixture_no` and `copy_no`."""
+    cell_types = plan.groupBy("cell_type", "cell_no").agg(F.max("any_to").alias("any_hit"))
+    draws = plan.select("cell_no", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c",
+                        "any_from", "any_to", "limit", "first_limit")
+    if fits_broadcast(draws):
+        rows = pools.join(F.broadcast(cell_types), "cell_type").where(F.col("row_u") < F.col("any_hit"))
+        pairs = rows.join(F.broadcast(draws), "cell_no")
+    else:
+        rows = pools.join(cell_types, "cell_type").where(F.col("row_u") < F.col("any_hit"))
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        pairs = rows.withColumn("_salt", F.col("row_x") % SALTS) \
+            .join(draws.withColumn("_salt", copies), ["cell_no", "_salt"]).drop("_salt")
+    u = F.col("row_u")
+    limit = F.when(u >= F.col("any_from"), F.col("first_limit")).otherwise(F.col("limit"))
+    drawn = F.when(u >= F.col("any_to"), False).otherwise(hashing.draw() < limit)
+    return pairs.where(drawn).drop("row_x", "row_y", "row_u", "mix_a", "mix_b", "mix_c", "any_from", "any_to",
+                                   "any_hit", "limit", "first_limit", "cell_no")
+
+
 def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] | None = None) -> DataFrame:
     """Drawn rows of every mixture, with the mixture keys and `copy_no`.
 
@@ -70,21 +132,23 @@ def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] |
     most rows. Mixtures of different pools and replicates are drawn independently.
     """
     keyed = pools if "row_x" in pools.columns else keyed_pools(pools, row_key or ["molecule_id", "region_id"])
-    thresholds = copy_thresholds(fractions)
-    mixture = hashing.digest(F.lit(seed), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
-    plan = (thresholds.withColumn("_mixture", mixture)
-            .withColumns(hashing.mixture_words(F.col("_mixture")))
-            .withColumn("_limit", F.col("threshold") * hashing.PRIME)
-            .select("cell_type", *MIXTURE_KEYS, F.col("copy_no").alias("draw_no"),
-                    "mix_a", "mix_b", "mix_c", "_limit"))
-    if fits_broadcast(plan):
-        pairs = keyed.join(F.broadcast(plan), "cell_type")
-    else:
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-        pairs = keyed.withColumn("_salt", F.col("row_x") % SALTS) \
-            .join(plan.withColumn("_salt", copies), ["cell_type", "_salt"]).drop("_salt")
-    drawn = pairs.where(hashing.draw() < F.col("_limit"))
-    return drawn.drop("row_x", "row_y", "mix_a", "mix_b", "mix_c", "_limit")
+    plan = mixture_plan(fractions, seed)
+    names = plan.select("mixture_no", *MIXTURE_KEYS).distinct()
+    return _draws(keyed, plan).join(broadcast_if_small(names), "mixture_no").drop("mixture_no")
+
+
+def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str = "molecules") -> DataFrame:
+    """Region scores of every mixture of scored, keyed pools. No mixture is written or
+    shuffled: each drawn row goes into the sums of its (mixture, region) in the same stage,
+    under integer keys; the names are joined to the sums."""
+    plan, regions = mixture_plan(fractions, seed), materialize(number_regions(pools), "regions")
+    names = plan.select("mixture_no", *MIXTURE_KEYS).distinct()
+    small = fits_broadcast(regions)
+    rows = pools.join(F.broadcast(regions), "region_id").drop("region_id") if small else pools
+    region = "region_no" if small else "region_id"
+    sums = scoring.sum_scores(_draws(rows, plan), ["mixture_no"], weighting, region=region)
+    named = sums.join(names, "mixture_no").drop("mixture_no")
+    return named.join(regions, "region_no").drop("region_no") if small else named
 
 
 def realised_counts(mixture: DataFrame) -> DataFrame:

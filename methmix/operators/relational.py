@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from methmix.session import broadcast_if_small
 
 
 # ---- filters and relabelling ------------------------------------------------
@@ -42,7 +41,7 @@ def relabel(df: DataFrame, column: str, labels: dict[str, str], output: str) ->
 def label_join(df: DataFrame, column: str, labels: DataFrame, key: str) -> DataFrame:
     """The same with a label table of any size (unique `key`)."""
     table = labels.withColumnRenamed(key, column)
-    return df.join(broadcast_if_small(table), column)
+    return df.join(table, column)
 
 
 def relabel_where(column: str, values: dict[str, str], otherwise: str) -> Column:
@@ -80,7 +79,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], output: str)
 
 # ---- joins and key sets -----------------------------------------------------
 def rows_with_key(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
-    return df.join(broadcast_if_small(other.select(*keys).distinct()), list(keys), "left_semi")
+    return df.join(other.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def keys_missing_from(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -112,14 +111,14 @@ def describe_samples(samples: DataFrame, donors: DataFrame, include_unlisted: bo
     """Sample group, age and donor sex per sample. Donor rows are one per file, so they are
     reduced to one per sample first. `include_unlisted` adds donors without sample metadata,
     with the donor's own cell type as group."""
-    one = donors.groupBy("SAMPLE_ID").agg(F.min("DONOR_SEX").alias("sex"), F.min("CELL_TYPE").alias("_type"))
+    one = donors.groupBy(F.col("SAMPLE_ID").alias("_donor")).agg(F.min("DONOR_SEX").alias("sex"), F.min("CELL_TYPE").alias("_type"))
     listed = samples.select("sample_id", "sample_group", "age").distinct()
-    matched = listed.join(one, F.col("sample_id") == F.col("SAMPLE_ID")) \
-        .select(listed["sample_id"], "sample_group", "age", "sex")
+    matched = listed.join(one.select("_donor", "sex"), F.col("sample_id") == F.col("_donor")) \
+        .select("sample_id", "sample_group", "age", "sex")
     if not include_unlisted:
         return matched
-    extra = one.join(listed, F.col("SAMPLE_ID") == listed["sample_id"], "left_anti").select(
-        F.col("SAMPLE_ID").alias("sample_id"), F.col("_type").alias("sample_group"),
+    extra = one.join(listed, F.col("_donor") == F.col("sample_id"), "left_anti").select(
+        F.col("_donor").alias("sample_id"), F.col("_type").alias("sample_group"),
         F.lit(None).cast("string").alias("age"), "sex")
     return matched.unionByName(extra)
 
@@ -204,7 +203,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, group: str | None = Non
     left, right, on = (df, limits, group) if group else \
         (df.withColumn("_all", F.lit(1)), limits.withColumn("_all", F.lit(1)), "_all")
     position = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    placed = left.join(broadcast_if_small(right), on).select(
+    placed = left.join(right, on).select(
         *keys, F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin"))
     counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"))
     grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))

@@ -69,7 +69,7 @@ def score_reads(region_reads: DataFrame, min_observed: int = MIN_OBSERVED_CPG, k
 
 
 def sum_scores(scored: DataFrame, keys: list[str], weighting: str = "molecules", kmers=KMERS,
-               rates_leq=RATES_LEQ, rates_geq=RATES_GEQ) -> DataFrame:
+               rates_leq=RATES_LEQ, rates_geq=RATES_GEQ, region: str = "region_id") -> DataFrame:
     """Region scores per `keys`.
 
     weighting="molecules" counts a read once per molecule it stands for; weighting="rows"
@@ -86,7 +86,7 @@ def sum_scores(scored: DataFrame, keys: list[str], weighting: str = "molecules",
     names = score_columns(kmers, rates_leq, rates_geq)
     sums = [F.sum(molecules).alias("number_molecules")]
     sums += [F.sum(F.col(n) * weight).alias(n) for n in names]
-    totals = source.groupBy(*keys, "region_id").agg(*sums)
+    totals = source.groupBy(*keys, region).agg(*sums)
     return totals.withColumns({n: F.try_divide(F.col(n), F.col("number_molecules")) for n in alphas})
 
 

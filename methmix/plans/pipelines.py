@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from methmix.labels import REPLICATES, SEED, TITRATION_LEVELS
 from methmix.operators import atlas, design, intervals, mixing, relational, scoring
-from methmix.session import broadcast_if_small, materialize
-from methmix.sources.tables import pool_counts
+from methmix.session import broadcast_if_small, materialize, spread
+
+REGION_BUCKETS = 64
 
 
 def pool_map(samples: DataFrame, source: str | None = None, groups: dict[str, str] | None = None) -> DataFrame:
@@ -31,10 +32,18 @@ def sample_scores(reads: DataFrame, regions: DataFrame, weighting: str = "molecu
 
 def scored_pools(pools: DataFrame, row_key: list[str] | None = None, weighting: str = "molecules") -> DataFrame:
     """Pools ready to be sampled: scores per read, the words of the row key, no strings.
-    Written once, a folder per cell type, because the pool sizes and the draws both read it."""
+
+    Written once, a folder per cell type: the atlas, the pool sizes and the draws all read it,
+    and the raw reads are scanned a single time. Rows are rebalanced by (cell type, region
+    bucket) for the write. That keeps the number of files small, splits a crowded bucket, and
+    gives every later task few regions, so its sums per (mixture, region) fit in memory.
+    """
     keyed = mixing.keyed_pools(pools, row_key or ["molecule_id", "region_id"])
-    narrow = scoring.score_reads(keyed).drop("molecule_id", "chr", "sample_id")
-    return materialize(narrow, "pools", "cell_type")
+    narrow = scoring.score_reads(keyed).drop("molecule_id", "chr")
+    bucket = F.pmod(F.xxhash64("region_id"), F.lit(REGION_BUCKETS))
+    gathered = narrow.withColumn("_bucket", bucket).hint("rebalance", "cell_type", "_bucket").drop("_bucket")
+    gathered = gathered.sortWithinPartitions("cell_type", "region_id")
+    return materialize(gathered, "pools", "cell_type")
 
 
 def build_reference(scores: DataFrame, samples: DataFrame, panel: DataFrame, sample_table: dict[str, str],
@@ -55,11 +64,8 @@ def titration_design(abundance: DataFrame, titrated: list[str], levels: list[flo
         abundance, titrated, levels or TITRATION_LEVELS), replicates, seed)
 
 
-def mixture_scores(pools: DataFrame, replicated: DataFrame, share: float, seed: int = SEED,
-                   weighting: str = "molecules") -> DataFrame:
-    """Region scores of every mixture of a design. Mixtures are never stored: each drawn row
-    goes straight into the sums of its (mixture, region)."""
-    counts = pool_counts(pools)
+def mixture_scores(pools: DataFrame, counts: DataFrame, replicated: DataFrame, share: float,
+                   seed: int = SEED, weighting: str = "molecules") -> DataFrame:
+    """Region scores of every mixture of a design."""
     fractions = mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share))
-    drawn = mixing.mix(pools, fractions, seed)
-    return scoring.sum_scores(drawn, mixing.MIXTURE_KEYS, weighting)
+    return mixing.mix_scores(spread(pools), fractions, seed, weighting)

@@ -82,9 +82,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
+    """Redistribute a scan with so few splits that some cores would idle or wait for one.
 
     A table of many row groups passes through untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    enough = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(enough) if df.rdd.getNumPartitions() < enough else df

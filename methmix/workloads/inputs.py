@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,16 +80,32 @@ def truth(design_table: DataFrame) -> DataFrame:
         (F.col("cell_type") == F.col("titrated")).cast("int").alias("is_titrated"))
 
 
+@dataclass
+class Experiment:
+    """A whole-blood titration: region scores of its mixtures, its design, and its pools."""
+
+    scores: DataFrame
+    design: DataFrame
+    pools: DataFrame
+
+    def truth(self) -> DataFrame:
+        return truth(self.design)
+
+
 def experiment(spark: SparkSession, d: str, titrated: list[str] | None = None,
-               replicates: int = labels.REPLICATES) -> tuple[DataFrame, DataFrame]:
-    """Region scores of all mixtures of a whole-blood titration, and its design."""
+               stored: bool = False) -> Experiment:
+    """`stored` writes the mixture scores once, for queries that read them several times."""
     pool = scored_pools(spark, d)
-    plan = whole_blood(pool_counts(pool), titrated)
-    replicated = design.replicate(plan, replicates, labels.SEED)
-    return pipelines.mixture_scores(pool, replicated, SHARE, labels.SEED), plan
+    counts = materialize(pool_counts(pool), "pool-counts")
+    plan = whole_blood(counts, titrated)
+    replicated = design.replicate(plan, labels.REPLICATES, labels.SEED)
+    table = pipelines.mixture_scores(pool, counts, replicated, SHARE, labels.SEED)
+    return Experiment(materialize(table, "mixture-scores") if stored else table, plan, pool)
+
 
+def stored_atlas(spark: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
+    """The atlas as a stored table, from scored pools if there are any: they hold the reads of
+    the reference samples."""
+    table = scores(spark, d) if pool is None else scoring.sum_scores(pool, ["sample_id"])
+    return materialize(atlas.atlas_wide(table, sample_map(spark, d), region_map(spark, d), bridge.CELL_TYPES), "atlas")
 
-def stored_experiment(spark: SparkSession, d: str, titrated: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The same with the scores written once, for queries that read them several times."""
-    table, plan = experiment(spark, d, titrated)
-    return materialize(table, "mixture-scores"), plan

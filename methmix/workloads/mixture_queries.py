@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from methmix import bridge, labels
 from methmix.functions import hashing
 from methmix.operators import design, estimate, evaluate, mixing, relational, scoring
-from methmix.session import materialize, scratch_path
+from methmix.session import materialize, scratch_path, spread
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import (CT, FLAGS, LEVELS, OLS_SWEEPS, POOL_TO_REF, _map, compose, lod_from,
+from methmix.workloads.base_sql import (CT, FLAGS, LEVELS, OLS_SWEEPS, POOL_TO_REF, _map, compose, lod_from, ranges,
                                         rate_steps, rounded_scores, sums, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
@@ -26,7 +26,7 @@ ID = ["proportion_id", "replicate"]
 def _sized(plan: DataFrame, counts: DataFrame) -> DataFrame:
     """A design with the pool sizes and sampling fractions it leads to."""
     fractions = mixing.sampling_fractions(plan, counts, mixing.total_as_share(counts, inputs.SHARE))
-    return as_bigint(rounded(fractions, "proportion", "titration", "fraction", digits=8), "proportion_id")
+    return as_bigint(rounded(fractions, "proportion", "titration", "fraction", digits=7), "proportion_id")
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +36,9 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized_sql(source: str) -> str:
-    return (f"select x.titrated, x.proportion_id::bigint as proportion_id, round(x.titration, 8) as titration, x.pool as cell_type, "
-            f"round(x.proportion, 8) as proportion, c.pool_rows, t.total_reads, "
-            f"round(x.proportion * t.total_reads / c.pool_rows, 8) as fraction "
+    return (f"select x.titrated, x.proportion_id::bigint as proportion_id, round(x.titration, 7) as titration, x.pool as cell_type, "
+            f"round(x.proportion, 7) as proportion, c.pool_rows, t.total_reads, "
+            f"round(x.proportion * t.total_reads / c.pool_rows, 7) as fraction "
             f"from {source} x join pool_counts c on c.pool = x.pool cross join total t")
 
 
@@ -120,9 +120,9 @@ def sampling_fractions(spark: SparkSession, d: str) -> DataFrame:
 # ---- mixing -----------------------------------------------------------------
 def _drawn(spark: SparkSession, d: str, titrated: list[str], replicates: int, share: float) -> DataFrame:
     pool = inputs.scored_pools(spark, d)
-    counts = pool_counts(pool)
+    counts = materialize(pool_counts(pool), "pool-counts")
     replicated = design.replicate(inputs.whole_blood(counts, titrated), replicates, labels.SEED)
-    return mixing.mix(pool, mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share)), labels.SEED)
+    return mixing.mix(spread(pool), mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share)), labels.SEED)
 
 
 @query("mix_bernoulli_hash", compose(
@@ -137,11 +137,10 @@ def mix_bernoulli_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 POISSON = {
-    "heavy": """select m.titrated, m.proportion_id, m.replicate, m.pool, m.fraction / 0.25 * 3 * total.total_reads0 / total.total_reads as f0,
- m.proportion3 as fraction from (select d.titrated, d.proportion_id, rep.replicate, d.pool, 0.0 as fraction,
-   d.proportion * floor((select sum(pool_rows) from pool_counts) * 3) / c.pool_rows as proportion3
-   from design d join pool_counts c using (pool) cross join (select unnest(range(0, 2)) as replicate) rep
-   where d.titrated = 'Blueprint-B') m cross join (select total_reads, total_reads as total_reads0 from total) total""",
+    "heavy": """select d.titrated, d.proportion_id, rep.replicate, d.pool,
+ d.proportion * floor((select sum(pool_rows) from pool_counts) * 3) / c.pool_rows as fraction
+ from design d join pool_counts c using (pool) cross join (select unnest(range(0, 2)) as replicate) rep
+ where d.titrated = 'Blueprint-B'""",
     "heavy_words": """select *, ('0x' || substr(h, 1, 7))::bigint + 1 as mix_a, ('0x' || substr(h, 8, 7))::bigint + 1 as mix_b,
  ('0x' || substr(h, 15, 7))::bigint as mix_c
  from (select *, md5('888|' || titrated || '|' || proportion_id || '|' || replicate || '|' || pool) as h from heavy) q""",
@@ -151,9 +150,11 @@ POISSON = {
     "tails": """select titrated, proportion_id, replicate, pool, i + 1 as draw_no,
  greatest(0, 1 - sum(mass) over (partition by titrated, proportion_id, replicate, pool order by i)) as threshold from masses
  union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1""",
+    "heavy_ranges": ranges("heavy_words"),
     "copies": """select w.titrated, w.proportion_id, w.replicate, w.pool, t.draw_no, p.number_molecules
- from pools p join heavy_words w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
- where (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647 < t.threshold * 2147483647""",
+ from pools p join heavy_ranges w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
+ where p.row_u < w.any_to and (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647
+       < 2147483647 * case when p.row_u >= w.any_from then t.threshold / w.hit else t.threshold end""",
 }
 
 
@@ -164,7 +165,7 @@ def mix_poisson_hash(spark: SparkSession, d: str) -> DataFrame:
     """Mixtures three times as large as all pools: most rows are drawn several times."""
     drawn = _drawn(spark, d, ["Blueprint-B"], 2, 3.0)
     return as_bigint(drawn.groupBy(*KEYS, "cell_type").agg(
-        F.count(F.lit(1)).alias("drawn"), F.max("draw_no").alias("most_copies"),
+        F.count(F.lit(1)).alias("drawn"), F.max("copy_no").alias("most_copies"),
         F.sum("number_molecules").alias("molecules")), *ID, "most_copies")
 
 
@@ -187,8 +188,8 @@ def mix_sample_native(spark: SparkSession, d: str) -> DataFrame:
 @query("mixture_scores", compose(
     f"select titrated, proportion_id::bigint as proportion_id, replicate, region_id, {rounded_scores()} from mix_scores"))
 def mixture_scores(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d)
-    return as_bigint(rounded(table, *FLAGS), *ID)
+    run = inputs.experiment(spark, d)
+    return as_bigint(rounded(run.scores, *FLAGS), *ID)
 
 
 # ---- estimates --------------------------------------------------------------
@@ -201,8 +202,8 @@ EST_SQL = "select {keys}, round(coeff, 6) as coeff, '{name}' as method from {tab
 
 @query("naive_estimate", compose(EST_SQL.format(keys=EST_KEYS, name="naive", table="naive")))
 def naive_estimate(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d)
-    return _out(estimate.naive(table, inputs.region_map(spark, d), KEYS))
+    run = inputs.experiment(spark, d)
+    return _out(estimate.naive(run.scores, inputs.region_map(spark, d), KEYS))
 
 
 @query("naive_per_sample", compose(
@@ -218,22 +219,22 @@ def naive_per_sample(spark: SparkSession, d: str) -> DataFrame:
     " union all ".join(f"select titrated, proportion_id, replicate, '{a}' as row_celltype, '{b}' as col_celltype, g{i}{j} as value from equations"
                        for i, a in enumerate(TYPES) for j, b in enumerate(TYPES)) + ") q where titrated = 'Blueprint-B'"))
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d, ["Blueprint-B"])
-    rows = estimate.aligned(table, inputs.atlas_matrix(spark, d), TYPES, keys=KEYS)
+    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    rows = estimate.aligned(run.scores, inputs.stored_atlas(spark, d, run.pools), TYPES, keys=KEYS)
     return as_bigint(rounded(estimate.gram_long(rows, KEYS, TYPES), "value"), *ID)
 
 
 @query("nnls_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="nnls", table="nnls")))
 def nnls_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d)
-    return _out(estimate.nnls(table, inputs.atlas_matrix(spark, d), KEYS, TYPES))
+    run = inputs.experiment(spark, d)
+    return _out(estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
 
 
 @query("ols_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="ols", table="ols"), {
     "sweeps": OLS_SWEEPS, "ols": unpivoted("sweeps", 200, "ols")}))
 def ols_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d)
-    return _out(estimate.ols(table, inputs.atlas_matrix(spark, d), KEYS, TYPES))
+    run = inputs.experiment(spark, d)
+    return _out(estimate.ols(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
 
 
 SAMPLE_ROWS = {
@@ -276,7 +277,7 @@ def outer_estimates(spark: SparkSession, d: str) -> DataFrame:
 # ---- planted truth ----------------------------------------------------------
 def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Exact mixtures of atlas rows by the design, and the atlas they are made of."""
-    matrix = materialize(inputs.atlas_matrix(spark, d), "atlas")
+    matrix = inputs.stored_atlas(spark, d)
     plan = inputs.truth(inputs.whole_blood(_counts(spark, d)))
     cells = relational.long(matrix, "region_id", TYPES, "ref_celltype", "score")
     mixed = cells.join(plan, "ref_celltype").groupBy("titrated", "proportion_id", "region_id") \
@@ -313,10 +314,10 @@ def nnhuber_planted(spark: SparkSession, d: str) -> DataFrame:
     "select titrated, proportion_id::bigint as proportion_id, replicate, 1::bigint as feasible, 1::bigint as gradient_ok, "
     "1::bigint as complementary from equations"))
 def nnls_kkt(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.stored_experiment(spark, d)
-    matrix = materialize(inputs.atlas_matrix(spark, d), "atlas")
-    equations = estimate.normal_equations(estimate.aligned(table, matrix, TYPES, keys=KEYS), KEYS, TYPES)
-    checked = estimate.optimality(estimate.nnls(table, matrix, KEYS, TYPES), equations, KEYS, TYPES)
+    run = inputs.experiment(spark, d, stored=True)
+    matrix = inputs.stored_atlas(spark, d, run.pools)
+    equations = estimate.normal_equations(estimate.aligned(run.scores, matrix, TYPES, keys=KEYS), KEYS, TYPES)
+    checked = estimate.optimality(estimate.nnls(run.scores, matrix, KEYS, TYPES), equations, KEYS, TYPES)
     return as_bigint(checked, *ID, "feasible", "gradient_ok", "complementary")
 
 
@@ -324,10 +325,10 @@ def nnls_kkt(spark: SparkSession, d: str) -> DataFrame:
     "select titrated, proportion_id::bigint as proportion_id, replicate, 1::bigint as same from equations where titrated = 'Blueprint-B'"))
 def nnhuber_equals_nnls(spark: SparkSession, d: str) -> DataFrame:
     """With delta above every residual the Huber fit is the least-squares fit."""
-    table, _ = inputs.stored_experiment(spark, d, ["Blueprint-B"])
-    matrix = materialize(inputs.atlas_matrix(spark, d), "atlas")
-    both = estimate.nnls(table, matrix, KEYS, TYPES).unionByName(
-        estimate.nonneg_huber(table, matrix, KEYS, TYPES, delta=2.0))
+    run = inputs.experiment(spark, d, ["Blueprint-B"], stored=True)
+    matrix = inputs.stored_atlas(spark, d, run.pools)
+    both = estimate.nnls(run.scores, matrix, KEYS, TYPES).unionByName(
+        estimate.nonneg_huber(run.scores, matrix, KEYS, TYPES, delta=2.0))
     paired = relational.combine_methods(both, KEYS + ["ref_celltype"], ["nnls", "nonneg_huber"])
     gap = F.max(F.abs(F.col("coeff_nnls") - F.col("coeff_nonneg_huber")))
     return as_bigint(paired.groupBy(*KEYS).agg((gap < 1e-8).cast("bigint").alias("same")), *ID)
@@ -366,15 +367,15 @@ def _huber_sweeps(limit: str, scale: bool, lower: bool, rounds: int) -> dict[str
 @query("nnhuber_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="nonneg_huber", table="hfit"),
                                    _huber_sweeps("0.02", False, True, 150)))
 def nnhuber_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d, ["Blueprint-B"])
-    return _out(estimate.nonneg_huber(table, inputs.atlas_matrix(spark, d), KEYS, TYPES, delta=0.02))
+    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    return _out(estimate.nonneg_huber(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES, delta=0.02))
 
 
 @query("huber_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="huber", table="hfit"),
                                  _huber_sweeps("1.35 * sigma", True, False, 150)))
 def huber_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.experiment(spark, d, ["Blueprint-B"])
-    return _out(estimate.huber(table, inputs.atlas_matrix(spark, d), KEYS, TYPES, epsilon=1.35))
+    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    return _out(estimate.huber(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES, epsilon=1.35))
 
 
 TRUTH_JOIN = "join truth t using (titrated, proportion_id, ref_celltype)"
@@ -383,9 +384,9 @@ TRUTH_JOIN = "join truth t using (titrated, proportion_id, ref_celltype)"
 @query("estimate_mse", compose(
     f"select e.ref_celltype, t.titration, round(avg(pow(coeff - true_proportion, 2)), 8) as mse from nnls e {TRUTH_JOIN} group by all"))
 def estimate_mse(spark: SparkSession, d: str) -> DataFrame:
-    table, plan = inputs.experiment(spark, d)
-    fit = estimate.nnls(table, inputs.atlas_matrix(spark, d), KEYS, TYPES)
-    errors = estimate.squared_error(fit, inputs.truth(plan), ["titrated", "proportion_id", "ref_celltype"],
+    run = inputs.experiment(spark, d)
+    fit = estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES)
+    errors = estimate.squared_error(fit, run.truth(), ["titrated", "proportion_id", "ref_celltype"],
                                     ["ref_celltype", "titration"])
     return rounded(errors, "mse", digits=8)
 
@@ -396,26 +397,26 @@ def estimate_mse(spark: SparkSession, d: str) -> DataFrame:
     {"osweeps": OLS_SWEEPS.replace("sweeps", "osweeps"), "ols": unpivoted("osweeps", 200, "ols")}))
 def clip_versus_constrained(spark: SparkSession, d: str) -> DataFrame:
     """Error of clipping after an unconstrained fit against fitting with the constraint."""
-    table, plan = inputs.stored_experiment(spark, d)
-    matrix = materialize(inputs.atlas_matrix(spark, d), "atlas")
-    both = estimate.nnls(table, matrix, KEYS, TYPES).unionByName(estimate.ols(table, matrix, KEYS, TYPES, clip=True))
-    errors = estimate.squared_error(both, inputs.truth(plan), ["titrated", "proportion_id", "ref_celltype"], ["method", "titrated"])
+    run = inputs.experiment(spark, d, stored=True)
+    matrix = inputs.stored_atlas(spark, d, run.pools)
+    both = estimate.nnls(run.scores, matrix, KEYS, TYPES).unionByName(estimate.ols(run.scores, matrix, KEYS, TYPES, clip=True))
+    errors = estimate.squared_error(both, run.truth(), ["titrated", "proportion_id", "ref_celltype"], ["method", "titrated"])
     return rounded(errors, "mse", digits=8)
 
 
 # ---- evaluation -------------------------------------------------------------
 def _titrated_naive(spark: SparkSession, d: str) -> DataFrame:
     """Naive estimates of the titrated cell type of each experiment, with their truth."""
-    table, plan = inputs.experiment(spark, d)
-    fit = estimate.naive(table, inputs.region_map(spark, d), KEYS)
-    own = inputs.truth(plan).where(F.col("is_titrated") == 1)
+    run = inputs.experiment(spark, d)
+    fit = estimate.naive(run.scores, inputs.region_map(spark, d), KEYS)
+    own = run.truth().where(F.col("is_titrated") == 1)
     return evaluate.with_truth(fit, own, ["titrated", "proportion_id", "ref_celltype"])
 
 
 def _titrated_nnls(spark: SparkSession, d: str) -> DataFrame:
-    table, plan = inputs.experiment(spark, d)
-    fit = estimate.nnls(table, inputs.atlas_matrix(spark, d), KEYS, TYPES)
-    own = inputs.truth(plan).where(F.col("is_titrated") == 1)
+    run = inputs.experiment(spark, d)
+    fit = estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES)
+    own = run.truth().where(F.col("is_titrated") == 1)
     return evaluate.with_truth(fit, own, ["titrated", "proportion_id", "ref_celltype"])
 
 
@@ -493,9 +494,9 @@ def box_summary(spark: SparkSession, d: str) -> DataFrame:
     f"round(avg(coeff - true_proportion), 6) as bias, round(avg(pow(coeff - true_proportion, 2)), 8) as mse from nnls e {TRUTH_JOIN} group by all"))
 def background_check(spark: SparkSession, d: str) -> DataFrame:
     """Every cell type of every mixture against its true proportion."""
-    table, plan = inputs.experiment(spark, d)
-    fit = materialize(estimate.nnls(table, inputs.atlas_matrix(spark, d), KEYS, TYPES), "estimates")
-    checked = evaluate.background_check(fit, inputs.truth(plan), ["titrated", "proportion_id", "ref_celltype"])
+    run = inputs.experiment(spark, d)
+    fit = materialize(estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES), "estimates")
+    checked = evaluate.background_check(fit, run.truth(), ["titrated", "proportion_id", "ref_celltype"])
     return as_bigint(rounded(rounded(checked, "true_proportion", "bias", *BOX), "mse", digits=8), "is_titrated")
 
 
@@ -504,9 +505,9 @@ PAIRED = {"paired": "select titrated, proportion_id, replicate, ref_celltype, v.
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = inputs.stored_experiment(spark, d)
-    both = estimate.naive(table, inputs.region_map(spark, d), KEYS).unionByName(
-        estimate.nnls(table, inputs.atlas_matrix(spark, d), KEYS, TYPES))
+    run = inputs.experiment(spark, d, stored=True)
+    both = estimate.naive(run.scores, inputs.region_map(spark, d), KEYS).unionByName(
+        estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
     return relational.combine_methods(both, KEYS + ["ref_celltype"], ["naive", "nnls"], how="inner")
 
 

@@ -88,7 +88,7 @@ def pool_counts(spark: SparkSession, d: str) -> DataFrame:
 def experiment_folders(spark: SparkSession, d: str) -> DataFrame:
     """Mixture scores stored by mixture key and read back with the keys as columns."""
     path = scratch_path(spark, "experiment")
-    table, _ = inputs.experiment(spark, d, ["Blueprint-B"])
+    table = inputs.experiment(spark, d, ["Blueprint-B"]).scores
     tables.write_experiment(table.repartition("titrated", "proportion_id"), path, "titrated", "proportion_id")
     loaded = tables.read_experiment(spark, path, table.schema)
     return as_bigint(loaded.groupBy(*inputs.KEYS).agg(
@@ -355,8 +355,8 @@ def value_counts_ordered(spark: SparkSession, d: str) -> DataFrame:
     return as_bigint(relational.value_counts(bridge.samples(spark, d), "age", AGES).orderBy("place"), "place")
 
 
-HISTOGRAM = """select g.pool as cell_type, g.b as bin, round(lo + b * (hi - lo) / 20, 6) as bin_start,
- round(lo + (b + 1) * (hi - lo) / 20, 6) as bin_end,
+HISTOGRAM = """select g.pool as cell_type, g.b as bin, round(lo + g.b * (hi - lo) / 20, 6) as bin_start,
+ round(lo + (g.b + 1) * (hi - lo) / 20, 6) as bin_end,
  count(c.reads) as rows, any_value(g.median) as median
  from (select *, unnest(range(0, 20)) as b from (select pool, min(reads)::double as lo, max(reads)::double as hi,
        quantile_cont(reads, 0.5)::double as median from counts group by pool) l) g
@@ -365,7 +365,7 @@ HISTOGRAM = """select g.pool as cell_type, g.b as bin, round(lo + b * (hi - lo)
  on c.pool = g.pool and c.b = g.b group by all"""
 
 
-@query("coverage_histogram", compose(HISTOGRAM.replace("count(c.reads)", "count(c.reads)"), {
+@query("coverage_histogram", compose(HISTOGRAM, {
     "counts": "select pool, region_id, count(*) as reads from pools group by all"}))
 def coverage_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Reads per region, 20 bins and the median per cell type."""
