@@ -1,6 +1,6 @@
 """Reproducible draws.
 
-Every draw is a pure function of the row key and the mixture key, so a lost task that runs
+Every draw is a pure function of the row key, the seed and the design, so a lost task that runs
 again draws the same rows, on any partitioning. One md5 is taken per row and one per mixture;
 the draw for a (row, mixture) pair is the linear hash  (a*x + b*y + c) mod p,  which is
 uniform and pairwise independent, and costs two multiplications.

@@ -2,7 +2,7 @@
 
 All mixtures of an experiment come out of one pass over the pools. A pool row meets the
 mixtures of its cell type in a broadcast join and is kept where its draw is below the
-threshold of the mixture; rows that are in no mixture are dropped before that. Draws are pure functions of row key and mixture key (see
+threshold of the mixture; rows that are in no mixture are dropped before that. Draws are pure functions of row key, seed and design (see
 `functions.hashing`), so the sample does not depend on partitioning and survives lost tasks.
 """
 
@@ -75,6 +75,7 @@ def hit_ranges(fractions: DataFrame) -> DataFrame:
     and never meets them. One whose number falls into a range has its first hit there. Later
     mixtures draw it independently. Together this is the law of independent draws, but where
     mixtures are small against their pools nearly all rows are settled by one comparison.
+    A draw thus depends on the mixtures before it in key order, and on none after it.
     """
     rate = F.col("fraction")
     hit = F.when(rate > 1, 1 - F.exp(-rate)).otherwise(rate)

@@ -173,7 +173,8 @@ def mix_poisson_hash(spark: SparkSession, d: str) -> DataFrame:
     "select titrated, proportion_id::bigint as proportion_id, replicate, pool as cell_type, count(*) as drawn from drawn "
     "where titrated = 'Blueprint-NK' group by all"))
 def realised_counts(spark: SparkSession, d: str) -> DataFrame:
-    drawn = _drawn(spark, d, ["Blueprint-NK"], labels.REPLICATES, inputs.SHARE)
+    """Rows drawn into the mixtures of one experiment of the whole design."""
+    drawn = _drawn(spark, d, bridge.GROUPS, labels.REPLICATES, inputs.SHARE).where(F.col("titrated") == "Blueprint-NK")
     return as_bigint(mixing.realised_counts(drawn), *ID)
 
 
