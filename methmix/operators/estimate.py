@@ -41,12 +41,15 @@ def aligned(scores: DataFrame, atlas: DataFrame, cell_types: list[str], score: s
     return chosen.join(atlas.select("region_id", *cell_types), "region_id")
 
 
-def zero_filled(scores: DataFrame, keys: list[str], score: str = SCORE_COLUMN,
+def zero_filled(scores: DataFrame, atlas: DataFrame, keys: list[str], score: str = SCORE_COLUMN,
                 min_molecules: int | None = None) -> DataFrame:
-    """Scores with every region any mixture has, 0 where a mixture lacks it."""
+    """Scores with every atlas region any mixture has, 0 where a mixture lacks it. The region
+    list has at most one entry per atlas row. Only the Huber fits need these rows; see
+    `zero_filled_equations`."""
     kept = scores if min_molecules is None else scores.where(F.col("number_molecules") >= min_molecules)
     kept = kept.select(*keys, "region_id", F.col(score).alias("_score"))
-    regions = kept.agg(F.array_sort(F.collect_set("region_id")).alias("_regions")).withColumn("_one", F.lit(1))
+    regions = (atlas.select("region_id").join(kept.select("region_id").distinct(), "region_id", "left_semi")
+               .agg(F.collect_list("region_id").alias("_regions")).withColumn("_one", F.lit(1)))
     grid = (kept.select(*keys).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(regions), "_one")
             .select(*keys, F.explode("_regions").alias("region_id")))
     return grid.join(kept, keys + ["region_id"], "left").select(
@@ -72,6 +75,24 @@ def normal_equations(rows: DataFrame, keys: list[str], cell_types: list[str],
         F.sum(F.col("b") * F.col("b") * w).alias("bb"))
 
 
+def zero_filled_equations(scores: DataFrame, atlas: DataFrame, keys: list[str], cell_types: list[str],
+                          score: str = SCORE_COLUMN, min_molecules: int | None = None) -> DataFrame:
+    """Normal equations with 0 for the regions a mixture lacks, without writing those rows: a
+    zero adds nothing to A'b, and A'A is the same for all mixtures, the sum over every atlas
+    region any of them has."""
+    kept = scores if min_molecules is None else scores.where(F.col("number_molecules") >= min_molecules)
+    kept = kept.select(*keys, "region_id", F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("b"))
+    rows = kept.join(atlas.select("region_id", *cell_types), "region_id", "left")
+    k = range(len(cell_types))
+    own = rows.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.col(cell_types[i]) * F.col("b")), F.lit(0.0)).alias(f"h_{i}") for i in k],
+        F.sum(F.when(F.col(cell_types[0]).isNotNull(), F.col("b") * F.col("b")).otherwise(0.0)).alias("bb"))
+    grams = gram_sums(cell_types)[:len(cell_types) * (len(cell_types) + 1) // 2]
+    shared = (atlas.join(kept.select("region_id").distinct(), "region_id", "left_semi").withColumn("b", F.lit(0.0))
+              .agg(F.count(F.lit(1)).alias("n_regions"), *grams).withColumn("_one", F.lit(1)))
+    return own.withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one").drop("_one")  # one row by construction
+
+
 def gram_long(rows: DataFrame, keys: list[str], cell_types: list[str]) -> DataFrame:
     """Gram entries as rows: (keys, row_celltype, col_celltype, value)."""
     k = range(len(cell_types))
@@ -116,26 +137,37 @@ def naive(scores: DataFrame, regions: DataFrame, keys: list[str], score: str = S
 
 
 def _rows(scores, atlas, cell_types, keys, score, min_molecules, missing) -> DataFrame:
-    if missing not in ("drop", "zero"):
-        raise ValueError("missing must be 'drop' or 'zero'")
+    _check(missing)
     if missing == "zero":
-        scores, min_molecules = zero_filled(scores, keys, score, min_molecules), None
+        scores, min_molecules = zero_filled(scores, atlas, keys, score, min_molecules), None
     return aligned(scores, atlas, cell_types, score, min_molecules, keys)
 
 
+def _equations(scores, atlas, cell_types, keys, score, min_molecules, missing) -> DataFrame:
+    _check(missing)
+    if missing == "zero":
+        return zero_filled_equations(scores, atlas, keys, cell_types, score, min_molecules)
+    return normal_equations(aligned(scores, atlas, cell_types, score, min_molecules, keys), keys, cell_types)
+
+
+def _check(missing: str) -> None:
+    if missing not in ("drop", "zero"):
+        raise ValueError("missing must be 'drop' or 'zero'")
+
+
 def nnls(scores: DataFrame, atlas: DataFrame, keys: list[str], cell_types: list[str],
          score: str = SCORE_COLUMN, min_molecules: int | None = None, missing: str = "drop") -> DataFrame:
     """Least squares with coefficients >= 0."""
-    rows = _rows(scores, atlas, cell_types, keys, score, min_molecules, missing)
-    return _solve(normal_equations(rows, keys, cell_types), keys, cell_types, "nnls", solvers.solve_nonnegative)
+    equations = _equations(scores, atlas, cell_types, keys, score, min_molecules, missing)
+    return _solve(equations, keys, cell_types, "nnls", solvers.solve_nonnegative)
 
 
 def ols(scores: DataFrame, atlas: DataFrame, keys: list[str], cell_types: list[str],
         score: str = SCORE_COLUMN, min_molecules: int | None = None, missing: str = "drop",
         clip: bool = False) -> DataFrame:
     """Unconstrained least squares; clip=True sets negative coefficients to 0 afterwards."""
-    rows = _rows(scores, atlas, cell_types, keys, score, min_molecules, missing)
-    fit = _solve(normal_equations(rows, keys, cell_types), keys, cell_types, "ols", solvers.solve_free)
+    equations = _equations(scores, atlas, cell_types, keys, score, min_molecules, missing)
+    fit = _solve(equations, keys, cell_types, "ols", solvers.solve_free)
     if not clip:
         return fit
     return fit.withColumn("coeff", F.greatest("coeff", F.lit(0.0))).withColumn("method", F.lit("ols_clipped"))

@@ -128,6 +128,8 @@ def test_missing_regions(system, spark):
     b[[1, 2]] = 0
     expected = solvers.solve_nonnegative(a.T @ a, a.T @ b)
     assert np.allclose(fitted(estimate.nnls(partial, atlas, ["mixture"], TYPES, missing="zero"))[0], expected, atol=1e-9)
+    wide = fitted(estimate.nonneg_huber(partial, atlas, ["mixture"], TYPES, 100.0, missing="zero"))
+    assert np.allclose(wide[0], expected, atol=1e-8)
 
 
 def test_optimality_flags(system):
