@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methmix import bridge, labels
 from methmix.operators import atlas, matrix, relational
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import CT, POOL_TO_REF, _map, compose
+from methmix.workloads.base_sql import _map, compose
 from methmix.workloads.registry import as_bigint, query, rounded
 
 TYPES = bridge.CELL_TYPES

@@ -59,7 +59,6 @@ def rounded_scores() -> str:
 
 LEVELS = ", ".join(f"({i}, {p!r}::double)" for i, p in enumerate(labels.TITRATION_LEVELS))
 POOL_TO_REF = dict(zip(bridge.GROUPS, bridge.CELL_TYPES))
-CT = [f"a{i}" for i in range(5)]
 
 
 

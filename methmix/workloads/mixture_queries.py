@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methmix import bridge, labels
-from methmix.functions import hashing
 from methmix.operators import design, estimate, evaluate, mixing, relational, scoring
 from methmix.session import materialize, scratch_path, spread
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import (CT, FLAGS, LEVELS, OLS_SWEEPS, POOL_TO_REF, _map, compose, lod_from, ranges,
-                                        rate_steps, rounded_scores, sums, unpivoted)
+from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, _map, compose, lod_from, ranges, rate_steps,
+                                        rounded_scores, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
 TYPES = bridge.CELL_TYPES

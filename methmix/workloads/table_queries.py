@@ -12,7 +12,7 @@ from methmix.operators import atlas, intervals, relational, scoring
 from methmix.session import scratch_path
 from methmix.sources import tables
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import FLAGS, LEVELS, SUM_COLUMNS, compose, rounded_scores, sums
+from methmix.workloads.base_sql import FLAGS, SUM_COLUMNS, compose, rounded_scores, sums
 from methmix.workloads.registry import as_bigint, query, rounded
 
 SCORE_KEYS = "sample_id, region_id, "
