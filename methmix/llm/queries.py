@@ -1,6 +1,6 @@
 """Importing this module registers the queries of all operators."""
 
-from methmix.llm import mixing  # noqa: F401
+from methmix.llm import mixing, sharding  # noqa: F401
 from methmix.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
