@@ -1,6 +1,6 @@
 """Importing this module registers the queries of all operators."""
 
-from methmix.llm import licenses, mixing, sharding, substrings  # noqa: F401
+from methmix.llm import licenses, minhash, mixing, sharding, substrings  # noqa: F401
 from methmix.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
