@@ -1,6 +1,6 @@
 """Importing this module registers the queries of all operators."""
 
-from methmix.llm import bpe, language, licenses, minhash, mixing, pages, sharding, substrings  # noqa: F401
+from methmix.llm import bpe, language, licenses, minhash, mixing, pages, sharding, substrings, topk  # noqa: F401
 from methmix.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
