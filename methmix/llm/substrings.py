@@ -4,7 +4,7 @@
    the smallest document is sent on; the others are known to repeat a smaller one.
 2. Hashes are dealt by value to parts. A part finds the smallest document of each hash and answers only to
    documents whose window starts in a smaller one.
-3. Answers meet their documents by id. Repeated windows are merged into maximal intervals of words.
+3. Answers are gathered by document and meet the texts by id. Repeated windows are merged into maximal intervals of words.
 
 Hashes travel as packed arrays, one row for each slice and part, 7 bytes a window. A passage that a third of all
 documents hold costs one entry for each slice. Windows are told apart by 59-bit hashes.
@@ -80,17 +80,36 @@ def _packed(keys: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield keys[start], hashes[start:stop].tobytes()
 
 
-SENT = "part int, ids binary, counts binary, hashes binary, doc long"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()),
-                        ("doc", pa.int64())])
-ANSWER_ARROW = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
-ANSWER_ROWS = 5_000
+# One row for each slice and part: hashes by document, `counts` of them for each of `ids`. Answers have whole hashes.
+SENT = "part int, answer boolean, ids binary, counts binary, hashes binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("answer", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()),
+                        ("hashes", pa.binary())])
+REPEATS_ARROW = pa.schema([("doc", pa.int64()), ("repeats", pa.binary())])
+REPEATS_ROWS = 2_000
 
 
 def _to_arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _answers(docs: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows, dealt by document."""
+    part = docs % parts
+    order = np.lexsort((docs, part))
+    docs, hashes, part = docs[order], hashes[order], part[order]
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    for at in np.flatnonzero(np.diff(bounds)):
+        some = slice(bounds[at], bounds[at + 1])
+        ids, counts = np.unique(docs[some], return_counts=True)
+        yield _to_arrow([(int(at), True, ids.tobytes(), counts.astype(np.int32).tobytes(), hashes[some].tobytes())], SENT_ARROW)
+
+
+def _unpacked(held: list[tuple[bytes, bytes, bytes]], unpack) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of the rows of a part."""
+    docs = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)) for i, c, _ in held])
+    return docs, np.concatenate([unpack(h) for _, _, h in held])
+
+
 def narrow(hashes: np.ndarray) -> bytes:
     """The low seven bytes of each value; the eighth is 0."""
     return hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
@@ -103,7 +122,7 @@ def wide(data: bytes) -> np.ndarray:
 
 
 def _send(id_col: str, text_col: str, window: int, parts: int):
-    """Rows for the parts (ids, windows per id, hashes), and rows with doc: windows known to be repeats."""
+    """Windows for the parts, and answers for those known to be repeats."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             ids, (hashes, places), (more, more_places) = _first_windows(batch, id_col, text_col, window)
@@ -111,58 +130,60 @@ def _send(id_col: str, text_col: str, window: int, parts: int):
             order = np.lexsort((places, part))
             hashes, places, part = hashes[order], places[order], part[order]
             bounds = np.searchsorted(part, np.arange(parts + 1))
-            for at in range(parts):
-                start, stop = bounds[at], bounds[at + 1]
-                if start < stop:
-                    docs, counts = np.unique(places[start:stop], return_counts=True)
-                    yield _to_arrow([(at, ids[docs].tobytes(), counts.astype(np.int32).tobytes(),
-                                      narrow(hashes[start:stop] // np.uint64(parts)), None)], SENT_ARROW)
-            rows = [(int(ids[place]) % parts, None, None, data, int(ids[place]))
-                    for place, data in _packed(more_places, more)]
-            if rows:
-                yield _to_arrow(rows, SENT_ARROW)
+            for at in np.flatnonzero(np.diff(bounds)):
+                some = slice(bounds[at], bounds[at + 1])
+                docs, counts = np.unique(places[some], return_counts=True)
+                yield _to_arrow([(int(at), False, ids[docs].tobytes(), counts.astype(np.int32).tobytes(),
+                                  narrow(hashes[some] // np.uint64(parts)))], SENT_ARROW)
+            yield from _answers(ids[more_places], more, parts)
     return task
 
 
 def _answer(parts: int):
-    """The windows of documents that start in a smaller one, packed by document, for each part of a task."""
+    """For each part of a task: the windows of documents that start in a smaller one."""
     def finish(part: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        docs = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)) for i, c, _ in held])
-        hashes = np.concatenate([wide(h) for _, _, h in held])
-        held.clear()
+        docs, hashes = _unpacked(held, wide)
         order = np.argsort(hashes, kind="stable")
         hashes, docs = hashes[order], docs[order]
         starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         smallest = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(hashes)]))
         later = docs > smallest
-        hashes = hashes[later] * np.uint64(parts) + np.uint64(part)
-        rows = [(int(doc), data) for doc, data in _packed(docs[later], hashes)]
-        for at in range(0, len(rows), ANSWER_ROWS):
-            yield _to_arrow(rows[at:at + ANSWER_ROWS], ANSWER_ARROW)
+        yield from _answers(docs[later], hashes[later] * np.uint64(parts) + np.uint64(part), parts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            known = []
-            for part, ids, counts, hashes, doc in zip(*(column.to_pylist() for column in batch.columns)):
-                if doc is None:
-                    held.setdefault(part, []).append((ids, counts, hashes))
-                else:
-                    known.append((doc, hashes))
-            if known:
-                yield _to_arrow(known, ANSWER_ARROW)
+            answers = batch.column("answer")
+            yield batch.filter(answers)
+            for part, answer, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if not answer:
+                    held.setdefault(part, []).append(tuple(row))
         while held:
             yield from finish(*held.popitem())
     return task
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated windows of each document in one row."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for part, _, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            held.setdefault(part, []).append(tuple(row))
+    while held:
+        docs, hashes = _unpacked(held.popitem()[1], lambda data: np.frombuffer(data, np.uint64))
+        rows = [(int(doc), data) for doc, data in _packed(docs, hashes)]
+        for at in range(0, len(rows), REPEATS_ROWS):
+            yield _to_arrow(rows[at:at + REPEATS_ROWS], REPEATS_ARROW)
+
+
 def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """_doc, _repeats (array<binary>, packed hashes): windows that also start in a document with a smaller id."""
+    """_doc, _repeats (packed hashes): windows that also start in a document with a smaller id."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = size // BYTES_PER_PART + LEAST_PARTS
     sent = docs.select(id_col, text_col).mapInArrow(_send(id_col, text_col, window, parts), SENT)
-    answers = sent.repartition(parts, "part").mapInArrow(_answer(parts), "doc long, hashes binary")
-    return stored(answers.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("hashes").alias("_repeats")), "repeats")
+    answers = sent.repartition(parts, "part").mapInArrow(_answer(parts), SENT)
+    found = answers.repartition(parts, "part").mapInArrow(_gather, "doc long, repeats binary")
+    return stored(found.select(F.col("doc").alias("_doc"), F.col("repeats").alias("_repeats")), "repeats")
 
 
 def merged(flags: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -174,11 +195,8 @@ def merged(flags: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, gap + 1]].tolist(), (at[np.r_[gap, len(at) - 1]] + window).tolist()))
 
 
-def _intervals(words: np.ndarray, repeats: list[bytes] | None, window: int) -> list[tuple[int, int]]:
-    if not repeats:
-        return []
-    known = np.concatenate([np.frombuffer(r, np.uint64) for r in repeats])
-    return merged(np.isin(_windows(words, window), known), window)
+def _intervals(words: np.ndarray, repeats: bytes, window: int) -> list[tuple[int, int]]:
+    return merged(np.isin(_windows(words, window), np.frombuffer(repeats, np.uint64)), window)
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +209,7 @@ def with_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # Texts without repeats, most of the corpus, stay where they are.
     touched = F.broadcast(touched)
     some = keyed.join(touched, "_doc", "left_semi").join(repeats, "_doc")
-    none = keyed.join(touched, "_doc", "left_anti").withColumn("_repeats", F.lit(None).cast("array<binary>"))
+    none = keyed.join(touched, "_doc", "left_anti").withColumn("_repeats", F.lit(None).cast("binary"))
     return some.unionByName(none).drop("_doc")
 
 
