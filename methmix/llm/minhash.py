@@ -6,11 +6,11 @@
    the 32 - MATCHES + 1 coordinate-value pairs that are rarest (prefix), and to skip the long lists. How rare
    a pair is comes from a count-min table of fixed size; it decides cost, not results.
 3. Within a list, collisions are counted on four bits of all 64 minima; pairs under LEAST_COLLISIONS are dropped.
-   A member goes on with the smallest member it collides with: as many pairs as members, however
-   large the list. Lists are split into chunks.
-4. Pairs are confirmed on full shingle sets and joined to components. Lists in which more pairs collided than
-   were confirmed are read again: members outside the list's largest component meet all others, first with
-   the best few of each foreign component, in the end with all. So no link between two components is lost.
+   A list hands on a spanning forest of its collisions, mostly stars around small members: fewer pairs
+   than members, however large the list. Lists are split into chunks; a list of several chunks is tied together.
+4. The pairs are confirmed on full shingle sets and joined to components; unconfirmed, they tie classes to
+   families. Any two classes that collided lie in one family. In a family of several components, the members outside its
+   largest component are compared with all others on full sets, chunk by chunk, so no link is lost.
 
 Null and empty texts have no shingles and no links. A null id counts as larger than all others. Rows that share an
 id share its fate only if their texts do. Texts of any length are read whole. An empty table gives an empty result.
@@ -41,9 +41,7 @@ LEAST_COLLISIONS = 38
 COUNT_BITS = 18
 COUNT_BLOCKS = 16
 CHUNK = 4096
-BLOCK = 512
-# How many pairs a member may try with a foreign component, round by round; None is no limit.
-TRIES = (8, 64, None)
+FAMILY_CHUNK = 1000
 LAST_ID = np.iinfo(np.int64).max
 MADE = ("n_shingles", "component_id", "kept")
 
@@ -204,69 +202,90 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
         yield {name: values[rows] for name, values in data.items()}
 
 
-PAIRS = "u long, v long, key long"
-PAIRS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
+PAIRS = "u long, v long"
+PAIRS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _pair_batch(u: list[np.ndarray], v: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-    """Pairs have no key; a row with a key alone names a list to be read again."""
-    pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.int64)
-    none = pa.nulls(len(keys), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array(pairs[0]), none]), pa.concat_arrays([pa.array(pairs[1]), none]),
-         pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(keys, pa.int64())])], schema=PAIRS_ARROW)
+def _pair_batch(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=PAIRS_ARROW)
+
+
+def forest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger, smaller place) that connect what a symmetric boolean matrix connects, one for each place at most.
+
+    From the smallest place not reached yet, each place is tied to the one it was first reached from.
+    """
+    todo = np.ones(len(found), bool)
+    ends, starts = [], []
+    for root in range(len(found)):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        queue = [root]
+        while queue:
+            at = queue.pop(0)
+            new = np.flatnonzero(found[at] & todo)
+            if len(new):
+                todo[new] = False
+                queue += new.tolist()
+                ends.append(np.maximum(new, at))
+                starts.append(np.minimum(new, at))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(ends or none), np.concatenate(starts or none)
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member with the smallest member it collides with; the lists in which more collided."""
-    u, v, again = [], [], []
+    """A spanning forest of the collisions in each list."""
+    u, v, held = [], [], 0
     for data in _lists(batches, ["key", "chunk", "node", "n"]):
-        node, n, sketch = data["node"], data["n"], data["sketch"]
-        more = bool(data["chunk"].max())
-        for at in range(0, len(node), BLOCK):
-            found = alike((n[at:at + BLOCK], sketch[at:at + BLOCK]), (n, sketch)) > 0
-            # Members are sorted by node: only smaller ones count.
-            found &= np.arange(len(node)) < np.arange(at, at + len(found))[:, None]
-            has = np.flatnonzero(found.any(axis=1))
-            u.append(node[at + has])
-            v.append(node[found[has].argmax(axis=1)])
-            more |= int(found.sum()) > len(has)
-        if more:
-            again.append(int(data["key"][0]))
-        if len(u) > 50_000:
-            yield _pair_batch(u, v, again)
-            u, v, again = [], [], []
-    if u or again:
-        yield _pair_batch(u, v, sorted(set(again)))
-
-
-def _more_pairs(tries: int | None):
-    """Guests of a chunk with its members of other components: the `tries` best for each guest and component."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, own = data["node"], (data["n"], data["sketch"])
+        found = np.concatenate([alike((own[0][at:at + 256], own[1][at:at + 256]), own) > 0 for at in range(0, len(node), 256)])
+        larger, smaller = forest(found)
+        u.append(node[larger])
+        v.append(node[smaller])
+        held += len(larger)
+        if held > 50_000:
+            yield _pair_batch(u, v)
+            u, v, held = [], [], 0
+    if u:
+        yield _pair_batch(u, v)
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the guests of each chunk, a link to each foreign component that has a member alike."""
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for batch in batches:
+        for family, chunk, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            held.setdefault((family, chunk), []).append(tuple(row))
+    for rows in held.values():
+        homes = [r for r in rows if r[3]]
+        if not homes:
+            continue
+        nodes = np.array([r[0] for r in homes])
+        components_ = np.array([r[1] for r in homes])
+        sets = [np.frombuffer(r[4], np.uint64) for r in homes]
+        sizes = np.array([len(x) for x in sets])
+        shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(homes)), sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owners = shingles[order], owners[order]
         u, v = [], []
-        for data in _lists(batches, ["key", "chunk", "node", "n", "component", "guest", "home"]):
-            guests, homes = np.flatnonzero(data["guest"]), np.flatnonzero(data["home"])
-            for at in range(0, len(guests), BLOCK):
-                some = guests[at:at + BLOCK]
-                found = alike((data["n"][some], data["sketch"][some]), (data["n"][homes], data["sketch"][homes]))
-                found[data["component"][some][:, None] == data["component"][homes]] = 0
-                a, b = np.nonzero(found)
-                if tries is not None and len(a):
-                    order = np.lexsort((-found[a, b], data["component"][homes][b], a))
-                    a, b = a[order], b[order]
-                    other = data["component"][homes][b]
-                    new = np.r_[True, (a[1:] != a[:-1]) | (other[1:] != other[:-1])]
-                    place = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                    a, b = a[place < tries], b[place < tries]
-                x, y = data["node"][some][a], data["node"][homes][b]
-                u.append(np.maximum(x, y))
-                v.append(np.minimum(x, y))
-            if len(u) > 1000:
-                yield _pair_batch(u, v, [])
-                u, v = [], []
+        for node, component, guest, _, data in rows:
+            if not guest:
+                continue
+            own = np.frombuffer(data, np.uint64)
+            low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+            counts = high - low
+            at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared = np.bincount(owners[at], minlength=len(homes))
+            linked = (100 * shared >= SIMILARITY * (len(own) + sizes - shared)) & (components_ != component)
+            # One link for each foreign component joins it as well as all of them.
+            _, first = np.unique(components_[linked], return_index=True)
+            other = nodes[linked][first]
+            u.append(np.maximum(other, node))
+            v.append(np.minimum(other, node))
         if u:
-            yield _pair_batch(u, v, [])
-    return task
+            yield _pair_batch(u, v)
 
 
 def _sets(width: int):
@@ -290,54 +309,56 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def class_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the classes in `nodes` (cls), read again from the text of one document of each."""
+    ids = stored(classes.join(nodes, "cls").select("id").distinct(), "ends")
+    ids = F.broadcast(ids) if fits_broadcast(ids) else ids
+    # A row that shares its id with a class's document but has another set is a class that no pair names.
+    sets = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles binary")
+    return stored(sets.dropDuplicates(["node"]), "shingle-sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are alike. `docs` has id and text."""
     ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    ids = stored(classes.join(ends, "cls").select("id").distinct(), "ends")
-    ids = F.broadcast(ids) if fits_broadcast(ids) else ids
-    # A row that shares its id with a class's document but has another set joins nothing below.
-    sets = stored(docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles binary")
-                  .dropDuplicates(["node"]), "shingle-sets")
+    sets = class_sets(ends, docs, classes, width)
     return (pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
             .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-            .select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long"))
+            .select("u", "v", "a", "b").mapInArrow(_confirm, PAIRS))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, component) of every class that is linked with another one; ids are class digests."""
-    spark = classes.sparkSession
-    sizes = spark.sparkContext.broadcast(list_sizes(classes))
+    sizes = classes.sparkSession.sparkContext.broadcast(list_sizes(classes))
     postings = classes.select("cls", "n_shingles", "minima").mapInArrow(_post(sizes), POSTINGS)
-    dealt = postings.repartition("key", "chunk")
-    found = stored(dealt.mapInArrow(_first_pairs, PAIRS), "pairs")
-    edges = stored(confirmed(found.filter("key IS NULL").select("u", "v").distinct(), docs, classes, width), "links")
-    again = stored(found.filter("key IS NOT NULL").select("key").distinct(), "lists")
-    if again.isEmpty():
-        return components(edges)
-    listed = stored(postings.join(again, "key").drop("chunk"), "listed")
-    for tries in TRIES:
-        parts = components(edges)
-        labelled = listed.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        lists = stored(counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
-                       .filter("all > top.c").select("key", F.col("top.component").alias("top"),
-                                                     F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "open-lists")
-        if lists.isEmpty():
-            break
-        members = (
-            labelled.join(lists, "key").withColumn("guest", F.col("component") != F.col("top"))
-            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-            .withColumn("chunk", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("chunks") - 1))
-                                           .otherwise(F.array("own"))))
-            .withColumn("home", F.col("chunk") == F.col("own"))
-            .select("key", "chunk", "node", "n", "sketch", "component", "guest", "home"))
-        more = stored(members.repartition("key", "chunk").mapInArrow(_more_pairs(tries), PAIRS).select("u", "v").distinct(),
-                      "pairs")
-        if more.isEmpty():
-            break
-        edges = stored(edges.unionByName(confirmed(more, docs, classes, width)), "links")
-    return components(edges)
+    pairs = stored(postings.repartition("key", "chunk").mapInArrow(_first_pairs, PAIRS).distinct(), "pairs")
+    links = stored(confirmed(pairs, docs, classes, width), "links")
+    parts = stored(components(links), "parts")
+    # Lists that may have been split: their members share a family through the list's key.
+    tied = (classes.select("cls", "n_shingles", "minima").mapInArrow(_post(sizes), POSTINGS).filter("chunk > 0")
+            .select(F.col("key").alias("v")).distinct())
+    split = postings.join(tied.withColumnRenamed("v", "key"), "key", "left_semi").select(F.col("node").alias("u"), F.xxhash64("key").alias("v"))
+    families = components(pairs.unionByName(split))
+    members = (families.select(F.col("id").alias("node"), F.col("component").alias("family"))
+               .join(parts.withColumnRenamed("id", "node"), "node", "left").join(classes.select(F.col("cls").alias("node")), "node")
+               .withColumn("component", F.coalesce("component", "node")))
+    members = stored(members, "members")
+    open_ = stored(
+        members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+        # The only pair of a family of two has been compared.
+        .filter("all > top.c AND all > 2")
+        .select("family", F.col("top.component").alias("top"), F.ceil(F.col("all") / FAMILY_CHUNK).cast("int").alias("chunks")),
+        "open-families")
+    guests = members.join(open_, "family")
+    sets = class_sets(guests.select(F.col("node").alias("cls")).distinct(), docs, classes, width)
+    placed = (
+        guests.join(sets, "node").withColumn("guest", F.col("component") != F.col("top"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
+        .select("family", "chunk", "node", "component", "guest", (F.col("chunk") == F.col("own")).alias("home"), "shingles"))
+    more = placed.repartition("family", "chunk").mapInArrow(_family_links, PAIRS).distinct()
+    return components(stored(links.unionByName(more), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
