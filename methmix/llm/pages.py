@@ -54,7 +54,7 @@ _HINT_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 SPACE = re.compile(r"\s+")
 # A container must hold this share of the text over the threshold.
-SHARE = 0.7
+SHARE = 0.85
 # The threshold lies this many deviations above the mean of fused ratios, and never above a share of the best.
 DEVIATIONS = 0.25
 BEST_SHARE = 0.3
