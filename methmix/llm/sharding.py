@@ -2,8 +2,9 @@
 
 Documents with the same link key are linked to each other. A linked document starts in the shard of its
 number, so that linked documents are even from the start. In each round every shard's part of a group asks
-to join the shard that holds most of the group (a group larger than a shard asks for several); requests are
-granted in order of a hash while the target has room, so no shard ever passes its quota. Documents without
+to join the shard that holds most of the group and has room for it, or else some other one with room (a group
+larger than a shard asks for several). Requests are granted in order of a hash while the target has room, so no
+shard ever passes its quota. Documents without
 links cost nothing wherever they lie and fill the room that is left: counts differ by at most one.
 
 Requests are sums by (group, shard), so a group of any size is at most `shards` rows, and ranks come from
@@ -23,7 +24,7 @@ from methmix.llm.common import buckets_for, running_sum, stored, table
 from methmix.llm.registry import query
 
 SHARDS = 40
-ROUNDS = 4
+ROUNDS = 5
 MADE = ("shard", "slot", "linked")
 
 
@@ -34,20 +35,23 @@ def quota(rows: int, shards: int, shard: Column) -> Column:
 def wishes(state: DataFrame, rows: int, shards: int) -> DataFrame:
     """One row per part of a group that asks to move: _group, shard, _to, _n documents, _room in `_to`."""
     parts = stored(state.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n")), "shard-parts")
-    room = (
+    room = stored(
         state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
         .join(parts.groupBy("shard").agg(F.sum("_n").alias("_used")), "shard", "left")
-        .select("shard", (quota(rows, shards, F.col("shard")) - F.coalesce("_used", F.lit(0))).alias("_room"))
-    )
-    # `room` has one row per shard, whatever the number of documents.
-    parts = parts.join(F.broadcast(stored(room, "shard-room")), "shard")
+        .select("shard", (quota(rows, shards, F.col("shard")) - F.coalesce("_used", F.lit(0))).alias("_room")), "shard-room")
+    # One number per shard, whatever the number of documents. Split groups may also meet in a shard with room.
+    open_shards = F.array(*[F.lit(r["shard"]) for r in room.filter("_room > 0").orderBy("shard").collect()]).cast("array<int>")
+    meeting = (parts.groupBy("_group").agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1")
+               .select("_group", F.get(open_shards, F.pmod(F.xxhash64("_group"), F.greatest(F.size(open_shards), F.lit(1))).cast("int")).alias("shard"),
+                       F.lit(0).cast("bigint").alias("_n")).filter("shard IS NOT NULL"))
+    parts = parts.unionByName(meeting).groupBy("_group", "shard").agg(F.sum("_n").alias("_n")).join(F.broadcast(room), "shard")
     group = Window.partitionBy("_group")
-    best_first = group.orderBy(F.desc("_n"), "shard")
-    before = best_first.rowsBetween(Window.unboundedPreceding, -1)
-    last_first = group.orderBy("_n", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+    # Shards that can hold the whole group come first, then those with most of it.
+    parts = parts.withColumn("_all", F.sum("_n").over(group)).withColumn("_holds", F.col("_n") + F.col("_room") >= F.col("_all"))
+    before = group.orderBy(F.desc("_holds"), F.desc("_n"), F.desc("_room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    last_first = group.orderBy("_holds", "_n", "_room", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
     # The first shards that can hold the whole group are its places, the others ask to move there.
     ranked = parts.withColumns({
-        "_all": F.sum("_n").over(group),
         "_held": F.coalesce(F.sum(F.col("_n") + F.col("_room")).over(before), F.lit(0)),
         "_free": F.coalesce(F.sum("_room").over(before), F.lit(0)),
         "_ahead": F.coalesce(F.sum("_n").over(last_first), F.lit(0)),
@@ -58,22 +62,26 @@ def wishes(state: DataFrame, rows: int, shards: int) -> DataFrame:
     fitting = F.filter("_places", lambda p: (p["_free"] <= F.col("_ahead"))
                        & (F.col("_ahead") < p["_free"] + p["_room"]))
     return (
-        ranked.withColumn("_places", places).filter(~F.col("_place"))
+        ranked.withColumn("_places", places).filter(~F.col("_place") & (F.col("_n") > 0))
         .withColumn("_target", F.get(fitting, F.lit(0))).filter(F.col("_target").isNotNull())
         .select("_group", "shard", "_n", F.col("_target._to").alias("_to"), F.col("_target._room").alias("_room"))
     )
 
 
-def propagate(state: DataFrame, rows: int, shards: int, rounds: int, buckets: int) -> DataFrame:
+def propagate(state: DataFrame, rows: int, shards: int, rounds: int, order: list[str], buckets: int) -> DataFrame:
     """Linked documents (_group, shard, ...) after at most `rounds` rounds of moves."""
     for _ in range(rounds):
         asked = running_sum(wishes(state, rows, shards), ["_to"], ["_group", "shard"], F.col("_n"), "_earlier", buckets)
-        moves = stored(asked.filter(F.col("_earlier") + F.col("_n") <= F.col("_room")).select("_group", "shard", "_to"),
-                       "shard-moves")
+        moves = stored(asked.withColumn("_take", F.least("_n", F.col("_room") - F.col("_earlier"))).filter("_take > 0")
+                       .select("_group", "shard", "_to", "_n", "_take"), "shard-moves")
         if moves.isEmpty():
             break
-        state = stored(state.join(moves, ["_group", "shard"], "left")
-                       .withColumn("shard", F.coalesce("_to", "shard")).drop("_to"), "shard-state")
+        asked_rows = stored(state.join(moves, ["_group", "shard"], "left"), "shard-asked")
+        whole = asked_rows.filter("_take IS NULL OR _take = _n").withColumn("shard", F.coalesce("_to", "shard"))
+        # A part that fits in part, at most one for each target, is cut by rank.
+        part = running_sum(asked_rows.filter("_take < _n"), ["_group", "shard"], order, None, "_rank", buckets)
+        part = part.withColumn("shard", F.when(F.col("_rank") < F.col("_take"), F.col("_to")).otherwise(F.col("shard"))).drop("_rank")
+        state = stored(whole.unionByName(part).drop("_to", "_n", "_take"), "shard-state")
     return state
 
 
@@ -96,7 +104,7 @@ def shard_documents(docs: DataFrame, link: Column, order: list[str], shards: int
     numbered = stored(running_sum(keyed, ["linked"], order, None, "_number", buckets), "shard-numbers")
     start = (numbered.filter("linked")
              .withColumn("shard", (F.col("_number") % shards).cast("int")).drop("_number"))
-    linked = propagate(stored(start, "shard-start"), rows, shards, rounds, buckets)
+    linked = propagate(stored(start, "shard-start"), rows, shards, rounds, order, buckets)
     used = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("_used"))
     all_shards = keyed.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     free = (all_shards.join(used, "shard", "left")
