@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methmix.session import spread
+from methmix.session import deal_single_file
 
 # Order of the five groups in the derived tables.
 GROUPS = ["Blueprint-B", "Blueprint-Mono", "Blueprint-Neutro", "Blueprint-T", "Blueprint-NK"]
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads with the columns of `schema.READS`."""
-    lines = spread(table(spark, sf_dir, "lineitem").select(
+    lines = deal_single_file(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     locus = F.col("l_partkey") % LOCI

@@ -77,15 +77,6 @@ def _overlaps(match_chr: bool) -> Column:
     return hit & (F.col("chr") == F.col("region_chr")) if match_chr else hit
 
 
-def overlap_theta(reads: DataFrame, regions: DataFrame, match_chr: bool = False) -> DataFrame:
-    """Overlap join by comparing every read with every region. Only for a handful of regions
-    and as a check on `overlap_join`; refuses a region table that is not small."""
-    bounded = _bounded(regions, match_chr)
-    if not fits_broadcast(bounded, max_rows=2_000):
-        raise ValueError("too many regions for a theta join; use overlap_join")
-    return reads.join(F.broadcast(bounded), _overlaps(match_chr)).drop("region_chr")
-
-
 def _bin(position: Column, width: int) -> Column:
     """Floor division, also below zero."""
     w = F.lit(width).cast("bigint")

@@ -2,8 +2,9 @@
 
 All mixtures of an experiment come out of one pass over the pools. A pool row meets the
 mixtures of its cell type in a broadcast join and is kept where its draw is below the
-threshold of the mixture; rows that are in no mixture are dropped before that. Draws are pure functions of row key, seed and design (see
-`functions.hashing`), so the sample does not depend on partitioning and survives lost tasks.
+threshold of the mixture. A draw is a pure function of the row key and of the mixture's own
+key and seed (see `functions.hashing`): a mixture is the same alone or beside any others, on
+any partitioning, and after lost tasks.
 """
 
 from __future__ import annotations
@@ -18,17 +19,31 @@ from methmix.functions import hashing
 from methmix.operators import scoring
 from methmix.session import broadcast_if_small, fits_broadcast, materialize
 
-SALTS = 256  # pieces of a pool when the mixture table is too large to broadcast
+ROWS_PER_SALT = 200_000  # rows of a pool in one piece, when the mixture table is too large to broadcast
 MIXTURE_KEYS = ["titrated", "proportion_id", "replicate"]
 
 
 def sampling_fractions(design: DataFrame, pool_counts: DataFrame, total_reads: DataFrame) -> DataFrame:
     """Adds `pool_rows` and `fraction` = proportion * total / pool size.
-    `total_reads` is a one-row table with a `total_reads` column."""
-    sized = pool_counts.withColumn("_one", F.lit(1)).join(
-        F.broadcast(total_reads.select("total_reads").limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return design.join(sized, "cell_type").withColumn(
-        "fraction", F.col("proportion") * F.col("total_reads") / F.col("pool_rows"))
+
+    `total_reads` has a `total_reads` column and either key columns of the design, with one
+    row for each of their values, or one row in all; anything else is an error.
+    """
+    sized = design.join(pool_counts, "cell_type")
+    shared = [c for c in total_reads.columns if c != "total_reads"]
+    if shared:
+        unknown = [c for c in shared if c not in design.columns]
+        if unknown:
+            raise ValueError(f"total_reads has columns {unknown} that the design lacks")
+        repeated = total_reads.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not repeated.isEmpty():
+            raise ValueError("total_reads has more than one row for a key")
+        sized = sized.join(total_reads, shared)
+    else:
+        if len(total_reads.take(2)) != 1:
+            raise ValueError("total_reads without key columns must have exactly one row")
+        sized = sized.crossJoin(F.broadcast(total_reads))
+    return sized.withColumn("fraction", F.col("proportion") * F.col("total_reads") / F.col("pool_rows"))
 
 
 def copy_thresholds(fractions: DataFrame) -> DataFrame:
@@ -37,7 +52,8 @@ def copy_thresholds(fractions: DataFrame) -> DataFrame:
 
     A fraction up to 1 draws without replacement: one threshold, the fraction. Above 1 a row
     is drawn Poisson(fraction) times: threshold n is the probability of n or more copies.
-    Passes of Poisson(1) and one of the remainder add up to the same distribution.
+    Passes of Poisson(1) and one of the remainder add up to the same distribution. Thresholds
+    end where they fall below one step of the draw, as no draw tells them from 0.
     """
     rate = F.col("fraction")
     spread = F.when(rate > 1, F.ceil(rate + 12 * F.sqrt(rate) + 12)).otherwise(F.lit(1)).cast("int")
@@ -51,7 +67,7 @@ def copy_thresholds(fractions: DataFrame) -> DataFrame:
     # P(X >= n) = 1 - P(X <= n-1); `_below` runs over masses of 0 .. n-1.
     tail = F.greatest(1 - F.col("_below"), F.lit(0.0))
     return (at_least.withColumn("threshold", F.when(rate > 1, tail).otherwise(rate))
-            .where(F.col("threshold") > 0).drop("_log_factorial", "_below"))
+            .where((F.col("copy_no") == 1) | (F.col("threshold") >= 1 / hashing.PRIME)).drop("_log_factorial", "_below"))
 
 
 def keyed_pools(pools: DataFrame, row_key: list[str]) -> DataFrame:
@@ -61,80 +77,71 @@ def keyed_pools(pools: DataFrame, row_key: list[str]) -> DataFrame:
     return digested.withColumns(hashing.row_words(F.col("_digest"))).drop("_digest")
 
 
-def number_regions(pools: DataFrame) -> DataFrame:
-    """The regions of the pools, numbered from 1."""
-    return pools.select("region_id").distinct().withColumn(
-        "region_no", F.row_number().over(Window.orderBy("region_id")).cast("bigint"))
+def region_numbers(pools: DataFrame) -> DataFrame:
+    """The regions of the pools with a 64-bit number each; two regions with one number raise an error."""
+    regions = materialize(pools.select("region_id").distinct().withColumn("region_no", F.xxhash64("region_id")), "regions")
+    every, numbers = regions.agg(F.count(F.lit(1)), F.count_distinct("region_no")).first()
+    if every != numbers:
+        raise ValueError("two regions have the same number")
+    return regions
 
 
-def hit_ranges(fractions: DataFrame) -> DataFrame:
-    """Adds `hit` = P(one copy or more) and the range [`any_from`, `any_to`) of the chance
-    that this is the first mixture, in order, to draw a row of the pool.
-
-    A row whose uniform number is beyond the last `any_to` of its pool is in no mixture at all
-    and never meets them. One whose number falls into a range has its first hit there. Later
-    mixtures draw it independently. Together this is the law of independent draws, but where
-    mixtures are small against their pools nearly all rows are settled by one comparison.
-    A draw thus depends on the mixtures before it in key order, and on none after it.
-    """
-    rate = F.col("fraction")
-    hit = F.when(rate > 1, 1 - F.exp(-rate)).otherwise(rate)
-    order = Window.partitionBy("cell_type").orderBy(*MIXTURE_KEYS)
-    missed = F.sum(F.ln(F.greatest(1 - F.col("hit"), F.lit(1e-300)))).over(order)
-    ranged = fractions.withColumn("hit", hit).withColumn("any_to", 1 - F.exp(missed))
-    return ranged.withColumn("any_from", F.lag("any_to", 1, 0.0).over(order))
+def with_seeds(fractions: DataFrame, seed: int) -> DataFrame:
+    """`fractions` with a `seed` for each mixture: its own if the design has one, or else one
+    derived from `seed` and the mixture's key."""
+    if "seed" in fractions.columns:
+        return fractions
+    return fractions.withColumn("seed", hashing.derived_seed(F.lit(seed), F.concat_ws("-", *[F.col(k).cast("string") for k in MIXTURE_KEYS])))
 
 
 def mixture_plan(fractions: DataFrame, seed: int) -> DataFrame:
     """The mixtures as a stored table of draws: one row per (mixture, cell type, copy) with the
-    words of the mixture key, its range and its limits. Mixtures and cell types get numbers,
-    so that the large join and sums compare integers, not names. The table grows with the
-    design alone."""
-    ranged = hit_ranges(fractions.where(F.col("fraction") > 0).select(*MIXTURE_KEYS, "cell_type", "fraction"))
-    key = hashing.digest(F.lit(seed), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
-    prime = F.lit(float(hashing.PRIME))
-    plan = copy_thresholds(ranged).withColumn("_key", key).withColumns({
+    words of the mixture key and its limit. Mixtures get a number from their key, so that the
+    large sums compare integers, not names. The table grows with the design alone."""
+    kept = with_seeds(fractions, seed).where(F.col("fraction") > 0).select(*MIXTURE_KEYS, "seed", "cell_type", "fraction")
+    key = hashing.digest(F.col("seed"), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
+    plan = copy_thresholds(kept).withColumn("_key", key).withColumns({
         **hashing.mixture_words(F.col("_key")),
-        "mixture_no": F.dense_rank().over(Window.orderBy(*MIXTURE_KEYS)).cast("bigint"),
-        "cell_no": F.dense_rank().over(Window.orderBy("cell_type")).cast("bigint"),
-        "limit": F.col("threshold") * prime,
-        "first_limit": F.col("threshold") / F.col("hit") * prime,
+        "mixture_no": F.xxhash64(*MIXTURE_KEYS),
+        "limit": F.col("threshold") * F.lit(float(hashing.PRIME)),
     })
-    return materialize(plan.drop("_key", "fraction", "threshold", "hit"), "mixture-plan")
+    plan = materialize(plan.drop("_key", "fraction", "threshold"), "mixture-plan")
+    names = plan.select(*MIXTURE_KEYS, "mixture_no").distinct()
+    every, numbers = names.agg(F.count(F.lit(1)), F.count_distinct("mixture_no")).first()
+    if every != numbers:
+        raise ValueError("two mixtures have the same number")
+    return plan
 
 
 def _draws(pools: DataFrame, plan: DataFrame) -> DataFrame:
     """Drawn pool rows with `mixture_no` and `copy_no`."""
-    cell_types = plan.groupBy("cell_type", "cell_no").agg(F.max("any_to").alias("any_hit"))
-    draws = plan.select("cell_no", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c",
-                        "any_from", "any_to", "limit", "first_limit")
+    draws = plan.select("cell_type", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c", "limit")
     if fits_broadcast(draws):
-        rows = pools.join(F.broadcast(cell_types), "cell_type").where(F.col("row_u") < F.col("any_hit"))
-        pairs = rows.join(F.broadcast(draws), "cell_no")
+        pairs = pools.join(F.broadcast(draws), "cell_type")
     else:
-        rows = pools.join(cell_types, "cell_type").where(F.col("row_u") < F.col("any_hit"))
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-        pairs = rows.withColumn("_salt", F.col("row_x") % SALTS) \
-            .join(draws.withColumn("_salt", copies), ["cell_no", "_salt"]).drop("_salt")
-    u = F.col("row_u")
-    limit = F.when(u >= F.col("any_from"), F.col("first_limit")).otherwise(F.col("limit"))
-    drawn = F.when(u >= F.col("any_to"), False).otherwise(hashing.draw() < limit)
-    return pairs.where(drawn).drop("row_x", "row_y", "row_u", "mix_a", "mix_b", "mix_c", "any_from", "any_to",
-                                   "any_hit", "limit", "first_limit", "cell_no")
+        # A pool is split into as many pieces as its size asks for, and its mixtures go to each.
+        pieces = materialize(pools.groupBy("cell_type").agg(
+            F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("bigint").alias("_pieces")), "pool-pieces")
+        pieces = F.broadcast(pieces)  # one row per cell type of the design
+        own = pools.join(pieces, "cell_type").withColumn("_salt", F.col("row_x") % F.col("_pieces")).drop("_pieces")
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
+        pairs = own.join(draws.join(pieces, "cell_type").withColumn("_salt", copies).drop("_pieces"),
+                         ["cell_type", "_salt"]).drop("_salt")
+    return pairs.where(hashing.draw() < F.col("limit")).drop("row_x", "row_y", "mix_a", "mix_b", "mix_c", "limit")
 
 
 def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] | None = None) -> DataFrame:
-    """Drawn rows of every mixture, with the mixture keys and `copy_no`.
+    """Drawn rows of every mixture, with the mixture keys, its `seed` and `copy_no`.
 
     `fractions` comes from `sampling_fractions` and carries `MIXTURE_KEYS`. The mixture table
     has mixtures x cell types x copies rows and is broadcast if proven small. Otherwise both
-    sides are shuffled by (cell type, salt): a pool is split into `SALTS` pieces by its row
-    key and the mixture table is copied to each, as there are few cell types and one may hold
-    most rows. Mixtures of different pools and replicates are drawn independently.
+    sides are shuffled by (cell type, salt): a pool is split by its row key into pieces of about
+    `ROWS_PER_SALT` rows and its mixtures are copied to each, as there are few cell types and
+    one may hold most rows. Mixtures of different pools and replicates are drawn independently.
     """
     keyed = pools if "row_x" in pools.columns else keyed_pools(pools, row_key or ["molecule_id", "region_id"])
     plan = mixture_plan(fractions, seed)
-    names = plan.select("mixture_no", *MIXTURE_KEYS).distinct()
+    names = plan.select("mixture_no", *MIXTURE_KEYS, "seed").distinct()
     return _draws(keyed, plan).join(broadcast_if_small(names), "mixture_no").drop("mixture_no")
 
 
@@ -142,19 +149,16 @@ def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str
     """Region scores of every mixture of scored, keyed pools. No mixture is written or
     shuffled: each drawn row goes into the sums of its (mixture, region) in the same stage,
     under integer keys; the names are joined to the sums."""
-    plan, regions = mixture_plan(fractions, seed), materialize(number_regions(pools), "regions")
-    names = plan.select("mixture_no", *MIXTURE_KEYS).distinct()
-    small = fits_broadcast(regions)
-    rows = pools.join(F.broadcast(regions), "region_id").drop("region_id") if small else pools
-    region = "region_no" if small else "region_id"
-    sums = scoring.sum_scores(_draws(rows, plan), ["mixture_no"], weighting, region=region)
-    named = sums.join(names, "mixture_no").drop("mixture_no")
-    return named.join(regions, "region_no").drop("region_no") if small else named
+    plan, regions = mixture_plan(fractions, seed), region_numbers(pools)
+    names = plan.select("mixture_no", *MIXTURE_KEYS, "seed").distinct()
+    rows = pools.withColumn("region_no", F.xxhash64("region_id")).drop("region_id")
+    sums = scoring.sum_scores(_draws(rows, plan), ["mixture_no"], weighting, region="region_no")
+    return sums.join(names, "mixture_no").drop("mixture_no").join(regions, "region_no").drop("region_no")
 
 
 def realised_counts(mixture: DataFrame) -> DataFrame:
-    """Rows actually drawn per mixture and cell type."""
-    return mixture.groupBy(*MIXTURE_KEYS, "cell_type").agg(F.count(F.lit(1)).alias("drawn"))
+    """Rows actually drawn per mixture and cell type, with the mixture's seed."""
+    return mixture.groupBy(*MIXTURE_KEYS, "seed", "cell_type").agg(F.count(F.lit(1)).alias("drawn"))
 
 
 def mix_native(pools: DataFrame, fractions: dict[str, float], seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methmix.labels import REPLICATES, SEED, TITRATION_LEVELS
 from methmix.operators import atlas, design, intervals, mixing, relational, scoring
-from methmix.session import broadcast_if_small, materialize, spread
+from methmix.session import broadcast_if_small, materialize
 
 REGION_BUCKETS = 64
 
@@ -34,14 +34,15 @@ def scored_pools(pools: DataFrame, row_key: list[str] | None = None, weighting:
     """Pools ready to be sampled: scores per read, the words of the row key, no strings.
 
     Written once, a folder per cell type: the atlas, the pool sizes and the draws all read it,
-    and the raw reads are scanned a single time. Rows are rebalanced by (cell type, region
-    bucket) for the write. That keeps the number of files small, splits a crowded bucket, and
-    gives every later task few regions, so its sums per (mixture, region) fit in memory.
+    and the raw reads are scanned a single time. Rows are dealt by (cell type, region bucket)
+    to the session's number of shuffle partitions, so later scans keep all cores busy and every
+    later task has few regions, and its sums per (mixture, region) fit in memory.
     """
     keyed = mixing.keyed_pools(pools, row_key or ["molecule_id", "region_id"])
     narrow = scoring.score_reads(keyed).drop("molecule_id", "chr")
     bucket = F.pmod(F.xxhash64("region_id"), F.lit(REGION_BUCKETS))
-    gathered = narrow.withColumn("_bucket", bucket).hint("rebalance", "cell_type", "_bucket").drop("_bucket")
+    pieces = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = narrow.withColumn("_bucket", bucket).repartition(pieces, "cell_type", "_bucket").drop("_bucket")
     gathered = gathered.sortWithinPartitions("cell_type", "region_id")
     return materialize(gathered, "pools", "cell_type")
 
@@ -68,4 +69,4 @@ def mixture_scores(pools: DataFrame, counts: DataFrame, replicated: DataFrame, s
                    seed: int = SEED, weighting: str = "molecules") -> DataFrame:
     """Region scores of every mixture of a design."""
     fractions = mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share))
-    return mixing.mix_scores(spread(pools), fractions, seed, weighting)
+    return mixing.mix_scores(pools, fractions, seed, weighting)

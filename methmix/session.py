@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,9 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the benchmark; a cluster job brings its own."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """Session for tests and the benchmark; a cluster job brings its own. `folder` is its
+    shared folder, a new temporary one by default."""
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("methmix")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="methmix-"))
         .getOrCreate()
     )
 
@@ -32,12 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the one named in `spark.checkpoint.dir`.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a session whose executor is the driver itself may do without: it gets a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="methmix-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -81,10 +84,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan with so few splits that some cores would idle or wait for one.
-
-    A table of many row groups passes through untouched.
-    """
-    enough = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(enough) if df.rdd.getNumPartitions() < enough else df
+def deal_single_file(df: DataFrame) -> DataFrame:
+    """A table of one file, which may be one row group and so one task, dealt to all cores.
+    Tables of several files pass through untouched, whatever the cluster."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df

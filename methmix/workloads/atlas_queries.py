@@ -57,11 +57,11 @@ def atlas_unpivot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sample_matrix", compose(
     "select sample_id, " + ", ".join(
-        f"round(max(case when region_id = 'r{r}' then frac_alpha_leq_25pct end), 6) as r{r}" for r in range(5))
+        f"round(max(case when region_id = 'r{r}' then frac_alpha_leq_25pct end), 6) as r{r}" for r in range(40))
     + " from scores group by sample_id"))
 def sample_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Samples as rows, some regions as columns."""
-    names = [f"r{r}" for r in range(5)]
+    """Samples as rows, regions as columns."""
+    names = [f"r{r}" for r in range(bridge.LOCI // 5)]
     return rounded(relational.wide(inputs.scores(spark, d), "sample_id", "region_id", labels.SCORE_COLUMN, names), *names)
 
 

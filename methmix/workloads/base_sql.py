@@ -41,9 +41,17 @@ def _kmers() -> str:
 SUM_COLUMNS = [f"{kind}_k{k}" for k in labels.KMERS for kind in ("meth", "unmeth", "total")]
 FLAGS = ["frac_alpha_leq_25pct", "frac_alpha_geq_75pct"]
 ROW_WORDS = ("('0x' || substr(md5(molecule_id || '|' || region_id), 1, 7))::bigint as row_x, "
-             "('0x' || substr(md5(molecule_id || '|' || region_id), 8, 7))::bigint as row_y, "
-             "(('0x' || substr(md5(molecule_id || '|' || region_id), 15, 7))::bigint * 16777216 "
-             "+ ('0x' || substr(md5(molecule_id || '|' || region_id), 22, 6))::bigint)::double / 4503599627370496.0 as row_u")
+             "('0x' || substr(md5(molecule_id || '|' || region_id), 8, 7))::bigint as row_y")
+SEED_SQL = ("('0x' || substr(md5('888|' || titrated || '-' || proportion_id || '-' || replicate), 1, 8))::bigint % 1000001")
+
+
+def mixture_words(mixtures: str) -> str:
+    """The coefficients of every mixture and cell type, from its own seed and key."""
+    return f"""
+        select *, ('0x' || substr(h, 1, 7))::bigint + 1 as mix_a, ('0x' || substr(h, 8, 7))::bigint + 1 as mix_b,
+               ('0x' || substr(h, 15, 7))::bigint as mix_c
+        from (select *, md5({SEED_SQL} || '|' || titrated || '|' || proportion_id || '|' || replicate || '|' || pool) as h
+              from {mixtures}) q where fraction > 0"""
 
 
 def sums(weight: str) -> str:
@@ -60,18 +68,6 @@ def rounded_scores() -> str:
 LEVELS = ", ".join(f"({i}, {p!r}::double)" for i, p in enumerate(labels.TITRATION_LEVELS))
 POOL_TO_REF = dict(zip(bridge.GROUPS, bridge.CELL_TYPES))
 
-
-
-def ranges(words: str) -> str:
-    """Chance that a mixture is the first of its pool to draw a row, as a range."""
-    return f"""
-        select *, lag(any_to, 1, 0.0) over (partition by pool order by titrated, proportion_id, replicate) as any_from
-        from (select *, 1 - exp(sum(ln(greatest(1 - hit, 1e-300))) over (
-                      partition by pool order by titrated, proportion_id, replicate)) as any_to
-              from (select *, case when fraction > 1 then 1 - exp(-fraction) else fraction end as hit
-                    from {words} where fraction > 0) q) q"""
-
-
 TABLES: dict[str, str] = {
     "reads": """
         select 's' || sid as sample_id, molecule_id, 'chr' || (1 + locus // 50) as chr, number_molecules,
@@ -168,17 +164,11 @@ TABLES: dict[str, str] = {
                d.proportion * total.total_reads / c.pool_rows as fraction
         from design d join pool_counts c using (pool) cross join total
              cross join (select unnest(range(0, 20)) as replicate) rep""",
-    "mixture_words": """
-        select *, ('0x' || substr(h, 1, 7))::bigint + 1 as mix_a, ('0x' || substr(h, 8, 7))::bigint + 1 as mix_b,
-               ('0x' || substr(h, 15, 7))::bigint as mix_c
-        from (select *, md5('888|' || titrated || '|' || proportion_id || '|' || replicate || '|' || pool) as h
-              from mixtures) q""",
-    "ranges": ranges("mixture_words"),
+    "mixture_words": mixture_words("mixtures"),
     "drawn": """
         select m.titrated, m.proportion_id, m.replicate, p.*
-        from pools p join ranges m using (pool)
-        where p.row_u < m.any_to and (p.row_u >= m.any_from
-              or (m.mix_a * p.row_x + m.mix_b * p.row_y + m.mix_c) % 2147483647 < m.fraction * 2147483647)""",
+        from pools p join mixture_words m using (pool)
+        where (m.mix_a * p.row_x + m.mix_b * p.row_y + m.mix_c) % 2147483647 < m.fraction * 2147483647""",
     "mix_scores": f"""
         select titrated, proportion_id, replicate, region_id, {sums('number_molecules')} from drawn group by all""",
     "truth": f"""

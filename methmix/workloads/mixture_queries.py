@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from methmix import bridge, labels
 from methmix.operators import design, estimate, evaluate, mixing, relational, scoring
-from methmix.session import materialize, scratch_path, spread
+from methmix.session import materialize, scratch_path
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, _map, compose, lod_from, ranges, rate_steps,
+from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, _map, compose, lod_from, mixture_words, rate_steps,
                                         rounded_scores, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
@@ -121,7 +121,7 @@ def _drawn(spark: SparkSession, d: str, titrated: list[str], replicates: int, sh
     pool = inputs.scored_pools(spark, d)
     counts = materialize(pool_counts(pool), "pool-counts")
     replicated = design.replicate(inputs.whole_blood(counts, titrated), replicates, labels.SEED)
-    return mixing.mix(spread(pool), mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share)), labels.SEED)
+    return mixing.mix(pool, mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share)), labels.SEED)
 
 
 @query("mix_bernoulli_hash", compose(
@@ -135,25 +135,22 @@ def mix_bernoulli_hash(spark: SparkSession, d: str) -> DataFrame:
         F.sum("total_k1").alias("calls")), *ID)
 
 
+POISSON_SHARE = 1.5
 POISSON = {
-    "heavy": """select d.titrated, d.proportion_id, rep.replicate, d.pool,
- d.proportion * floor((select sum(pool_rows) from pool_counts) * 3) / c.pool_rows as fraction
- from design d join pool_counts c using (pool) cross join (select unnest(range(0, 2)) as replicate) rep
- where d.titrated = 'Blueprint-B'""",
-    "heavy_words": """select *, ('0x' || substr(h, 1, 7))::bigint + 1 as mix_a, ('0x' || substr(h, 8, 7))::bigint + 1 as mix_b,
- ('0x' || substr(h, 15, 7))::bigint as mix_c
- from (select *, md5('888|' || titrated || '|' || proportion_id || '|' || replicate || '|' || pool) as h from heavy) q""",
+    "heavy": f"""select d.titrated, d.proportion_id, rep.replicate, d.pool,
+ d.proportion * floor((select sum(pool_rows) from pool_counts) * {POISSON_SHARE}) / c.pool_rows as fraction
+ from design d join pool_counts c using (pool) cross join (select unnest(range(0, 20)) as replicate) rep""",
+    "heavy_words": mixture_words("heavy"),
     "masses": """select titrated, proportion_id, replicate, pool, fraction, i,
  exp(i * ln(fraction) - fraction - lgamma(i + 1)) as mass
  from (select *, unnest(range(0, ceil(fraction + 12 * sqrt(fraction) + 12)::bigint)) as i from heavy where fraction > 1) q""",
-    "tails": """select titrated, proportion_id, replicate, pool, i + 1 as draw_no,
- greatest(0, 1 - sum(mass) over (partition by titrated, proportion_id, replicate, pool order by i)) as threshold from masses
+    "tails": """select * from (select titrated, proportion_id, replicate, pool, i + 1 as draw_no,
+ greatest(0, 1 - sum(mass) over (partition by titrated, proportion_id, replicate, pool order by i)) as threshold from masses) q
+ where draw_no = 1 or threshold >= 1 / 2147483647
  union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1""",
-    "heavy_ranges": ranges("heavy_words"),
     "copies": """select w.titrated, w.proportion_id, w.replicate, w.pool, t.draw_no, p.number_molecules
- from pools p join heavy_ranges w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
- where p.row_u < w.any_to and (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647
-       < 2147483647 * case when p.row_u >= w.any_from then t.threshold / w.hit else t.threshold end""",
+ from pools p join heavy_words w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
+ where (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647 < 2147483647 * t.threshold""",
 }
 
 
@@ -161,35 +158,43 @@ POISSON = {
     "select titrated, proportion_id::bigint as proportion_id, replicate, pool as cell_type, count(*) as drawn, "
     "max(draw_no)::bigint as most_copies, sum(number_molecules)::bigint as molecules from copies group by all", POISSON))
 def mix_poisson_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Mixtures three times as large as all pools: most rows are drawn several times."""
-    drawn = _drawn(spark, d, ["Blueprint-B"], 2, 3.0)
+    """Mixtures larger than all pools: many rows are drawn several times."""
+    drawn = _drawn(spark, d, bridge.GROUPS, labels.REPLICATES, POISSON_SHARE)
     return as_bigint(drawn.groupBy(*KEYS, "cell_type").agg(
         F.count(F.lit(1)).alias("drawn"), F.max("copy_no").alias("most_copies"),
         F.sum("number_molecules").alias("molecules")), *ID, "most_copies")
 
 
 @query("realised_counts", compose(
-    "select titrated, proportion_id::bigint as proportion_id, replicate, pool as cell_type, count(*) as drawn from drawn "
-    "where titrated = 'Blueprint-NK' group by all"))
+    "select titrated, proportion_id::bigint as proportion_id, replicate, pool as cell_type, "
+    f"({SEED_SQL})::bigint as seed, count(*) as drawn from drawn group by all"))
 def realised_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows drawn into the mixtures of one experiment of the whole design."""
-    drawn = _drawn(spark, d, bridge.GROUPS, labels.REPLICATES, inputs.SHARE).where(F.col("titrated") == "Blueprint-NK")
-    return as_bigint(mixing.realised_counts(drawn), *ID)
+    """Rows drawn into every mixture, and the seed that draws them again."""
+    drawn = _drawn(spark, d, bridge.GROUPS, labels.REPLICATES, inputs.SHARE)
+    return as_bigint(mixing.realised_counts(drawn), *ID, "seed")
 
 
-@query("mix_sample_native")
+@query("mix_sample_native", compose(
+    "select pool as cell_type, 1::bigint as within_five_sigma from pool_counts"))
 def mix_sample_native(spark: SparkSession, d: str) -> DataFrame:
-    """One mixture by Spark's sampler, with one pool over-sampled."""
-    fractions = {"Blueprint-B": 0.1, "Blueprint-Mono": 0.2, "Blueprint-Neutro": 1.5, "Blueprint-T": 0.5, "Blueprint-NK": 0.05}
-    return mixing.mix_native(inputs.pools(spark, d), fractions, labels.SEED) \
-        .groupBy("cell_type").agg(F.count(F.lit(1)).alias("drawn"))
+    """One mixture by Spark's sampler over all pools, the largest fractions with replacement: whether each count is
+    as its fraction lets expect."""
+    pool = inputs.scored_pools(spark, d)
+    counts = pool_counts(pool)
+    fractions = {c: 0.05 * 2.4 ** i for i, c in enumerate(bridge.GROUPS)}
+    drawn = mixing.mix_native(pool, fractions, labels.SEED).groupBy("cell_type").agg(F.count(F.lit(1)).alias("drawn"))
+    f = relational.label_column("cell_type", {c: str(v) for c, v in fractions.items()}).cast("double")
+    spread_ = F.sqrt(F.col("pool_rows") * f * F.when(f > 1, F.lit(1.0)).otherwise(1 - f))
+    near = F.abs(F.coalesce("drawn", F.lit(0)) - F.col("pool_rows") * f) <= 5 * spread_
+    return counts.join(drawn, "cell_type", "left").select("cell_type", near.cast("bigint").alias("within_five_sigma"))
 
 
 @query("mixture_scores", compose(
-    f"select titrated, proportion_id::bigint as proportion_id, replicate, region_id, {rounded_scores()} from mix_scores"))
+    f"select titrated, proportion_id::bigint as proportion_id, replicate, ({SEED_SQL})::bigint as seed, region_id, "
+    f"{rounded_scores()} from mix_scores"))
 def mixture_scores(spark: SparkSession, d: str) -> DataFrame:
     run = inputs.experiment(spark, d)
-    return as_bigint(rounded(run.scores, *FLAGS), *ID)
+    return as_bigint(rounded(run.scores, *FLAGS), *ID, "seed")
 
 
 # ---- estimates --------------------------------------------------------------
@@ -217,9 +222,9 @@ def naive_per_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("gram_matrix", compose(
     "select titrated, proportion_id::bigint as proportion_id, replicate, row_celltype, col_celltype, round(value, 6) as value from (" +
     " union all ".join(f"select titrated, proportion_id, replicate, '{a}' as row_celltype, '{b}' as col_celltype, g{i}{j} as value from equations"
-                       for i, a in enumerate(TYPES) for j, b in enumerate(TYPES)) + ") q where titrated = 'Blueprint-B'"))
+                       for i, a in enumerate(TYPES) for j, b in enumerate(TYPES)) + ") q"))
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
-    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    run = inputs.experiment(spark, d)
     rows = estimate.aligned(run.scores, inputs.stored_atlas(spark, d, run.pools), TYPES, keys=KEYS)
     return as_bigint(rounded(estimate.gram_long(rows, KEYS, TYPES), "value"), *ID)
 
@@ -301,7 +306,7 @@ def nnls_planted(spark: SparkSession, d: str) -> DataFrame:
 @query("ols_planted", compose(PLANTED))
 def ols_planted(spark: SparkSession, d: str) -> DataFrame:
     mixed, matrix = _planted(spark, d)
-    return _planted_out(estimate.ols(mixed, matrix, KEYS, TYPES).withColumn("coeff", F.abs("coeff")))
+    return _planted_out(estimate.ols(mixed, matrix, KEYS, TYPES).withColumn("coeff", F.when(F.abs("coeff") < 1e-6, 0.0).otherwise(F.col("coeff"))))
 
 
 @query("nnhuber_planted", compose(PLANTED))
@@ -322,10 +327,10 @@ def nnls_kkt(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("nnhuber_equals_nnls", compose(
-    "select titrated, proportion_id::bigint as proportion_id, replicate, 1::bigint as same from equations where titrated = 'Blueprint-B'"))
+    "select titrated, proportion_id::bigint as proportion_id, replicate, 1::bigint as same from equations"))
 def nnhuber_equals_nnls(spark: SparkSession, d: str) -> DataFrame:
     """With delta above every residual the Huber fit is the least-squares fit."""
-    run = inputs.experiment(spark, d, ["Blueprint-B"], stored=True)
+    run = inputs.experiment(spark, d, stored=True)
     matrix = inputs.stored_atlas(spark, d, run.pools)
     both = estimate.nnls(run.scores, matrix, KEYS, TYPES).unionByName(
         estimate.nonneg_huber(run.scores, matrix, KEYS, TYPES, delta=2.0))
@@ -348,7 +353,7 @@ def _huber_sweeps(limit: str, scale: bool, lower: bool, rounds: int) -> dict[str
     state = ", ".join(f"any_value(x{i}) as x{i}" for i in range(5))
     query_sql = (f"select {keys}, it, {new_sigma} as sigma, {state}, {sums_sql} from (select *, {weight} as w from ("
                  f"select x.titrated, x.proportion_id, x.replicate, x.it, x.sigma, x.x0, x.x1, x.x2, x.x3, x.x4, "
-                 f"a.a0, a.a1, a.a2, a.a3, a.a4, a.b, a.b - ({fitted}) as r from hsweeps x join haligned a "
+                 f"a.a0, a.a1, a.a2, a.a3, a.a4, a.b, a.b - ({fitted}) as r from hsweeps x join aligned a "
                  f"using (titrated, proportion_id, replicate) where x.it < {rounds}) q0) q1 group by {keys}, it")
     for i in range(5):
         others = " - ".join([f"h{i}"] + [f"g{i}{j} * x{j}" for j in range(5) if j != i])
@@ -356,9 +361,8 @@ def _huber_sweeps(limit: str, scale: bool, lower: bool, rounds: int) -> dict[str
         value = f"greatest(0.0, {value})" if lower else value
         query_sql = f"select * exclude (x{i}), {value} as x{i} from ({query_sql}) p{i}"
     return {
-        "haligned": "select * from aligned where titrated = 'Blueprint-B'",
         "hsweeps": (f"select distinct {keys}, 0 as it, 0.05::double as sigma, 0.2::double as x0, 0.2::double as x1, 0.2::double as x2, "
-                    f"0.2::double as x3, 0.2::double as x4 from haligned union all "
+                    f"0.2::double as x3, 0.2::double as x4 from aligned union all "
                     f"select {keys}, it + 1, sigma, x0, x1, x2, x3, x4 from ({query_sql}) q"),
         "hfit": unpivoted("hsweeps", rounds, "huber"),
     }
@@ -367,14 +371,14 @@ def _huber_sweeps(limit: str, scale: bool, lower: bool, rounds: int) -> dict[str
 @query("nnhuber_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="nonneg_huber", table="hfit"),
                                    _huber_sweeps("0.02", False, True, 150)))
 def nnhuber_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    run = inputs.experiment(spark, d)
     return _out(estimate.nonneg_huber(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES, delta=0.02))
 
 
 @query("huber_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="huber", table="hfit"),
                                  _huber_sweeps("1.35 * sigma", True, False, 150)))
 def huber_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    run = inputs.experiment(spark, d, ["Blueprint-B"])
+    run = inputs.experiment(spark, d)
     return _out(estimate.huber(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES, epsilon=1.35))
 
 

@@ -84,11 +84,11 @@ def pool_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("experiment_folders", compose(
     "select titrated, proportion_id::bigint as proportion_id, replicate, count(*) as regions, "
-    "sum(number_molecules)::bigint as molecules from mix_scores where titrated = 'Blueprint-B' group by all"))
+    "sum(number_molecules)::bigint as molecules from mix_scores group by all"))
 def experiment_folders(spark: SparkSession, d: str) -> DataFrame:
     """Mixture scores stored by mixture key and read back with the keys as columns."""
     path = scratch_path(spark, "experiment")
-    table = inputs.experiment(spark, d, ["Blueprint-B"]).scores
+    table = inputs.experiment(spark, d).scores
     tables.write_experiment(table.repartition("titrated", "proportion_id"), path, "titrated", "proportion_id")
     loaded = tables.read_experiment(spark, path, table.schema)
     return as_bigint(loaded.groupBy(*inputs.KEYS).agg(
@@ -185,14 +185,16 @@ def number_replicates(spark: SparkSession, d: str) -> DataFrame:
     return as_bigint(numbered.select("sample_id", "source", "sample_group", "replicate"), "replicate")
 
 
-@query("fill_nulls", compose(
-    "select region_id, round(coalesce(max(case when sample_id = 's0' and number_molecules >= 80 then frac_alpha_leq_25pct end), 0), 6) as s0, "
-    "round(coalesce(max(case when sample_id = 's1' and number_molecules >= 80 then frac_alpha_leq_25pct end), 0), 6) as s1 "
-    "from scores group by region_id"))
+SAMPLES = [f"s{i}" for i in range(10)]
+
+
+@query("fill_nulls", compose("select region_id, " + ", ".join(
+    f"round(coalesce(max(case when sample_id = '{s}' and number_molecules >= 80 then frac_alpha_leq_25pct end), 0), 6) as {s}"
+    for s in SAMPLES) + " from scores group by region_id"))
 def fill_nulls(spark: SparkSession, d: str) -> DataFrame:
     kept = inputs.scores(spark, d).withColumn(
         "score", F.when(F.col("number_molecules") >= 80, F.col(labels.SCORE_COLUMN)))
-    return rounded(relational.wide(kept, "region_id", "sample_id", "score", ["s0", "s1"]).fillna(0.0), "s0", "s1")
+    return rounded(relational.wide(kept, "region_id", "sample_id", "score", SAMPLES).fillna(0.0), *SAMPLES)
 
 
 # ---- regions ----------------------------------------------------------------
@@ -244,7 +246,7 @@ OVERLAP = "select molecule_id, sample_id, region_id, region_cpg_index_min, regio
 
 @query("overlap_join", compose(OVERLAP))
 def overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    pairs = intervals.overlap_theta(bridge.reads(spark, d), bridge.regions(spark, d))
+    pairs = intervals.overlap_join(bridge.reads(spark, d), bridge.regions(spark, d))
     return pairs.select("molecule_id", "sample_id", "region_id", "region_cpg_index_min", "region_cpg_index_max")
 
 

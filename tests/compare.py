@@ -48,7 +48,7 @@ def differences(spark_df, connection, sql: str) -> list[str]:
     if sorted(names) != sorted(spark_df.columns):
         return [f"columns {sorted(spark_df.columns)} expected {sorted(names)}"]
     messages = []
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN"}
     spark_kinds = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     for name, kind in zip(names, [str(c[1]) for c in relation.description]):
         if kinds.get(spark_kinds[name]) != kind:

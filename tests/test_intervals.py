@@ -40,11 +40,6 @@ def test_shuffled_join_gives_the_same_pairs(tables):
     assert "_salt" in joined._jdf.queryExecution().toString()
 
 
-def test_theta_join(tables):
-    reads, regions, brute, _, _ = tables
-    assert pairs(intervals.overlap_theta(reads, regions)) == brute
-
-
 def test_chromosomes_can_be_matched(tables):
     reads, regions, _, raw_reads, raw_regions = tables
     expected = sorted((m, r) for m, c, a, b in raw_reads for r, d, lo, hi in raw_regions

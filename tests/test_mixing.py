@@ -67,6 +67,7 @@ def test_salted_join_draws_the_same_rows(spark, pools, monkeypatch):
     key = ["molecule_id", "replicate", "copy_no"]
     small = sorted(mixing.mix(pools, plan, 5).select(*key).collect())
     monkeypatch.setattr(mixing, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(mixing, "ROWS_PER_SALT", 500)
     large = sorted(mixing.mix(pools, plan, 5).select(*key).collect())
     assert small == large
 
@@ -85,6 +86,30 @@ def test_thresholds_add_up_to_the_fraction(spark):
     assert sums["big"] == pytest.approx(4.2, abs=1e-9) and sums["small"] == 0.7
 
 
+def test_mixture_does_not_depend_on_the_rest_of_the_design(spark, pools):
+    """The same rows alone and beside other mixtures and cell types; other rows under another seed."""
+    key = ["molecule_id", "seed"]
+    alone = sorted(mixing.mix(pools, fractions(spark, [{"big": 0.1}], 1), 5).select(*key).collect())
+    beside = mixing.mix(pools, fractions(spark, [{"big": 0.1, "small": 0.5}, {"big": 0.4}], 3), 5)
+    assert alone == sorted(beside.where("cell_type = 'big' and proportion_id = 0 and replicate = 0").select(*key).collect())
+    own = fractions(spark, [{"big": 0.1}], 1)
+    one = sorted(mixing.mix(pools, own.withColumn("seed", F.lit(1)), 5).select("molecule_id").collect())
+    two = sorted(mixing.mix(pools, own.withColumn("seed", F.lit(2)), 5).select("molecule_id").collect())
+    assert one != two and alone
+
+
+def test_total_reads_by_key_or_in_one_row(spark):
+    plan = spark.createDataFrame([("a", "big", 0.5), ("b", "big", 0.5)], "titrated string, cell_type string, proportion double")
+    sizes = spark.createDataFrame([("big", 100)], "cell_type string, pool_rows bigint")
+    one = spark.createDataFrame([(40,)], "total_reads bigint")
+    assert {r["fraction"] for r in mixing.sampling_fractions(plan, sizes, one).collect()} == {0.2}
+    by_key = spark.createDataFrame([("a", 40), ("b", 80)], "titrated string, total_reads bigint")
+    assert {(r["titrated"], r["fraction"]) for r in mixing.sampling_fractions(plan, sizes, by_key).collect()} == {("a", 0.2), ("b", 0.4)}
+    for wrong in (one.union(one), one.limit(0), by_key.union(by_key), by_key.withColumnRenamed("titrated", "other")):
+        with pytest.raises(ValueError):
+            mixing.sampling_fractions(plan, sizes, wrong)
+
+
 def test_native_sampler(spark, pools):
     drawn = mixing.mix_native(pools, {"big": 0.5, "small": 1.5}, 2).groupBy("cell_type").count().collect()
     n = {r["cell_type"]: r["count"] for r in drawn}
