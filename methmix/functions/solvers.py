@@ -15,17 +15,31 @@ def solve_free(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(gram, rhs, rcond=None)[0]
 
 
+def solve_free_stack(grams: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """`solve_free` for a stack of systems at once."""
+    return (np.linalg.pinv(grams, rcond=grams.shape[-1] * np.finfo(float).eps, hermitian=True) @ rhs[..., None])[..., 0]
+
+
 def solve_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """min x'Gx/2 - h'x over x >= 0 by the active-set method of Lawson and Hanson."""
+    """min x'Gx/2 - h'x over x >= 0."""
+    return fit_nonnegative(gram, rhs)[0]
+
+
+def fit_nonnegative(gram: np.ndarray, rhs: np.ndarray, steps: int | None = None) -> tuple[np.ndarray, int, bool]:
+    """Solution, steps taken and whether it is final, by the active-set method of Lawson and
+    Hanson. Each step lets one more unknown off zero; `steps` defaults to ten for each."""
     k = len(rhs)
     x = np.zeros(k)
     free = np.zeros(k, dtype=bool)
     tolerance = 1e-12 * max(1.0, float(np.abs(rhs).max(initial=0.0)))
-    for _ in range(10 * k + 10):
+    limit = 10 * k + 10 if steps is None else steps
+    for step_no in range(limit + 1):
         slope = rhs - gram @ x
         slope[free] = -np.inf
         entering = int(np.argmax(slope))
         if free.all() or slope[entering] <= tolerance:
+            return x, step_no, True
+        if step_no == limit:
             break
         free[entering] = True
         while True:
@@ -37,8 +51,8 @@ def solve_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
                 break
             if leaving[entering] and x[entering] == 0 and leaving.sum() == 1:
                 # A column that depends on the free ones brings no progress.
-                free[entering] = False
-                return _polish(gram, rhs, x, free)
+                x, final = _polish(gram, rhs, x)
+                return x, step_no + 1, final
             gap = x[leaving] - trial[leaving]
             step = float(np.min(np.where(gap > 0, x[leaving] / np.where(gap > 0, gap, 1.0), 0.0)))
             x = x + step * (trial - x)
@@ -46,20 +60,24 @@ def solve_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
             x[~free] = 0.0
             if not free.any():
                 break
-    return x
+    return x, limit, False
+
+
+POLISH_SWEEPS = 20_000
 
 
-def _polish(gram: np.ndarray, rhs: np.ndarray, x: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Coordinate descent to the constrained minimum, for (nearly) dependent columns."""
+def _polish(gram: np.ndarray, rhs: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Coordinate descent to the constrained minimum, for (nearly) dependent columns; whether
+    it came to rest."""
     x = x.copy()
     scale = np.diag(gram)
-    for _ in range(20_000):
+    for _ in range(POLISH_SWEEPS):
         before = x.copy()
         for i in np.flatnonzero(scale > 0):
             x[i] = max(0.0, x[i] + (rhs[i] - gram[i] @ x) / scale[i])
         if np.abs(x - before).max() < 1e-13:
-            break
-    return x
+            return x, True
+    return x, False
 
 
 def huber_weights(residual: np.ndarray, limit: float) -> np.ndarray:
@@ -81,9 +99,19 @@ def scale_update(inside_squares: float, left: float, sigma: float) -> float:
     return max(float(np.sqrt(inside_squares / left)), 1e-12)
 
 
-def huber_fit(a: np.ndarray, b: np.ndarray, epsilon: float, nonnegative: bool,
-              joint_scale: bool, steps: int = 1000, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
-    """Huber regression without intercept: coefficients and scale.
+# One stop rule for all Huber fits: no coefficient moves further in a step, or so many steps.
+HUBER_TOLERANCE = 1e-10
+HUBER_STEPS = 1000
+
+
+def huber_fit(a: np.ndarray, b: np.ndarray, epsilon: float, nonnegative: bool, joint_scale: bool) -> tuple[np.ndarray, float]:
+    """Coefficients and scale of `fit_huber`."""
+    return fit_huber(a, b, epsilon, nonnegative, joint_scale)[:2]
+
+
+def fit_huber(a: np.ndarray, b: np.ndarray, epsilon: float, nonnegative: bool, joint_scale: bool,
+              steps: int | None = None) -> tuple[np.ndarray, float, int, bool]:
+    """Huber regression without intercept: coefficients, scale, steps and whether it came to rest.
 
     joint_scale=False: the loss turns linear beyond `epsilon` itself (scale stays 1).
     joint_scale=True: beyond epsilon * sigma, sigma being estimated along.
@@ -91,17 +119,18 @@ def huber_fit(a: np.ndarray, b: np.ndarray, epsilon: float, nonnegative: bool,
     solve = solve_nonnegative if nonnegative else solve_free
     x = solve(a.T @ a, a.T @ b)
     sigma = max(float(np.std(b - a @ x)), 1e-12) if joint_scale else 1.0
-    for _ in range(steps):
+    steps = HUBER_STEPS if steps is None else steps
+    for step in range(1, steps + 1):
         residual = b - a @ x
         if joint_scale:
             sigma = next_scale(residual, sigma, epsilon)
         weighted = a * huber_weights(residual, epsilon * sigma)[:, None]
         new = solve(weighted.T @ a, weighted.T @ b)
-        moved = float(np.abs(new - x).max())
+        moved = float(np.abs(new - x).max(initial=0.0))
         x = new
-        if moved < tolerance:
-            break
-    return x, sigma
+        if moved < HUBER_TOLERANCE:
+            return x, sigma, step, True
+    return x, sigma, steps, False
 
 
 def singular_values(gram: np.ndarray) -> np.ndarray:

@@ -199,10 +199,10 @@ def mixture_scores(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- estimates --------------------------------------------------------------
 def _out(estimates: DataFrame) -> DataFrame:
-    return as_bigint(rounded(estimates, "coeff"), *ID)
+    return as_bigint(rounded(estimates, "coeff"), *ID).drop("iterations")
 
 
-EST_SQL = "select {keys}, round(coeff, 6) as coeff, '{name}' as method from {table}"
+EST_SQL = "select {keys}, round(coeff, 6) as coeff, true as converged, '{name}' as method from {table}"
 
 
 @query("naive_estimate", compose(EST_SQL.format(keys=EST_KEYS, name="naive", table="naive")))
@@ -216,7 +216,7 @@ def naive_estimate(spark: SparkSession, d: str) -> DataFrame:
     "from scores join region_map using (region_id) where number_molecules >= 20 group by all"))
 def naive_per_sample(spark: SparkSession, d: str) -> DataFrame:
     fit = estimate.naive(inputs.scores(spark, d), inputs.region_map(spark, d), ["sample_id"])
-    return rounded(fit, "coeff")
+    return rounded(fit.drop("iterations", "converged"), "coeff")
 
 
 @query("gram_matrix", compose(
@@ -251,13 +251,13 @@ SAMPLE_ROWS = {
 
 
 @query("nnls_per_sample", compose(
-    "select titrated as sample_id, ref_celltype, round(coeff, 6) as coeff, 'nnls' as method from nnls",
+    "select titrated as sample_id, ref_celltype, round(coeff, 6) as coeff, true as converged, 'nnls' as method from nnls",
     {k: v.replace("{cut}", "80") for k, v in SAMPLE_ROWS.items()}))
 def nnls_per_sample(spark: SparkSession, d: str) -> DataFrame:
     """Per sample, covered regions only, and 0 for regions the sample lacks."""
     fit = estimate.nnls(inputs.scores(spark, d), inputs.atlas_matrix(spark, d), ["sample_id"], TYPES,
                         min_molecules=80, missing="zero")
-    return rounded(fit, "coeff")
+    return rounded(fit.drop("iterations"), "coeff")
 
 
 @query("outer_estimates", compose(

@@ -132,6 +132,42 @@ def test_missing_regions(system, spark):
     assert np.allclose(wide[0], expected, atol=1e-8)
 
 
+def test_zero_filled_huber_with_and_without_the_grid(system):
+    atlas, _, noisy, _, _ = system
+    partial = noisy.where(~((F.col("mixture") == 0) & F.col("region_id").isin("r1", "r2")))
+    fit = lambda n: fitted(estimate.huber(partial, atlas, ["mixture"], TYPES, 1.35, missing="zero", group_regions=n))
+    inside, rounds = fit(1000), fit(0)
+    for m in inside:
+        assert np.allclose(inside[m], rounds[m], atol=1e-6)
+
+
+def test_broken_atlas_and_scores_are_not_fitted_silently(system, spark):
+    atlas, exact, _, truth, _ = system
+    one = atlas.limit(1)
+    for broken in (atlas.union(one), atlas.union(one.withColumn("region_id", F.lit("new")).withColumn("t0", F.lit(None).cast("double"))),
+                   atlas.union(one.withColumn("region_id", F.lit("new")).withColumn("t1", F.lit(float("nan"))))):
+        for fit in (estimate.nnls, estimate.ols, lambda *a: estimate.huber(*a, 1.35)):
+            with pytest.raises(ValueError):
+                fit(exact, broken, ["mixture"], TYPES)
+    score = "frac_alpha_leq_25pct"
+    holes = exact.withColumn(score, F.when(F.col("region_id") == "r1", float("nan")).when(F.col("region_id") == "r2", None).otherwise(F.col(score)))
+    for fit in (estimate.nnls, lambda *a: estimate.huber(*a, 1.35)):
+        for m, x in fitted(fit(holes, atlas, ["mixture"], TYPES)).items():
+            assert np.allclose(x, truth[m], atol=1e-6)
+
+
+def test_a_stopped_fit_shows_it(system, monkeypatch):
+    atlas, exact, noisy, _, a = system
+    done = estimate.nonneg_huber(noisy, atlas, ["mixture"], TYPES, 0.2).select("converged", "iterations").distinct().collect()
+    assert all(r["converged"] and 1 < r["iterations"] < 1000 for r in done)
+    assert solvers.fit_huber(a, a @ np.array([0.1, 0.2, 0.7]) + np.sin(np.arange(30)), 0.1, True, False, steps=1)[2:] == (1, False)
+    rhs = a.T @ a @ np.array([0.3, 0.4, 0.3])
+    assert solvers.fit_nonnegative(a.T @ a, rhs)[2] and not solvers.fit_nonnegative(a.T @ a, rhs, steps=1)[2]
+    monkeypatch.setattr(solvers, "HUBER_STEPS", 1)
+    stopped = estimate.nonneg_huber(noisy, atlas, ["mixture"], TYPES, 0.2, group_regions=0).select("converged", "iterations").distinct().collect()
+    assert [(r["converged"], r["iterations"]) for r in stopped] == [(False, 1)]
+
+
 def test_optimality_flags(system):
     atlas, _, noisy, _, _ = system
     equations = estimate.normal_equations(estimate.aligned(noisy, atlas, TYPES, keys=["mixture"]), ["mixture"], TYPES)
