@@ -51,7 +51,8 @@ def two_level_background(abundance: DataFrame, titrated: list[str], levels: list
 
     `abundance` has `cell_type`, `abundance` and a boolean `in_group`. The group always takes
     `group_total` of the mixture: its titrated member `level` of that, its other members the
-    rest by their abundance. Cell types outside the group keep their abundance.
+    rest by their abundance. Cell types outside the group keep their abundance, so these and
+    `group_total` must add up to one; see `complete`.
     """
     grid = _at_levels(abundance.select("cell_type", "abundance", "in_group"), titrated, levels)
     inside = F.when(F.col("in_group"), F.col("abundance")).otherwise(0)
@@ -63,6 +64,15 @@ def two_level_background(abundance: DataFrame, titrated: list[str], levels: list
         .otherwise(share)).drop("abundance", "in_group")
 
 
+def complete(design: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """`design`, once the proportions of each of its mixtures are known to add up to one."""
+    sums = design.groupBy("titrated", "proportion_id").agg(F.sum("proportion").alias("total"))
+    wrong = sums.where(F.col("total").isNull() | (F.abs(F.col("total") - 1) > tolerance)).take(1)
+    if wrong:
+        raise ValueError(f"proportions add up to {wrong[0]['total']} for {wrong[0]['titrated']}, {wrong[0]['proportion_id']}")
+    return design
+
+
 def combined_truth(design: DataFrame, groups: dict[str, str]) -> DataFrame:
     """True proportion per reference cell type, cell types of one group added up."""
     from methmix.operators.relational import label_column

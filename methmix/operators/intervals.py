@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methmix.schema import REGION_BOUNDS
-from methmix.session import fits_broadcast
+from methmix.session import broadcast_if_small, fits_broadcast, materialize
 
 BIN_WIDTH = 25   # about one region span
-SALTS = 32       # copies of the region bins when both sides are shuffled
+ROWS_PER_SALT = 200_000  # reads of one bin in one piece, when both sides are shuffled
 
 
 def closed_regions(regions: DataFrame, end: str = "exclusive") -> DataFrame:
@@ -29,11 +29,15 @@ def lift_over(df: DataFrame, cpg_map: DataFrame, columns: list[str], source: str
     """Adds `<column><suffix>`: the index in the other assembly, null where unmapped.
 
     Swap `source` and `target` for the way back. If a source index occurs more than once the
-    entry with the largest `order_by` (default: the largest target) wins.
+    entry with the largest `order_by` wins, and gives null if it has no target; without
+    `order_by` the largest target wins. The map is cut to the indexes that `df` holds first.
     """
-    pairs = (cpg_map.where(F.col(source).isNotNull() & F.col(target).isNotNull())
-             .groupBy(F.col(source).cast("bigint").alias("_from"))
-             .agg(F.max_by(F.col(target).cast("bigint"), F.col(order_by or target)).alias("_to")))
+    needed = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("_from")).where("_from IS NOT NULL").distinct()
+    entries = cpg_map.where(F.col(source).isNotNull()).select(
+        F.col(source).cast("bigint").alias("_from"), F.col(target).cast("bigint").alias("_to"),
+        F.col(order_by or target).alias("_order"))
+    pairs = materialize(entries.join(broadcast_if_small(materialize(needed, "lift-needed")), "_from", "left_semi")
+                        .groupBy("_from").agg(F.max_by("_to", "_order").alias("_to")), "lift-map")
     for name in columns:
         hit = pairs.select(F.col("_from").alias(f"_from_{name}"), F.col("_to").alias(name + suffix))
         df = df.join(hit, F.col(name) == F.col(f"_from_{name}"), "left").drop(f"_from_{name}")
@@ -90,8 +94,8 @@ def overlap_join(reads: DataFrame, regions: DataFrame, width: int = BIN_WIDTH,
     Both sides are cut into bins of `width` CpGs and joined on the bin; a pair that shares
     several bins is kept in the first one only, so no pair comes out twice and nothing has to
     be deduplicated. While the region bins are proven small they are broadcast and the reads
-    are never shuffled. Beyond that both sides are shuffled by (bin, salt): the salt spreads a
-    crowded bin over many tasks, the regions being copied to every salt.
+    are never shuffled. Beyond that both sides are shuffled by (bin, salt): a crowded bin has as
+    many salts as its counted reads ask for, its regions being copied to each.
     """
     bins = (_bounded(regions, match_chr)
             .withColumn("_region_bin", _bin(F.col("region_cpg_index_min"), width))
@@ -103,10 +107,15 @@ def overlap_join(reads: DataFrame, regions: DataFrame, width: int = BIN_WIDTH,
     if fits_broadcast(bins, max_rows=max_broadcast_rows):
         pairs = binned.join(F.broadcast(bins), "_bin")
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in reads.columns]), F.lit(SALTS))
-        copies = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)]))
-        pairs = (binned.withColumn("_salt", salt)
-                 .join(bins.withColumn("_salt", copies), ["_bin", "_salt"]).drop("_salt"))
+        crowded = broadcast_if_small(materialize(
+            binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_reads")).where(F.col("_reads") > ROWS_PER_SALT)
+            .select("_bin", F.ceil(F.col("_reads") / ROWS_PER_SALT).cast("bigint").alias("_pieces")), "crowded-bins"))
+        pieces = F.coalesce("_pieces", F.lit(1).cast("bigint"))
+        salted = binned.join(crowded, "_bin", "left").withColumn(
+            "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in reads.columns]), pieces)).drop("_pieces")
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))
+        copied = bins.join(crowded, "_bin", "left").withColumn("_salt", copies).drop("_pieces")
+        pairs = salted.join(copied, ["_bin", "_salt"]).drop("_salt")
     first_common = F.col("_bin") == F.greatest("_read_bin", "_region_bin")
     return (pairs.where(first_common & _overlaps(match_chr))
             .drop("_bin", "_read_bin", "_region_bin", "region_chr"))

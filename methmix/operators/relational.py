@@ -124,10 +124,6 @@ def describe_samples(samples: DataFrame, donors: DataFrame, include_unlisted: bo
 
 
 # ---- counting and reshaping -------------------------------------------------
-def row_total(df: DataFrame, output: str = "rows") -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(output))
-
-
 def group_sizes(df: DataFrame, *keys: str, missing: str = "none") -> DataFrame:
     """Rows per key, null keys counted under `missing`."""
     return (df.select(*keys).fillna(missing).groupBy(*keys)
@@ -186,10 +182,10 @@ def long(df: DataFrame, rows: str, names: list[str], column: str, value: str) ->
 
 
 def value_counts(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """Rows per value for the values of a declared order, with their place in it."""
+    """Rows per value, with the value's place in a declared order; null for values, and for
+    null itself, that are not in it."""
     return (df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("place", declared_order(column, order))
-            .where(F.col("place").isNotNull()))
+            .withColumn("place", declared_order(column, order)))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20, group: str | None = None) -> DataFrame:
@@ -199,11 +195,10 @@ def histogram(df: DataFrame, value: str, bins: int = 20, group: str | None = Non
     by = df.groupBy(*keys)
     limits = by.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
                     F.percentile(value, 0.5).alias("median"))
-    # One row per group (or one in all); joined back on the group, or on a constant.
-    left, right, on = (df, limits, group) if group else \
-        (df.withColumn("_all", F.lit(1)), limits.withColumn("_all", F.lit(1)), "_all")
+    # One row per group, or one in all.
+    ranged = df.join(limits, group) if group else df.crossJoin(F.broadcast(limits))
     position = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    placed = left.join(right, on).select(
+    placed = ranged.select(
         *keys, F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin"))
     counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"))
     grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))

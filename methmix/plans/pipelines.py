@@ -1,12 +1,12 @@
-"""The three jobs of the library, as plans over its operators."""
+"""The jobs of the library, read pools, reference scores and titration, as plans over its operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methmix.labels import REPLICATES, SEED, TITRATION_LEVELS
-from methmix.operators import atlas, design, intervals, mixing, relational, scoring
+from methmix.labels import SEED
+from methmix.operators import intervals, mixing, relational, scoring
 from methmix.session import broadcast_if_small, materialize
 
 REGION_BUCKETS = 64
@@ -47,24 +47,6 @@ def scored_pools(pools: DataFrame, row_key: list[str] | None = None, weighting:
     return materialize(gathered, "pools", "cell_type")
 
 
-def build_reference(scores: DataFrame, samples: DataFrame, panel: DataFrame, sample_table: dict[str, str],
-                    region_table: dict[str, str], cell_types: list[str], source: str | None = None,
-                    cell_type_groups: dict[str, str] | None = None,
-                    min_molecules: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Atlas matrix and its two bridge tables (regions, samples)."""
-    region_map = atlas.region_labels(atlas.panel_regions(panel), region_table)
-    sample_map = atlas.sample_labels(samples, sample_table, source, cell_type_groups)
-    matrix = atlas.atlas_wide(scores, sample_map, region_map, cell_types, min_molecules=min_molecules)
-    return matrix, region_map, sample_map
-
-
-def titration_design(abundance: DataFrame, titrated: list[str], levels: list[float] | None = None,
-                     replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Replicated design with a background by abundance."""
-    return design.replicate(design.custom_background(
-        abundance, titrated, levels or TITRATION_LEVELS), replicates, seed)
-
-
 def mixture_scores(pools: DataFrame, counts: DataFrame, replicated: DataFrame, share: float,
                    seed: int = SEED, weighting: str = "molecules") -> DataFrame:
     """Region scores of every mixture of a design."""

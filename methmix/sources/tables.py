@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methmix import schema
 
 
-def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """One or many parquet folders; only `columns` are read from disk."""
-    df = spark.read.parquet(*paths)
-    return df.select(*columns) if columns else df
-
-
 def read_reads(spark: SparkSession, *paths: str) -> DataFrame:
     """Read tables of one or more sources, matched by column name, with bounds as bigint."""
     frames = [spark.read.parquet(path).select(*schema.READ_COLUMNS) for path in paths]
@@ -24,19 +18,30 @@ def read_reads(spark: SparkSession, *paths: str) -> DataFrame:
     return reads.select(*[F.col(f.name).cast(f.dataType) for f in schema.READS.fields])
 
 
+def _typed(field: T.StructField) -> Column:
+    """A text column in its declared type. A cell that does not fit is an error, never a null."""
+    text = F.col(field.name)
+    value = text.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"column {field.name} is no {field.dataType.simpleString()}: "), text)).cast(field.dataType)
+    return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value).alias(field.name)
+
+
 def read_tsv(spark: SparkSession, path: str, table: T.StructType,
              columns: list[str] | None = None) -> DataFrame:
     """Tab-separated text with a header line, plain or gzip. Columns are found by header
-    name, so the file may hold more of them or hold them in another order."""
+    name, so the file may hold more of them or hold them in another order. An empty cell is
+    null; one that does not fit its column's type fails the read."""
     header = spark.read.option("sep", "\t").option("header", True).csv(path)
-    wanted = columns or table.fieldNames()
-    return header.select(*[F.col(n).try_cast(table[n].dataType).alias(n) for n in wanted])
+    return header.select(*[_typed(table[n]) for n in columns or table.fieldNames()])
 
 
 def read_bed(spark: SparkSession, path: str, columns: T.StructType = schema.REGIONS_BED) -> DataFrame:
-    """Headerless tab-separated regions; fields beyond the named ones are not parsed."""
-    return (spark.read.schema(columns).option("sep", "\t").option("header", False)
-            .option("enforceSchema", True).csv(path))
+    """Headerless tab-separated regions; fields beyond the named ones are not parsed, and a
+    value that does not fit its type fails the read."""
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in columns.fields])
+    raw = (spark.read.schema(texts).option("sep", "\t").option("header", False)
+           .option("enforceSchema", True).csv(path))
+    return raw.select(*[_typed(f) for f in columns.fields])
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, compression: str = "gzip") -> None:

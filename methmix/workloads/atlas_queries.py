@@ -165,14 +165,47 @@ def standardized_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matrix.standardized(inputs.scores(spark, d)), "z")
 
 
-@query("pca_samples")
+Z_SCORES = {
+    "samples_seen": "select distinct sample_id from scores",
+    "raw_matrix": "select p.sample_id, r.region_id, coalesce(s.frac_alpha_leq_25pct, 0) as score from samples_seen p "
+                  "cross join (select distinct region_id from scores) r left join scores s using (sample_id, region_id)",
+    "z_moments": "select region_id, avg(score) as mean, stddev_pop(score) as sd from raw_matrix group by 1",
+    "z": "select sample_id, region_id, case when sd > 1e-12 then (score - mean) / sd else 0 end as z from raw_matrix join z_moments using (region_id)",
+    "z_products": "select a.sample_id, b.sample_id as other_id, sum(a.z * b.z) as product from z a join z b using (region_id) group by all",
+}
+
+
+@query("pca_samples", compose(
+    "select sample_id, sample_group, age, sex, round(sum(product * product) over (partition by sample_id), 4) as weight "
+    "from (select sample_id, other_id, product from z_products) p join described using (sample_id) qualify other_id = min(other_id) over (partition by sample_id)",
+    {**Z_SCORES, "described": "select s.sample_id, s.sample_group, s.age, d.donor_sex as sex from (select distinct sample_id, sample_group, age from samples) s "
+                              "join (select sample_id, min(donor_sex) as donor_sex from donors group by 1) d using (sample_id)"}))
 def pca_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Component scores with the metadata of the sample."""
-    components = matrix.pca_scores(inputs.scores(spark, d), 4)
+    """All component scores with the metadata of the sample, as one number that does not depend on their signs: with K
+    the samples' products and l the variances, the sum of l x score^2 over components is the sum of a row of K^2."""
+    found = matrix.principal_components(inputs.scores(spark, d), 1000)
+    weights = (found.scores ** 2) @ found.variances[:found.scores.shape[1]]
+    table = spark.createDataFrame([(s, float(w)) for s, w in zip(found.samples, weights)], "sample_id string, weight double")
     described = relational.describe_samples(bridge.samples(spark, d), bridge.donors(spark, d))
-    return rounded(components.join(described, "sample_id"), "PC1", "PC2", "PC3", "PC4")
+    return rounded(table.join(described, "sample_id"), "weight", digits=4)
 
 
-@query("explained_variance")
+@query("pca_products", compose("select sample_id, other_id, round(product, 6) as product from z_products", Z_SCORES))
+def pca_products(spark: SparkSession, d: str) -> DataFrame:
+    """All component scores of two samples multiplied and added up: the samples' product over the regions."""
+    wide = matrix.pca_scores(inputs.scores(spark, d), 1000)
+    names = [c for c in wide.columns if c != "sample_id"]
+    rows = wide.select("sample_id", F.array(*names).alias("a"))
+    others = rows.select(F.col("sample_id").alias("other_id"), F.col("a").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rounded(rows.crossJoin(F.broadcast(others)).select("sample_id", "other_id", (dot + 0.0).alias("product")), "product")
+
+
+@query("explained_variance", compose(
+    "select 1::bigint as power, 1.0::double as power_sum union all select 2::bigint as power, round(sum(product * product) / "
+    "pow((select sum(product) from z_products where sample_id = other_id), 2), 6) as power_sum from z_products", Z_SCORES))
 def explained_variance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.explained_variance(inputs.scores(spark, d), 4), "share")
+    """Sums of the shares of all components and of their squares, which SQL can take from traces."""
+    shares = matrix.explained_variance(inputs.scores(spark, d), 1000)
+    sums = shares.agg(F.sum("share").alias("1"), F.sum(F.col("share") ** 2).alias("2"))
+    return rounded(as_bigint(sums.unpivot([], ["1", "2"], "power", "power_sum"), "power"), "power_sum")

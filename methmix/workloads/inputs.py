@@ -44,8 +44,8 @@ def atlas_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def atlas_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Long form of the complete rows."""
-    return relational.long(atlas_matrix(spark, d), "region_id", bridge.CELL_TYPES, "ref_celltype", "score")
+    """Long form of the complete rows, stored: cells are often compared with sums of them."""
+    return relational.long(stored_atlas(spark, d), "region_id", bridge.CELL_TYPES, "ref_celltype", "score")
 
 
 def pool_map(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def abundance(counts: DataFrame) -> DataFrame:
 
 
 def whole_blood(counts: DataFrame, titrated: list[str] | None = None) -> DataFrame:
-    return design.custom_background(abundance(counts), titrated or bridge.GROUPS, labels.TITRATION_LEVELS)
+    return design.complete(design.custom_background(abundance(counts), titrated or bridge.GROUPS, labels.TITRATION_LEVELS))
 
 
 def truth(design_table: DataFrame) -> DataFrame:
@@ -108,4 +108,3 @@ def stored_atlas(spark: SparkSession, d: str, pool: DataFrame | None = None) ->
     the reference samples."""
     table = scores(spark, d) if pool is None else scoring.sum_scores(pool, ["sample_id"])
     return materialize(atlas.atlas_wide(table, sample_map(spark, d), region_map(spark, d), bridge.CELL_TYPES), "atlas")
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from methmix import bridge, labels
 from methmix.operators import design, estimate, evaluate, mixing, relational, scoring
+from methmix.operators.atlas import atlas_wide
 from methmix.session import materialize, scratch_path
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
@@ -57,9 +58,11 @@ def design_custom(spark: SparkSession, d: str) -> DataFrame:
     return _sized(inputs.whole_blood(counts), counts)
 
 
-# T and NK form the group; T is titrated inside it.
-TWO_LEVEL = """select 'Blueprint-T' as titrated, l.proportion_id, l.titration, a.pool,
- case when a.pool = 'Blueprint-T' then 0.23 * l.titration when a.pool = 'Blueprint-NK' then 0.23 * (1 - l.titration)
+# T and NK form the group, T is titrated inside it; group and rest add up to one.
+GROUP_TOTAL = labels.T_GROUP_TOTAL + labels.WHOLE_BLOOD_ABUNDANCE["Blueprint-NK"]
+TWO_LEVEL = f"""select 'Blueprint-T' as titrated, l.proportion_id, l.titration, a.pool,
+ case when a.pool = 'Blueprint-T' then {GROUP_TOTAL!r}::double * l.titration
+ when a.pool = 'Blueprint-NK' then {GROUP_TOTAL!r}::double * (1 - l.titration)
  else a.abundance end as proportion from abundance a cross join levels l"""
 
 
@@ -67,7 +70,8 @@ TWO_LEVEL = """select 'Blueprint-T' as titrated, l.proportion_id, l.titration, a
 def design_two_level(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
     grouped = inputs.abundance(counts).withColumn("in_group", F.col("cell_type").isin("Blueprint-T", "Blueprint-NK"))
-    return _sized(design.two_level_background(grouped, ["Blueprint-T"], labels.TITRATION_LEVELS, labels.T_GROUP_TOTAL), counts)
+    plan = design.two_level_background(grouped, ["Blueprint-T"], labels.TITRATION_LEVELS, GROUP_TOTAL)
+    return _sized(design.complete(plan), counts)
 
 
 @query("combined_truth", compose(
@@ -255,8 +259,9 @@ SAMPLE_ROWS = {
     {k: v.replace("{cut}", "80") for k, v in SAMPLE_ROWS.items()}))
 def nnls_per_sample(spark: SparkSession, d: str) -> DataFrame:
     """Per sample, covered regions only, and 0 for regions the sample lacks."""
-    fit = estimate.nnls(inputs.scores(spark, d), inputs.atlas_matrix(spark, d), ["sample_id"], TYPES,
-                        min_molecules=80, missing="zero")
+    scores = materialize(inputs.scores(spark, d), "scores")
+    matrix = atlas_wide(scores, inputs.sample_map(spark, d), inputs.region_map(spark, d), TYPES)
+    fit = estimate.nnls(scores, matrix, ["sample_id"], TYPES, min_molecules=80, missing="zero")
     return rounded(fit.drop("iterations"), "coeff")
 
 
@@ -271,7 +276,6 @@ def nnls_per_sample(spark: SparkSession, d: str) -> DataFrame:
 def outer_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Two estimators side by side; a strict coverage rule leaves gaps in one of them."""
     scores = materialize(inputs.scores(spark, d), "scores")
-    from methmix.operators.atlas import atlas_wide
     matrix = atlas_wide(scores, inputs.sample_map(spark, d), inputs.region_map(spark, d), TYPES)
     both = estimate.nnls(scores, matrix, ["sample_id"], TYPES, min_molecules=20, missing="zero").unionByName(
         estimate.naive(scores, inputs.region_map(spark, d), ["sample_id"], min_molecules=90))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from methmix import bridge, labels, schema
 from methmix.functions.hashing import derived_seed
 from methmix.operators import atlas, intervals, relational, scoring
-from methmix.session import scratch_path
+from methmix.session import materialize, scratch_path
 from methmix.sources import tables
 from methmix.workloads import inputs
 from methmix.workloads.base_sql import FLAGS, SUM_COLUMNS, compose, rounded_scores, sums
@@ -352,7 +352,7 @@ AGES = ["0 - 20", "20 - 40", "40 - 60", "60 - 80"]
 
 @query("value_counts_ordered", compose(
     "select age, count(*) as rows, list_position(['0 - 20', '20 - 40', '40 - 60', '60 - 80'], age) - 1::bigint as place "
-    "from samples where age is not null group by age"))
+    "from samples group by age"))
 def value_counts_ordered(spark: SparkSession, d: str) -> DataFrame:
     return as_bigint(relational.value_counts(bridge.samples(spark, d), "age", AGES).orderBy("place"), "place")
 
@@ -372,7 +372,7 @@ HISTOGRAM = """select g.pool as cell_type, g.b as bin, round(lo + g.b * (hi - lo
 def coverage_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Reads per region, 20 bins and the median per cell type."""
     observed = scoring.observed_reads(scoring.trim_reads(inputs.pools(spark, d)))
-    counts = intervals.region_read_coverage(observed, "cell_type")
+    counts = materialize(intervals.region_read_coverage(observed, "cell_type"), "coverage")
     return as_bigint(rounded(relational.histogram(counts, "reads", 20, "cell_type"), "bin_start", "bin_end"), "rows")
 
 

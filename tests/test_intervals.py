@@ -33,10 +33,12 @@ def test_binned_join_finds_every_pair_once(tables, width):
     assert pairs(intervals.overlap_join(reads, regions, width)) == brute
 
 
-def test_shuffled_join_gives_the_same_pairs(tables):
+def test_shuffled_join_gives_the_same_pairs(tables, monkeypatch):
     reads, regions, brute, _, _ = tables
     joined = intervals.overlap_join(reads, regions, max_broadcast_rows=0)
     assert pairs(joined) == brute
+    monkeypatch.setattr(intervals, "ROWS_PER_SALT", 20)
+    assert pairs(intervals.overlap_join(reads, regions, max_broadcast_rows=0)) == brute
     assert "_salt" in joined._jdf.queryExecution().toString()
 
 
@@ -74,3 +76,11 @@ def test_lift_over_and_geometry(spark):
     assert [(r["region_id"], r["region_cpg_index_min"], r["region_cpg_index_max"]) for r in kept] == [("same", 101, 104)]
     report = {r["outcome"]: r["regions"] for r in intervals.lift_report(lifted, 3).collect()}
     assert report == {"kept": 1, "span_changed": 1, "unmapped": 1, "too_short": 1}
+
+
+def test_last_entry_without_target_gives_null(spark):
+    frame = spark.createDataFrame([(1,), (2,), (None,)], "i bigint")
+    cpg_map = spark.createDataFrame([(1, 100, 0), (1, None, 1), (2, None, 0), (2, 200, 1), (3, 300, 0)],
+                                    "cpg_index bigint, cpg_index_hg38 bigint, line int")
+    lifted = intervals.lift_over(frame, cpg_map, ["i"], order_by="line").collect()
+    assert {r["i"]: r["i_hg38"] for r in lifted} == {1: None, 2: 200, None: None}

@@ -151,6 +151,13 @@ def test_two_level_background(spark):
     assert got["B"] == 0.06 and got["Neutro"] == 0.57
 
 
+def test_proportions_must_add_up_to_one(abundance):
+    whole = design.custom_background(abundance, ["B", "T"], [0.2, 0.0])
+    assert design.complete(whole) is whole
+    with pytest.raises(ValueError):
+        design.complete(whole.where("cell_type <> 'NK'"))
+
+
 def test_labels(spark):
     rows = [("B", "B", 0, 0.05), ("B", "CD4", 0, 0.015), ("B", "CD8", 0, 0.5), ("B", "Mono", 0, 0.0)]
     table = spark.createDataFrame(rows, "titrated string, cell_type string, proportion_id int, proportion double")

@@ -29,6 +29,25 @@ def test_tsv_columns_are_found_by_name(spark):
     assert sorted(map(tuple, back.collect())) == [("r1", 5), ("r2", None)]
 
 
+@pytest.mark.parametrize("cell", ["abc", "7.5"])
+def test_cells_that_do_not_fit_fail_the_read(spark, cell):
+    path = scratch_path(spark, "t")
+    tables.write_tsv(spark.createDataFrame([("r1", cell)], "region_id string, number_molecules string"), path)
+    with pytest.raises(Exception, match="number_molecules"):
+        tables.read_tsv(spark, path, schema.scores_schema(), ["region_id", "number_molecules"]).collect()
+    path = scratch_path(spark, "bed")
+    bed = spark.createDataFrame([("chr1", "10", "20", cell, "4", "r1")], "a string, b string, c string, d string, e string, f string")
+    tables.write_tsv(bed, path, header=False, compression="none")
+    with pytest.raises(Exception, match="region_cpg_index_min"):
+        tables.read_bed(spark, path).collect()
+
+
+def test_values_outside_the_order_are_counted(spark):
+    frame = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("x",)], "v string")
+    rows = {r["v"]: (r["rows"], r["place"]) for r in relational.value_counts(frame, "v", ["b", "a", "c"]).collect()}
+    assert rows == {"a": (1, 1), "b": (2, 0), None: (1, None), "x": (1, None)}
+
+
 def test_bed_reads_six_columns(spark):
     path = scratch_path(spark, "bed")
     rows = [("chr1", 10, 20, 1, 4, "r1", "x", 0.5)]
