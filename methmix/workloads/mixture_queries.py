@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methmix import bridge, labels
-from methmix.operators import design, estimate, evaluate, mixing, relational, scoring
+from methmix.operators import design, estimate, evaluate, intervals, mixing, relational, scoring
 from methmix.operators.atlas import atlas_wide
+from methmix.plans import pipelines
 from methmix.session import materialize, scratch_path
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, _map, compose, lod_from, mixture_words, rate_steps,
-                                        rounded_scores, unpivoted)
+from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, TABLES, _map, compose, lod_from, mixture_words, rate_steps,
+                                        rounded_scores, sums, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
 TYPES = bridge.CELL_TYPES
@@ -201,6 +202,43 @@ def mixture_scores(spark: SparkSession, d: str) -> DataFrame:
     return as_bigint(rounded(run.scores, *FLAGS), *ID, "seed")
 
 
+@query("mixture_scores_rows", compose(
+    f"select titrated, proportion_id::bigint as proportion_id, replicate, ({SEED_SQL})::bigint as seed, region_id, "
+    f"{rounded_scores()} from row_scores",
+    {"row_scores": f"select titrated, proportion_id, replicate, region_id, {sums('1')} from drawn group by all"}))
+def mixture_scores_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A read counts once, whatever the number of its molecules."""
+    pool = inputs.scored_pools(spark, d)
+    counts = materialize(pool_counts(pool), "pool-counts")
+    replicated = design.replicate(inputs.whole_blood(counts), labels.REPLICATES, labels.SEED)
+    scores = pipelines.mixture_scores(pool, counts, replicated, inputs.SHARE, labels.SEED, weighting="rows")
+    return as_bigint(rounded(scores, *FLAGS), *ID, "seed")
+
+
+# Reads as single molecules, over regions whose stored end is the last CpG.
+MOLECULE_TABLES = {
+    "base_reads": TABLES["reads"],
+    "reads": "select r.* exclude (number_molecules), 1 as number_molecules "
+             "from (select *, unnest(range(0, number_molecules)) as copy_no from base_reads) r",
+    "regions": TABLES["regions"].replace("region_cpg_index_max - 1 as", "region_cpg_index_max as"),
+    "pools": TABLES["pools"].replace("|| '|' || region_id)", "|| '|' || region_id || '|' || copy_no)"),
+}
+
+
+@query("mixture_scores_molecules", compose(
+    f"select titrated, proportion_id::bigint as proportion_id, replicate, ({SEED_SQL})::bigint as seed, region_id, "
+    f"{rounded_scores()} from mix_scores", MOLECULE_TABLES))
+def mixture_scores_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Mixtures of single molecules: reads exploded, counts clamped, inclusive region ends."""
+    reads = scoring.explode_molecules(bridge.reads(spark, d))
+    regions = intervals.closed_regions(bridge.regions_bed(spark, d), end="inclusive")
+    pool = pipelines.scored_pools(pipelines.build_pools(reads, regions, inputs.pool_map(spark, d)),
+                                  ["molecule_id", "region_id", "copy_no"])
+    counts = materialize(pool_counts(pool), "pool-counts")
+    replicated = design.replicate(inputs.whole_blood(counts), labels.REPLICATES, labels.SEED)
+    return as_bigint(rounded(pipelines.mixture_scores(pool, counts, replicated, inputs.SHARE, labels.SEED), *FLAGS), *ID, "seed")
+
+
 # ---- estimates --------------------------------------------------------------
 def _out(estimates: DataFrame) -> DataFrame:
     return as_bigint(rounded(estimates, "coeff"), *ID).drop("iterations")
@@ -472,6 +510,41 @@ def lod95_nnls(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.lod_text(evaluate.limit_of_detection(rates, ["ref_celltype"])), "lod").drop("lod_rounded")
 
 
+def _titrated_huber(spark: SparkSession, d: str, nonnegative: bool) -> DataFrame:
+    run = inputs.experiment(spark, d)
+    matrix = inputs.stored_atlas(spark, d, run.pools)
+    fit = (estimate.nonneg_huber(run.scores, matrix, KEYS, TYPES, delta=0.02) if nonnegative
+           else estimate.huber(run.scores, matrix, KEYS, TYPES, epsilon=1.35))
+    own = run.truth().where(F.col("is_titrated") == 1)
+    return evaluate.with_truth(fit, own, ["titrated", "proportion_id", "ref_celltype"])
+
+
+@query("lod95_huber", compose(lod_from("steps"), {
+    **_huber_sweeps("1.35 * sigma", True, False, 150), **_rates("hfit", DETECT.format(cut=NNLS_CUT))}))
+def lod95_huber(spark: SparkSession, d: str) -> DataFrame:
+    rates = evaluate.detection_rate(_titrated_huber(spark, d, False), ["ref_celltype"], NNLS_CUT)
+    return rounded(evaluate.limit_of_detection(rates, ["ref_celltype"]), "lod")
+
+
+@query("lod95_nnhuber", compose(lod_from("steps"), {
+    **_huber_sweeps("0.02", False, True, 150), **_rates("hfit", DETECT.format(cut=NNLS_CUT))}))
+def lod95_nnhuber(spark: SparkSession, d: str) -> DataFrame:
+    rates = evaluate.detection_rate(_titrated_huber(spark, d, True), ["ref_celltype"], NNLS_CUT)
+    return rounded(evaluate.limit_of_detection(rates, ["ref_celltype"]), "lod")
+
+
+@query("background_check_huber", compose(
+    f"select e.titrated, t.titration, e.ref_celltype, round(avg(coeff - true_proportion), 6) as bias, "
+    f"round(avg(pow(coeff - true_proportion, 2)), 8) as mse from hfit e {TRUTH_JOIN} group by all",
+    _huber_sweeps("1.35 * sigma", True, False, 150)))
+def background_check_huber(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell type of every mixture against its true proportion, by the robust fit."""
+    run = inputs.experiment(spark, d)
+    fit = materialize(estimate.huber(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES, epsilon=1.35), "estimates")
+    checked = evaluate.background_check(fit, run.truth(), ["titrated", "proportion_id", "ref_celltype"])
+    return rounded(rounded(checked.select("titrated", "titration", "ref_celltype", "bias", "mse"), "bias"), "mse", digits=8)
+
+
 @query("lod95_nnls_tolerance", compose(lod_from("steps"), _rates("nnls", WITHIN)))
 def lod95_nnls_tolerance(spark: SparkSession, d: str) -> DataFrame:
     rates = evaluate.tolerance_rate(_titrated_nnls(spark, d), ["ref_celltype"])
