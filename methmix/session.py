@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, folder: s
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it by themselves: installed, on
+    PYTHONPATH, or in the folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.realpath(__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if root in map(os.path.realpath, found) or spark.conf.get("spark.methmix.shipped", None):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="methmix-"), "methmix.zip")  # the driver serves it from there
+    with zipfile.ZipFile(archive, "w") as package:
+        for folder, _, names in os.walk(os.path.join(root, "methmix")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.methmix.shipped", "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the one named in `spark.checkpoint.dir`.
 
