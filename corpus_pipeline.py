@@ -55,8 +55,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """doc_id, source, n_tokens, token_ids, decoded."""
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode_texts(docs.select("doc_id", "source", "text"), path)
-    return bpe.decode_tokens(encoded, path).drop("text")
+    return bpe.encode_and_decode(docs.select("doc_id", "source", "text"), path).drop("text")
 
 
 STAGES = [

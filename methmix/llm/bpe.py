@@ -32,8 +32,12 @@ from methmix.llm.registry import query
 from methmix.llm.words import slices
 
 # Words that one worker keeps with their tokens.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+# Pairs of tokens whose compatibility one worker remembers.
+CACHED_PAIRS = 250_000
 NO_LIMIT = 1 << 40
+# A pair of ranks as one number.
+PAIR_SHIFT = 32
 # Control characters that str.split() takes for white space and the tokenizer does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -78,7 +82,7 @@ class Encoder:
             self.ids[b], self.ids[256 + b] = vocabulary[letter], vocabulary[letter + self.suffix]
         rank_of = {name: rank for rank, name in enumerate(names)}
         self.left, self.right = list(range(512)), list(range(512))
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"], 512):
             first, second = pair.split(" ") if isinstance(pair, str) else pair
             a, b = rank_of[coded(first)], rank_of[coded(second)]
@@ -87,7 +91,7 @@ class Encoder:
             self.ids[rank] = vocabulary[first + second]
             self.left.append(a)
             self.right.append(b)
-            self.merged[a, b] = rank
+            self.merged[a << PAIR_SHIFT | b] = rank
         self.lengths = [len(n) for n in names]
         self.automaton = ahocorasick.Automaton()
         for name, rank in rank_of.items():
@@ -95,7 +99,7 @@ class Encoder:
         self.automaton.make_automaton()
         # The longest token that begins a token, or -1.
         self.shorter = [next((rank_of[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in rank_of), -1) for n in names]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
         # Decoding: the bytes of every id in one array, with the offset of each; tokens are set off by one space.
@@ -111,12 +115,12 @@ class Encoder:
         The merges of both are undone from the latest on. If at any time the two parts at the border merge
         earlier than what was undone last, the merge would have crossed the border.
         """
-        known = self.compatible.get((first, second))
+        known = self.compatible.get(first << PAIR_SHIFT | second)
         if known is not None:
             return known
         a, b, limit = first, second, NO_LIMIT
         while True:
-            if self.merged.get((a, b), limit) < limit:
+            if self.merged.get(a << PAIR_SHIFT | b, limit) < limit:
                 answer = False
                 break
             undo_left = a > b
@@ -135,9 +139,9 @@ class Encoder:
             if not moved:
                 answer = True
                 break
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) >= CACHED_PAIRS:
             self.compatible.clear()
-        self.compatible[first, second] = answer
+        self.compatible[first << PAIR_SHIFT | second] = answer
         return answer
 
     def _word(self, data: bytes) -> list[int]:
@@ -261,6 +265,14 @@ def decode_tokens(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token
     return _with_columns(encoded, "decoded string", ids_col, make, _definition(encoded, tokenizer_path))
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """`docs` with n_tokens, token_ids and decoded, in one pass over the texts."""
+    def make(coder: Encoder, batch: pa.RecordBatch) -> list[tuple]:
+        encoded = (coder.encode(text or "") for text in batch.column(text_col).to_pylist())
+        return [(len(ids), ids, coder.decode(ids).decode()) for ids in encoded]
+    return _with_columns(docs, "n_tokens bigint, token_ids array<int>, decoded string", text_col, make, _definition(docs, tokenizer_path))
+
+
 def _digests(text_col: str):
     def make(coder: Encoder, batch: pa.RecordBatch) -> list[tuple]:
         decimals = coder.__dict__.setdefault("decimals", [str(i) for i in range(len(coder.offsets))])

@@ -30,7 +30,7 @@ from methmix.llm.common import stored, table
 from methmix.llm.components import components
 from methmix.llm.registry import query
 from methmix.llm.words import mixed, slices, text_bytes, window_hashes, word_hashes
-from methmix.session import fits_broadcast
+from methmix.session import broadcast_if_small, fits_broadcast
 
 SIMILARITY = 80  # of 100
 COORDINATES = 64
@@ -299,14 +299,14 @@ def _sets(width: int):
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = np.concatenate([a, b])
+        good = np.zeros(batch.num_rows, bool)
+        for row in range(batch.num_rows):
+            # One pair at a time: a batch of pairs of long texts is large enough as it is.
+            both = np.concatenate([np.frombuffer(batch.column(c)[row].as_buffer(), np.uint64) for c in ("a", "b")])
             both.sort()
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(100 * shared >= SIMILARITY * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+            good[row] = 100 * shared >= SIMILARITY * (len(both) - shared)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
 
 
 def class_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -383,8 +383,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group."""
     found = near_duplicates(docs, width, id_col, text_col)
-    gone = found.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "gone")
+    # Beyond the size that may be broadcast, texts are shuffled by id.
+    return docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
 
 
 @query("op1_minhash_near_dedup")

@@ -34,11 +34,12 @@ from methmix.session import fits_broadcast
 
 WINDOW = 13
 # Text bytes that one part's hashes come from, about 6 bytes of text for one hash.
-BYTES_PER_PART = 24_000_000
+BYTES_PER_PART = 8_000_000
 # Windows are told apart by 59 bits: a hash divided by the number of parts, 8 at least, then takes 7 bytes.
 DROPPED_BITS = 5
 KEPT_BYTES = 7
 LEAST_PARTS = 8
+PIECES = 8
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -142,13 +143,22 @@ def _send(id_col: str, text_col: str, window: int, parts: int):
 def _answer(parts: int):
     """For each part of a task: the windows of documents that start in a smaller one."""
     def finish(part: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        docs, hashes = _unpacked(held, wide)
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        smallest = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(hashes)]))
-        later = docs > smallest
-        yield from _answers(docs[later], hashes[later] * np.uint64(parts) + np.uint64(part), parts)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        all_docs, all_hashes = _unpacked(held, wide)
+        held.clear()
+        # Sorting needs several times the memory of what is sorted, so a part is done in pieces.
+        piece = (all_hashes & np.uint64(PIECES - 1)).astype(np.uint8)
+        for at in range(PIECES):
+            docs, hashes = all_docs[piece == at], all_hashes[piece == at]
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes, kind="stable")
+            hashes, docs = hashes[order], docs[order]
+            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            smallest = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(hashes)]))
+            later = docs > smallest
+            found.append((docs[later], hashes[later] * np.uint64(parts) + np.uint64(part)))
+        yield from _answers(np.concatenate([d for d, _ in found]), np.concatenate([h for _, h in found]), parts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}

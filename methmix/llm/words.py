@@ -9,10 +9,10 @@ import pyarrow as pa
 import xxhash
 
 # A task works on this many bytes of text at once, whatever the size of its batches.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 PIECE_BYTES = 2_000_000
 # Words kept with their hashes by one worker.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 class WordHashes(dict):
@@ -85,6 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # Workers are used again: what this task no longer needs goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
