@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`df` without the columns of these names, in any case: an operator's own columns replace them."""
+    wanted = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in wanted])
+
+
 def buckets_for(rows: int) -> int:
     return rows // ROWS_PER_BUCKET + 1
 
@@ -43,12 +51,12 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column
     column numbers the rows of a key from 0 without gaps. Rows equal in `order` come in any order.
     """
     value = F.lit(1).cast("bigint") if value is None else value
-    dealt = df.withColumns({"_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)), "_value": value})
-    totals = dealt.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
-    starts = totals.select(*keys, "_bucket", (F.sum("_total").over(Window.partitionBy(*keys).orderBy("_bucket"))
-                                              - F.col("_total")).alias("_start"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.withColumn("_inside", F.sum("_value").over(inside) - F.col("_value"))
-    return (summed.join(starts, [*keys, "_bucket"])
-            .withColumn(out, F.col("_start") + F.col("_inside"))
-            .drop("_bucket", "_value", "_start", "_inside"))
+    dealt = df.withColumns({"__llm_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)), "__llm_value": value})
+    totals = dealt.groupBy(*keys, "__llm_bucket").agg(F.sum("__llm_value").alias("__llm_total"))
+    starts = totals.select(*keys, "__llm_bucket", (F.sum("__llm_total").over(Window.partitionBy(*keys).orderBy("__llm_bucket"))
+                                              - F.col("__llm_total")).alias("__llm_start"))
+    inside = Window.partitionBy(*keys, "__llm_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("__llm_inside", F.sum("__llm_value").over(inside) - F.col("__llm_value"))
+    return (summed.join(starts, [*keys, "__llm_bucket"])
+            .withColumn(out, F.col("__llm_start") + F.col("__llm_inside"))
+            .drop("__llm_bucket", "__llm_value", "__llm_start", "__llm_inside"))
