@@ -9,7 +9,7 @@ The tokenizer file is read on the driver and sent to the tasks; its size is that
 white space are encoded once and kept in a store of fixed size.
 
 A null text is encoded as an empty one. Texts of any length are encoded whole. Repeated rows and null ids are kept. An
-empty table gives an empty result. Extra columns are kept; a clash with a column made here raises ValueError.
+empty table gives an empty result. Input columns are kept, but for those with the name of a column made here.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from methmix.llm.common import table
+from methmix.llm.common import table, without
 from methmix.llm.registry import query
 from methmix.llm.words import slices
 
@@ -236,9 +236,7 @@ def _definition(docs: DataFrame, tokenizer_path: str):
 def _with_columns(docs: DataFrame, added: str, column: str, make, shared) -> DataFrame:
     """`docs` with columns from make(encoder, values of `column`), a list for each value."""
     kinds = T.StructType.fromDDL(added)
-    clash = {c.lower() for c in docs.columns} & {f.name for f in kinds.fields}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    docs = without(docs, kinds.names)
     arrow = to_arrow_schema(kinds)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ of each language, those with the smallest hash of the id; every text is scored w
 
 A null text and one without a letter get `und` and score 0. Rows without label or id are never learned from. Repeated
 rows are scored each. Without labelled rows everything is `und`. Texts of any length are read whole. An empty table
-gives an empty result. Extra columns are kept; a clash with a column made here raises ValueError.
+gives an empty result. Input columns are kept, but for those with the name of a column made here.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methmix.llm.common import table
+from methmix.llm.common import table, without
 from methmix.llm.registry import query
 from methmix.llm.words import slices
 
@@ -168,13 +168,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model from a bounded sample of `labelled`."""
     spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("__llm_lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
     # About twice the sample passes a threshold on the hash; the smallest hashes of it are the sample.
-    under = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], int(min(1, 2 * SAMPLE_PER_LANGUAGE / r["n"]) * (1 << 30)))])
+    under = F.create_map(*[F.lit(v) for r in counts for v in (r["__llm_lang"], int(min(1, 2 * SAMPLE_PER_LANGUAGE / r["n"]) * (1 << 30)))])
     near = rows.filter(spread < under[F.col(lang_col)]).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread.alias("hash"), F.col(id_col).alias("id"))
     order = Window.partitionBy("lang").orderBy("hash", "id", "text")
@@ -192,9 +192,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with lang_pred and score."""
-    clash = {c.lower() for c in docs.columns} & set(MADE)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made by with_language")
+    docs = without(docs, MADE)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 

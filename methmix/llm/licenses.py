@@ -7,8 +7,8 @@ hits with the same interval the one of the earlier rule stays. A document's hits
 shuffled.
 
 A null text has no words and no hits. Texts are scanned whole, of any length. Repeated rows are scanned
-each. An empty table gives an empty result. Extra columns are kept; a clash with a column made here
-raises ValueError.
+each. An empty table gives an empty result. Input columns are kept, but for those with the
+name of a column made here.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methmix.llm.common import table
+from methmix.llm.common import table, without
 from methmix.llm.registry import query
 
 # The phrases that every scan counts, and their labels.
@@ -147,37 +147,35 @@ def whole_words(pattern: str) -> str:
 
 
 def base_places(phrase: str, label: str) -> Column:
-    placed = F.transform(places(F.col("_norm"), F.lit(whole_words(phrase))), lambda p: F.struct(
+    placed = F.transform(places(F.col("__llm_norm"), F.lit(whole_words(phrase))), lambda p: F.struct(
         p["start"].alias("start"), p["end"].alias("end"), F.lit(label).alias("label")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
-    return F.when(F.contains("_norm", F.lit(f" {phrase} ")), placed).otherwise(none)
+    return F.when(F.contains("__llm_norm", F.lit(f" {phrase} ")), placed).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with n_words, base (array<struct<label, start, end>>) and hits (array<struct<label, start, end,
     rank, score>>), the hits that no other one suppresses, by start."""
-    clash = {c.lower() for c in docs.columns} & {"n_words", "base", "hits", "_raw", "_norm", "_all"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made by scan_licenses")
+    docs = without(docs, ("n_words", "base", "hits"))
     listed = rules()
     table_of_rules = F.array(*[
         F.struct(F.lit(f"{keyword}").alias("keyword"), F.lit(whole_words(pattern)).alias("pattern"),
                  F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(score).alias("score"))
         for rank, (label, keyword, pattern, score) in enumerate(listed)])
     kind = "array<struct<label:string,start:bigint,end:bigint,rank:int,score:double>>"
-    lowered = F.lower("_raw")
+    lowered = F.lower("__llm_raw")
     gate = F.lit(False)
     for keyword in GATE:
         gate = gate | F.contains(lowered, F.lit(keyword))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = F.flatten(F.transform(
-        F.filter(table_of_rules, lambda r: F.contains(F.col("_norm"), r["keyword"])),
-        lambda r: F.transform(places(F.col("_norm"), r["pattern"]), lambda p: F.struct(
+        F.filter(table_of_rules, lambda r: F.contains(F.col("__llm_norm"), r["keyword"])),
+        lambda r: F.transform(places(F.col("__llm_norm"), r["pattern"]), lambda p: F.struct(
             r["label"].alias("label"), p["start"].alias("start"), p["end"].alias("end"),
             r["rank"].alias("rank"), r["score"].alias("score"))))).cast(kind)
     # In order of start, then longest, then rank, a hit is inside an earlier one if that one ends no sooner.
     ordered = F.transform(
-        F.array_sort(F.transform("_all", lambda h: F.struct(
+        F.array_sort(F.transform("__llm_all", lambda h: F.struct(
             h["start"].alias("start"), (-h["end"]).alias("back"), h["rank"].alias("rank"),
             h["label"].alias("label"), h["score"].alias("score")))),
         lambda h: F.struct(h["label"], h["start"], (-h["back"]).alias("end"), h["rank"], h["score"])).cast(kind)
@@ -188,13 +186,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["kept"])
     base = F.array_sort(F.flatten(F.array(*[base_places(phrase, label) for phrase, label in BASE.items()])))
     return (
-        docs.withColumn("_raw", words_only(F.col(text_col)))
-        .withColumn("n_words", spaces(F.col("_raw")) - 1)
-        .withColumn("_norm", F.when(gate, F.translate("_raw", upper, upper.lower())))
-        .withColumn("_all", F.when(F.col("_norm").isNotNull(), found))
-        .withColumn("base", F.when(F.col("_norm").isNotNull(), base))
-        .withColumn("hits", F.coalesce(F.when(F.size("_all") > 0, kept), F.array().cast(kind)))
-        .drop("_raw", "_norm", "_all")
+        docs.withColumn("__llm_raw", words_only(F.col(text_col)))
+        .withColumn("n_words", spaces(F.col("__llm_raw")) - 1)
+        .withColumn("__llm_norm", F.when(gate, F.translate("__llm_raw", upper, upper.lower())))
+        .withColumn("__llm_all", F.when(F.col("__llm_norm").isNotNull(), found))
+        .withColumn("base", F.when(F.col("__llm_norm").isNotNull(), base))
+        .withColumn("hits", F.coalesce(F.when(F.size("__llm_all") > 0, kept), F.array().cast(kind)))
+        .drop("__llm_raw", "__llm_norm", "__llm_all")
     )
 
 

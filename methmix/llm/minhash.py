@@ -14,7 +14,7 @@
 
 Null and empty texts have no shingles and no links. A null id counts as larger than all others. Rows that share an
 id share its fate only if their texts do. Texts of any length are read whole. An empty table gives an empty result.
-Extra columns are kept; a clash with a column made here raises ValueError.
+Only id and text are read, so extra columns do not matter; `drop_near_duplicates` keeps them all.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ COUNT_BLOCKS = 16
 CHUNK = 4096
 FAMILY_CHUNK = 1000
 LAST_ID = np.iinfo(np.int64).max
-MADE = ("n_shingles", "component_id", "kept")
 
 _draw = np.random.default_rng(7)
 _FACTORS = (_draw.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -383,12 +382,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group."""
     found = near_duplicates(docs, width, id_col, text_col)
-    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "gone")
+    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias("__llm_gone")).distinct(), "gone")
     # Beyond the size that may be broadcast, texts are shuffled by id.
-    return docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-
-
-@query("op1_minhash_near_dedup")
+    return docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("__llm_gone")), "left_anti")
+
+
+@query("op1_minhash_near_dedup", sql="""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+            ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    ids AS (SELECT shingle, row_number() OVER () AS k FROM (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1)),
+    shared AS (SELECT s.doc_id, k, n FROM s JOIN ids USING (shingle) JOIN n USING (doc_id)),
+    links AS (
+        SELECT a.doc_id AS u, b.doc_id AS v FROM shared a JOIN shared b ON a.k = b.k AND a.doc_id <> b.doc_id
+            AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT doc_id, doc_id AS c FROM documents
+        UNION SELECT l.u, r.c FROM reach r JOIN links l ON l.v = r.doc_id
+    ), smallest AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN smallest USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
 def op1_minhash_near_dedup(spark, sf_dir):
     """Shingles of two words, Jaccard similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2).withColumnRenamed("id", "doc_id")

@@ -9,8 +9,8 @@ that are no boilerplate are the article, short ones and headings too.
 
 A null or empty page gives an empty text; so does one without text outside boilerplate. Broken markup (open
 elements, stray ends, cut entities) is read as far as it goes. Pages of any length are read whole. Repeated rows are
-read each. An empty table gives an empty result. Extra columns are kept; a clash with a column made here
-raises ValueError.
+read each. An empty table gives an empty result. Input columns are kept, but for those with the name of a
+column made here.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from methmix.llm.common import table
+from methmix.llm.common import table, without
 from methmix.llm.registry import query
 from methmix.llm.words import slices
 
@@ -209,9 +209,7 @@ def extract(html: str | None) -> str:
 
 def extract_content(pages: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:
     """`pages` with content, the main text, and n_chars, its length in code points."""
-    clash = {c.lower() for c in pages.columns} & set(MADE)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made by extract_content")
+    pages = without(pages, MADE)
     keep = [f for f in pages.schema.fields if keep_html or f.name != html_col]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

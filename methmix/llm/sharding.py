@@ -11,8 +11,8 @@ Requests are sums by (group, shard), so a group of any size is at most `shards`
 `running_sum`, which splits every key into buckets. The result does not depend on partitioning.
 
 Null ids and texts are kept; a null text has size 16 and is equal to an empty one. Repeated rows are linked
-as equal texts are. An empty table gives an empty result. Extra columns are kept; a clash with a column made
-here raises ValueError.
+as equal texts are. An empty table gives an empty result. Input columns are kept, but for those with the
+name of a column made here.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methmix.llm.common import buckets_for, running_sum, stored, table
+from methmix.llm.common import buckets_for, running_sum, stored, table, without
 from methmix.llm.registry import query
 
 SHARDS = 40
@@ -34,54 +34,54 @@ def quota(rows: int, shards: int, shard: Column) -> Column:
 
 def wishes(state: DataFrame, rows: int, shards: int) -> DataFrame:
     """One row per part of a group that asks to move: _group, shard, _to, _n documents, _room in `_to`."""
-    parts = stored(state.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n")), "shard-parts")
+    parts = stored(state.groupBy("__llm_group", "shard").agg(F.count(F.lit(1)).alias("__llm_n")), "shard-parts")
     room = stored(
         state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-        .join(parts.groupBy("shard").agg(F.sum("_n").alias("_used")), "shard", "left")
-        .select("shard", (quota(rows, shards, F.col("shard")) - F.coalesce("_used", F.lit(0))).alias("_room")), "shard-room")
+        .join(parts.groupBy("shard").agg(F.sum("__llm_n").alias("__llm_used")), "shard", "left")
+        .select("shard", (quota(rows, shards, F.col("shard")) - F.coalesce("__llm_used", F.lit(0))).alias("__llm_room")), "shard-room")
     # One number per shard, whatever the number of documents. Split groups may also meet in a shard with room.
-    open_shards = F.array(*[F.lit(r["shard"]) for r in room.filter("_room > 0").orderBy("shard").collect()]).cast("array<int>")
-    meeting = (parts.groupBy("_group").agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1")
-               .select("_group", F.get(open_shards, F.pmod(F.xxhash64("_group"), F.greatest(F.size(open_shards), F.lit(1))).cast("int")).alias("shard"),
-                       F.lit(0).cast("bigint").alias("_n")).filter("shard IS NOT NULL"))
-    parts = parts.unionByName(meeting).groupBy("_group", "shard").agg(F.sum("_n").alias("_n")).join(F.broadcast(room), "shard")
-    group = Window.partitionBy("_group")
+    open_shards = F.array(*[F.lit(r["shard"]) for r in room.filter("__llm_room > 0").orderBy("shard").collect()]).cast("array<int>")
+    meeting = (parts.groupBy("__llm_group").agg(F.count(F.lit(1)).alias("__llm_parts")).filter("__llm_parts > 1")
+               .select("__llm_group", F.get(open_shards, F.pmod(F.xxhash64("__llm_group"), F.greatest(F.size(open_shards), F.lit(1))).cast("int")).alias("shard"),
+                       F.lit(0).cast("bigint").alias("__llm_n")).filter("shard IS NOT NULL"))
+    parts = parts.unionByName(meeting).groupBy("__llm_group", "shard").agg(F.sum("__llm_n").alias("__llm_n")).join(F.broadcast(room), "shard")
+    group = Window.partitionBy("__llm_group")
     # Shards that can hold the whole group come first, then those with most of it.
-    parts = parts.withColumn("_all", F.sum("_n").over(group)).withColumn("_holds", F.col("_n") + F.col("_room") >= F.col("_all"))
-    before = group.orderBy(F.desc("_holds"), F.desc("_n"), F.desc("_room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    last_first = group.orderBy("_holds", "_n", "_room", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__llm_all", F.sum("__llm_n").over(group)).withColumn("__llm_holds", F.col("__llm_n") + F.col("__llm_room") >= F.col("__llm_all"))
+    before = group.orderBy(F.desc("__llm_holds"), F.desc("__llm_n"), F.desc("__llm_room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    last_first = group.orderBy("__llm_holds", "__llm_n", "__llm_room", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
     # The first shards that can hold the whole group are its places, the others ask to move there.
     ranked = parts.withColumns({
-        "_held": F.coalesce(F.sum(F.col("_n") + F.col("_room")).over(before), F.lit(0)),
-        "_free": F.coalesce(F.sum("_room").over(before), F.lit(0)),
-        "_ahead": F.coalesce(F.sum("_n").over(last_first), F.lit(0)),
-    }).withColumn("_place", F.col("_held") < F.col("_all"))
+        "__llm_held": F.coalesce(F.sum(F.col("__llm_n") + F.col("__llm_room")).over(before), F.lit(0)),
+        "__llm_free": F.coalesce(F.sum("__llm_room").over(before), F.lit(0)),
+        "__llm_ahead": F.coalesce(F.sum("__llm_n").over(last_first), F.lit(0)),
+    }).withColumn("__llm_place", F.col("__llm_held") < F.col("__llm_all"))
     # Movers, smallest part first, take the places' free room in order.
-    places = F.collect_list(F.when(F.col("_place") & (F.col("_room") > 0),
-                                   F.struct("_free", "_room", F.col("shard").alias("_to")))).over(group)
-    fitting = F.filter("_places", lambda p: (p["_free"] <= F.col("_ahead"))
-                       & (F.col("_ahead") < p["_free"] + p["_room"]))
+    places = F.collect_list(F.when(F.col("__llm_place") & (F.col("__llm_room") > 0),
+                                   F.struct("__llm_free", "__llm_room", F.col("shard").alias("__llm_to")))).over(group)
+    fitting = F.filter("__llm_places", lambda p: (p["__llm_free"] <= F.col("__llm_ahead"))
+                       & (F.col("__llm_ahead") < p["__llm_free"] + p["__llm_room"]))
     return (
-        ranked.withColumn("_places", places).filter(~F.col("_place") & (F.col("_n") > 0))
-        .withColumn("_target", F.get(fitting, F.lit(0))).filter(F.col("_target").isNotNull())
-        .select("_group", "shard", "_n", F.col("_target._to").alias("_to"), F.col("_target._room").alias("_room"))
+        ranked.withColumn("__llm_places", places).filter(~F.col("__llm_place") & (F.col("__llm_n") > 0))
+        .withColumn("__llm_target", F.get(fitting, F.lit(0))).filter(F.col("__llm_target").isNotNull())
+        .select("__llm_group", "shard", "__llm_n", F.col("__llm_target.__llm_to").alias("__llm_to"), F.col("__llm_target.__llm_room").alias("__llm_room"))
     )
 
 
 def propagate(state: DataFrame, rows: int, shards: int, rounds: int, order: list[str], buckets: int) -> DataFrame:
     """Linked documents (_group, shard, ...) after at most `rounds` rounds of moves."""
     for _ in range(rounds):
-        asked = running_sum(wishes(state, rows, shards), ["_to"], ["_group", "shard"], F.col("_n"), "_earlier", buckets)
-        moves = stored(asked.withColumn("_take", F.least("_n", F.col("_room") - F.col("_earlier"))).filter("_take > 0")
-                       .select("_group", "shard", "_to", "_n", "_take"), "shard-moves")
+        asked = running_sum(wishes(state, rows, shards), ["__llm_to"], ["__llm_group", "shard"], F.col("__llm_n"), "__llm_earlier", buckets)
+        moves = stored(asked.withColumn("__llm_take", F.least("__llm_n", F.col("__llm_room") - F.col("__llm_earlier"))).filter("__llm_take > 0")
+                       .select("__llm_group", "shard", "__llm_to", "__llm_n", "__llm_take"), "shard-moves")
         if moves.isEmpty():
             break
-        asked_rows = stored(state.join(moves, ["_group", "shard"], "left"), "shard-asked")
-        whole = asked_rows.filter("_take IS NULL OR _take = _n").withColumn("shard", F.coalesce("_to", "shard"))
+        asked_rows = stored(state.join(moves, ["__llm_group", "shard"], "left"), "shard-asked")
+        whole = asked_rows.filter("__llm_take IS NULL OR __llm_take = __llm_n").withColumn("shard", F.coalesce("__llm_to", "shard"))
         # A part that fits in part, at most one for each target, is cut by rank.
-        part = running_sum(asked_rows.filter("_take < _n"), ["_group", "shard"], order, None, "_rank", buckets)
-        part = part.withColumn("shard", F.when(F.col("_rank") < F.col("_take"), F.col("_to")).otherwise(F.col("shard"))).drop("_rank")
-        state = stored(whole.unionByName(part).drop("_to", "_n", "_take"), "shard-state")
+        part = running_sum(asked_rows.filter("__llm_take < __llm_n"), ["__llm_group", "shard"], order, None, "__llm_rank", buckets)
+        part = part.withColumn("shard", F.when(F.col("__llm_rank") < F.col("__llm_take"), F.col("__llm_to")).otherwise(F.col("shard"))).drop("__llm_rank")
+        state = stored(whole.unionByName(part).drop("__llm_to", "__llm_n", "__llm_take"), "shard-state")
     return state
 
 
@@ -91,40 +91,37 @@ def shard_documents(docs: DataFrame, link: Column, order: list[str], shards: int
 
     Rows with equal non-null `link` are linked. `order` names columns that tell the rows apart.
     """
-    clash = {c.lower() for c in docs.columns} & set(MADE)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made by shard_documents")
-    keyed = stored(docs.withColumn("_group", link), "shard-documents")
+    keyed = stored(without(docs, MADE).withColumn("__llm_group", link), "shard-documents")
     rows = keyed.count()
     buckets = buckets_for(rows)
-    groups = stored(keyed.filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-                    .filter("_n > 1").select("_group", F.lit(True).alias("linked")), "shard-groups")
-    keyed = stored(keyed.join(groups, "_group", "left")
+    groups = stored(keyed.filter(F.col("__llm_group").isNotNull()).groupBy("__llm_group").agg(F.count(F.lit(1)).alias("__llm_n"))
+                    .filter("__llm_n > 1").select("__llm_group", F.lit(True).alias("linked")), "shard-groups")
+    keyed = stored(keyed.join(groups, "__llm_group", "left")
                    .withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-linked")
-    numbered = stored(running_sum(keyed, ["linked"], order, None, "_number", buckets), "shard-numbers")
+    numbered = stored(running_sum(keyed, ["linked"], order, None, "__llm_number", buckets), "shard-numbers")
     start = (numbered.filter("linked")
-             .withColumn("shard", (F.col("_number") % shards).cast("int")).drop("_number"))
+             .withColumn("shard", (F.col("__llm_number") % shards).cast("int")).drop("__llm_number"))
     linked = propagate(stored(start, "shard-start"), rows, shards, rounds, order, buckets)
-    used = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("_used"))
+    used = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("__llm_used"))
     all_shards = keyed.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     free = (all_shards.join(used, "shard", "left")
-            .withColumn("_room", quota(rows, shards, F.col("shard")) - F.coalesce("_used", F.lit(0)))
-            .withColumn("_to", F.sum("_room").over(Window.orderBy("shard")))
-            .select("shard", (F.col("_to") - F.col("_room")).alias("_from"), "_to"))
+            .withColumn("__llm_room", quota(rows, shards, F.col("shard")) - F.coalesce("__llm_used", F.lit(0)))
+            .withColumn("__llm_to", F.sum("__llm_room").over(Window.orderBy("shard")))
+            .select("shard", (F.col("__llm_to") - F.col("__llm_room")).alias("__llm_from"), "__llm_to"))
     # Each number lies in one shard's interval; `free` has one row per shard.
     single = numbered.filter("NOT linked")
     filled = single.join(F.broadcast(stored(free, "shard-free")),
-                         (F.col("_number") >= F.col("_from")) & (F.col("_number") < F.col("_to")))
-    placed = filled.drop("_number", "_from", "_to").unionByName(linked)
-    return running_sum(stored(placed, "shard-placed"), ["shard"], order, None, "slot", buckets).drop("_group")
+                         (F.col("__llm_number") >= F.col("__llm_from")) & (F.col("__llm_number") < F.col("__llm_to")))
+    placed = filled.drop("__llm_number", "__llm_from", "__llm_to").unionByName(linked)
+    return running_sum(stored(placed, "shard-placed"), ["shard"], order, None, "slot", buckets).drop("__llm_group")
 
 
 def cut_edges(placed: DataFrame, link: str) -> DataFrame:
     """links and cut_links: each group counts as a chain, cut once for every further shard it lies in."""
-    groups = (placed.filter(F.col(link).isNotNull()).groupBy(link, "shard").agg(F.count(F.lit(1)).alias("_n"))
-              .groupBy(link).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_parts")))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("links"),
-                      F.coalesce(F.sum(F.col("_parts") - 1), F.lit(0)).alias("cut_links"))
+    groups = (placed.filter(F.col(link).isNotNull()).groupBy(link, "shard").agg(F.count(F.lit(1)).alias("__llm_n"))
+              .groupBy(link).agg(F.sum("__llm_n").alias("__llm_n"), F.count(F.lit(1)).alias("__llm_parts")))
+    return groups.agg(F.coalesce(F.sum(F.col("__llm_n") - 1), F.lit(0)).alias("links"),
+                      F.coalesce(F.sum(F.col("__llm_parts") - 1), F.lit(0)).alias("cut_links"))
 
 
 @query("op5_shard_documents")

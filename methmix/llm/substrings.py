@@ -10,8 +10,8 @@ Hashes travel as packed arrays, one row for each slice and part, 7 bytes a windo
 documents hold costs one entry for each slice. Windows are told apart by 59-bit hashes.
 
 A null text has no words. A null id counts as larger than all others. Rows that share an id don't repeat each other.
-Texts of any length are read whole. An empty table gives an empty result. Extra columns are kept; a clash with
-a column made here raises ValueError.
+Texts of any length are read whole. An empty table gives an empty result. Input columns are kept, but for
+one named like a column made here.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from methmix.llm.common import stored, table
+from methmix.llm.common import stored, table, without
 from methmix.llm.registry import query
 from methmix.llm.words import slices, split_words, text_bytes, window_hashes, word_hashes
 from methmix.session import fits_broadcast
@@ -193,7 +193,7 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str) -
     sent = docs.select(id_col, text_col).mapInArrow(_send(id_col, text_col, window, parts), SENT)
     answers = sent.repartition(parts, "part").mapInArrow(_answer(parts), SENT)
     found = answers.repartition(parts, "part").mapInArrow(_gather, "doc long, repeats binary")
-    return stored(found.select(F.col("doc").alias("_doc"), F.col("repeats").alias("_repeats")), "repeats")
+    return stored(found.select(F.col("doc").alias("__llm_doc"), F.col("repeats").alias("__llm_repeats")), "repeats")
 
 
 def merged(flags: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -212,20 +212,20 @@ def _intervals(words: np.ndarray, repeats: bytes, window: int) -> list[tuple[int
 def with_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with _repeats, the packed hashes of its repeated windows (null if none)."""
     repeats = repeated_windows(docs, window, id_col, text_col)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST_ID))))
-    touched = repeats.select("_doc")
+    keyed = docs.withColumn("__llm_doc", F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST_ID))))
+    touched = repeats.select("__llm_doc")
     if not fits_broadcast(touched):
-        return keyed.join(repeats, "_doc", "left").drop("_doc")
+        return keyed.join(repeats, "__llm_doc", "left").drop("__llm_doc")
     # Texts without repeats, most of the corpus, stay where they are.
     touched = F.broadcast(touched)
-    some = keyed.join(touched, "_doc", "left_semi").join(repeats, "_doc")
-    none = keyed.join(touched, "_doc", "left_anti").withColumn("_repeats", F.lit(None).cast("binary"))
-    return some.unionByName(none).drop("_doc")
+    some = keyed.join(touched, "__llm_doc", "left_semi").join(repeats, "__llm_doc")
+    none = keyed.join(touched, "__llm_doc", "left_anti").withColumn("__llm_repeats", F.lit(None).cast("binary"))
+    return some.unionByName(none).drop("__llm_doc")
 
 
 def _mapped(docs: DataFrame, text_col: str, window: int, make, added: str, dropped: list[str]) -> DataFrame:
     """`docs` with columns made from (text bytes, intervals) in place of `dropped` and _repeats."""
-    keep = [f for f in docs.schema.fields if f.name not in [*dropped, "_repeats"]]
+    keep = [f for f in docs.schema.fields if f.name not in [*dropped, "__llm_repeats"]]
     names = [c.strip().split()[0] for c in added.split(",")] if "<" not in added else ["intervals"]
     kinds = T.StructType.fromDDL(added)
     schema = T.StructType(keep + kinds.fields)
@@ -234,7 +234,7 @@ def _mapped(docs: DataFrame, text_col: str, window: int, make, added: str, dropp
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             rows = [make(data, _intervals(word_hashes(data), r, window) if r else [])
-                    for data, r in zip(text_bytes(batch, text_col), batch.column("_repeats").to_pylist())]
+                    for data, r in zip(text_bytes(batch, text_col), batch.column("__llm_repeats").to_pylist())]
             made = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + made,
                                              names=[f.name for f in keep] + names)
@@ -243,8 +243,7 @@ def _mapped(docs: DataFrame, text_col: str, window: int, make, added: str, dropp
 
 def removal_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with intervals array<struct<start, end>>: the words to remove, end excluded."""
-    if "intervals" in (c.lower() for c in docs.columns):
-        raise ValueError("column intervals is made by removal_intervals")
+    docs = without(docs, ("intervals",))
     return _mapped(with_repeats(docs, window, id_col, text_col), text_col, window, lambda data, found: (
         [{"start": a, "end": b} for a, b in found],), "intervals array<struct<start:bigint,end:bigint>>", [])
 
@@ -269,10 +268,10 @@ def cut_words(data: bytes, found: list[tuple[int, int]]) -> bytes:
 def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the repeated words cut from `text_col`; a null text stays null."""
     columns = docs.columns
-    source = docs.withColumn("_null", F.col(text_col).isNull())
+    source = docs.withColumn("__llm_null", F.col(text_col).isNull())
     cut = _mapped(with_repeats(source, window, id_col, text_col), text_col, window,
-                  lambda data, found: (cut_words(data, found).decode(),), "_cut string", [])
-    return cut.withColumn(text_col, F.when(~F.col("_null"), F.col("_cut"))).select(*columns)
+                  lambda data, found: (cut_words(data, found).decode(),), "__llm_cut string", [])
+    return cut.withColumn(text_col, F.when(~F.col("__llm_null"), F.col("__llm_cut"))).select(*columns)
 
 
 def _digest(data: bytes, found: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -285,7 +284,24 @@ def _digest(data: bytes, found: list[tuple[int, int]]) -> tuple[int, int, str]:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", sql="""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+    ), first AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN first USING (k) WHERE doc_id > m
+    ), words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+        FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+        sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+""")
 def op4_substring_dedup(spark, sf_dir):
     """Windows of 13 words over whole texts; digests of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from methmix.llm import sharding
@@ -55,8 +54,8 @@ def test_reruns_agree_and_clash(spark):
     one = {r["doc_id"]: (r["shard"], r["slot"]) for r in place(spark, data, 6)}
     two = {r["doc_id"]: (r["shard"], r["slot"]) for r in place(spark, data[::-1], 6)}
     assert one == two
-    with pytest.raises(ValueError):
-        sharding.shard_documents(documents(spark, data).withColumnRenamed("Key", "Slot"), F.col("text"), ["doc_id"])
+    clash = sharding.shard_documents(documents(spark, data).withColumnRenamed("Key", "Slot"), F.col("text"), ["doc_id"])
+    assert "Slot" not in clash.columns and clash.count() == 90
 
 
 def test_cut_edges(spark):
