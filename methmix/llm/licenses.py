@@ -1,7 +1,8 @@
 """License scans by ordered signature rules; DataFrame functions only.
 
 A text becomes its words, A-Z lowered, between single spaces. One test for a few keywords lets most documents
-pass without any rule; the rules of the others are gated by a keyword each. A rule is a regular expression over
+pass without any rule; the rules of the others are gated by a keyword each. No gate hides a hit: a rule's keyword is
+part of all its matches. A rule is a regular expression over
 whole words; its hits are word intervals. Of overlapping hits, one inside another's interval is dropped, and of
 hits with the same interval the one of the earlier rule stays. A document's hits stay in its row, so nothing is
 shuffled.
@@ -13,6 +14,8 @@ name of a column made here.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,51 +29,51 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# Label, keyword, regular expressions of the name in words. Longer names come first.
+# Label, regular expressions of the name in words. Longer names come first.
 FAMILIES = [
-    ("agpl-3", "affero", ["(?:gnu )?affero general public license(?: agpl)?(?: version)? v?3", "agpl v?3"]),
-    ("agpl", "affero", ["(?:gnu )?affero general public license", "agpl"]),
-    ("lgpl-3", "lesser", ["(?:gnu )?lesser general public license(?: lgpl)?(?: version)? v?3"]),
-    ("lgpl-2.1", "lesser", ["(?:gnu )?lesser general public license(?: lgpl)?(?: version)? v?2 1"]),
-    ("lgpl-2", "library", ["(?:gnu )?library general public license(?: lgpl)?(?: version)? v?2"]),
-    ("lgpl", "lgpl", ["lgpl(?: v?[23](?: 1)?)?", "gnu lgpl"]),
-    ("gfdl", "documentation", ["(?:gnu )?free documentation license(?:(?: version)? v?1 [123])?"]),
-    ("gpl-3", "general", ["(?:gnu )?general public license(?: gpl)?(?: version)? v?3"]),
-    ("gpl-2", "general", ["(?:gnu )?general public license(?: gpl)?(?: version)? v?2"]),
-    ("gpl", "general", ["(?:gnu )?general public license"]),
-    ("gpl-3", "gpl", ["(?:gnu )?gpl(?: version)? v?3", "gplv3"]),
-    ("gpl-2", "gpl", ["(?:gnu )?gpl(?: version)? v?2", "gplv2"]),
-    ("gpl", "gnu", ["gnu gpl"]),
-    ("apache-2", "apache", ["apache(?: software)? license(?: version)? v?2(?: 0)?", "apache 2(?: 0)?"]),
-    ("apache-1", "apache", ["apache(?: software)? license(?: version)? v?1(?: [01])?", "apache 1(?: [01])?"]),
-    ("apache", "apache", ["apache(?: software)? license", "apache"]),
-    ("mit-0", "mit", ["mit no attribution", "mit 0"]),
-    ("mit", "mit", ["mit x11", "mit", "expat"]),
-    ("bsd-4", "bsd", ["bsd 4 clause", "original bsd", "4 clause bsd"]),
-    ("bsd-3", "bsd", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd", "3 clause bsd"]),
-    ("bsd-2", "bsd", ["bsd 2 clause", "simplified bsd", "freebsd", "2 clause bsd"]),
-    ("bsd-0", "bsd", ["zero clause bsd", "0 clause bsd", "0bsd"]),
-    ("bsd", "bsd", ["bsd"]),
-    ("mpl-2", "mozilla", ["mozilla public license(?: version)? v?2(?: 0)?"]),
-    ("mpl-1", "mozilla", ["mozilla public license(?: version)? v?1 [01]"]),
-    ("mpl", "mozilla", ["mozilla public license"]),
-    ("epl-2", "eclipse", ["eclipse public license(?: version)? v?2(?: 0)?"]),
-    ("epl-1", "eclipse", ["eclipse public license(?: version)? v?1(?: 0)?"]),
-    ("cddl", "common", ["common development and distribution license(?:(?: version)? v?1 [01])?"]),
-    ("cpl", "common", ["common public license(?:(?: version)? v?1 0)?"]),
-    ("eupl", "european", ["european union public licence(?:(?: version)? v?1 [12])?"]),
-    ("artistic-2", "artistic", ["artistic license(?: version)? v?2(?: 0)?"]),
-    ("artistic", "artistic", ["artistic license"]),
-    ("isc", "isc", ["isc"]),
-    ("zlib", "zlib", ["zlib libpng", "zlib"]),
-    ("boost", "boost", ["boost software license(?:(?: version)? v?1 0)?", "boost"]),
-    ("unlicense", "unlicense", ["unlicense"]),
-    ("wtfpl", "wtfpl", ["wtfpl"]),
-    ("python", "python", ["python software foundation license(?:(?: version)? v?2)?", "psf license"]),
-    ("php", "php", ["php license(?:(?: version)? v?3(?: 01)?)?"]),
-    ("ofl", "open", ["sil open font license(?:(?: version)? v?1 1)?", "open font license"]),
-    ("odbl", "open", ["open database license(?:(?: version)? v?1 0)?"]),
-    ("openrail", "openrail", ["openrail m?", "open rail m?"]),
+    ("agpl-3", ["(?:gnu )?affero general public license(?: agpl)?(?: version)? v?3", "agpl v?3"]),
+    ("agpl", ["(?:gnu )?affero general public license", "agpl"]),
+    ("lgpl-3", ["(?:gnu )?lesser general public license(?: lgpl)?(?: version)? v?3"]),
+    ("lgpl-2.1", ["(?:gnu )?lesser general public license(?: lgpl)?(?: version)? v?2 1"]),
+    ("lgpl-2", ["(?:gnu )?library general public license(?: lgpl)?(?: version)? v?2"]),
+    ("lgpl", ["lgpl(?: v?[23](?: 1)?)?", "gnu lgpl"]),
+    ("gfdl", ["(?:gnu )?free documentation license(?:(?: version)? v?1 [123])?"]),
+    ("gpl-3", ["(?:gnu )?general public license(?: gpl)?(?: version)? v?3"]),
+    ("gpl-2", ["(?:gnu )?general public license(?: gpl)?(?: version)? v?2"]),
+    ("gpl", ["(?:gnu )?general public license"]),
+    ("gpl-3", ["(?:gnu )?gpl(?: version)? v?3", "gplv3"]),
+    ("gpl-2", ["(?:gnu )?gpl(?: version)? v?2", "gplv2"]),
+    ("gpl", ["gnu gpl"]),
+    ("apache-2", ["apache(?: software)? license(?: version)? v?2(?: 0)?", "apache 2(?: 0)?"]),
+    ("apache-1", ["apache(?: software)? license(?: version)? v?1(?: [01])?", "apache 1(?: [01])?"]),
+    ("apache", ["apache(?: software)? license", "apache"]),
+    ("mit-0", ["mit no attribution", "mit 0"]),
+    ("mit", ["mit x11", "mit", "expat"]),
+    ("bsd-4", ["bsd 4 clause", "original bsd", "4 clause bsd"]),
+    ("bsd-3", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd", "3 clause bsd"]),
+    ("bsd-2", ["bsd 2 clause", "simplified bsd", "freebsd", "2 clause bsd"]),
+    ("bsd-0", ["zero clause bsd", "0 clause bsd", "0bsd"]),
+    ("bsd", ["bsd"]),
+    ("mpl-2", ["mozilla public license(?: version)? v?2(?: 0)?"]),
+    ("mpl-1", ["mozilla public license(?: version)? v?1 [01]"]),
+    ("mpl", ["mozilla public license"]),
+    ("epl-2", ["eclipse public license(?: version)? v?2(?: 0)?"]),
+    ("epl-1", ["eclipse public license(?: version)? v?1(?: 0)?"]),
+    ("cddl", ["common development and distribution license(?:(?: version)? v?1 [01])?"]),
+    ("cpl", ["common public license(?:(?: version)? v?1 0)?"]),
+    ("eupl", ["european union public licence(?:(?: version)? v?1 [12])?"]),
+    ("artistic-2", ["artistic license(?: version)? v?2(?: 0)?"]),
+    ("artistic", ["artistic license"]),
+    ("isc", ["isc"]),
+    ("zlib", ["zlib libpng", "zlib"]),
+    ("boost", ["boost software license(?:(?: version)? v?1 0)?", "boost"]),
+    ("unlicense", ["unlicense"]),
+    ("wtfpl", ["wtfpl"]),
+    ("python", ["python software foundation license(?:(?: version)? v?2)?", "psf license"]),
+    ("php", ["php license(?:(?: version)? v?3(?: 01)?)?"]),
+    ("ofl", ["sil open font license(?:(?: version)? v?1 1)?", "open font license"]),
+    ("odbl", ["open database license(?:(?: version)? v?1 0)?"]),
+    ("openrail", ["openrail m?", "open rail m?"]),
 ]
 
 # Creative Commons clauses, in words and in labels.
@@ -82,37 +85,49 @@ CC_CLAUSES = [("by nc nd", "cc-by-nc-nd", ["attribution non ?commercial no ?deri
               ("by", "cc-by", ["attribution"])]
 CC_VERSIONS = ["4", "3", "2 5", "2", "1"]
 
+GRANTS = ["licensed", "released", "distributed", "published", "available", "provided", "shared", "offered"]
 # Sentence forms around a name, best evidence first, with their scores.
 FORMS = [
     ("spdx license identifier {name}(?: only| or later)?", 1.0),
-    ("(?:licensed|released|distributed|published|available|provided|shared|offered)(?: to you)? under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)?", 0.95),
+    ("(?:" + "|".join(GRANTS) + ")(?: to you)? under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)?", 0.95),
     ("(?:under|subject to|governed by|covered by)(?: the)?(?: terms of)?(?: the)? {name} licen[sc]e", 0.9),
     ("licen[sc]e (?:is )?(?:the )?{name}", 0.7),
     ("{name} licen[sc]e", 0.6),
 ]
-GATE = ["licen", " cc by ", " cc0 ", "public domain", "spdx", " rights reserved ", " gpl", " unlicense "]
+# Every rule needs one of these: the words of its form, or those of a name that stands alone.
+GATE = ["licen", " cc by ", " cc0 ", " creative commons ", " public domain ", " all rights reserved ",
+        *(f" {grant}{you} under " for grant in GRANTS for you in ("", " to you"))]
+
+
+def keyword_of(name: str) -> str:
+    """The longest piece, but for the word licence, that every match of a name holds; spaces bound whole words."""
+    rest, pieces = None, f" {name} "
+    while rest != pieces:
+        rest, pieces = pieces, re.sub(r"\(\?:[^()]*\)\?", "\0", pieces)
+    pieces = re.split("\0", re.sub(r"[^\0]\?|\[[^]]*\]", "\0", pieces))
+    return max(pieces, key=lambda piece: (piece.strip() not in ("license", "licence"), len(piece.strip()), len(piece)))
 
 
 def rules() -> list[tuple[str, str, str, float]]:
     """Ordered rules: (label, keyword, regular expression, score). Base phrases first, then form by form."""
-    names = [(label, keyword, name) for label, keyword, patterns in FAMILIES for name in patterns]
+    names = [(label, name) for label, patterns in FAMILIES for name in patterns]
     for short, label, long_names in CC_CLAUSES:
         for version in CC_VERSIONS:
             tail = f" {version}" + ("" if " " in version else "(?: 0)?")
-            names += [(f"{label}-{version.replace(' ', '.')}", short.split()[0], f"cc {short}{tail}")]
-            names += [(f"{label}-{version.replace(' ', '.')}", "commons", f"creative commons {name}{tail}(?: international)?")
+            names += [(f"{label}-{version.replace(' ', '.')}", f"cc {short}{tail}")]
+            names += [(f"{label}-{version.replace(' ', '.')}", f"creative commons {name}{tail}(?: international)?")
                       for name in long_names]
-        names += [(label, short.split()[0], f"cc {short}")]
-        names += [(label, "commons", f"creative commons {name}") for name in long_names]
-    found = [(label, phrase.split()[0], phrase, 1.0) for phrase, label in BASE.items()]
+        names += [(label, f"cc {short}")]
+        names += [(label, f"creative commons {name}") for name in long_names]
+    found = [(label, keyword_of(phrase), phrase, 1.0) for phrase, label in BASE.items()]
     for form, score in FORMS:
-        found += [(label, keyword, form.format(name=f"(?:{name})"), score) for label, keyword, name in names]
+        found += [(label, keyword_of(name), form.format(name=f"(?:{name})"), score) for label, name in names]
     found += [
-        ("cc0", "cc0", "cc0(?: 1(?: 0)?)?(?: universal)?", 0.9),
-        ("public-domain", "domain", "(?:dedicated to|released into|in) the public domain", 0.8),
-        ("all-rights-reserved", "reserved", "all rights reserved", 0.8),
+        ("cc0", " cc0 ", "cc0(?: 1(?: 0)?)?(?: universal)?", 0.9),
+        ("public-domain", " the public domain ", "(?:dedicated to|released into|in) the public domain", 0.8),
+        ("all-rights-reserved", " all rights reserved ", "all rights reserved", 0.8),
     ]
-    found += [(label, keyword, name, 0.8) for label, keyword, name in names
+    found += [(label, keyword_of(name), name, 0.8) for label, name in names
               if name.startswith(("cc ", "creative")) or "general public license" in name]
     return found
 
@@ -158,18 +173,23 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rank, score>>), the hits that no other one suppresses, by start."""
     docs = without(docs, ("n_words", "base", "hits"))
     listed = rules()
-    table_of_rules = F.array(*[
-        F.struct(F.lit(f"{keyword}").alias("keyword"), F.lit(whole_words(pattern)).alias("pattern"),
-                 F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(score).alias("score"))
-        for rank, (label, keyword, pattern, score) in enumerate(listed)])
+    by_keyword: dict[str, list] = {}
+    for rank, (label, keyword, pattern, score) in enumerate(listed):
+        by_keyword.setdefault(keyword, []).append(F.struct(
+            F.lit(whole_words(pattern)).alias("pattern"), F.lit(label).alias("label"), F.lit(rank).alias("rank"),
+            F.lit(score).alias("score")))
+    table_of_rules = F.array(*[F.struct(F.lit(keyword).alias("keyword"), F.array(*group).alias("rules"))
+                               for keyword, group in by_keyword.items()])
     kind = "array<struct<label:string,start:bigint,end:bigint,rank:int,score:double>>"
     lowered = F.lower("__llm_raw")
     gate = F.lit(False)
     for keyword in GATE:
         gate = gate | F.contains(lowered, F.lit(keyword))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    asked = F.flatten(F.transform(F.filter(table_of_rules, lambda g: F.contains(F.col("__llm_norm"), g["keyword"])),
+                                  lambda g: g["rules"]))
     found = F.flatten(F.transform(
-        F.filter(table_of_rules, lambda r: F.contains(F.col("__llm_norm"), r["keyword"])),
+        asked,
         lambda r: F.transform(places(F.col("__llm_norm"), r["pattern"]), lambda p: F.struct(
             r["label"].alias("label"), p["start"].alias("start"), p["end"].alias("end"),
             r["rank"].alias("rank"), r["score"].alias("score"))))).cast(kind)

@@ -77,3 +77,56 @@ def test_empty_table_and_clash(spark):
     assert licenses.scan_licenses(empty).collect() == []
     clash = licenses.scan_licenses(documents(spark, rows(["under the mit license"])).withColumnRenamed("Key", "Hits"))
     assert "Hits" not in clash.columns and clash.first()["base"][0]["label"] == "mit"
+
+
+def forms_of(pattern):
+    """Texts that a rule's pattern matches: each alternative and optional part at least once."""
+    tree = re._parser.parse(pattern)
+
+    def texts(items):
+        found = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(a) for _, a in arg]
+            elif op == "MAX_REPEAT":
+                more = ["", *texts(arg[2])]
+            elif op == "SUBPATTERN":
+                more = texts(arg[3])
+            else:
+                assert op == "BRANCH"
+                more = [t for branch in arg[1] for t in texts(branch)]
+            # The longest and the shortest of each part, and every one beside the first text.
+            found = list(dict.fromkeys([found[0] + m for m in more] + [f + m for f in found[1:] for m in (more[0], more[-1])]))
+        return found
+    return texts(tree)
+
+
+def test_gates_hide_no_rule():
+    for _, keyword, pattern, _ in licenses.rules():
+        for text in forms_of(pattern):
+            assert re.fullmatch(pattern, text)
+            assert keyword in f" {text} " and any(g in f" {text} " for g in licenses.GATE), (pattern, text)
+
+
+def test_names_without_the_word_licence(spark):
+    texts = {"Released under MIT": "mit", "distributed under the BSD 3 clause": "bsd-3", "released under Apache 2.0": "apache-2",
+             "distributed under LGPL 3": "lgpl", "released under AGPL": "agpl", "offered to you under AGPL v3": "agpl-3",
+             "released under Creative Commons Attribution 4.0": "cc-by-4", "the Expat license": "mit", "PSF license license": "python"}
+    found = licenses.scan_licenses(documents(spark, rows(list(texts)))).orderBy("doc_id").collect()
+    assert [[h["label"] for h in r["hits"]] for r in found] == [[label] for label in texts.values()]
+
+
+def test_against_every_rule_without_gates(spark):
+    names = ["MIT", "Expat", "AGPL 3", "GPLv2", "Apache 1.1", "CC BY-SA 2.5", "Creative Commons Attribution ShareAlike", "submit"]
+    texts = [f"x {form} {name} y" for form in ("released under", "subject to the", "provided to you under the terms of the") for name in names]
+    texts += [f"{t} licence" for t in texts] + TEXTS
+    listed = [re.compile(f" {pattern}(?= )") for _, _, pattern, _ in licenses.rules()]
+    for r in licenses.scan_licenses(documents(spark, rows(texts))).collect():
+        joined = " " + " ".join(words(texts[r["doc_id"]])) + " "
+        hits = [(joined[:m.start()].count(" "), joined[:m.end()].count(" "), rank)
+                for rank, pattern in enumerate(listed) for m in pattern.finditer(joined)]
+        kept = [h for h in hits if not any(o != h and o[0] <= h[0] and h[1] <= o[1] and (o[:2] != h[:2] or o[2] < h[2]) for o in hits)]
+        assert sorted((h["start"], h["end"], h["rank"]) for h in r["hits"]) == sorted(kept)
