@@ -3,9 +3,11 @@
 A page becomes blocks of text in page order, each with its path of block elements from the root. For each path the
 text length and the punctuation are summed and divided by its number of blocks; links count against it. Both ratios
 are smoothed over neighbouring paths, multiplied, and compared with a threshold from their spread. Blocks
-of navigation, adverts, forms, comments and the like are known by element, role or class and take no part. The
-content is the innermost element that holds most of the text of the paths over the threshold; all its blocks
-that are no boilerplate are the article, short ones and headings too.
+of navigation, adverts, forms, comments and the like are known by element, role or class and take no part. Class words
+and forms only mark an element: the mark does not hold if the element has the page's main, its article or most of its
+text outside links (`Blocks.judged`). The content is the innermost element that holds most of the text of the paths
+over the threshold; all its blocks that are no boilerplate are the article, short ones and headings too. So are the
+blocks outside it whose path is over the threshold, with the headings beside them.
 
 A null or empty page gives an empty text; so does one without text outside boilerplate. Broken markup (open
 elements, stray ends, cut entities) is read as far as it goes. Pages of any length are read whole. Repeated rows are
@@ -39,22 +41,31 @@ UNSEEN = frozenset("script style noscript template head title svg math iframe ob
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
     " h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
+BOILERPLATE = frozenset("nav footer aside button select textarea menu dialog fieldset".split())
 # Elements that end an open one of the same kind, and the elements that hold them.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
             "th": ("tr", "table"), "option": ("select",)}
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 # Words of class names and ids of boilerplate.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
     " notice notices popup modal overlay sidebar sidenav rail widget widgets nav navbar navigation menu menus breadcrumb"
     " breadcrumbs pagination pager footer masthead comment comments discussion disqus reply replies respond share sharing"
     " social related recommended newsletter subscribe subscription signup login search toolbar skip".split())
+# Words among them of lists of entries by others, which are articles of their own.
+ENTRIES = frozenset(
+    "comment comments discussion disqus reply replies respond related recommended sidebar rail widget widgets promo"
+    " sponsored ad ads".split())
+# First words of class names that tell of a page's state, not of the element.
+STATES = frozenset("has with without no not is hide".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HINT_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 SPACE = re.compile(r"\s+")
 # A container must hold this share of the text over the threshold.
 SHARE = 0.85
+# An element marked by class words is content if it holds more than this share of the page's text outside links.
+MOST = 0.5
 # The threshold lies this many deviations above the mean of fused ratios, and never above a share of the best.
 DEVIATIONS = 0.25
 BEST_SHARE = 0.3
@@ -67,7 +78,9 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.names: list[str] = []           # tag of each element by number
-        self.boiler: list[bool] = []         # whether it, or an element around it, is boilerplate
+        self.boiler: list[bool] = []         # whether it, or an element around it, is boilerplate by element or role
+        self.marks: list[frozenset[str] | None] = []  # what its class words or a form say, None if nothing
+        self.parents: list[int | None] = []
         self.stack: list[tuple[str, int]] = []
         self.open: dict[str, int] = {}
         self.found: list[tuple[tuple[int, ...], str, int]] = []
@@ -121,13 +134,16 @@ class Blocks(HTMLParser):
         self.open[tag] = self.open.get(tag, 0) + 1
         values = dict(attrs)
         boiler = self._boiler(tag, values)
-        if tag in INLINE and not boiler:
+        mark = None if boiler else self._mark(tag, values)
+        if tag in INLINE and not boiler and mark is None:
             self.stack.append((tag, -1))
             return
         self.finish()
         self.names.append(tag)
         parent = self.path[-1] if self.path else None
         self.boiler.append(boiler or (parent is not None and self.boiler[parent]))
+        self.marks.append(mark)
+        self.parents.append(parent)
         self.stack.append((tag, len(self.names) - 1))
         self.path += (len(self.names) - 1,)
 
@@ -136,10 +152,56 @@ class Blocks(HTMLParser):
             return True
         if tag == "header":
             return not (self.open.get("article") or self.open.get("main"))
+        return False
+
+    def _mark(self, tag: str, values: dict) -> frozenset[str] | None:
         if tag in ("html", "body", "article", "main"):
-            return False
-        words = _HINT_WORDS.findall(f"{values.get('class') or ''} {values.get('id') or ''}")
-        return any(w.lower() in HINTS for w in words)
+            return None
+        names = f"{values.get('class') or ''} {values.get('id') or ''}".split()
+        words = [[w.lower() for w in _HINT_WORDS.findall(name)] for name in names]
+        found = {w for name in words if name and name[0] not in STATES for w in name if w in HINTS}
+        if tag == "form" or (values.get("role") or "").lower() == "form":
+            found.add("form")
+        return frozenset(found) or None
+
+    def judged(self) -> list[bool]:
+        """Whether each element is boilerplate, marks weighed against the text they would take away."""
+        weight = [0] * len(self.names)
+        total = 0
+        for path, text, linked in self.found:
+            if not (path and self.boiler[path[-1]]):
+                outside_links = max(len(text) - 2 * linked, 0)
+                total += outside_links
+                for n in path:
+                    weight[n] += outside_links
+        # The heaviest article inside each element, and whether it holds a main; inner elements have larger numbers.
+        article, main = [0] * len(self.names), [False] * len(self.names)
+        for n in range(len(self.names) - 1, -1, -1):
+            if self.names[n] in ("article", "main"):
+                article[n] = max(article[n], weight[n])
+                main[n] = main[n] or (self.names[n] == "main" and weight[n] > 0)
+            if (parent := self.parents[n]) is not None:
+                article[parent] = max(article[parent], article[n])
+                main[parent] = main[parent] or main[n]
+        holds = [mark is not None and not main[n] and (bool(mark & ENTRIES) or weight[n] <= MOST * total)
+                 for n, mark in enumerate(self.marks)]
+
+        def free_article() -> int:
+            gone = self._inherited(holds)
+            return max((w for w, name, out in zip(weight, self.names, gone) if name in ("article", "main") and not out), default=0)
+        free = free_article()
+        for n, mark in enumerate(self.marks):
+            if holds[n] and article[n] and article[n] >= free and not mark & ENTRIES:
+                holds[n] = False
+        if not free_article():
+            holds = [h and not (self.marks[n] & ENTRIES and weight[n] > MOST * total) for n, h in enumerate(holds)]
+        return self._inherited(holds)
+
+    def _inherited(self, holds: list[bool]) -> list[bool]:
+        gone: list[bool] = []
+        for n, parent in enumerate(self.parents):
+            gone.append(self.boiler[n] or holds[n] or (parent is not None and gone[parent]))
+        return gone
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -187,7 +249,8 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.finish()
-    blocks = [(path, text, linked) for path, text, linked in page.found if not (path and page.boiler[path[-1]])]
+    boiler = page.judged()
+    blocks = [(path, text, linked) for path, text, linked in page.found if not (path and boiler[path[-1]])]
     if not blocks:
         return ""
     named = ["/".join(page.names[n] for n in path) for path, _, _ in blocks]
@@ -204,7 +267,11 @@ def extract(html: str | None) -> str:
     heavy = [n for n, w in weight.items() if w >= SHARE * total]
     articles = [n for n in heavy if page.names[n] in ("article", "main")]
     container = max(articles or heavy, default=None)
-    return " ".join(text for path, text, _ in blocks if container is None or container in path)
+    if container is None:
+        return " ".join(text for _, text, _ in blocks)
+    outside = {path[:-1] for name, (path, _, _) in zip(named, blocks) if name in chosen and container not in path}
+    return " ".join(text for name, (path, text, _) in zip(named, blocks) if container in path or name in chosen
+                    or (path and page.names[path[-1]] in HEADINGS and path[:-1] in outside))
 
 
 def extract_content(pages: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:

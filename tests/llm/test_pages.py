@@ -59,3 +59,24 @@ def test_null_empty_long_and_clash(spark):
     assert pages.extract_content(data.limit(0)).collect() == []
     clash = pages.extract_content(data.withColumnRenamed("Key", "Content"))
     assert "Content" not in clash.columns and clash.count() == 5
+
+
+@pytest.mark.parametrize("page", [
+    "<div id='page' class='site has-sidebar'><main><article>{}</article></main></div>",
+    "<div class='with-sidebar'><article>{}</article><div class='sidebar'><p>Side, bar. And more.</p></div></div>",
+    "<body class=x><div class='no-ads'>{}</div><footer>Foot, note.</footer></body>",
+    "<div class='nav-open'><div>{}</div><div class='comments'><p>Nice, one. Really, nice.</p></div></div>",
+    "<div class='social-page'><section>{}</section></div>",
+    "<body><form action=x><nav><a>Home</a></nav><div>{}</div><input></form></body>",
+    "<article>{}</article><div class='related'><article><p>Other, things. To, read.</p></article></div>",
+    "<div>{}</div><div class='comments'><article><p>Nice, one. Really, nice.</p></article></div>",
+])
+def test_marks_do_not_take_the_article(page):
+    assert extract(page.format(ARTICLE)) == TEXT
+
+
+def test_paths_over_the_threshold_outside_the_container_stay():
+    lead = "A lead of some length, in a place of its own. It opens, and it tells, what comes next."
+    body = "".join(f"<p>Paragraph {i} of the story, which goes on, and on. It has marks, too, and is long.</p>" for i in range(12))
+    found = extract(f"<div class=page><div><h1>Title</h1><p>{lead}</p></div><div><div>{body}</div></div></div>")
+    assert found.startswith(f"Title {lead} Paragraph 0") and "Paragraph 11" in found
