@@ -7,7 +7,8 @@
    a pair is comes from a count-min table of fixed size; it decides cost, not results.
 3. Within a list, collisions are counted on four bits of all 64 minima; pairs under LEAST_COLLISIONS are dropped.
    A list hands on a spanning forest of its collisions, mostly stars around small members: fewer pairs
-   than members, however large the list. Lists are split into chunks; a list of several chunks is tied together.
+   than members, however large the list. Lists of more than CHUNK postings, counted exactly, are split into chunks, and
+   every two chunks of a list are compared.
 4. The pairs are confirmed on full shingle sets and joined to components; unconfirmed, they tie classes to
    families. Any two classes that collided lie in one family. In a family of several components, the members outside its
    largest component are compared with all others on full sets, chunk by chunk, so no link is lost.
@@ -140,11 +141,11 @@ def list_sizes(classes: DataFrame) -> np.ndarray:
     return np.minimum(total.ravel(), 2**31 - 1).astype(np.int32)
 
 
-POSTINGS = "key long, chunk int, node long, n long, sketch binary"
+POSTINGS = "key long, chunk long, node long, n long, sketch binary"
 
 
-def _post(sizes):
-    """Every class under its PREFIX rarest keys, with a chunk number in lists that may be long."""
+def _post(sizes, limit: int):
+    """Every class under its PREFIX rarest keys; chunk is 1 in lists that may be long, else 0."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = sizes.value
         for batch in batches:
@@ -158,10 +159,9 @@ def _post(sizes):
             sketch = (low[:, ::2] | (low[:, 1::2] << np.uint8(4))).tobytes()
             step = COORDINATES // 2
             sketches = pa.array([sketch[i * step:(i + 1) * step] for i in range(len(node))], pa.binary())
-            own = mixed(node.view(np.uint64))[:, None] % (counts // CHUNK + 1).astype(np.uint64)
             rows = pa.array(np.repeat(np.arange(len(node)), PREFIX))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(own.ravel().astype(np.int32)), pa.array(node).take(rows),
+                [pa.array(keys.ravel().view(np.int64)), pa.array((counts > limit).ravel().astype(np.int64)), pa.array(node).take(rows),
                  batch.column("n_shingles").take(rows), sketches.take(rows)],
                 names=["key", "chunk", "node", "n", "sketch"])
     return task
@@ -326,20 +326,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
             .select("u", "v", "a", "b").mapInArrow(_confirm, PAIRS))
 
 
+def chunked(postings: DataFrame) -> DataFrame:
+    """`postings` with lists of more than CHUNK rows dealt to chunks, and a row for each pair of chunks that it meets in."""
+    long = stored(postings.filter("chunk > 0").groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+                  .filter(F.col("members") > CHUNK)
+                  .select("key", F.ceil(F.col("members") / CHUNK).cast("bigint").alias("chunks")), "long-lists")
+    placed = postings.join(broadcast_if_small(long), "key", "left").withColumn(
+        "own", F.pmod(F.xxhash64("node", "key"), F.coalesce("chunks", F.lit(1).cast("bigint"))))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda other: other != F.col("own"))
+    pairs = F.transform(others, lambda other: F.least("own", other) * F.col("chunks") + F.greatest("own", other))
+    zero = F.array(F.lit(0).cast("bigint"))
+    # Two chunks meet with all their members, so those of one chunk are compared there, too.
+    return placed.withColumn("chunk", F.explode(F.when(F.col("chunks").isNull(), zero).otherwise(pairs))).select(
+        "key", "chunk", "node", "n", "sketch")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, component) of every class that is linked with another one; ids are class digests."""
-    sizes = classes.sparkSession.sparkContext.broadcast(list_sizes(classes))
-    postings = classes.select("cls", "n_shingles", "minima").mapInArrow(_post(sizes), POSTINGS)
+    lengths = list_sizes(classes)
+    sizes = classes.sparkSession.sparkContext.broadcast(lengths)
+    postings = classes.select("cls", "n_shingles", "minima").mapInArrow(_post(sizes, CHUNK), POSTINGS)
+    if lengths.max() > CHUNK:
+        postings = chunked(postings)
     pairs = stored(postings.repartition("key", "chunk").mapInArrow(_first_pairs, PAIRS).distinct(), "pairs")
     links = stored(confirmed(pairs, docs, classes, width), "links")
     parts = stored(components(links), "parts")
-    # Lists that may have been split: their members share a family through the list's key.
-    tied = (classes.select("cls", "n_shingles", "minima").mapInArrow(_post(sizes), POSTINGS).filter("chunk > 0")
-            .select(F.col("key").alias("v")).distinct())
-    split = postings.join(tied.withColumnRenamed("v", "key"), "key", "left_semi").select(F.col("node").alias("u"), F.xxhash64("key").alias("v"))
-    families = components(pairs.unionByName(split))
+    families = components(pairs)
     members = (families.select(F.col("id").alias("node"), F.col("component").alias("family"))
-               .join(parts.withColumnRenamed("id", "node"), "node", "left").join(classes.select(F.col("cls").alias("node")), "node")
+               .join(parts.withColumnRenamed("id", "node"), "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
     members = stored(members, "members")
     open_ = stored(

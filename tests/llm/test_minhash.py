@@ -78,3 +78,14 @@ def test_components(spark):
     found = cc.components(spark.createDataFrame(chain, "u long, v long"))
     assert {r["id"]: r["component"] for r in found.collect()} == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
     assert cc.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_near_copies_whose_lists_are_split(spark, monkeypatch):
+    """The only link of a family of two holds, wherever its ends are dealt to."""
+    monkeypatch.setattr(minhash, "CHUNK", 1)
+    texts = []
+    for family in range(12):
+        base = sentence(family, 120)
+        texts += [" ".join(base), " ".join(base[:60] + ["changed"] + base[61:])]
+    data = rows(texts)
+    assert got(spark, data, 2) == expected(data, 2)
