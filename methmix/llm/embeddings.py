@@ -3,8 +3,9 @@
 1. Equal vectors form a class; classes are dealt to shards by hash, and each shard builds a graph.
 2. Every class searches every shard with a beam; what it finds is verified by cosine in double precision, and the links
    are joined to components.
-3. An audit compares AUDITED classes with all vectors. While the ends of less than RECALL of the links found so lie in
-   one component, the beam doubles; at the size of a shard it compares everything.
+3. An audit compares a sample of the classes, a share of every shard, with all vectors. It grows until AUDITED_LINKED
+   classes with links have been checked, or every class. While less than RECALL of these have all their links in their own
+   component, the beam doubles. What the audit finds is joined to the links, so that an audit of every class is exact.
 4. All links of a vector lie within its component, so its number is counted there, block by block.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing: n_links 0, a component of their
@@ -34,8 +35,11 @@ VECTORS_PER_SHARD = 100_000
 VECTORS_PER_QUERY_BLOCK = 1024
 QUERY_BLOCKS_PER_TASK = 8
 BEAM = 16
-AUDITED = 512
-AUDITED_LINKS = 64    # links checked for one class and shard
+AUDITED = 512            # classes of the first sample at least
+AUDITED_SHARE = 0.001    # of all classes
+AUDITED_GROWTH = 8
+AUDITED_LINKED = 4000    # classes with links to check; RECALL means little on fewer
+AUDITED_ROWS = 256       # compared with a shard at once
 RECALL = 0.999
 COUNT_BLOCK = 2048
 LAST_ID = np.iinfo(np.int64).max
@@ -82,19 +86,38 @@ def _search(beam: int, cosine: float):
 
 
 def _audit(cosine: float):
-    """The first links of every audited class in a shard, by comparison with all of it."""
+    """Every audited class with all of a shard: a link to each component in which it has links."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, exact = unpack(row["ids"], row["vectors"], row["dim"])
+                labels = np.frombuffer(row["labels"], np.int64)
                 q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["dim"])
-                for id_, vector in zip(q_ids, q):
-                    v = ids[exact @ vector >= cosine]
-                    v = v[v != id_][:AUDITED_LINKS]
-                    yield _links(np.full(len(v), id_), v)
+                single = exact.astype(np.float32)
+                for at in range(0, len(q), AUDITED_ROWS):
+                    near = q[at:at + AUDITED_ROWS].astype(np.float32) @ single.T >= cosine - 1e-3
+                    for place in np.flatnonzero(near.any(axis=1)):
+                        found = np.flatnonzero(near[place])
+                        found = found[(exact[found] @ q[at + place] >= cosine) & (ids[found] != q_ids[at + place])]
+                        _, first = np.unique(labels[found], return_index=True)
+                        yield _links(np.full(len(first), q_ids[at + place]), ids[found[first]])
     return task
 
 
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the component of each of their ids, in order of the ids; one without a component is its own."""
+    for batch in batches:
+        labels = []
+        for ids, pairs in zip(batch.column("ids").to_pylist(), batch.column("pairs").to_pylist()):
+            own = np.frombuffer(ids, np.int64).copy()
+            if pairs:
+                known = np.array([(p["id"], p["component"]) for p in pairs], np.int64)
+                own[np.searchsorted(own, known[:, 0])] = known[:, 1]
+            labels.append(own.tobytes())
+        kept = ["dim", "block", "ids", "vectors"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(labels, pa.binary())], names=[*kept, "labels"])
+
+
 def _count(cosine: float):
     """Per left member of a block pair, the copies of the right members that it is linked with."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64())])
@@ -127,22 +150,44 @@ def link_components(classes: DataFrame, cosine: float) -> DataFrame:
     blocks = count // VECTORS_PER_QUERY_BLOCK + 1
     asked = stored(pack(points, blocks, unit), "queries")
     salts = blocks // QUERY_BLOCKS_PER_TASK + 1
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(AUDITED)
-    true = stored(meet(pack(sample, 1, unit), graphs.drop("layers"), shards, 1).mapInArrow(_audit(cosine), "u long, v long"), "audit")
     beam = BEAM
     while True:
         found = meet(asked, graphs, shards, salts).mapInArrow(_search(beam, cosine), "u long, v long")
-        parts = stored(components(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()),
-                       "components")
-        left = parts.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-        right = parts.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-        joined = true.join(left, "u", "left").join(right, "v", "left")
-        links, hits = joined.agg(F.count(F.lit(1)), F.count(F.when(F.col("cu") == F.col("cv"), 1))).first()
-        if hits >= RECALL * links or beam >= count:
-            return parts
+        links = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        parts = stored(components(links), "components")
+        more, whole, linked, missed = audited(points, count, graphs, shards, parts, cosine)
+        if whole or missed <= (1 - RECALL) * linked or beam >= count:
+            return stored(components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)),
+                          "components") if missed else parts
         beam *= 2
 
 
+def audited(points: DataFrame, count: int, graphs: DataFrame, shards: int, parts: DataFrame, cosine: float):
+    """True links (u, v) of a sample that `parts` does not join, whether every class is in the sample, and how many of its
+    classes have links and have links not joined."""
+    dealt = parts.join(points, "id").groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("block")
+                                             ).agg(F.collect_list(F.struct("id", "component")).alias("pairs"))
+    blocks = stored(graphs.drop("layers").join(dealt, ["dim", "block"], "left").mapInArrow(_label, PACKED + ", labels binary"), "labelled")
+    left = parts.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+    right = parts.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    # A hash of its own, so that a sample has about its share of every shard.
+    place = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
+    share, before, checked = max(AUDITED / max(count, 1), AUDITED_SHARE), 0.0, None
+    while True:
+        packs = max(1, int(count * (min(share, 1.0) - before)) // VECTORS_PER_QUERY_BLOCK + 1)
+        sample = pack(points.filter((place >= before) & (place < share)), packs, unit)
+        true = stored(meet(sample, blocks, shards, packs // QUERY_BLOCKS_PER_TASK + 1)
+                      .mapInArrow(_audit(cosine), "u long, v long"), "audit")
+        checked = true if checked is None else checked.unionByName(true)
+        judged = checked.join(left, "u", "left").join(right, "v", "left").withColumn(
+            "missed", F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+        linked, missed = judged.groupBy("u").agg(F.max("missed").alias("missed")).agg(
+            F.count(F.lit(1)), F.count(F.when(F.col("missed"), 1))).first()
+        if linked >= AUDITED_LINKED or share >= 1:
+            return judged.filter("missed").select("u", "v"), share >= 1, linked, missed
+        before, share = share, share * AUDITED_GROWTH
+
+
 def count_links(classes: DataFrame, parts: DataFrame, cosine: float) -> DataFrame:
     """node, n: members of other classes that a class is linked with, each copy counted."""
     members = classes.join(parts.withColumnRenamed("id", "node"), "node").select("node", "copies", "component",

@@ -115,3 +115,21 @@ def test_top_k_null_ids_and_empty(spark):
     data = [(None, [1.0, 1.0], 0), (0, [1.0, 1.0], 0), (0, [1.0, 1.0], 0), (1, [1.0, 1.0], 0), (1, [1.0, 1.0], 0)]
     assert search(spark, data, 5) == [(0, 1, 1, 8192), (0, 2, 1, 8192)]
     assert search(spark, [], 5) == []
+
+
+def test_few_links_are_found_though_the_graphs_find_none(spark, monkeypatch):
+    """No search result at all: with few links, the audit must go on to every class."""
+    monkeypatch.setattr(embeddings, "_search", lambda beam, cosine: lambda batches: (batch.slice(0, 0) for batch in ()))
+    monkeypatch.setattr(embeddings, "AUDITED", 4)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 16))
+    x[150:156] = x[20:26] + rng.normal(size=(6, 16)) * 0.01
+    check_links(spark, [(i, [float(c) for c in row], 0) for i, row in enumerate(x.astype(np.float32))])
+
+
+def test_audit_of_a_part(spark, monkeypatch):
+    """A sample that has links enough stops, and a narrow beam is widened until it passes."""
+    monkeypatch.setattr(embeddings, "AUDITED", 150)
+    monkeypatch.setattr(embeddings, "AUDITED_LINKED", 10)
+    monkeypatch.setattr(embeddings, "BEAM", 1)
+    check_links(spark, vectors(1))
