@@ -1,6 +1,7 @@
 """Importing this module registers the queries of all operators."""
 
-from methmix.llm import bpe, embeddings, language, licenses, minhash, mixing, pages, sharding, substrings, topk  # noqa: F401
+from methmix.llm import (  # noqa: F401
+    bpe, embeddings, language, licenses, minhash, mixing, pages, resampling, sharding, substrings, topk)
 from methmix.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
