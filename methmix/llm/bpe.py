@@ -5,8 +5,8 @@ the longest token that is compatible with the one before it, and goes back when
 are compatible if merging their joined text would keep the border between them; a table keeps the answers. The
 tokens found this way are exactly those of the merges, and no place is visited twice, so time is linear.
 
-The tokenizer file is read on the driver and sent to the tasks; its size is that of its vocabulary. Words between
-white space are encoded once and kept in a store of fixed size.
+The tokenizer file is read on the driver and sent to the tasks; its size is that of its vocabulary. Words are kept with their
+tokens in two generations: a full young one becomes the old one, and words met again move on to the young one.
 
 A null text is encoded as an empty one. Texts of any length are encoded whole. Repeated rows and null ids are kept. An
 empty table gives an empty result. Input columns are kept, but for those with the name of a column made here.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,8 +32,12 @@ from methmix.llm.common import table, without
 from methmix.llm.registry import query
 from methmix.llm.words import slices
 
-# Words that one worker keeps with their tokens.
+# Words of a generation: one worker keeps the tokens of the words met last, of two generations at most.
 CACHED_WORDS = 150_000
+# White-space chunks of several words that one worker keeps.
+CACHED_CHUNKS = 30_000
+# Longer words and chunks are not kept.
+LONGEST_CACHED = 64
 # Pairs of tokens whose compatibility one worker remembers.
 CACHED_PAIRS = 250_000
 NO_LIMIT = 1 << 40
@@ -76,7 +81,7 @@ class Encoder:
             return "".join(code[c] for c in token)
 
         # Tokens by rank: the single letters, then the merges in order.
-        self.ids = np.zeros(512 + len(model["merges"]), np.int32)
+        self.ids = [0] * (512 + len(model["merges"]))
         names = [*(chr(c) for c in range(512))]
         for b, letter in enumerate(letters):
             self.ids[b], self.ids[256 + b] = vocabulary[letter], vocabulary[letter + self.suffix]
@@ -100,7 +105,9 @@ class Encoder:
         # The longest token that begins a token, or -1.
         self.shorter = [next((rank_of[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in rank_of), -1) for n in names]
         self.compatible: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
         # Decoding: the bytes of every id in one array, with the offset of each; tokens are set off by one space.
         by_id = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
@@ -171,14 +178,34 @@ class Encoder:
                 at -= lengths[token]
         return tokens
 
+    def _packed(self, word: str) -> bytes:
+        """Packed ids of a word."""
+        packed = self.young.get(word)
+        if packed is not None:
+            return packed
+        packed = self.old.get(word)
+        if packed is None:
+            packed = array("i", map(self.ids.__getitem__, self._word(word.encode()))).tobytes()
+            if len(word) > LONGEST_CACHED:
+                return packed
+        if len(self.young) >= CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        self.young[word] = packed
+        return packed
+
     def _chunk(self, chunk: str) -> bytes:
         """Packed ids of a text without white space."""
-        ids = [self.ids[self._word(word.encode())] for word in self.pattern.findall(chunk)]
-        packed = np.concatenate(ids).tobytes() if ids else b""
-        if len(chunk) <= 64:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[chunk] = packed
+        packed = self.chunks.get(chunk)
+        if packed is not None:
+            return packed
+        words = self.pattern.findall(chunk)
+        if len(words) == 1:
+            return self._packed(words[0])
+        packed = b"".join(map(self._packed, words))
+        if len(chunk) <= LONGEST_CACHED:
+            if len(self.chunks) >= CACHED_CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = packed
         return packed
 
     def _plain(self, text: str) -> bytes:
@@ -188,10 +215,10 @@ class Encoder:
         text = text.lower()
         if SEPARATORS.search(text):
             return b"".join(self._chunk(c) for c in regex.split(r"[^\S\x1c-\x1f]+", text) if c)
-        known, encode = self.words.get, self._chunk
-        out = []
+        encode, out = self._chunk, []
         for chunk in text.split():
-            packed = known(chunk)
+            # A chunk of one word is most often known.
+            packed = self.young.get(chunk)
             out.append(encode(chunk) if packed is None else packed)
         return b"".join(out)
 

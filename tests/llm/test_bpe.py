@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from methmix.llm import bpe
-from tests.llm.data import documents, hard_texts, rows
+from tests.llm.data import documents, hard_texts, rows, sentence
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +78,15 @@ def test_empty_table_and_clash(spark):
     assert bpe.encode_texts(empty, PATH).collect() == []
     clash = bpe.encode_texts(documents(spark, rows(["a b"])).withColumnRenamed("Key", "Token_Ids"), PATH)
     assert "Token_Ids" not in clash.columns and clash.first()["n_tokens"] == 2
+
+
+def test_small_generations_change_nothing(own, monkeypatch):
+    """Words leave the store and come back; their tokens stay the same, and the store stays within its bounds."""
+    texts = [" ".join(sentence(i % 7, 60)) + f" end-{i}, (w{i}) don't" for i in range(60)]
+    whole = [own.encode(t).tolist() for t in texts]
+    for kept in (1, 3, 50):
+        monkeypatch.setattr(bpe, "CACHED_WORDS", kept)
+        monkeypatch.setattr(bpe, "CACHED_CHUNKS", kept)
+        own.young, own.old, own.chunks = {}, {}, {}
+        assert [own.encode(t).tolist() for t in texts] == whole
+        assert len(own.young) <= kept and len(own.old) <= kept and len(own.chunks) <= kept
