@@ -40,6 +40,33 @@ def mixture_words(mixture_digest: Column) -> dict[str, Column]:
     }
 
 
+def place_words(number_digest: Column, place_digest: Column) -> dict[str, Column]:
+    """The five coefficients of the places of a cell's points: where the first lies, and how far from one to the next."""
+    return {
+        "at_a": _word(place_digest, 0) + 1,
+        "at_b": _word(place_digest, 1) + 1,
+        "at_c": _word(place_digest, 2),
+        "step_a": _word(place_digest, 3) + 1,
+        "step_b": _word(number_digest, 3) + 1,
+    }
+
+
+WORDS = ["mix_a", "mix_b", "mix_c", "at_a", "at_b", "at_c", "step_a", "step_b"]
+PLACES = ["_start", "_step"]
+
+
+def places() -> dict[str, Column]:
+    """Start and step of the points of a joined (row, cell) pair."""
+    prime = F.lit(PRIME).cast("bigint")
+    return {"_start": (F.col("at_a") * F.col("row_x") + F.col("at_b") * F.col("row_y") + F.col("at_c")) % prime,
+            "_step": (F.col("step_a") * F.col("row_x") + F.col("step_b") * F.col("row_y") + F.lit(1)) % prime}
+
+
+def place(i: Column) -> Column:
+    """Place in [0, PRIME) of the `i`-th point: any two of a pair's points are independent."""
+    return (F.col("_start") + i * F.col("_step")) % F.lit(PRIME).cast("bigint")
+
+
 def draw() -> Column:
     """Integer draw in [0, PRIME) of a joined (row, mixture) pair."""
     total = F.col("mix_a") * F.col("row_x") + F.col("mix_b") * F.col("row_y") + F.col("mix_c")

@@ -1,14 +1,22 @@
 """Mixtures drawn from read pools.
 
-All mixtures of an experiment come out of one pass over the pools. A pool row meets the
-mixtures of its cell type in a broadcast join and is kept where its draw is below the
-threshold of the mixture. A draw is a pure function of the row key and of the mixture's own
-key and seed (see `functions.hashing`): a mixture is the same alone or beside any others, on
-any partitioning, and after lost tasks.
+All mixtures of an experiment come out of one pass over the pools, and the work follows the rows drawn.
+
+Dense mixtures, that take more than SPARSE of a pool: a pool row meets each of its cell type and is kept where its draw is
+below the threshold of the mixture.
+
+Sparse ones are drawn by a Poisson process. Those of one replicate and cell type lie end to end as intervals, each
+-ln(1 - fraction) long, cut into cells of about half a unit. A row places a Poisson number of points in a cell; most rows place
+none, and one comparison tells. A point belongs to the mixture in whose interval it falls, and
+a row is drawn if it has a point there, which has just the probability `fraction`.
+
+A draw is a pure function of the row key and of the mixture's key and seed, of a sparse one those of its cell (see
+`functions.hashing`): the same on any partitioning, after lost tasks, and beside any other experiments and replicates.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +29,13 @@ from methmix.session import broadcast_if_small, fits_broadcast, materialize
 
 ROWS_PER_SALT = 200_000  # rows of a pool in one piece, when the mixture table is too large to broadcast
 MIXTURE_KEYS = ["titrated", "proportion_id", "replicate"]
+SPARSE = 0.125  # a dense mixture compares at most 1 / SPARSE rows for one that it draws
+UNIT = 1 << 45  # lengths of intervals are whole multiples of 1 / UNIT
+CELL = UNIT // 2  # a cell ends with the interval that reaches so far
+# Points that a row may place in a cell: more are rarer than one step of the draw, as a cell is at most
+# 0.5 - ln(1 - SPARSE) long.
+POINTS = 11
+BIN_BITS = 27  # of a point's 31; a cell has 16 bins, in which its points look for their interval
 
 
 def sampling_fractions(design: DataFrame, pool_counts: DataFrame, total_reads: DataFrame) -> DataFrame:
@@ -94,55 +109,144 @@ def with_seeds(fractions: DataFrame, seed: int) -> DataFrame:
     return fractions.withColumn("seed", hashing.derived_seed(F.lit(seed), F.concat_ws("-", *[F.col(k).cast("string") for k in MIXTURE_KEYS])))
 
 
-def mixture_plan(fractions: DataFrame, seed: int) -> DataFrame:
-    """The mixtures as a stored table of draws: one row per (mixture, cell type, copy) with the
-    words of the mixture key and its limit. Mixtures get a number from their key, so that the
-    large sums compare integers, not names. The table grows with the design alone."""
+@dataclass
+class MixturePlan:
+    """The mixtures as stored tables of draws, which grow with the design alone: `names` (numbers and keys of the mixtures), `dense` (one
+    row per mixture, cell type and copy), `cells` and the `intervals` in them (sparse mixtures)."""
+
+    names: DataFrame
+    dense: DataFrame | None
+    cells: DataFrame | None
+    intervals: DataFrame | None
+
+
+def mixture_plan(fractions: DataFrame, seed: int) -> MixturePlan:
+    """Mixtures get a number from their key, so that the large sums compare integers, not names."""
     kept = with_seeds(fractions, seed).where(F.col("fraction") > 0).select(*MIXTURE_KEYS, "seed", "cell_type", "fraction")
-    key = hashing.digest(F.col("seed"), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
-    plan = copy_thresholds(kept).withColumn("_key", key).withColumns({
-        **hashing.mixture_words(F.col("_key")),
-        "mixture_no": F.xxhash64(*MIXTURE_KEYS),
-        "limit": F.col("threshold") * F.lit(float(hashing.PRIME)),
-    })
-    plan = materialize(plan.drop("_key", "fraction", "threshold"), "mixture-plan")
-    names = plan.select(*MIXTURE_KEYS, "mixture_no").distinct()
-    every, numbers = names.agg(F.count(F.lit(1)), F.count_distinct("mixture_no")).first()
+    kept = materialize(kept.withColumn("mixture_no", F.xxhash64(*MIXTURE_KEYS)), "mixtures")
+    names = kept.select(*MIXTURE_KEYS, "seed", "mixture_no").distinct()
+    every, numbers, dense, sparse = kept.agg(
+        F.count_distinct(*MIXTURE_KEYS), F.count_distinct("mixture_no"),
+        F.count(F.when(F.col("fraction") > SPARSE, 1)), F.count(F.when(F.col("fraction") <= SPARSE, 1))).first()
     if every != numbers:
         raise ValueError("two mixtures have the same number")
+    plan = MixturePlan(names, None, None, None)
+    if dense:
+        plan.dense = materialize(dense_draws(kept.where(F.col("fraction") > SPARSE)), "dense-draws")
+    if sparse:
+        placed = materialize(sparse_intervals(kept.where(F.col("fraction") <= SPARSE)), "sparse-intervals")
+        plan.cells = materialize(sparse_cells(placed), "sparse-cells")
+        plan.intervals = materialize(binned_intervals(placed), "sparse-bins")
     return plan
 
 
-def _draws(pools: DataFrame, plan: DataFrame) -> DataFrame:
-    """Drawn pool rows with `mixture_no` and `copy_no`."""
-    draws = plan.select("cell_type", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c", "limit")
+def dense_draws(mixtures: DataFrame) -> DataFrame:
+    """One row per mixture, cell type and copy, with the words of the mixture key and its limit."""
+    key = hashing.digest(F.col("seed"), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
+    return copy_thresholds(mixtures).withColumn("_key", key).withColumns({
+        **hashing.mixture_words(F.col("_key")), "limit": F.col("threshold") * F.lit(float(hashing.PRIME)),
+    }).select("cell_type", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c", "limit")
+
+
+def sparse_intervals(mixtures: DataFrame) -> DataFrame:
+    """The interval of every mixture, `lo` up to before `hi` of the steps of a draw, in its `cell_no`; `rate` is the cell's length,
+    `cell_key` names the cell and the seeds in it. Windows run over the proportions of one replicate."""
+    line = Window.partitionBy("titrated", "replicate", "cell_type")
+    inside = Window.partitionBy("titrated", "replicate", "cell_type", "_cell")
+    ordered = inside.orderBy("proportion_id")
+    length = F.round(-F.ln(1 - F.col("fraction")) * UNIT).cast("bigint")
+    placed = mixtures.withColumn("_length", length).where("_length > 0").withColumn(
+        "_cell", F.floor((F.sum("_length").over(line.orderBy("proportion_id")) - F.col("_length")) / CELL))
+    steps, total = F.lit(float(hashing.PRIME)), F.sum("_length").over(inside)
+    end = F.sum("_length").over(ordered)
+    seeds = F.sort_array(F.collect_list(F.struct("proportion_id", "seed")).over(inside))
+    return placed.select(
+        "titrated", "replicate", "cell_type", "mixture_no",
+        F.floor((end - F.col("_length")) / total * steps).alias("lo"), F.floor(end / total * steps).alias("hi"),
+        (total / F.lit(float(UNIT))).alias("rate"), F.concat_ws(
+            "|", F.array_join(F.transform(seeds, lambda s: s["seed"].cast("string")), ","), "titrated", F.col("replicate").cast("string"),
+            "cell_type", F.col("_cell").cast("string")).alias("cell_key")).withColumn("cell_no", F.xxhash64("cell_key"))
+
+
+def sparse_cells(placed: DataFrame) -> DataFrame:
+    """One row per cell: the words of its number of points and of their places, and the limits of 1 to POINTS points."""
+    cells = placed.select("cell_type", "cell_no", "cell_key", "rate").distinct()
+    every, numbers = cells.agg(F.count_distinct("cell_key"), F.count_distinct("cell_no")).first()
+    if every != numbers:
+        raise ValueError("two cells have the same number")
+    # 1 + r (1 + r/2 (1 + r/3 ...)), the Poisson masses up to n - 1 points, times e^r.
+    limits = {}
+    for n in range(1, POINTS + 1):
+        masses = "1D"
+        for k in range(n - 1, 0, -1):
+            masses = f"(1D + rate / {k}D * {masses})"
+        limits[f"limit_{n}"] = F.expr(f"(1D - exp(-rate) * {masses}) * {hashing.PRIME}D")
+    words = {**hashing.mixture_words(F.md5("cell_key")), **hashing.place_words(F.md5("cell_key"), F.md5(F.concat("cell_key", F.lit("|points"))))}
+    return cells.withColumns({**words, **limits}).drop("cell_key", "rate")
+
+
+def binned_intervals(placed: DataFrame) -> DataFrame:
+    """The intervals once for each bin of their cell that they reach into."""
+    bins = F.explode(F.sequence(F.shiftright("lo", BIN_BITS), F.shiftright(F.greatest(F.col("hi") - 1, F.col("lo")), BIN_BITS)))
+    return placed.select("cell_no", "mixture_no", "lo", "hi", bins.alias("bin"))
+
+
+def _meet(pools: DataFrame, draws: DataFrame) -> DataFrame:
+    """Every pool row with the rows of `draws` of its cell type."""
     if fits_broadcast(draws):
-        pairs = pools.join(F.broadcast(draws), "cell_type")
-    else:
-        # A pool is split into as many pieces as its size asks for, and its mixtures go to each.
-        pieces = materialize(pools.groupBy("cell_type").agg(
-            F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("bigint").alias("_pieces")), "pool-pieces")
-        pieces = F.broadcast(pieces)  # one row per cell type of the design
-        own = pools.join(pieces, "cell_type").withColumn("_salt", F.col("row_x") % F.col("_pieces")).drop("_pieces")
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
-        pairs = own.join(draws.join(pieces, "cell_type").withColumn("_salt", copies).drop("_pieces"),
-                         ["cell_type", "_salt"]).drop("_salt")
-    return pairs.where(hashing.draw() < F.col("limit")).drop("row_x", "row_y", "mix_a", "mix_b", "mix_c", "limit")
+        return pools.join(F.broadcast(draws), "cell_type")
+    # A pool is split into as many pieces as its size asks for, and its mixtures go to each.
+    pieces = materialize(pools.groupBy("cell_type").agg(
+        F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("bigint").alias("_pieces")), "pool-pieces")
+    pieces = F.broadcast(pieces)  # one row per cell type of the design
+    own = pools.join(pieces, "cell_type").withColumn("_salt", F.col("row_x") % F.col("_pieces")).drop("_pieces")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
+    return own.join(draws.join(pieces, "cell_type").withColumn("_salt", copies).drop("_pieces"),
+                    ["cell_type", "_salt"]).drop("_salt")
+
+
+def _points(pools: DataFrame, plan: MixturePlan) -> DataFrame:
+    """Rows drawn into sparse mixtures: `pools` with `mixture_no` and `copy_no`."""
+    limits = [f"limit_{n}" for n in range(1, POINTS + 1)]
+    met = _meet(pools, plan.cells).where(hashing.draw() < F.col("limit_1"))
+    number = sum((hashing.draw() < F.col(c)).cast("int") for c in limits[1:]) + F.lit(1)
+    placed = met.withColumns({"_n": number, **hashing.places()}).drop("row_x", "row_y", *limits, *hashing.WORDS)
+    points = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).withColumn("_at", hashing.place(F.col("_i")))
+    points = points.withColumn("bin", F.shiftright("_at", BIN_BITS))
+    hits = points.join(broadcast_if_small(plan.intervals), ["cell_no", "bin"]).where((F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
+
+    def inside(i: Column) -> Column:
+        return (hashing.place(i) >= F.col("lo")) & (hashing.place(i) < F.col("hi"))
+    # A row that has several points in an interval is drawn for the first.
+    first = (F.col("_i") == 1) | ~F.exists(F.sequence(F.lit(1), F.greatest(F.col("_i") - 1, F.lit(1))), inside)
+    return hits.where(first).drop("cell_no", "bin", "lo", "hi", "_n", "_i", "_at", *hashing.PLACES).withColumn("copy_no", F.lit(1))
+
+
+def _draws(pools: DataFrame, plan: MixturePlan) -> DataFrame:
+    """Drawn pool rows with `mixture_no` and `copy_no`, which replaces a column of this name."""
+    parts, pools = [], pools.drop("copy_no")
+    if plan.dense is not None:
+        met = _meet(pools, plan.dense).where(hashing.draw() < F.col("limit"))
+        parts.append(met.drop("row_x", "row_y", "mix_a", "mix_b", "mix_c", "limit"))
+    if plan.cells is not None:
+        parts.append(_points(pools, plan))
+    if not parts:
+        none = pools.limit(0).drop("row_x", "row_y")
+        return none.withColumns({"mixture_no": F.lit(0).cast("bigint"), "copy_no": F.lit(1)})
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] | None = None) -> DataFrame:
     """Drawn rows of every mixture, with the mixture keys, its `seed` and `copy_no`.
 
-    `fractions` comes from `sampling_fractions` and carries `MIXTURE_KEYS`. The mixture table
-    has mixtures x cell types x copies rows and is broadcast if proven small. Otherwise both
+    `fractions` comes from `sampling_fractions` and carries `MIXTURE_KEYS`. The tables of draws are broadcast if proven small. Otherwise both
     sides are shuffled by (cell type, salt): a pool is split by its row key into pieces of about
     `ROWS_PER_SALT` rows and its mixtures are copied to each, as there are few cell types and
-    one may hold most rows. Mixtures of different pools and replicates are drawn independently.
+    one may hold most rows. Mixtures are drawn independently of each other.
     """
     keyed = pools if "row_x" in pools.columns else keyed_pools(pools, row_key or ["molecule_id", "region_id"])
     plan = mixture_plan(fractions, seed)
-    names = plan.select("mixture_no", *MIXTURE_KEYS, "seed").distinct()
-    return _draws(keyed, plan).join(broadcast_if_small(names), "mixture_no").drop("mixture_no")
+    return _draws(keyed, plan).join(broadcast_if_small(plan.names), "mixture_no").drop("mixture_no")
 
 
 def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str = "molecules") -> DataFrame:
@@ -150,10 +254,9 @@ def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str
     shuffled: each drawn row goes into the sums of its (mixture, region) in the same stage,
     under integer keys; the names are joined to the sums."""
     plan, regions = mixture_plan(fractions, seed), region_numbers(pools)
-    names = plan.select("mixture_no", *MIXTURE_KEYS, "seed").distinct()
     rows = pools.withColumn("region_no", F.xxhash64("region_id")).drop("region_id")
     sums = scoring.sum_scores(_draws(rows, plan), ["mixture_no"], weighting, region="region_no")
-    return sums.join(names, "mixture_no").drop("mixture_no").join(regions, "region_no").drop("region_no")
+    return sums.join(plan.names, "mixture_no").drop("mixture_no").join(regions, "region_no").drop("region_no")
 
 
 def realised_counts(mixture: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
 from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, TABLES, _map, compose, lod_from, mixture_words, rate_steps,
-                                        rounded_scores, sums, unpivoted)
+                                        rounded_scores, sparse_tables, sums, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
 TYPES = bridge.CELL_TYPES
@@ -152,10 +152,12 @@ POISSON = {
     "tails": """select * from (select titrated, proportion_id, replicate, pool, i + 1 as draw_no,
  greatest(0, 1 - sum(mass) over (partition by titrated, proportion_id, replicate, pool order by i)) as threshold from masses) q
  where draw_no = 1 or threshold >= 1 / 2147483647
- union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1""",
+ union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1 and fraction > 0.125""",
+    **sparse_tables("heavy"),
     "copies": """select w.titrated, w.proportion_id, w.replicate, w.pool, t.draw_no, p.number_molecules
  from pools p join heavy_words w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
- where (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647 < 2147483647 * t.threshold""",
+ where (w.mix_a * p.row_x + w.mix_b * p.row_y + w.mix_c) % 2147483647 < 2147483647 * t.threshold
+ union all select titrated, proportion_id, replicate, pool, 1 as draw_no, number_molecules from heavy_hits""",
 }
 
 

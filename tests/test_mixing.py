@@ -98,6 +98,63 @@ def test_mixture_does_not_depend_on_the_rest_of_the_design(spark, pools):
     assert one != two and alone
 
 
+def test_sparse_mixtures_are_drawn_by_their_fractions(spark, pools):
+    """Many small fractions, up to the largest sparse one and in several cells, each with its own count and none twice."""
+    values = [{"big": f, "small": 0.125} for f in (0.125, 0.1, 0.0, 1e-3, 0.02, 0.12, 0.11, 0.125)]
+    drawn = mixing.mix(pools, fractions(spark, values, 6), 4).cache()
+    assert drawn.groupBy("proportion_id", "replicate", "molecule_id").count().where("count > 1").isEmpty()
+    found = counts(drawn)
+    for p, by_type in enumerate(values):
+        for c, f in by_type.items():
+            n, all_ = POOL_ROWS[c] * 6, sum(found.get((p, r, c), 0) for r in range(6))
+            assert abs(all_ - n * f) <= 4.5 * math.sqrt(n * f * (1 - f))
+    # Neighbours in a cell, and replicates, share as many rows as independent draws do.
+    for left, right in ((("proportion_id", 0), ("proportion_id", 1)), (("proportion_id", 5), ("proportion_id", 6)), (("replicate", 0), ("replicate", 1))):
+        other = "replicate" if left[0] == "proportion_id" else "proportion_id"
+        a, b = (drawn.where((F.col(name) == value) & (F.col("cell_type") == "big")).select("molecule_id", other) for name, value in (left, right))
+        expected = (6 * 6000 * values[left[1]]["big"] * values[right[1]]["big"] if other == "replicate"
+                    else sum(6000 * v["big"] ** 2 for v in values))
+        assert abs(a.join(b, ["molecule_id", other]).count() - expected) <= 5 * math.sqrt(expected)
+    drawn.unpersist()
+
+
+def test_sparse_mixtures_do_not_depend_on_other_experiments(spark, pools):
+    """Further titrated types, replicates and dense mixtures leave the rows of the others alone."""
+    key = ["molecule_id", "titrated", "proportion_id", "replicate"]
+    small = fractions(spark, [{"big": 0.1}, {"big": 0.05}], 2)
+    more = (fractions(spark, [{"big": 0.1, "small": 0.1}, {"big": 0.05}, {"big": 0.6}], 4)
+            .unionByName(small.withColumn("titrated", F.lit("a"))))
+    beside = mixing.mix(pools, more, 5).where("titrated = 't' and cell_type = 'big' and proportion_id < 2 and replicate < 2")
+    assert sorted(mixing.mix(pools, small, 5).select(*key).collect()) == sorted(beside.select(*key).collect())
+
+
+def test_work_follows_the_rows_drawn(spark, pools):
+    """Of 400 sparse mixtures, rows meet cells, and what comes out of the joins is about what is drawn."""
+    plan_rows = fractions(spark, [{"big": 0.002 * (1 + p % 3), "small": 0.001} for p in range(20)], 20)
+    plan = mixing.mixture_plan(plan_rows, 3)
+    assert plan.dense is None and plan.cells.count() == 2 * 20
+    met = mixing._meet(pools, plan.cells).where(mixing.hashing.draw() < F.col("limit_1")).count()
+    drawn = mixing._draws(pools, plan).count()
+    expected = 20 * sum(POOL_ROWS["big"] * 0.002 * (1 + p % 3) + POOL_ROWS["small"] * 0.001 for p in range(20))
+    assert abs(drawn - expected) <= 5 * math.sqrt(expected) and met <= drawn
+    assert plan.intervals.count() <= 2 * 20 * (20 + 16)
+
+
+def test_seeds_of_a_cell(spark, pools):
+    """A new seed draws other rows, also for the sparse neighbours in the cell."""
+    plan = fractions(spark, [{"big": 0.1}, {"big": 0.1}], 1)
+    one = mixing.mix(pools, plan.withColumn("seed", F.lit(1)), 5)
+    two = mixing.mix(pools, plan.withColumn("seed", F.col("proportion_id") + 1), 5)
+    for p in (0, 1):
+        assert sorted(one.where(f"proportion_id = {p}").select("molecule_id").collect()) != sorted(
+            two.where(f"proportion_id = {p}").select("molecule_id").collect())
+
+
+def test_empty_designs(spark, pools):
+    none = fractions(spark, [{"big": 0.0}], 2)
+    assert mixing.mix(pools, none, 5).columns and mixing.mix(pools, none, 5).isEmpty()
+
+
 def test_total_reads_by_key_or_in_one_row(spark):
     plan = spark.createDataFrame([("a", "big", 0.5), ("b", "big", 0.5)], "titrated string, cell_type string, proportion double")
     sizes = spark.createDataFrame([("big", 100)], "cell_type string, pool_rows bigint")
