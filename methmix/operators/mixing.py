@@ -5,13 +5,13 @@ All mixtures of an experiment come out of one pass over the pools, and the work
 Dense mixtures, that take more than SPARSE of a pool: a pool row meets each of its cell type and is kept where its draw is
 below the threshold of the mixture.
 
-Sparse ones are drawn by a Poisson process. Those of one replicate and cell type lie end to end as intervals, each
+Sparse ones are drawn by a Poisson process. Those of one experiment (titrated type) and cell type lie end to end as intervals, each
 -ln(1 - fraction) long, cut into cells of about half a unit. A row places a Poisson number of points in a cell; most rows place
 none, and one comparison tells. A point belongs to the mixture in whose interval it falls, and
 a row is drawn if it has a point there, which has just the probability `fraction`.
 
 A draw is a pure function of the row key and of the mixture's key and seed, of a sparse one those of its cell (see
-`functions.hashing`): the same on any partitioning, after lost tasks, and beside any other experiments and replicates.
+`functions.hashing`): the same on any partitioning, after lost tasks, and beside any other experiments.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ from methmix.session import broadcast_if_small, fits_broadcast, materialize
 
 ROWS_PER_SALT = 200_000  # rows of a pool in one piece, when the mixture table is too large to broadcast
 MIXTURE_KEYS = ["titrated", "proportion_id", "replicate"]
-SPARSE = 0.125  # a dense mixture compares at most 1 / SPARSE rows for one that it draws
+# A dense mixture compares at most 1 / SPARSE rows for one that it draws; summing that one costs about as much.
+SPARSE = 1 / 256
 UNIT = 1 << 45  # lengths of intervals are whole multiples of 1 / UNIT
 CELL = UNIT // 2  # a cell ends with the interval that reaches so far
 # Points that a row may place in a cell: more are rarer than one step of the draw, as a cell is at most
 # 0.5 - ln(1 - SPARSE) long.
 POINTS = 11
-BIN_BITS = 27  # of a point's 31; a cell has 16 bins, in which its points look for their interval
+BIN_BITS = 25  # of a point's 31; a cell has 64 bins, in which its points look for their interval
 
 
 def sampling_fractions(design: DataFrame, pool_counts: DataFrame, total_reads: DataFrame) -> DataFrame:
@@ -135,8 +136,7 @@ def mixture_plan(fractions: DataFrame, seed: int) -> MixturePlan:
         plan.dense = materialize(dense_draws(kept.where(F.col("fraction") > SPARSE)), "dense-draws")
     if sparse:
         placed = materialize(sparse_intervals(kept.where(F.col("fraction") <= SPARSE)), "sparse-intervals")
-        plan.cells = materialize(sparse_cells(placed), "sparse-cells")
-        plan.intervals = materialize(binned_intervals(placed), "sparse-bins")
+        plan.cells, plan.intervals = materialize(sparse_cells(placed), "sparse-cells"), binned_intervals(placed)
     return plan
 
 
@@ -150,22 +150,23 @@ def dense_draws(mixtures: DataFrame) -> DataFrame:
 
 def sparse_intervals(mixtures: DataFrame) -> DataFrame:
     """The interval of every mixture, `lo` up to before `hi` of the steps of a draw, in its `cell_no`; `rate` is the cell's length,
-    `cell_key` names the cell and the seeds in it. Windows run over the proportions of one replicate."""
-    line = Window.partitionBy("titrated", "replicate", "cell_type")
-    inside = Window.partitionBy("titrated", "replicate", "cell_type", "_cell")
-    ordered = inside.orderBy("proportion_id")
+    `cell_key` names the cell and the seeds in it. Windows run over the mixtures of one experiment."""
+    line = Window.partitionBy("titrated", "cell_type")
+    inside = Window.partitionBy("titrated", "cell_type", "_cell")
+    order = ["replicate", "proportion_id"]
+    ordered = inside.orderBy(*order)
     length = F.round(-F.ln(1 - F.col("fraction")) * UNIT).cast("bigint")
     placed = mixtures.withColumn("_length", length).where("_length > 0").withColumn(
-        "_cell", F.floor((F.sum("_length").over(line.orderBy("proportion_id")) - F.col("_length")) / CELL))
+        "_cell", F.floor((F.sum("_length").over(line.orderBy(*order)) - F.col("_length")) / CELL))
     steps, total = F.lit(float(hashing.PRIME)), F.sum("_length").over(inside)
     end = F.sum("_length").over(ordered)
-    seeds = F.sort_array(F.collect_list(F.struct("proportion_id", "seed")).over(inside))
+    seeds = F.sort_array(F.collect_list(F.struct(*order, "seed")).over(inside))
     return placed.select(
-        "titrated", "replicate", "cell_type", "mixture_no",
+        "cell_type", "mixture_no",
         F.floor((end - F.col("_length")) / total * steps).alias("lo"), F.floor(end / total * steps).alias("hi"),
         (total / F.lit(float(UNIT))).alias("rate"), F.concat_ws(
-            "|", F.array_join(F.transform(seeds, lambda s: s["seed"].cast("string")), ","), "titrated", F.col("replicate").cast("string"),
-            "cell_type", F.col("_cell").cast("string")).alias("cell_key")).withColumn("cell_no", F.xxhash64("cell_key"))
+            "|", F.array_join(F.transform(seeds, lambda s: s["seed"].cast("string")), ","), "titrated", "cell_type",
+            F.col("_cell").cast("string")).alias("cell_key")).withColumn("cell_no", F.xxhash64("cell_key"))
 
 
 def sparse_cells(placed: DataFrame) -> DataFrame:
@@ -222,18 +223,16 @@ def _points(pools: DataFrame, plan: MixturePlan) -> DataFrame:
     return hits.where(first).drop("cell_no", "bin", "lo", "hi", "_n", "_i", "_at", *hashing.PLACES).withColumn("copy_no", F.lit(1))
 
 
-def _draws(pools: DataFrame, plan: MixturePlan) -> DataFrame:
-    """Drawn pool rows with `mixture_no` and `copy_no`, which replaces a column of this name."""
+def _draws(pools: DataFrame, plan: MixturePlan) -> list[DataFrame]:
+    """Drawn pool rows with `mixture_no` and `copy_no`, which replaces a column of this name: those of dense and of sparse mixtures."""
     parts, pools = [], pools.drop("copy_no")
     if plan.dense is not None:
         met = _meet(pools, plan.dense).where(hashing.draw() < F.col("limit"))
         parts.append(met.drop("row_x", "row_y", "mix_a", "mix_b", "mix_c", "limit"))
     if plan.cells is not None:
         parts.append(_points(pools, plan))
-    if not parts:
-        none = pools.limit(0).drop("row_x", "row_y")
-        return none.withColumns({"mixture_no": F.lit(0).cast("bigint"), "copy_no": F.lit(1)})
-    return reduce(DataFrame.unionByName, parts)
+    none = pools.limit(0).drop("row_x", "row_y").withColumns({"mixture_no": F.lit(0).cast("bigint"), "copy_no": F.lit(1)})
+    return parts or [none]
 
 
 def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] | None = None) -> DataFrame:
@@ -246,7 +245,8 @@ def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] |
     """
     keyed = pools if "row_x" in pools.columns else keyed_pools(pools, row_key or ["molecule_id", "region_id"])
     plan = mixture_plan(fractions, seed)
-    return _draws(keyed, plan).join(broadcast_if_small(plan.names), "mixture_no").drop("mixture_no")
+    drawn = reduce(DataFrame.unionByName, _draws(keyed, plan))
+    return drawn.join(broadcast_if_small(plan.names), "mixture_no").drop("mixture_no")
 
 
 def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str = "molecules") -> DataFrame:
@@ -255,7 +255,9 @@ def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str
     under integer keys; the names are joined to the sums."""
     plan, regions = mixture_plan(fractions, seed), region_numbers(pools)
     rows = pools.withColumn("region_no", F.xxhash64("region_id")).drop("region_id")
-    sums = scoring.sum_scores(_draws(rows, plan), ["mixture_no"], weighting, region="region_no")
+    keys = ["mixture_no", "region_no"]
+    parts = [scoring.plain_sums(part, ["mixture_no"], weighting, region="region_no") for part in _draws(rows, plan)]
+    sums = scoring.finished(scoring.added_sums(parts, keys))
     return sums.join(plan.names, "mixture_no").drop("mixture_no").join(regions, "region_no").drop("region_no")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +79,34 @@ def sum_scores(scored: DataFrame, keys: list[str], weighting: str = "molecules",
     Only sums are aggregated, so they are combined on the map side and one crowded region or
     sample sends one row per task through the shuffle.
     """
+    return finished(plain_sums(scored, keys, weighting, kmers, rates_leq, rates_geq, region), rates_leq, rates_geq)
+
+
+def plain_sums(scored: DataFrame, keys: list[str], weighting: str = "molecules", kmers=KMERS,
+               rates_leq=RATES_LEQ, rates_geq=RATES_GEQ, region: str = "region_id") -> DataFrame:
+    """The sums of `sum_scores`, rate flags not yet divided, so that sums of parts can be added up."""
     if weighting not in ("molecules", "rows"):
         raise ValueError("weighting must be 'molecules' or 'rows'")
     molecules = F.col("number_molecules").cast("bigint")
     weight = molecules if weighting == "molecules" else F.lit(1).cast("bigint")
     source = scored.where(molecules > 0) if weighting == "molecules" else scored
-    alphas = alpha_columns(rates_leq, rates_geq)
     names = score_columns(kmers, rates_leq, rates_geq)
     sums = [F.sum(molecules).alias("number_molecules")]
     sums += [F.sum(F.col(n) * weight).alias(n) for n in names]
-    totals = source.groupBy(*keys, region).agg(*sums)
-    return totals.withColumns({n: F.try_divide(F.col(n), F.col("number_molecules")) for n in alphas})
+    return source.groupBy(*keys, region).agg(*sums)
+
+
+def added_sums(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Sums of parts of the rows, added up. Each part is aggregated in the stage that makes its rows."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in whole.columns if c not in keys])
+
+
+def finished(totals: DataFrame, rates_leq=RATES_LEQ, rates_geq=RATES_GEQ) -> DataFrame:
+    """Rate flags as shares of the molecules."""
+    return totals.withColumns({n: F.try_divide(F.col(n), F.col("number_molecules")) for n in alpha_columns(rates_leq, rates_geq)})
 
 
 def score_regions(region_reads: DataFrame, keys: list[str], weighting: str = "molecules",

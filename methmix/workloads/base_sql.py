@@ -55,7 +55,7 @@ def mixture_words(mixtures: str) -> str:
               from {mixtures}) q where fraction > 0"""
 
 
-SPARSE = 0.125  # larger fractions compare every row, the others place points
+SPARSE = 0.00390625  # larger fractions compare every row, the others place points
 
 
 def _poisson_limit(n: int) -> str:
@@ -74,30 +74,30 @@ def sparse_tables(mixtures: str) -> dict[str, str]:
             select * from (select titrated, proportion_id, replicate, pool, ({SEED_SQL}) as seed, round(-ln(1 - least(fraction, 0.5)) * 35184372088832)::bigint as len
             from {m} where fraction > 0 and fraction <= {SPARSE}) q where len > 0""",
         f"{m}_celled": f"""
-            select *, ((sum(len) over (partition by titrated, replicate, pool order by proportion_id) - len) // 17592186044416)::bigint as cell
+            select *, ((sum(len) over (partition by titrated, pool order by replicate, proportion_id) - len) // 17592186044416)::bigint as cell
             from {m}_line""",
         f"{m}_intervals": f"""
             select titrated, proportion_id, replicate, pool, cell, floor((upto - len)::double / total::double * 2147483647) as lo,
                    floor(upto::double / total::double * 2147483647) as hi
-            from (select *, sum(len) over (partition by titrated, replicate, pool, cell order by proportion_id) as upto,
-                         sum(len) over (partition by titrated, replicate, pool, cell) as total from {m}_celled) q""",
+            from (select *, sum(len) over (partition by titrated, pool, cell order by replicate, proportion_id) as upto,
+                         sum(len) over (partition by titrated, pool, cell) as total from {m}_celled) q""",
         f"{m}_cells": f"""
-            select titrated, replicate, pool, cell, rate, {word.format('h', 1)} + 1 as a, {word.format('h', 8)} + 1 as b, {word.format('h', 15)} as c,
+            select titrated, pool, cell, rate, {word.format('h', 1)} + 1 as a, {word.format('h', 8)} + 1 as b, {word.format('h', 15)} as c,
                    {word.format('g', 1)} + 1 as at_a, {word.format('g', 8)} + 1 as at_b, {word.format('g', 15)} as at_c,
                    {word.format('g', 22)} + 1 as step_a, {word.format('h', 22)} + 1 as step_b
             from (select *, md5(key) as h, md5(key || '|points') as g from (
-                  select titrated, replicate, pool, cell, sum(len)::double / 35184372088832 as rate,
-                         string_agg(seed::varchar, ',' order by proportion_id) || '|' || titrated || '|' || replicate || '|' || pool || '|' || cell as key
-                  from {m}_celled group by titrated, replicate, pool, cell) q) r""",
+                  select titrated, pool, cell, sum(len)::double / 35184372088832 as rate,
+                         string_agg(seed::varchar, ',' order by replicate, proportion_id) || '|' || titrated || '|' || pool || '|' || cell as key
+                  from {m}_celled group by titrated, pool, cell) q) r""",
         f"{m}_points": f"""
-            select p.*, c.titrated, c.replicate, c.cell, (at_a * row_x + at_b * row_y + at_c) % 2147483647 as place_start,
+            select p.*, c.titrated, c.cell, (at_a * row_x + at_b * row_y + at_c) % 2147483647 as place_start,
                    (step_a * row_x + step_b * row_y + 1) % 2147483647 as place_step,
                    unnest(range(1, 1 + len([t for t in [{', '.join(limits)}] if (a * row_x + b * row_y + c) % 2147483647 < t]))) as i
             from pools p join {m}_cells c using (pool)
             where (a * row_x + b * row_y + c) % 2147483647 < {limits[0]}""",
         f"{m}_hits": f"""
-            select distinct x.* exclude (cell, place_start, place_step, i), v.proportion_id
-            from {m}_points x join {m}_intervals v using (titrated, replicate, pool, cell) where {at} >= lo and {at} < hi""",
+            select distinct x.* exclude (cell, place_start, place_step, i), v.proportion_id, v.replicate
+            from {m}_points x join {m}_intervals v using (titrated, pool, cell) where {at} >= lo and {at} < hi""",
     }
 
 

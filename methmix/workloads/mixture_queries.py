@@ -152,7 +152,7 @@ POISSON = {
     "tails": """select * from (select titrated, proportion_id, replicate, pool, i + 1 as draw_no,
  greatest(0, 1 - sum(mass) over (partition by titrated, proportion_id, replicate, pool order by i)) as threshold from masses) q
  where draw_no = 1 or threshold >= 1 / 2147483647
- union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1 and fraction > 0.125""",
+ union all select titrated, proportion_id, replicate, pool, 1 as draw_no, fraction as threshold from heavy where fraction <= 1 and fraction > 0.00390625""",
     **sparse_tables("heavy"),
     "copies": """select w.titrated, w.proportion_id, w.replicate, w.pool, t.draw_no, p.number_molecules
  from pools p join heavy_words w using (pool) join tails t using (titrated, proportion_id, replicate, pool)
