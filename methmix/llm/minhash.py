@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methmix.llm.common import stored, table
+from methmix.llm.common import free_name, stored, table
 from methmix.llm.components import components
 from methmix.llm.registry import query
 from methmix.llm.words import mixed, slices, text_bytes, window_hashes, word_hashes
@@ -75,8 +75,8 @@ def set_digests(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
 
 
-SIGNATURES = "id long, n_shingles long, cls long, check long, minima binary"
-SIGNATURES_ARROW = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()),
+SIGNATURES = "id long, digest long, n_shingles long, cls long, check long, minima binary"
+SIGNATURES_ARROW = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()),
                               ("minima", pa.binary())])
 
 
@@ -88,12 +88,12 @@ def _sign(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, batch_text):
             rows = []
-            for id_, data in zip(_ids(batch), text_bytes(batch, batch_text)):
+            for id_, digest, data in zip(_ids(batch), batch.column("digest").to_pylist(), text_bytes(batch, batch_text)):
                 shingles = shingle_set(data, width)
                 if len(shingles):
-                    rows.append((id_, len(shingles), *set_digests(shingles), signature(shingles).tobytes()))
+                    rows.append((id_, digest, len(shingles), *set_digests(shingles), signature(shingles).tobytes()))
                 else:
-                    rows.append((id_, 0, None, None, None))
+                    rows.append((id_, digest, 0, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SIGNATURES_ARROW)],
                                              schema=SIGNATURES_ARROW)
     batch_text = "text"
@@ -374,31 +374,49 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return components(stored(links.unionByName(more), "links"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id (the smallest id of its group), kept."""
+def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id, digest (of the text), n_shingles and first, the smallest (id, digest) of its group, of every row of `docs`."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST_ID))).alias("id"),
-                        F.col(text_col).alias("text"))
+                        F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest"))
     signed = stored(plain.mapInArrow(_sign(width), SIGNATURES), "signatures")
+    own = F.struct("id", "digest")
     classes = stored(signed.filter("n_shingles > 0").groupBy("cls", "check", "n_shingles")
-                     .agg(F.min("id").alias("id"), F.first("minima").alias("minima")), "classes")
-    linked = link_classes(classes, plain, width)
+                     .agg(F.min(own).alias("first"), F.first("minima").alias("minima")), "classes")
+    linked = link_classes(classes.withColumn("id", F.col("first.id")), plain.drop("digest"), width)
     grouped = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    smallest = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = stored(grouped.join(smallest, "component").select("cls", "component_id"), "class-components")
-    first = F.coalesce("component_id", "id")
+    smallest = grouped.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = stored(grouped.select("cls", "component").join(smallest, "component").select("cls", "first"), "class-components")
+    return (signed.select("id", "digest", "n_shingles", "cls").join(by_class, "cls", "left")
+            .select("id", "digest", "n_shingles", F.coalesce("first", own).alias("first")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id (the smallest id of its group), kept."""
     null_id = F.lit(int(LAST_ID))
-    return (signed.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
-            .select(F.nullif("id", null_id).alias("id"), "n_shingles", F.nullif(first, null_id).alias("component_id"),
-                    (F.col("id") == first).alias("kept")))
+    return _grouped(docs, width, id_col, text_col).select(
+        F.nullif("id", null_id).alias("id"), "n_shingles", F.nullif("first.id", null_id).alias("component_id"),
+        (F.col("id") == F.col("first.id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group."""
-    found = near_duplicates(docs, width, id_col, text_col)
-    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias("__llm_gone")).distinct(), "gone")
-    # Beyond the size that may be broadcast, texts are shuffled by id.
-    return docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("__llm_gone")), "left_anti")
+    """One row of `docs` of each group: that with the smallest id, of several with this id that with the smallest digest of its text.
+
+    Rows equal in id and text are one; rows that only share the id are judged by their own texts.
+    """
+    found = stored(_grouped(docs, width, id_col, text_col).select("id", "digest", (F.struct("id", "digest") == F.col("first")).alias("kept")),
+                   "judged")
+    names = [free_name(docs, "_id"), free_name(docs, "_digest")]
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST_ID))), names[1]: F.xxhash64(F.col(text_col))})
+    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias(names[0]), F.col("digest").alias(names[1])).distinct(), "gone")
+    # Beyond the size that may be broadcast, texts are shuffled by id and digest.
+    left = keyed.join(broadcast_if_small(gone), names, "left_anti")
+    again = stored(found.filter("kept").groupBy(F.col("id").alias(names[0]), F.col("digest").alias(names[1]))
+                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    if not again.isEmpty():
+        repeated = broadcast_if_small(again)
+        left = left.join(repeated, names, "left_anti").unionByName(left.join(repeated, names, "left_semi").dropDuplicates(names))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op1_minhash_near_dedup", sql="""

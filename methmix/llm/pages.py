@@ -41,7 +41,7 @@ UNSEEN = frozenset("script style noscript template head title svg math iframe ob
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
     " h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-BOILERPLATE = frozenset("nav footer aside button select textarea menu dialog fieldset".split())
+BOILERPLATE = frozenset("nav footer aside button select textarea menu dialog".split())
 # Elements that end an open one of the same kind, and the elements that hold them.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
             "th": ("tr", "table"), "option": ("select",)}
@@ -69,6 +69,7 @@ MOST = 0.5
 # The threshold lies this many deviations above the mean of fused ratios, and never above a share of the best.
 DEVIATIONS = 0.25
 BEST_SHARE = 0.3
+# Elements below so many open ones are not told apart, but for those whose text is left out; no text is lost by it.
 DEEPEST = 400
 
 
@@ -83,6 +84,7 @@ class Blocks(HTMLParser):
         self.parents: list[int | None] = []
         self.stack: list[tuple[str, int]] = []
         self.open: dict[str, int] = {}
+        self.untracked: dict[str, int] = {}  # open elements below DEEPEST by tag
         self.found: list[tuple[tuple[int, ...], str, int]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -102,6 +104,8 @@ class Blocks(HTMLParser):
         for tag, _ in self.stack[place:]:
             self.open[tag] -= 1
         del self.stack[place:]
+        if len(self.stack) < DEEPEST:
+            self.untracked.clear()
         self.path = tuple(n for _, n in self.stack if n >= 0)
 
     def _place(self, tag: str, within: tuple[str, ...] = ()) -> int:
@@ -129,11 +133,14 @@ class Blocks(HTMLParser):
             if tag not in INLINE and tag != "img":
                 self.finish()
             return
-        if len(self.stack) >= DEEPEST:
-            return
-        self.open[tag] = self.open.get(tag, 0) + 1
         values = dict(attrs)
         boiler = self._boiler(tag, values)
+        if len(self.stack) >= DEEPEST and not boiler:
+            self.untracked[tag] = self.untracked.get(tag, 0) + 1
+            if tag not in INLINE:
+                self.finish()
+            return
+        self.open[tag] = self.open.get(tag, 0) + 1
         mark = None if boiler else self._mark(tag, values)
         if tag in INLINE and not boiler and mark is None:
             self.stack.append((tag, -1))
@@ -160,7 +167,7 @@ class Blocks(HTMLParser):
         names = f"{values.get('class') or ''} {values.get('id') or ''}".split()
         words = [[w.lower() for w in _HINT_WORDS.findall(name)] for name in names]
         found = {w for name in words if name and name[0] not in STATES for w in name if w in HINTS}
-        if tag == "form" or (values.get("role") or "").lower() == "form":
+        if tag in ("form", "fieldset") or (values.get("role") or "").lower() == "form":
             found.add("form")
         return frozenset(found) or None
 
@@ -207,6 +214,12 @@ class Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.untracked.get(tag) and not (self.stack and self.stack[-1][0] == tag):
+            # It ends one of the untracked elements, not one further out.
+            self.untracked[tag] -= 1
+            if tag not in INLINE:
+                self.finish()
+            return
         if tag in ("br", "p") and not self.open.get(tag):
             self.text.append(" ") if tag == "br" else self.finish()
             return

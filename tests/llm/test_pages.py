@@ -80,3 +80,22 @@ def test_paths_over_the_threshold_outside_the_container_stay():
     body = "".join(f"<p>Paragraph {i} of the story, which goes on, and on. It has marks, too, and is long.</p>" for i in range(12))
     found = extract(f"<div class=page><div><h1>Title</h1><p>{lead}</p></div><div><div>{body}</div></div></div>")
     assert found.startswith(f"Title {lead} Paragraph 0") and "Paragraph 11" in found
+
+
+PROSE = "A sentence of the article, long enough to count. " * 12
+
+
+def test_deep_pages_hide_scripts_and_menus():
+    """Below the tracked depth, what is unseen or boilerplate stays out, and end tags find their own elements."""
+    script = "<script>alert('x')</script><style>.a{b:c}</style>"
+    fonts = f"<html><body><article><p>{PROSE}" + "<font>" * 420 + f"the end{script}</p></article></body></html>"
+    assert pages.extract(fonts) == f"{PROSE}the end"
+    divs = "<html><body><div>" + "<div>" * 420 + "<script>var x=1;</script><nav>Menu nav</nav>" + f"<p>{PROSE}</p>" + "</div>" * 420 + "</div></body></html>"
+    assert pages.extract(divs) == PROSE.strip()
+    closed = "<html><body><article>" + "<div>" * 450 + "<p>one</p>" + "</div>" * 450 + f"<p>{PROSE}</p></article><footer>foot</footer></body></html>"
+    assert pages.extract(closed) == f"one {PROSE}".strip()
+
+
+def test_article_within_a_fieldset():
+    assert pages.extract(f"<body><form><fieldset><p>{PROSE}</p></fieldset></form></body>") == PROSE.strip()
+    assert pages.extract(f"<body><article><p>{PROSE}</p></article><fieldset>Your name <input></fieldset></body>") == PROSE.strip()

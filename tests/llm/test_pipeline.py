@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from methmix.llm import mixing
+from methmix.llm import language, mixing
 from tests.llm.data import documents, hard_texts, rows, sentence
 from tests.llm.test_minhash import expected
 from tests.llm.test_substrings import removed
@@ -27,7 +27,26 @@ def test_language_drops_texts_without_letters(spark, data):
     docs = documents(spark, data)
     kept = by_id(corpus_pipeline.identify_language(spark, docs, ""))
     assert set(kept) == {r[0] for r in data if any(c.isalpha() for c in r[1] or "")}
-    assert all(tuple(kept[r[0]]) == tuple(r) for r in data if r[0] in kept)
+    model = language.fit(docs.filter(~language.held_out("doc_id")))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.with_language(docs, model).collect()}
+    for i, text, _, source, n_chars, key in data:
+        if i in kept:
+            assert tuple(kept[i]) == (i, text, found[i], source, n_chars, key)
+
+
+def test_language_keeps_all_where_nothing_can_be_learned(spark, data):
+    docs = documents(spark, [(*r[:2], None, *r[3:]) for r in data])
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, docs, "").collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_duplicates_judge_rows_by_their_own_text(spark):
+    """Rows repeated in full are one; a clean text that shares the id of a copy stays."""
+    one, two, three = (" ".join(sentence(s, 40)) for s in (1, 2, 3))
+    docs = documents(spark, [(i, t, "en", "s", 1, "k") for i, t in
+                             [(0, one), (1, one), (1, two), (2, three), (2, three), (2, three), (None, None), (None, None), (3, ""), (3, "")]])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted(
+        [("0", one), ("1", two), ("2", three), ("None", "None"), ("3", "")])
 
 
 def test_near_duplicates_keep_one_of_each_group(spark, data):
