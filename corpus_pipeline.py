@@ -25,15 +25,20 @@ def _renamed(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[s
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be determined: those without any letter."""
+    """Writes the language found in each text into lang, and drops documents in which none can be: those without any letter.
+
+    Where no row has a language to learn from, all documents stay as they are.
+    """
     model = language.fit(docs.filter(~language.held_out("doc_id")))
+    if model.families is None:
+        return docs
     inner, back = _renamed(docs, language.MADE)
-    found = language.with_language(inner, model)
-    return found.filter(F.col("lang_pred") != language.UNDETERMINED).drop(*language.MADE).withColumnsRenamed(back).select(docs.columns)
+    found = language.with_language(inner, model).filter(F.col("lang_pred") != language.UNDETERMINED)
+    return found.withColumn("lang", F.col("lang_pred")).drop(*language.MADE).withColumnsRenamed(back).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; shingles of five words, similarity 0.8 or more."""
+    """Keeps one document of each group, that with the smallest id; shingles of five words, similarity 0.8 or more."""
     return minhash.drop_near_duplicates(docs, SHINGLE_WORDS)
 
 
