@@ -60,17 +60,6 @@ def declared_order(column: str, order: list[str]) -> Column:
     return F.when(place > 0, place - 1)
 
 
-def titrated_first(cell_types: list[str], titrated: str) -> list[str]:
-    """The list with the titrated cell type moved to the front."""
-    return [titrated] + [c for c in cell_types if c != titrated]
-
-
-def align_names(cell_types: list[str], ordered: list[str], names: list[str]) -> list[str]:
-    """Names given in the order of `cell_types`, brought into the order of `ordered`."""
-    by_type = dict(zip(cell_types, names))
-    return [by_type[c] for c in ordered if c in by_type]
-
-
 def number_within(df: DataFrame, keys: list[str], order: list[str], output: str) -> DataFrame:
     """Numbers the rows of each key from 0."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -75,11 +75,6 @@ def test_labels(spark):
     assert [tuple(r) for r in rows] == [("Blueprint-CD4", "Blueprint-T"), ("t_reg", "Blueprint-B"), (None, None)]
 
 
-def test_orders():
-    assert relational.titrated_first(["a", "b", "c"], "c") == ["c", "a", "b"]
-    assert relational.align_names(["a", "b", "c"], ["c", "a", "b"], ["A", "B", "C"]) == ["C", "A", "B"]
-
-
 def test_region_with_two_targets_keeps_one_atlas_row(spark):
     matrix = spark.createDataFrame([("r1", 0.1), ("r2", 0.2)], "region_id string, x double")
     targets = spark.createDataFrame([("r1", "b"), ("r1", "a"), ("r2", "b")], "region_id string, ref_celltype string")
