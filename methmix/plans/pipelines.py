@@ -12,9 +12,13 @@ from methmix.session import broadcast_if_small, materialize
 REGION_BUCKETS = 64
 
 
-def pool_map(samples: DataFrame, source: str | None = None, groups: dict[str, str] | None = None) -> DataFrame:
-    """Bridge table sample -> pool (`cell_type`), sample groups merged as `groups` says."""
+def pool_map(samples: DataFrame, source: str | None = None, groups: dict[str, str] | None = None,
+             cell_type_groups: dict[str, str] | None = None) -> DataFrame:
+    """Bridge table sample -> pool (`cell_type`), sample groups merged as `groups` says; `cell_type_groups` first regroups samples
+    by their detailed cell type."""
     chosen = samples.where(F.col("source") == source) if source else samples
+    if cell_type_groups:
+        chosen = chosen.withColumn("sample_group", relational.relabel_where("cell_type", cell_type_groups, "sample_group"))
     name = relational.override("sample_group", groups) if groups else F.col("sample_group")
     return chosen.select("sample_id", name.alias("cell_type")).distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from methmix import bridge, labels
 from methmix.operators import atlas, matrix, relational
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import _map, compose
+from methmix.workloads.base_sql import SUBSET_TABLES, _map, compose
 from methmix.workloads.registry import as_bigint, query, rounded
 
 TYPES = bridge.CELL_TYPES
@@ -79,7 +79,7 @@ def _variant(sample_table, region_table, groups_sql: str, types: list[str]) -> s
 
 
 SPLIT_TYPES = ["immune_b", "immune_cd4", "immune_cd8", "immune_nk", "immune_dend_plus_macro_plus_mono", "immune_neutro"]
-SUBSET_TYPES = ["immune_b", "immune_t_naive", "immune_treg", "immune_nk", "immune_dend_plus_macro_plus_mono", "immune_neutro"]
+SUBSET_TYPES = bridge.SUBSET_TYPES
 
 
 @query("atlas_split", _variant(labels.SAMPLE_LABELS_SPLIT, labels.REGION_LABELS_SPLIT, "sample_group", SPLIT_TYPES))
@@ -90,15 +90,11 @@ def atlas_split(spark: SparkSession, d: str) -> DataFrame:
     return rounded(wide, *SPLIT_TYPES)
 
 
-@query("atlas_subset", _variant(
-    labels.SAMPLE_LABELS_T_SUBSET, labels.REGION_LABELS_T_SUBSET,
-    f"coalesce({_map('cell_type', labels.T_SUBSET_CELL_TYPES)}, sample_group)", SUBSET_TYPES))
+@query("atlas_subset", compose("select region_id, " + ", ".join(
+    f"round(a{i}, 6) as {c}" for i, c in enumerate(SUBSET_TYPES)) + " from atlas", SUBSET_TABLES))
 def atlas_subset(spark: SparkSession, d: str) -> DataFrame:
     """T cells by subset, from the detailed cell type of the sample."""
-    wide = atlas.atlas_wide(
-        inputs.scores(spark, d), inputs.sample_map(spark, d, labels.SAMPLE_LABELS_T_SUBSET, labels.T_SUBSET_CELL_TYPES),
-        inputs.region_map(spark, d, labels.REGION_LABELS_T_SUBSET), SUBSET_TYPES)
-    return rounded(wide, *SUBSET_TYPES)
+    return rounded(inputs.subset_atlas(spark, d), *SUBSET_TYPES)
 
 
 FENCES = """select ref_celltype, quantile_cont(score, 0.25) as q1, quantile_cont(score, 0.75) as q3 from atlas_cells group by 1"""

@@ -115,20 +115,45 @@ def rounded_scores() -> str:
 LEVELS = ", ".join(f"({i}, {p!r}::double)" for i, p in enumerate(labels.TITRATION_LEVELS))
 POOL_TO_REF = dict(zip(bridge.GROUPS, bridge.CELL_TYPES))
 
-TABLES: dict[str, str] = {
-    "reads": """
+
+def reads_sql(sample: str = "l_suppkey % 10", group: str = "l_suppkey % 5", target: str = "(locus // 5) % 5") -> str:
+    return f"""
         select 's' || sid as sample_id, molecule_id, 'chr' || (1 + locus // 50) as chr, number_molecules,
                cmin as cpg_index_min, cmin + len - 1 as cpg_index_max,
-               substr(case when grp = (locus // 5) % 5
+               substr(case when grp = {target}
                       then translate(h, '0123456789abcdef', 'TTTTTTTTTTTTCCC.')
                       else translate(h, '0123456789abcdef', 'CCCCCCCCCCCCTTT.') end, 1, len) as pat_string
-        from (select l_suppkey % 10 as sid, l_suppkey % 5 as grp, l_partkey % 200 as locus,
+        from (select {sample} as sid, {group} as grp, l_partkey % 200 as locus,
                      l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as molecule_id,
                      case when l_quantity >= 45 then 2 else 1 end as number_molecules,
                      (l_partkey % 200) * 5 + l_linenumber as cmin,
                      4 + floor(l_quantity)::int % 9 as len,
                      md5(l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber) as h
-              from lineitem) t""",
+              from lineitem) t"""
+
+
+def atlas_sql(types: list[str]) -> str:
+    """The rows of `cells` that have a score for every cell type, one column a type."""
+    return "select region_id, " + ", ".join(
+        f"max(case when ref_celltype = '{c}' then score end) as a{i}" for i, c in enumerate(types)
+    ) + f" from cells group by region_id having count(*) = {len(types)}"
+
+
+def equations_sql(k: int) -> str:
+    """The normal equations of every mixture for an atlas of `k` cell types."""
+    return "select titrated, proportion_id, replicate, count(*) as n_regions, " + ", ".join(
+        [f"sum(a{i} * a{j}) as g{i}{j}" for i in range(k) for j in range(k)]
+        + [f"sum(a{i} * b) as h{i}" for i in range(k)]) + " from aligned group by all"
+
+
+def truth_sql(pool_to_ref: dict[str, str]) -> str:
+    return f"""
+        select titrated, proportion_id, titration, {_map('pool', pool_to_ref)} as ref_celltype,
+               proportion as true_proportion, (pool = titrated)::int as is_titrated from design"""
+
+
+TABLES: dict[str, str] = {
+    "reads": reads_sql(),
     "regions_bed": """
         select 'chr' || (1 + r // 10) as region_chr, r * 250 + 140 as region_start, r * 250 + 240 as region_end,
                r * 25 + 14 as region_cpg_index_min, r * 25 + 24 as region_cpg_index_max, 'r' || r as region_id
@@ -187,9 +212,7 @@ TABLES: dict[str, str] = {
         from scores s join sample_map m using (sample_id)
         where s.number_molecules >= 10 and s.region_id in (select region_id from region_map)
         group by all""",
-    "atlas": "select region_id, " + ", ".join(
-        f"max(case when ref_celltype = '{c}' then score end) as a{i}" for i, c in enumerate(bridge.CELL_TYPES))
-        + " from cells group by region_id having count(*) = 5",
+    "atlas": atlas_sql(bridge.CELL_TYPES),
     "atlas_cells": "select c.* from cells c where c.region_id in (select region_id from atlas)",
     "pool_map": f"""
         select distinct sample_id, {_map('sample_group', labels.T_COMBINED_GROUPS, 'sample_group')} as pool
@@ -220,38 +243,35 @@ TABLES: dict[str, str] = {
         union all by name select * from mixtures_hits""",
     "mix_scores": f"""
         select titrated, proportion_id, replicate, region_id, {sums('number_molecules')} from drawn group by all""",
-    "truth": f"""
-        select titrated, proportion_id, titration, {_map('pool', POOL_TO_REF)} as ref_celltype,
-               proportion as true_proportion, (pool = titrated)::int as is_titrated from design""",
+    "truth": truth_sql(POOL_TO_REF),
     "naive": """
         select s.titrated, s.proportion_id, s.replicate, m.ref_celltype, avg(s.frac_alpha_leq_25pct) as coeff
         from mix_scores s join region_map m using (region_id)
         where s.number_molecules >= 20 group by all""",
     "aligned": "select s.titrated, s.proportion_id, s.replicate, s.frac_alpha_leq_25pct as b, a.* "
                "from mix_scores s join atlas a using (region_id)",
-    "equations": "select titrated, proportion_id, replicate, count(*) as n_regions, " + ", ".join(
-        [f"sum(a{i} * a{j}) as g{i}{j}" for i in range(5) for j in range(5)]
-        + [f"sum(a{i} * b) as h{i}" for i in range(5)]) + " from aligned group by all",
+    "equations": equations_sql(5),
 }
 
 
-def _descent(source: str, lower: str, sweeps: int) -> str:
+def _descent(source: str, lower: str, sweeps: int, k: int = 5) -> str:
     """Coordinate descent on the normal equations of `source`, one row per mixture and sweep."""
-    inner = "x.titrated, x.proportion_id, x.replicate, x.it, e.* exclude (titrated, proportion_id, replicate), x0, x1, x2, x3, x4"
+    columns = ", ".join(f"x{i}" for i in range(k))
+    inner = f"x.titrated, x.proportion_id, x.replicate, x.it, e.* exclude (titrated, proportion_id, replicate), {columns}"
     query = f"select {inner} from sweeps x join {source} e using (titrated, proportion_id, replicate) where x.it < {sweeps}"
-    for i in range(5):
-        others = " - ".join([f"h{i}"] + [f"g{i}{j} * x{j}" for j in range(5) if j != i])
+    for i in range(k):
+        others = " - ".join([f"h{i}"] + [f"g{i}{j} * x{j}" for j in range(k) if j != i])
         value = f"({others}) / g{i}{i}"
         value = f"greatest({lower}, {value})" if lower else value
         query = f"select * exclude (x{i}), {value} as x{i} from ({query}) q{i}"
-    return (f"select titrated, proportion_id, replicate, 0 as it, 0.0::double as x0, 0.0::double as x1, "
-            f"0.0::double as x2, 0.0::double as x3, 0.0::double as x4 from {source} "
-            f"union all select titrated, proportion_id, replicate, it + 1, x0, x1, x2, x3, x4 from ({query}) q")
+    zeros = ", ".join(f"0.0::double as x{i}" for i in range(k))
+    return (f"select titrated, proportion_id, replicate, 0 as it, {zeros} from {source} "
+            f"union all select titrated, proportion_id, replicate, it + 1, {columns} from ({query}) q")
 
 
-def unpivoted(source: str, iteration: int, alias: str) -> str:
+def unpivoted(source: str, iteration: int, alias: str, types: list[str] = bridge.CELL_TYPES) -> str:
     pieces = [f"select titrated, proportion_id, replicate, '{c}' as ref_celltype, x{i} as coeff "
-              f"from {source} where it = {iteration}" for i, c in enumerate(bridge.CELL_TYPES)]
+              f"from {source} where it = {iteration}" for i, c in enumerate(types)]
     return " union all ".join(pieces)
 
 
@@ -260,6 +280,51 @@ TABLES["nnls"] = unpivoted("sweeps", 200, "nnls")
 OLS_SWEEPS = _descent("equations", "", 200)
 
 
+def _subset_tables() -> dict[str, str]:
+    """The tables that differ once the T samples are sorted into subsets and titrated inside the T group; the others follow."""
+    split = "case when {0} = 3 then 10 + {1} % 3 else {0} end"
+    details, blood = bridge.SUBSET_DETAILS, labels.WHOLE_BLOOD_ABUNDANCE
+    shares = {"t_effector": labels.T_REG_SHARES_UNDER_EFFECTOR, "t_reg": labels.T_EFFECTOR_SHARES_UNDER_REG}
+    inside = ", ".join(f"('{t}', '{m}', {w!r}::double)" for t, table in shares.items() for m, w in table.items())
+    types = bridge.SUBSET_TYPES
+    return {
+        "reads": reads_sql("(l_suppkey % 10) || case when l_suppkey % 5 = 3 then '-' || (l_orderkey % 3) else '' end",
+                           split.format("l_suppkey % 5", "l_orderkey"), split.format("(locus // 5) % 5", "(locus // 25)")),
+        "panel": TABLES["panel"].replace(f"{_strings(bridge.TARGETS)}[r % 5 + 1]",
+                                         f"case when r % 5 = 3 then {_strings(bridge.SUBSET_TARGETS)}[(r // 5) % 3 + 1] "
+                                         f"else {_strings(bridge.TARGETS)}[r % 5 + 1] end"),
+        "sorted_samples": f"""
+            select 's' || s_suppkey || coalesce('-' || n, '') as sample_id,
+                   case when n is null then {_strings(bridge.GROUPS)}[s_suppkey % 5 + 1]
+                        else {_map(f"{_strings(details)}[n + 1]", labels.T_SUBSET_CELL_TYPES)} end as pool
+            from (select s_suppkey, unnest(case when s_suppkey % 5 = 3 then [0, 1, 2] else [null] end) as n
+                  from supplier where s_suppkey < 10) q""",
+        "pool_map": "select sample_id, pool from sorted_samples",
+        "sample_map": f"select sample_id, {_map('pool', labels.SAMPLE_LABELS_T_SUBSET)} as ref_celltype from sorted_samples",
+        "region_map": f"""
+            select distinct region_id, ref_celltype from (
+                select region_id, {_map('target_celltype', labels.REGION_LABELS_T_SUBSET)} as ref_celltype
+                from panel where v23_conv = 1) q where ref_celltype is not null""",
+        "shares": f"select * from (values {inside}) v(titrated, pool, share)",
+        "design": f"""
+            select t.titrated, l.proportion_id, l.titration, a.pool,
+                   case when a.pool = t.titrated then {labels.T_GROUP_TOTAL!r}::double * l.titration
+                        when s.share is not null then {labels.T_GROUP_TOTAL!r}::double * (1 - l.titration) * s.share
+                        else {_number_map('a.pool', blood)} end as proportion
+            from pool_counts a cross join (select distinct titrated from shares) t cross join levels l
+            left join shares s on s.titrated = t.titrated and s.pool = a.pool""",
+        "truth": truth_sql(dict(zip(bridge.SUBSET_POOLS, types))),
+        "atlas": atlas_sql(types),
+        "equations": equations_sql(len(types)),
+        "sweeps": _descent("equations", "0.0", SUBSET_SWEEPS, len(types)),
+        "nnls": unpivoted("sweeps", SUBSET_SWEEPS, "nnls", types),
+    }
+
+
+SUBSET_SWEEPS = 300
+SUBSET_TABLES = _subset_tables()
+
+
 def rate_steps(rates: str) -> str:
     """The rates of a curve with those of the next level."""
     return (f"select *, lead(p) over w as next_p, lead(rate) over w as next_rate, "

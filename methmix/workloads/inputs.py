@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from methmix.sources.tables import pool_counts
 SOURCE = "blueprint_loyfer2022"
 SHARE = 0.25  # reads per mixture, as a share of all pool rows
 POOL_TO_REF = dict(zip(bridge.GROUPS, bridge.CELL_TYPES))
+SUBSET_TO_REF = dict(zip(bridge.SUBSET_POOLS, bridge.SUBSET_TYPES))
+# The shares of the other T subsets while one is titrated.
+SUBSET_SHARES = {"t_effector": labels.T_REG_SHARES_UNDER_EFFECTOR, "t_reg": labels.T_EFFECTOR_SHARES_UNDER_REG}
 KEYS = ["titrated", "proportion_id", "replicate"]
 
 
@@ -71,25 +74,39 @@ def whole_blood(counts: DataFrame, titrated: list[str] | None = None) -> DataFra
     return design.complete(design.custom_background(abundance(counts), titrated or bridge.GROUPS, labels.TITRATION_LEVELS))
 
 
-def truth(design_table: DataFrame) -> DataFrame:
+def subset_trees(spark: SparkSession) -> DataFrame:
+    """Whole blood with the T group divided into subsets, one tree for each titrated subset."""
+    rows = []
+    for titrated, shares in SUBSET_SHARES.items():
+        rows += [(titrated, node, None, share) for node, share in labels.WHOLE_BLOOD_ABUNDANCE.items()]
+        rows += [(titrated, node, "Blueprint-T", share) for node, share in {**shares, titrated: 0.0}.items()]
+    return spark.createDataFrame(rows, "titrated string, node string, parent string, share double")
+
+
+def subset_design(spark: SparkSession) -> DataFrame:
+    return design.complete(design.tree_background(subset_trees(spark), labels.TITRATION_LEVELS))
+
+
+def truth(design_table: DataFrame, pool_to_ref: dict[str, str] = POOL_TO_REF) -> DataFrame:
     """True proportion per reference cell type."""
     return design_table.select(
         "titrated", "proportion_id", "titration",
-        relational.label_column("cell_type", POOL_TO_REF).alias("ref_celltype"),
+        relational.label_column("cell_type", pool_to_ref).alias("ref_celltype"),
         F.col("proportion").alias("true_proportion"),
         (F.col("cell_type") == F.col("titrated")).cast("int").alias("is_titrated"))
 
 
 @dataclass
 class Experiment:
-    """A whole-blood titration: region scores of its mixtures, its design, and its pools."""
+    """A titration: region scores of its mixtures, its design, its pools, and their reference cell types."""
 
     scores: DataFrame
     design: DataFrame
     pools: DataFrame
+    pool_to_ref: dict[str, str] = field(default_factory=lambda: POOL_TO_REF)
 
     def truth(self) -> DataFrame:
-        return truth(self.design)
+        return truth(self.design, self.pool_to_ref)
 
 
 def experiment(spark: SparkSession, d: str, titrated: list[str] | None = None,
@@ -108,3 +125,30 @@ def stored_atlas(spark: SparkSession, d: str, pool: DataFrame | None = None) ->
     the reference samples."""
     table = scores(spark, d) if pool is None else scoring.sum_scores(pool, ["sample_id"])
     return materialize(atlas.atlas_wide(table, sample_map(spark, d), region_map(spark, d), bridge.CELL_TYPES), "atlas")
+
+
+def subset_region_map(spark: SparkSession, d: str) -> DataFrame:
+    return atlas.region_labels(atlas.panel_regions(bridge.panel(spark, d, subsets=True)), labels.REGION_LABELS_T_SUBSET)
+
+
+def subset_atlas(spark: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
+    """The atlas of seven cell types, from scored pools if there are any."""
+    reads = bridge.reads(spark, d, subsets=True)
+    table = pipelines.sample_scores(reads, bridge.regions(spark, d)) if pool is None else scoring.sum_scores(pool, ["sample_id"])
+    named = atlas.sample_labels(bridge.samples(spark, d, subsets=True), labels.SAMPLE_LABELS_T_SUBSET, SOURCE, labels.T_SUBSET_CELL_TYPES)
+    return atlas.atlas_wide(table, named, subset_region_map(spark, d), bridge.SUBSET_TYPES)
+
+
+def subset_pools(spark: SparkSession, d: str) -> DataFrame:
+    """The seven pools, scored."""
+    names = pipelines.pool_map(bridge.samples(spark, d, subsets=True), SOURCE, cell_type_groups=labels.T_SUBSET_CELL_TYPES)
+    return pipelines.scored_pools(pipelines.build_pools(bridge.reads(spark, d, subsets=True), bridge.regions(spark, d), names))
+
+
+def subset_experiment(spark: SparkSession, d: str) -> Experiment:
+    """Titrations of two T subsets inside the T group of whole blood."""
+    pool = subset_pools(spark, d)
+    counts = materialize(pool_counts(pool), "pool-counts")
+    plan = subset_design(spark)
+    table = pipelines.mixture_scores(pool, counts, design.replicate(plan, labels.REPLICATES, labels.SEED), SHARE, labels.SEED)
+    return Experiment(table, plan, pool, SUBSET_TO_REF)

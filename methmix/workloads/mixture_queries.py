@@ -13,7 +13,7 @@ from methmix.session import materialize, scratch_path
 from methmix.sources import tables
 from methmix.sources.tables import pool_counts
 from methmix.workloads import inputs
-from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, TABLES, _map, compose, lod_from, mixture_words, rate_steps,
+from methmix.workloads.base_sql import (FLAGS, OLS_SWEEPS, SEED_SQL, SUBSET_TABLES, TABLES, _map, compose, lod_from, mixture_words, rate_steps,
                                         rounded_scores, sparse_tables, sums, unpivoted)
 from methmix.workloads.registry import as_bigint, query, rounded
 
@@ -75,6 +75,13 @@ def design_two_level(spark: SparkSession, d: str) -> DataFrame:
     return _sized(design.complete(plan), counts)
 
 
+@query("design_tree", compose(_sized_sql("design"), SUBSET_TABLES))
+def design_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Two T subsets titrated inside the T group, whose other members share the rest, beside a background that stays."""
+    counts = materialize(pool_counts(inputs.subset_pools(spark, d)), "pool-counts")
+    return _sized(inputs.subset_design(spark), counts)
+
+
 @query("combined_truth", compose(
     "select titrated, proportion_id::bigint as proportion_id, titration, case when pool in ('Blueprint-T', 'Blueprint-NK') then 'lymphoid' "
     "else pool end as ref_celltype, round(sum(proportion), 8) as true_proportion from design group by all"))
@@ -286,6 +293,17 @@ def ols_mixtures(spark: SparkSession, d: str) -> DataFrame:
     return _out(estimate.ols(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
 
 
+@query("nnls_subset", compose(EST_SQL.format(keys=EST_KEYS, name="nnls", table="nnls"), SUBSET_TABLES))
+def nnls_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Seven cell types in every mixture of the T-subset titrations."""
+    return _out(_subset_fit(inputs.subset_experiment(spark, d), spark, d))
+
+
+def _subset_fit(run: inputs.Experiment, spark: SparkSession, d: str) -> DataFrame:
+    matrix = materialize(inputs.subset_atlas(spark, d, run.pools), "atlas")
+    return estimate.nnls(run.scores, matrix, KEYS, bridge.SUBSET_TYPES)
+
+
 SAMPLE_ROWS = {
     "kept": "select sample_id, region_id, frac_alpha_leq_25pct as b from scores where number_molecules >= {cut}",
     "grid": "select s.sample_id, r.region_id from (select distinct sample_id from kept) s cross join (select distinct region_id from kept) r",
@@ -547,6 +565,25 @@ def background_check_huber(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(checked.select("titrated", "titration", "ref_celltype", "bias", "mse"), "bias"), "mse", digits=8)
 
 
+@query("lod95_subset", compose(lod_from("steps"), {**SUBSET_TABLES, **_rates("nnls", DETECT.format(cut=NNLS_CUT))}))
+def lod95_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Limit of detection of T subsets, as a share of all cells."""
+    run = inputs.subset_experiment(spark, d)
+    own = run.truth().where(F.col("is_titrated") == 1)
+    found = evaluate.with_truth(_subset_fit(run, spark, d), own, ["titrated", "proportion_id", "ref_celltype"])
+    return rounded(evaluate.limit_of_detection(evaluate.detection_rate(found, ["ref_celltype"], NNLS_CUT), ["ref_celltype"]), "lod")
+
+
+@query("background_check_subset", compose(
+    f"select e.titrated, t.titration, e.ref_celltype, round(avg(coeff - true_proportion), 6) as bias, "
+    f"round(avg(pow(coeff - true_proportion, 2)), 8) as mse from nnls e {TRUTH_JOIN} group by all", SUBSET_TABLES))
+def background_check_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The other T subsets and the background while one subset is titrated, against their true proportions."""
+    run = inputs.subset_experiment(spark, d)
+    checked = evaluate.background_check(materialize(_subset_fit(run, spark, d), "estimates"), run.truth(), ["titrated", "proportion_id", "ref_celltype"])
+    return rounded(rounded(checked.select("titrated", "titration", "ref_celltype", "bias", "mse"), "bias"), "mse", digits=8)
+
+
 @query("lod95_nnls_tolerance", compose(lod_from("steps"), _rates("nnls", WITHIN)))
 def lod95_nnls_tolerance(spark: SparkSession, d: str) -> DataFrame:
     rates = evaluate.tolerance_rate(_titrated_nnls(spark, d), ["ref_celltype"])

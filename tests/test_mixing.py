@@ -231,3 +231,61 @@ def test_every_replicate_has_a_seed_of_its_own(abundance):
     seeds = table.select("titrated", "proportion_id", "replicate", "seed").distinct()
     assert seeds.count() == 2 * 3 * 20  # more replicates than levels is fine
     assert seeds.agg(F.max("seed")).first()[0] <= 1_000_000
+
+
+TREE = [("naive", None, "b", 1.0), ("naive", None, "lymphoid", 3.0),
+        ("naive", "lymphoid", "nk", 0.2), ("naive", "lymphoid", "t", 0.8),
+        ("naive", "t", "naive", 0.0), ("naive", "t", "effector", 0.5), ("naive", "t", "reg", 1.5),
+        ("nk", None, "b", 0.5), ("nk", None, "lymphoid", 0.5),
+        ("nk", "lymphoid", "nk", 9.0), ("nk", "lymphoid", "t", 1.0), ("nk", "t", "naive", 1.0), ("nk", "t", "reg", 3.0)]
+
+
+def tree(spark, rows):
+    return spark.createDataFrame(rows, "titrated string, parent string, node string, share double")
+
+
+def test_tree_background_at_any_depth(spark):
+    found = design.complete(design.tree_background(tree(spark, TREE), [0.2, 0.0, 1.0])).collect()
+    got = {(r["titrated"], r["titration"], r["cell_type"]): r["proportion"] for r in found}
+    assert len(got) == len(found) == 3 * (5 + 4)
+    part_of_t = 0.75 * 0.8  # the path to the T cells does not depend on the level
+    assert got["naive", 0.2, "naive"] == pytest.approx(part_of_t * 0.2)
+    assert got["naive", 0.2, "reg"] == pytest.approx(part_of_t * 0.8 * 0.75)
+    assert got["naive", 1.0, "effector"] == 0
+    assert [got["naive", level, "nk"] for level in (0.2, 0.0, 1.0)] == pytest.approx([0.15] * 3)
+    # A sibling of the titrated leaf hands its rest on to what lies below it.
+    assert got["nk", 0.2, "nk"] == pytest.approx(0.5 * 0.2)
+    assert got["nk", 0.2, "reg"] == pytest.approx(0.5 * 0.8 * 0.75)
+    assert got["nk", 0.0, "naive"] == pytest.approx(0.5 * 0.25)
+
+
+def test_tree_of_two_levels_is_the_two_level_background(spark):
+    table = spark.createDataFrame([("b", 0.77, False), ("t_naive", 0.9, True), ("t_reg", 0.1, True), ("t_eff", 0.0, True)],
+                                  "cell_type string, abundance double, in_group boolean")
+    nested = tree(spark, [("t_eff", None, "b", 0.77), ("t_eff", None, "t", 0.23), ("t_eff", "t", "t_naive", 0.9),
+                          ("t_eff", "t", "t_reg", 0.1), ("t_eff", "t", "t_eff", 0.0)])
+    levels = [0.3, 0.01]
+    two = {(r["cell_type"], r["titration"]): r["proportion"]
+           for r in design.two_level_background(table, ["t_eff"], levels, 0.23).collect()}
+    deep = {(r["cell_type"], r["titration"]): r["proportion"] for r in design.tree_background(nested, levels).collect()}
+    assert deep == pytest.approx(two)
+
+
+@pytest.mark.parametrize("rows, fault", [
+    ([("a", None, "a", 0.0), ("a", None, "b", None)], "null or negative share"),
+    ([("a", None, "a", 0.0), ("a", None, "b", -1.0)], "null or negative share"),
+    ([("a", None, "a", 0.0), ("a", None, None, 1.0)], "null name"),
+    ([("a", None, "a", 0.0), ("a", None, "b", 1.0), ("a", "b", "b", 1.0)], "a node twice"),
+    ([("a", None, "a", 0.0), ("a", None, "b", 0.0)], "siblings without a share"),
+    ([("a", None, "b", 1.0)], "no leaf"),
+    ([("a", None, "a", 0.0), ("a", None, "b", 1.0), ("a", "a", "c", 1.0)], "nodes below"),
+    ([("a", None, "a", 0.0), ("a", None, "b", 1.0), ("a", "nobody", "c", 1.0)], "no path from c"),
+    ([("a", None, "a", 0.0), ("a", None, "b", 1.0), ("a", "d", "c", 1.0), ("a", "c", "d", 1.0)], "no path from"),
+])
+def test_wrong_trees(spark, rows, fault):
+    with pytest.raises(ValueError, match=fault):
+        design.tree_background(tree(spark, rows), [0.1])
+
+
+def test_empty_tree(spark):
+    assert design.tree_background(tree(spark, []), [0.1]).collect() == []

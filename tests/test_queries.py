@@ -16,7 +16,7 @@ ALL = bool(os.environ.get("METHMIX_ALL_QUERIES"))
 # Below sf0.01 too few regions are covered for an atlas of full rank.
 FOLDER = "/root/testdata/sf0.01" if ALL else "/root/testdata/sf0.001"
 CHOSEN = ["overlap_join_binned", "kmer_counts", "score_region_sample", "score_lifted", "liftover_back",
-          "coverage_histogram", "value_counts_ordered", "pca_products", "explained_variance", "atlas_long", "design_two_level", "proportion_labels", "mix_bernoulli_hash",
+          "coverage_histogram", "value_counts_ordered", "pca_products", "explained_variance", "atlas_long", "design_two_level", "design_tree", "proportion_labels", "mix_bernoulli_hash",
           "mix_poisson_hash", "naive_estimate", "lod95_detect"]
 NAMES = sorted(QUERIES) if ALL else CHOSEN
 
