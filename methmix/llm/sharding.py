@@ -4,7 +4,8 @@ Documents with the same link key are linked to each other. A linked document sta
 number, so that linked documents are even from the start. In each round every shard's part of a group asks
 to join the shard that holds most of the group and has room for it, or else some other one with room (a group
 larger than a shard asks for several). Requests are granted in order of a hash while the target has room, so no
-shard ever passes its quota. Documents without
+shard ever passes its quota. Rounds go on until no request is granted, or until PATIENCE rounds in a row have not
+lowered the number of cut links, which no further round need do; the round with the fewest cut links counts. Documents without
 links cost nothing wherever they lie and fill the room that is left: counts differ by at most one.
 
 Requests are sums by (group, shard), so a group of any size is at most `shards` rows, and ranks come from
@@ -24,7 +25,7 @@ from methmix.llm.common import buckets_for, running_sum, stored, table, without
 from methmix.llm.registry import query
 
 SHARDS = 40
-ROUNDS = 5
+PATIENCE = 3
 MADE = ("shard", "slot", "linked")
 
 
@@ -68,9 +69,16 @@ def wishes(state: DataFrame, rows: int, shards: int) -> DataFrame:
     )
 
 
-def propagate(state: DataFrame, rows: int, shards: int, rounds: int, order: list[str], buckets: int) -> DataFrame:
-    """Linked documents (_group, shard, ...) after at most `rounds` rounds of moves."""
-    for _ in range(rounds):
+def cuts(state: DataFrame) -> int:
+    """Parts of groups beyond the first of each group."""
+    parts = state.groupBy("__llm_group", "shard").agg(F.lit(1).alias("__llm_n")).groupBy("__llm_group").agg(F.sum("__llm_n").alias("__llm_n"))
+    return parts.agg(F.coalesce(F.sum(F.col("__llm_n") - 1), F.lit(0))).first()[0]
+
+
+def propagate(state: DataFrame, rows: int, shards: int, patience: int, order: list[str], buckets: int) -> DataFrame:
+    """Linked documents (_group, shard, ...) after the round with the fewest cut links. Ends, as each `patience` rounds lower their number."""
+    best, fewest, idle = state, cuts(state), 0
+    while fewest > 0 and idle < patience:
         asked = running_sum(wishes(state, rows, shards), ["__llm_to"], ["__llm_group", "shard"], F.col("__llm_n"), "__llm_earlier", buckets)
         moves = stored(asked.withColumn("__llm_take", F.least("__llm_n", F.col("__llm_room") - F.col("__llm_earlier"))).filter("__llm_take > 0")
                        .select("__llm_group", "shard", "__llm_to", "__llm_n", "__llm_take"), "shard-moves")
@@ -82,11 +90,14 @@ def propagate(state: DataFrame, rows: int, shards: int, rounds: int, order: list
         part = running_sum(asked_rows.filter("__llm_take < __llm_n"), ["__llm_group", "shard"], order, None, "__llm_rank", buckets)
         part = part.withColumn("shard", F.when(F.col("__llm_rank") < F.col("__llm_take"), F.col("__llm_to")).otherwise(F.col("shard"))).drop("__llm_rank")
         state = stored(whole.unionByName(part).drop("__llm_to", "__llm_n", "__llm_take"), "shard-state")
-    return state
+        cut, idle = cuts(state), idle + 1
+        if cut < fewest:
+            best, fewest, idle = state, cut, 0
+    return best
 
 
 def shard_documents(docs: DataFrame, link: Column, order: list[str], shards: int = SHARDS,
-                    rounds: int = ROUNDS) -> DataFrame:
+                    patience: int = PATIENCE) -> DataFrame:
     """`docs` with shard (0 to `shards` - 1), slot (gapless from 0 in its shard) and linked (has links).
 
     Rows with equal non-null `link` are linked. `order` names columns that tell the rows apart.
@@ -101,7 +112,7 @@ def shard_documents(docs: DataFrame, link: Column, order: list[str], shards: int
     numbered = stored(running_sum(keyed, ["linked"], order, None, "__llm_number", buckets), "shard-numbers")
     start = (numbered.filter("linked")
              .withColumn("shard", (F.col("__llm_number") % shards).cast("int")).drop("__llm_number"))
-    linked = propagate(stored(start, "shard-start"), rows, shards, rounds, order, buckets)
+    linked = propagate(stored(start, "shard-start"), rows, shards, patience, order, buckets)
     used = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("__llm_used"))
     all_shards = keyed.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     free = (all_shards.join(used, "shard", "left")

@@ -1,5 +1,7 @@
 """Targets against water-filling in Python, draws against the laws of the mix."""
 
+import os
+
 import pytest
 
 from methmix.llm import mixing
@@ -66,3 +68,22 @@ def test_no_words_empty_table_and_clash(spark):
     assert mixing.mix_sources(documents(spark, [])).collect() == []
     clash = mixing.mix_sources(documents(spark, rows(["a b"])).withColumnRenamed("Key", "TARGET"))
     assert "TARGET" not in clash.columns and clash.first()["target"] == 2.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_registered_query(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sizes, taken = {}, {}
+    for r in docs.values():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORDS.findall(r["text"] or ""))
+    expected = targets(sizes)
+    found = mixing.op2_mix_sources(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(docs)
+    for r in found:
+        source, size = docs[r["doc_id"]]["source"], len(WORDS.findall(docs[r["doc_id"]]["text"] or ""))
+        assert (r["size"], r["source_size"]) == (size, sizes[source]) and r["target"] == pytest.approx(expected[source])
+        assert 0 <= r["taken"] <= 3 * size
+        taken[source] = taken.get(source, 0) + r["taken"]
+    for source, words in taken.items():
+        assert abs(words - expected[source]) <= max(len(WORDS.findall(d["text"] or "")) for d in docs.values() if d["source"] == source)
