@@ -5,7 +5,8 @@ number, so that linked documents are even from the start. In each round every sh
 to join the shard that holds most of the group and has room for it, or else some other one with room (a group
 larger than a shard asks for several). Requests are granted in order of a hash while the target has room, so no
 shard ever passes its quota. Rounds go on until no request is granted, or until PATIENCE rounds in a row have not
-lowered the number of cut links, which no further round need do; the round with the fewest cut links counts. Documents without
+lowered the number of cut links; the round with the fewest cut links counts. Parts move into free room only: where all documents are
+linked there is none at the start, and groups stay cut as the numbers cut them. Documents without
 links cost nothing wherever they lie and fill the room that is left: counts differ by at most one.
 
 Requests are sums by (group, shard), so a group of any size is at most `shards` rows, and ranks come from
