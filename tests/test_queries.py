@@ -11,7 +11,7 @@ from methmix.workloads import QUERIES, SQL
 # The plans of these queries read the reads once, whatever they were stored for before.
 ONE_SCAN = ["score_region_sample", "score_lifted", "liftover_back", "coverage_histogram", "atlas_iqr_outliers",
             "atlas_mean_variance", "nnls_per_sample", "standardized_scores", "pca_products", "explained_variance",
-            "mixture_scores", "nnls_mixtures"]
+            "mixture_scores", "nnls_mixtures", "atlas_subset", "nnls_subset"]
 ALL = bool(os.environ.get("METHMIX_ALL_QUERIES"))
 # Below sf0.01 too few regions are covered for an atlas of full rank.
 FOLDER = "/root/testdata/sf0.01" if ALL else "/root/testdata/sf0.001"
