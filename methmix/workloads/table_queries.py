@@ -241,6 +241,39 @@ def liftover_report(spark: SparkSession, d: str) -> DataFrame:
     return intervals.lift_report(_lifted(spark, d), min_cpg=3)
 
 
+# The map with repeated indexes: the last line of an index counts, also where it has no target.
+MAP_LINES = {
+    "map_lines": "select cpg_index, cpg_index_hg38, 0 as line from cpg_map union all "
+                 "select cpg_index, cpg_index + 1000, 1 from cpg_map where cpg_index % 7 < 3 union all "
+                 "select cpg_index, null, 2 from cpg_map where cpg_index % 23 = 0",
+    "map_last": "select cpg_index as i, cpg_index_hg38 as j from map_lines qualify line = max(line) over (partition by cpg_index)",
+}
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    plain = bridge.cpg_map(spark, d).select("cpg_index", "cpg_index_hg38", F.lit(0).alias("line"))
+    moved = plain.where("cpg_index % 7 < 3").select("cpg_index", F.col("cpg_index") + 1000, F.lit(1))
+    lost = plain.where("cpg_index % 23 = 0").select("cpg_index", F.lit(None).cast("bigint"), F.lit(2))
+    return intervals.index_segments(plain.union(moved).union(lost), order_by="line")
+
+
+@query("index_segments", compose(
+    "select min(i) as segment_start, max(i) as segment_end, shift as segment_shift from "
+    "(select i, j - i as shift, i - row_number() over (partition by j - i order by i) as run from map_last where j is not null) "
+    "group by shift, run", MAP_LINES))
+def index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The map with repeated indexes, as runs of one shift."""
+    return _segments(spark, d)
+
+
+@query("liftover_segments", compose(
+    "select g.*, a.j as region_cpg_index_min_hg38, b.j as region_cpg_index_max_hg38 from regions g "
+    "left join map_last a on a.i = g.region_cpg_index_min left join map_last b on b.i = g.region_cpg_index_max", MAP_LINES))
+def liftover_segments(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.lift_over_segments(bridge.regions(spark, d), _segments(spark, d),
+                                        ["region_cpg_index_min", "region_cpg_index_max"])
+
+
 OVERLAP = "select molecule_id, sample_id, region_id, region_cpg_index_min, region_cpg_index_max from region_reads"
 
 
@@ -256,6 +289,26 @@ def overlap_join_binned(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("molecule_id", "sample_id", "region_id", "region_cpg_index_min", "region_cpg_index_max")
 
 
+MARGINS = [0, 100, 1_000_000]
+
+
+@query("overlap_join_levels", compose(
+    "select g.region_id, r.sample_id, count(*) as pairs, min(r.cpg_index_min) as first_cpg, max(r.cpg_index_max) as last_cpg "
+    "from reads r join wider g on r.cpg_index_min <= g.high and r.cpg_index_max >= g.low group by all", {
+        "wider": "select region_id || '+' || margin as region_id, region_cpg_index_min - margin as low, region_cpg_index_max + margin as high "
+                 f"from regions cross join (select unnest({MARGINS}) as margin)"}))
+def overlap_join_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as they are, 100 CpGs wider and a million wider on both sides, in one join."""
+    margin = F.explode(F.array(*[F.lit(m).cast("bigint") for m in MARGINS]))
+    wider = bridge.regions(spark, d).withColumn("_margin", margin).select(
+        F.concat_ws("+", "region_id", "_margin").alias("region_id"),
+        (F.col("region_cpg_index_min") - F.col("_margin")).alias("region_cpg_index_min"),
+        (F.col("region_cpg_index_max") + F.col("_margin")).alias("region_cpg_index_max"))
+    pairs = intervals.overlap_join_levels(bridge.reads(spark, d), wider)
+    return pairs.groupBy("region_id", "sample_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.min("cpg_index_min").alias("first_cpg"), F.max("cpg_index_max").alias("last_cpg"))
+
+
 # ---- joins ------------------------------------------------------------------
 @query("scores_with_samples", compose(
     "select s.sample_id, region_id, ref_celltype, number_molecules from scores s join sample_map m using (sample_id)"))

@@ -84,3 +84,67 @@ def test_last_entry_without_target_gives_null(spark):
                                     "cpg_index bigint, cpg_index_hg38 bigint, line int")
     lifted = intervals.lift_over(frame, cpg_map, ["i"], order_by="line").collect()
     assert {r["i"]: r["i_hg38"] for r in lifted} == {1: None, 2: 200, None: None}
+
+
+def spread(rng):
+    """Reads and regions of 1 to a million CpGs, some below zero."""
+    reads = [(f"m{i}", "c", s, s + rng.choice([0, 3, 90, 400])) for i, s in enumerate(rng.randint(-3000, 50_000) for _ in range(300))]
+    lengths = [1, 10, 31, 32, 33, 128, 129, 5000, 70_000, 1_000_000]
+    regions = [(f"r{j}", "c", s, s + rng.choice(lengths) - 1) for j, s in enumerate(rng.randint(-60_000, 50_000) for _ in range(200))]
+    return reads, regions + [("unmapped", "c", None, 10), ("turned", "c", 9, 5)]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_levels_find_every_pair_once_and_copy_no_region(spark, monkeypatch, limit):
+    reads, regions = spread(random.Random(3))
+    brute = sorted((m, r) for m, _, a, b in reads for r, _, lo, hi in regions if lo is not None and lo <= hi and a <= hi and b >= lo)
+    sizes, join = [], intervals._join_bins
+
+    def counted(binned, bins, *rest):
+        sizes.append((binned.count(), bins.count()))
+        return join(binned, bins, *rest)
+
+    monkeypatch.setattr(intervals, "_join_bins", counted)
+    monkeypatch.setattr(intervals, "ROWS_PER_SALT", 20)
+    joined = intervals.overlap_join_levels(spark.createDataFrame(reads, READ), spark.createDataFrame(regions, REGION), max_broadcast_rows=limit)
+    assert pairs(joined) == brute
+    (asked, built), = sizes
+    assert built == 200  # one row a region
+    levels = len({next(n for n in range(32) if hi - lo < 1 << (2 * n + 5)) for _, _, lo, hi in regions[:200]})
+    assert asked <= len(reads) * (2 * levels + 14)  # 400 CpGs pass 13 borders of 32 on the lowest level
+
+
+def test_levels_without_regions_or_reads(spark):
+    reads, regions = spread(random.Random(4))
+    none = spark.createDataFrame([], REGION)
+    assert pairs(intervals.overlap_join_levels(spark.createDataFrame(reads, READ), none)) == []
+    assert pairs(intervals.overlap_join_levels(spark.createDataFrame([], READ), spark.createDataFrame(regions, REGION))) == []
+
+
+def test_segments_over_block_borders(spark, monkeypatch):
+    """Runs longer than several blocks come out whole; the same indexes are lifted as by the map."""
+    rng = random.Random(6)
+    rows, shift = [], 0
+    for i in range(-300, 900):
+        if rng.random() < 0.02:
+            shift += rng.choice([-3, 1, 7])
+        rows.append((i, None if rng.random() < 0.01 else i + shift, 0))
+    rows += [(i, rng.choice([None, 5000 + i]), 1) for i in rng.sample(range(-300, 900), 40)] + [(None, 4, 0)]
+    cpg_map = spark.createDataFrame(rows, "cpg_index bigint, cpg_index_hg38 bigint, line int")
+    last = {}
+    for i, j, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[2]):
+        last[i] = j
+    expected = []
+    for i in sorted(k for k, v in last.items() if v is not None):
+        if expected and expected[-1][1] == i - 1 and expected[-1][2] == last[i] - i:
+            expected[-1][1] = i
+        else:
+            expected.append([i, i, last[i] - i])
+    frame = spark.createDataFrame([(i, i + 7) for i in range(-320, 920)] + [(None, 1)], "lo bigint, hi bigint")
+    by_map = intervals.lift_over(frame, cpg_map, ["lo", "hi"], order_by="line")
+    for bits in [(3, 6), (4, 9), (16, 32)]:
+        monkeypatch.setattr(intervals, "SEGMENT_BITS", bits)
+        segments = intervals.index_segments(cpg_map, order_by="line")
+        assert sorted(map(list, segments.collect())) == expected
+        lifted = intervals.lift_over_segments(frame, segments, ["lo", "hi"])
+        assert sorted(map(str, lifted.collect())) == sorted(map(str, by_map.select(*lifted.columns).collect()))
