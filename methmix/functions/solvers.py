@@ -63,6 +63,69 @@ def fit_nonnegative(gram: np.ndarray, rhs: np.ndarray, steps: int | None = None)
     return x, limit, False
 
 
+def triangular_factors(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each code 0, 1, ... a triangular factor of its rows: pieces of a few rows are factored as one stack, and the
+    factors of one code again, until each has one. All codes up to the largest must occur."""
+    width = rows.shape[1]
+    height = 4 * width
+    while True:
+        order = np.argsort(codes, kind="stable")
+        codes, rows = codes[order], rows[order]
+        place = np.arange(len(codes)) - np.searchsorted(codes, codes)
+        heads = place % height == 0
+        stack = np.zeros((int(heads.sum()), height, width))
+        stack[np.cumsum(heads) - 1, place % height] = rows
+        factors, owners = np.linalg.qr(stack, mode="r"), codes[heads]
+        if (np.diff(owners) > 0).all():
+            return factors
+        codes, rows = np.repeat(owners, width), factors.reshape(-1, width)
+
+
+def fit_free_factor(r: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """min |Rx - q|; the shortest solution if columns depend on each other."""
+    return np.linalg.lstsq(r, q, rcond=max(r.shape) * np.finfo(float).eps)[0], 1, True
+
+
+def fit_nonnegative_factor(r: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """min |Rx - q| over x >= 0 by the active-set method, without products of R with itself. A column is judged by its
+    part orthogonal to the free ones, scaled to length 1, so that columns that differ in their last digits are told apart."""
+    k = r.shape[1]
+    x, free, barred = np.zeros(k), np.zeros(k, bool), np.zeros(k, bool)
+    lengths, noise = np.linalg.norm(r, axis=0), 1e-13 * float(np.linalg.norm(q))
+    limit = 10 * k + 10
+    for step_no in range(limit + 1):
+        basis = np.linalg.qr(r[:, free])[0]
+        rest, own = q - r @ x, r
+        for _ in range(2):  # the second time takes out what rounding left
+            rest, own = rest - basis @ (basis.T @ rest), own - basis @ (basis.T @ own)
+        size = np.linalg.norm(own, axis=0)
+        open_columns = ~free & ~barred & (size > 1e-13 * lengths)
+        slope = np.where(open_columns, own.T @ rest / np.where(open_columns, size, 1.0), -np.inf)
+        entering = int(np.argmax(slope))
+        if slope[entering] <= noise:
+            return x, step_no, True
+        if step_no == limit:
+            break
+        free[entering] = True
+        while True:
+            trial = np.zeros(k)
+            trial[free] = fit_free_factor(r[:, free], q)[0]
+            leaving = free & (trial <= 0)
+            if not leaving.any():
+                x, barred = trial, np.zeros(k, bool)
+                break
+            if leaving[entering] and x[entering] == 0:
+                free[entering], barred[entering] = False, True  # only rounding made it look better
+                break
+            step = float(np.min(x[leaving] / (x[leaving] - trial[leaving])))
+            x = np.maximum(x + step * (trial - x), 0.0)
+            out = leaving & (x <= 1e-15 * x.max())
+            out[np.flatnonzero(leaving)[np.argmin(x[leaving])]] = True
+            free &= ~out
+            x[~free] = 0.0
+    return x, limit, False
+
+
 POLISH_SWEEPS = 20_000
 
 

@@ -45,7 +45,7 @@ def checked_atlas(atlas: DataFrame, cell_types: list[str]) -> DataFrame:
     return stored
 
 
-def _present(scores: DataFrame, score: str, min_molecules: int | None, keys: list[str]) -> DataFrame:
+def present_scores(scores: DataFrame, score: str, min_molecules: int | None, keys: list[str]) -> DataFrame:
     """Keys, `region_id` and `b` of the scores there are."""
     kept = scores if min_molecules is None else scores.where(F.col("number_molecules") >= min_molecules)
     return kept.where(F.col(score).isNotNull() & ~F.isnan(score)).select(*keys, "region_id", F.col(score).cast("double").alias("b"))
@@ -54,7 +54,7 @@ def _present(scores: DataFrame, score: str, min_molecules: int | None, keys: lis
 def aligned(scores: DataFrame, atlas: DataFrame, cell_types: list[str], score: str = SCORE_COLUMN,
             min_molecules: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Keys, `region_id`, `b` and the atlas row, for the regions both sides have."""
-    return _present(scores, score, min_molecules, keys or []).join(atlas.select("region_id", *cell_types), "region_id")
+    return present_scores(scores, score, min_molecules, keys or []).join(atlas.select("region_id", *cell_types), "region_id")
 
 
 def zero_filled(present: DataFrame, atlas: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def _nonnegative_fits(grams: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, n
     return x, steps, final
 
 
-def _fit_schema(df: DataFrame, keys: list[str]) -> T.StructType:
+def fit_schema(df: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType(_key_fields(df, keys) + [
         T.StructField("ref_celltype", T.StringType()), T.StructField("coeff", T.DoubleType()),
         T.StructField("iterations", T.IntegerType()), T.StructField("converged", T.BooleanType())])
@@ -149,7 +149,7 @@ def _solve(equations: DataFrame, keys: list[str], cell_types: list[str], method:
             out["coeff"], out["iterations"], out["converged"] = x.ravel(), np.repeat(steps, k), np.repeat(final, k)
             yield out
 
-    return equations.mapInPandas(batches, _fit_schema(equations, keys)).withColumn("method", F.lit(method))
+    return equations.mapInPandas(batches, fit_schema(equations, keys)).withColumn("method", F.lit(method))
 
 
 # ---- estimators -------------------------------------------------------------
@@ -163,15 +163,15 @@ def naive(scores: DataFrame, regions: DataFrame, keys: list[str], score: str = S
 
 
 def _equations(scores, atlas, cell_types, keys, score, min_molecules, missing) -> DataFrame:
-    _check(missing)
+    check_missing(missing)
     atlas = checked_atlas(atlas, cell_types)
-    present = _present(scores, score, min_molecules, keys)
+    present = present_scores(scores, score, min_molecules, keys)
     if missing == "zero":
         return zero_filled_equations(materialize(present, "present"), atlas, keys, cell_types)
     return normal_equations(present.join(atlas, "region_id"), keys, cell_types)
 
 
-def _check(missing: str) -> None:
+def check_missing(missing: str) -> None:
     if missing not in ("drop", "zero"):
         raise ValueError("missing must be 'drop' or 'zero'")
 
@@ -198,8 +198,8 @@ def nonneg_huber(scores: DataFrame, atlas: DataFrame, keys: list[str], cell_type
                  delta: float, score: str = SCORE_COLUMN, min_molecules: int | None = None,
                  missing: str = "drop", nonnegative: bool = True, group_regions: int = GROUP_REGIONS) -> DataFrame:
     """Sum of Huber losses with a fixed `delta`; coefficients >= 0 unless nonnegative=False."""
-    _check(missing)
-    present = _present(scores, score, min_molecules, keys)
+    check_missing(missing)
+    present = present_scores(scores, score, min_molecules, keys)
     fit = _huber(present, checked_atlas(atlas, cell_types), keys, cell_types, delta, nonnegative, False, missing, group_regions)
     small = F.abs("coeff") < TINY
     return fit.withColumn("coeff", F.when(small, 0.0).otherwise(F.col("coeff"))) \
@@ -212,8 +212,8 @@ def huber(scores: DataFrame, atlas: DataFrame, keys: list[str], cell_types: list
           group_regions: int = GROUP_REGIONS) -> DataFrame:
     """Huber regression with the scale estimated along, no intercept, no penalty.
     force_zero=True sets negative coefficients to 0 after the fit."""
-    _check(missing)
-    present = _present(scores, score, min_molecules, keys)
+    check_missing(missing)
+    present = present_scores(scores, score, min_molecules, keys)
     fit = _huber(present, checked_atlas(atlas, cell_types), keys, cell_types, epsilon, False, True, missing, group_regions)
     if force_zero:
         fit = fit.withColumn("coeff", F.greatest("coeff", F.lit(0.0)))
@@ -255,7 +255,7 @@ def _huber_in_group(present, atlas, keys, cell_types, epsilon, nonnegative, join
             out.insert(place, key, frame[key].iloc[0])
         return out
 
-    schema = _fit_schema(present, keys)
+    schema = fit_schema(present, keys)
     names = schema.fieldNames()
     return present.groupBy(*keys).applyInPandas(fit, schema)
 

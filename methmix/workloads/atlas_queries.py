@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methmix import bridge, labels
-from methmix.operators import atlas, matrix, relational
+from methmix.operators import atlas, factors, matrix, relational
 from methmix.workloads import inputs
 from methmix.workloads.base_sql import SUBSET_TABLES, _map, compose
 from methmix.workloads.registry import as_bigint, query, rounded
@@ -147,12 +147,22 @@ def _powers() -> dict[str, str]:
 def svd_power_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sums of the even powers of the singular values. Five of them determine five values, and
     each is the trace of a power of the Gram matrix, which SQL can take."""
-    values = matrix.singular_values(inputs.atlas_matrix(spark, d), TYPES)
+    return _power_sums(matrix.singular_values(inputs.atlas_matrix(spark, d), TYPES))
+
+
+def _power_sums(values: DataFrame) -> DataFrame:
     sums = values.agg(*[F.sum(F.pow("singular_value", F.lit(2 * p))).alias(str(p)) for p in range(1, 6)])
     long = sums.unpivot([], [str(p) for p in range(1, 6)], "power", "power_sum")
     return rounded(as_bigint(long, "power"), "power_sum")
 
 
+@query("svd_qr", compose(" union all ".join(
+    f"select {p}::bigint as power, round({' + '.join(f'm{i}{i}' for i in range(5))}, 6) as power_sum from power{p}" for p in range(1, 6)), _powers()))
+def svd_qr(spark: SparkSession, d: str) -> DataFrame:
+    """The same sums from singular values by orthogonal factors."""
+    return _power_sums(factors.singular_values(inputs.atlas_matrix(spark, d), TYPES))
+
+
 @query("standardized_scores", compose(
     "select sample_id, region_id, round(case when sd > 1e-12 then (score - mean) / sd else 0 end, 6) as z from "
     "(select sample_id, region_id, frac_alpha_leq_25pct as score from scores) s join "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methmix import bridge, labels
-from methmix.operators import design, estimate, evaluate, intervals, mixing, relational, scoring
+from methmix.operators import design, estimate, evaluate, factors, intervals, mixing, relational, scoring
 from methmix.operators.atlas import atlas_wide
 from methmix.plans import pipelines
 from methmix.session import materialize, scratch_path
@@ -286,6 +286,12 @@ def nnls_mixtures(spark: SparkSession, d: str) -> DataFrame:
     return _out(estimate.nnls(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
 
 
+@query("nnls_qr", compose(EST_SQL.format(keys=EST_KEYS, name="nnls_qr", table="nnls")))
+def nnls_qr(spark: SparkSession, d: str) -> DataFrame:
+    run = inputs.experiment(spark, d)
+    return _out(factors.least_squares(run.scores, inputs.stored_atlas(spark, d, run.pools), KEYS, TYPES))
+
+
 @query("ols_mixtures", compose(EST_SQL.format(keys=EST_KEYS, name="ols", table="ols"), {
     "sweeps": OLS_SWEEPS, "ols": unpivoted("sweeps", 200, "ols")}))
 def ols_mixtures(spark: SparkSession, d: str) -> DataFrame:
@@ -323,6 +329,17 @@ def nnls_per_sample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fit.drop("iterations"), "coeff")
 
 
+@query("nnls_qr_per_sample", compose(
+    "select titrated as sample_id, ref_celltype, round(coeff, 6) as coeff, true as converged, 'nnls_qr' as method from nnls",
+    {k: v.replace("{cut}", "80") for k, v in SAMPLE_ROWS.items()}))
+def nnls_qr_per_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The atlas is made orthonormal once; 0 for regions a sample lacks."""
+    scores = materialize(inputs.scores(spark, d), "scores")
+    matrix = atlas_wide(scores, inputs.sample_map(spark, d), inputs.region_map(spark, d), TYPES)
+    fit = factors.least_squares(scores, matrix, ["sample_id"], TYPES, min_molecules=80, missing="zero")
+    return rounded(fit.drop("iterations"), "coeff")
+
+
 @query("outer_estimates", compose(
     "select coalesce(n.sample_id, v.sample_id) as sample_id, coalesce(n.ref_celltype, v.ref_celltype) as ref_celltype, "
     "round(n.coeff, 6) as coeff_nnls, round(v.coeff, 6) as coeff_naive from per_nnls n full join per_naive v "
@@ -371,6 +388,13 @@ def ols_planted(spark: SparkSession, d: str) -> DataFrame:
     return _planted_out(estimate.ols(mixed, matrix, KEYS, TYPES).withColumn("coeff", F.when(F.abs("coeff") < 1e-6, 0.0).otherwise(F.col("coeff"))))
 
 
+@query("ols_qr_planted", compose(PLANTED))
+def ols_qr_planted(spark: SparkSession, d: str) -> DataFrame:
+    mixed, matrix = _planted(spark, d)
+    fit = factors.least_squares(mixed, matrix, KEYS, TYPES, nonnegative=False)
+    return _planted_out(fit.withColumn("coeff", F.when(F.abs("coeff") < 1e-6, 0.0).otherwise(F.col("coeff"))))
+
+
 @query("nnhuber_planted", compose(PLANTED))
 def nnhuber_planted(spark: SparkSession, d: str) -> DataFrame:
     mixed, matrix = _planted(spark, d)
