@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Prime modulus of the draw, hex digits (28 bits) per coefficient, seed range.
 PRIME = 2147483647
 HEX_DIGITS = 7
+WORD = 16 ** HEX_DIGITS  # words are below this
 SEED_RANGE = 1_000_001
 
 

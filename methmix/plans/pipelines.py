@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from methmix.functions import hashing
 from methmix.labels import SEED
 from methmix.operators import intervals, mixing, relational, scoring
 from methmix.session import broadcast_if_small, materialize
 
-REGION_BUCKETS = 64
+ROWS_PER_PIECE = 2_000_000  # rows of a pool in one file, at most
+PIECES_PER_PARTITION = 4    # files for each shuffle partition, so that later tasks even out
 
 
 def pool_map(samples: DataFrame, source: str | None = None, groups: dict[str, str] | None = None,
@@ -37,18 +42,47 @@ def sample_scores(reads: DataFrame, regions: DataFrame, weighting: str = "molecu
 def scored_pools(pools: DataFrame, row_key: list[str] | None = None, weighting: str = "molecules") -> DataFrame:
     """Pools ready to be sampled: scores per read, the words of the row key, no strings.
 
-    Written once, a folder per cell type: the atlas, the pool sizes and the draws all read it,
-    and the raw reads are scanned a single time. Rows are dealt by (cell type, region bucket)
-    to the session's number of shuffle partitions, so later scans keep all cores busy and every
-    later task has few regions, and its sums per (mixture, region) fit in memory.
+    The raw reads are scanned a single time; the atlas, the pool sizes and the draws all read what is stored here. The
+    scored rows are written once as they come, counted by (cell type, region), and dealt to pieces of about equal
+    size by these counts. A piece holds rows of one cell type and of few regions, so filters on the cell type skip its file
+    and its sums per (mixture, region) fit in memory; neither a large pool nor a crowded region makes a large piece.
     """
     keyed = mixing.keyed_pools(pools, row_key or ["molecule_id", "region_id"])
-    narrow = scoring.score_reads(keyed).drop("molecule_id", "chr")
-    bucket = F.pmod(F.xxhash64("region_id"), F.lit(REGION_BUCKETS))
-    pieces = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = narrow.withColumn("_bucket", bucket).repartition(pieces, "cell_type", "_bucket").drop("_bucket")
-    gathered = gathered.sortWithinPartitions("cell_type", "region_id")
-    return materialize(gathered, "pools", "cell_type")
+    narrow = materialize(scoring.score_reads(keyed).drop("molecule_id", "chr"), "pool-rows")
+    return materialize(dealt_by_counts(narrow), "pools")
+
+
+def dealt_by_counts(rows: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """`rows` (stored, with the words of the row key) dealt to partitions of one cell type each: four times the session's
+    shuffle partitions, more where they would exceed `rows_per_piece`. Within one the rows lie region by region.
+
+    The rows of a cell type are thought of as a line, region after region; a row's place in its region is its hash, as
+    a share of the region's rows. The line is cut into equal lengths, so a region with more rows than a length is split by
+    row key, and small ones share a piece. Windows run over counts of regions, never over rows.
+    """
+    spark = rows.sparkSession
+    counts = materialize(rows.groupBy("cell_type", "region_id").agg(F.count(F.lit(1)).alias("_rows")), "region-counts")
+    sizes = counts.groupBy("cell_type").agg(F.sum("_rows").alias("n")).orderBy("cell_type").collect()  # one row per cell type
+    if not sizes:
+        return rows
+    wanted = PIECES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    length = min(rows_per_piece, math.ceil(sum(r["n"] for r in sizes) / wanted))
+    lines, pieces = [], 0
+    for r in sizes:
+        own = math.ceil(r["n"] / length)
+        lines.append((r["cell_type"], pieces, own, r["n"] / own))
+        pieces += own
+    lines = spark.createDataFrame(lines, T.StructType([
+        rows.schema["cell_type"], T.StructField("_first", T.LongType()), T.StructField("_pieces", T.LongType()),
+        T.StructField("_length", T.DoubleType())])).withColumnRenamed("cell_type", "_cell_type")
+    before = F.sum("_rows").over(Window.partitionBy("cell_type").orderBy("region_id")) - F.col("_rows")
+    starts = counts.withColumn("_start", before).join(F.broadcast(lines), F.expr("cell_type <=> _cell_type")) \
+        .drop("cell_type").withColumnRenamed("region_id", "_region_id")
+    met = rows.join(broadcast_if_small(starts), F.expr("cell_type <=> _cell_type AND region_id <=> _region_id"))
+    place = F.col("_start") + F.col("row_x") / F.lit(float(hashing.WORD)) * F.col("_rows")
+    piece = F.col("_first") + F.least(F.floor(place / F.col("_length")), F.col("_pieces") - 1)
+    return met.withColumn("_piece", piece.cast("int")).repartitionById(pieces, F.col("_piece")) \
+        .select(*rows.columns).sortWithinPartitions("region_id")
 
 
 def mixture_scores(pools: DataFrame, counts: DataFrame, replicated: DataFrame, share: float,

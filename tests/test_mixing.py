@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from methmix.operators import design, mixing
+from methmix.plans import pipelines
 
 POOL_ROWS = {"big": 6000, "small": 1500}
 
@@ -289,3 +290,29 @@ def test_wrong_trees(spark, rows, fault):
 
 def test_empty_tree(spark):
     assert design.tree_background(tree(spark, []), [0.1]).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pool_pieces_follow_the_counts(spark, monkeypatch, broadcast):
+    """57 % of the rows in one type, most of them in one region; a type and a region without a name."""
+    if not broadcast:
+        monkeypatch.setattr(pipelines, "broadcast_if_small", lambda df: df)
+    shares = {"hot": 0.57, "b": 0.2, "c": 0.12, "d": 0.1, None: 0.01}
+    rows = [(f"{c}{i}", (None if i % 50 == 1 else "r0" if c == "hot" and i % 4 else f"r{i * 7 % 200}"), c)
+            for c, share in shares.items() for i in range(int(20_000 * share))]
+    table = mixing.keyed_pools(spark.createDataFrame(rows, "molecule_id string, region_id string, cell_type string"), ["molecule_id"])
+    for most, pieces in [(10 ** 9, 16), (400, 50)]:
+        dealt = pipelines.dealt_by_counts(table, most).withColumn("piece", F.spark_partition_id())
+        assert sorted(dealt.columns) == sorted([*table.columns, "piece"])
+        seen = dealt.collect()
+        assert sorted((r["molecule_id"], str(r["region_id"]), str(r["cell_type"]), r["row_y"]) for r in seen) == sorted(
+            (r["molecule_id"], str(r["region_id"]), str(r["cell_type"]), r["row_y"]) for r in table.collect())
+        by_piece = {}
+        for r in seen:
+            by_piece.setdefault(r["piece"], []).append(r)
+        sizes = sorted(map(len, by_piece.values()))
+        assert pieces <= len(sizes) <= pieces + len(shares) and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert all(len({r["cell_type"] for r in piece}) == 1 for piece in by_piece.values())
+    hot = [len({r["region_id"] for r in piece}) for piece in by_piece.values() if piece[0]["cell_type"] == "hot"]
+    assert sorted(hot)[len(hot) // 2] == 1  # the crowded region has pieces of its own
+    assert pipelines.dealt_by_counts(table.where("false")).collect() == []
