@@ -140,6 +140,18 @@ def mixture_plan(fractions: DataFrame, seed: int) -> MixturePlan:
     return plan
 
 
+def only_mixtures(plan: MixturePlan, keys: DataFrame) -> MixturePlan:
+    """The part of a plan that draws the mixtures of `keys`. They are drawn as in the whole plan, whose cells they keep."""
+    names = materialize(plan.names.join(keys.select(*MIXTURE_KEYS).distinct(), MIXTURE_KEYS, "left_semi"), "mixture-names")
+
+    def own(table: DataFrame | None, of: DataFrame, by: str) -> DataFrame | None:
+        return None if table is None else materialize(table.join(of.select(by).distinct(), by, "left_semi").select(*table.columns), "own-draws")
+
+    intervals = own(plan.intervals, names, "mixture_no")
+    return MixturePlan(names, own(plan.dense, names, "mixture_no"),
+                       None if intervals is None else own(plan.cells, intervals, "cell_no"), intervals)
+
+
 def dense_draws(mixtures: DataFrame) -> DataFrame:
     """One row per mixture, cell type and copy, with the words of the mixture key and its limit."""
     key = hashing.digest(F.col("seed"), *[F.col(k) for k in MIXTURE_KEYS], F.col("cell_type"))
@@ -249,11 +261,14 @@ def mix(pools: DataFrame, fractions: DataFrame, seed: int, row_key: list[str] |
     return drawn.join(broadcast_if_small(plan.names), "mixture_no").drop("mixture_no")
 
 
-def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str = "molecules") -> DataFrame:
+def mix_scores(pools: DataFrame, fractions: DataFrame, seed: int, weighting: str = "molecules",
+               only: DataFrame | None = None) -> DataFrame:
     """Region scores of every mixture of scored, keyed pools. No mixture is written or
     shuffled: each drawn row goes into the sums of its (mixture, region) in the same stage,
-    under integer keys; the names are joined to the sums."""
+    under integer keys; the names are joined to the sums. `only` holds the keys of the mixtures to score, all by default."""
     plan, regions = mixture_plan(fractions, seed), region_numbers(pools)
+    if only is not None:
+        plan = only_mixtures(plan, only)
     rows = pools.withColumn("region_no", F.xxhash64("region_id")).drop("region_id")
     keys = ["mixture_no", "region_no"]
     parts = [scoring.plain_sums(part, ["mixture_no"], weighting, region="region_no") for part in _draws(rows, plan)]

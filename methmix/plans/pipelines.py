@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +91,45 @@ def mixture_scores(pools: DataFrame, counts: DataFrame, replicated: DataFrame, s
     """Region scores of every mixture of a design."""
     fractions = mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share))
     return mixing.mix_scores(pools, fractions, seed, weighting)
+
+
+def continue_experiment(pools: DataFrame, counts: DataFrame, replicated: DataFrame, share: float, path: str,
+                        seed: int = SEED, weighting: str = "molecules", steps: int = 4, most_steps: int | None = None) -> DataFrame:
+    """`mixture_scores` kept under `path`, where a run that was stopped goes on: mixtures listed there as finished
+    are not scored again. Returns all scores stored so far.
+
+    A run scores the rest in up to `steps` passes over the pools (`most_steps` ends it earlier). Each writes a folder per mixture,
+    replacing what a stopped pass may have left of it, and lists its mixtures afterwards. Draws follow
+    the whole design, so a run in pieces gives the table of a run in one. Mixtures added to a design
+    later are drawn by the larger one and the stored ones stay; where sparse mixtures share cells (see
+    `operators.mixing`), a fresh run of the larger design may draw other rows for the old mixtures. Mixture keys are never null.
+    """
+    spark, keys = pools.sparkSession, mixing.MIXTURE_KEYS
+    fractions = mixing.with_seeds(mixing.sampling_fractions(replicated, counts, mixing.total_as_share(counts, share)), seed)
+    wanted = fractions.select(*keys).distinct()
+    rest = materialize(wanted.join(_finished(spark, path, wanted.schema), keys, "left_anti")
+                       .withColumn("_step", F.pmod(F.xxhash64(*keys), F.lit(steps))), "unfinished")
+    todo = [r["_step"] for r in rest.select("_step").distinct().orderBy("_step").collect()]  # `steps` numbers at most
+    for step in todo if most_steps is None else todo[:most_steps]:
+        own = rest.where(F.col("_step") == step).drop("_step")
+        scored = mixing.mix_scores(pools, fractions, seed, weighting, only=own)
+        scored.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(*keys).parquet(f"{path}/scores")
+        own.write.mode("append").parquet(f"{path}/finished")
+    shape = mixing.mix_scores(pools.limit(0), fractions.limit(0), seed, weighting).schema
+    try:
+        return spark.read.schema(shape).parquet(f"{path}/scores").select(*shape.fieldNames())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], shape)
+
+
+def _finished(spark: SparkSession, path: str, keys: T.StructType) -> DataFrame:
+    """Keys of the mixtures that are listed as finished."""
+    try:
+        return spark.read.schema(keys).parquet(f"{path}/finished")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], keys)

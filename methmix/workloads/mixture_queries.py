@@ -211,6 +211,20 @@ def mixture_scores(spark: SparkSession, d: str) -> DataFrame:
     return as_bigint(rounded(run.scores, *FLAGS), *ID, "seed")
 
 
+@query("mixture_scores_resumed", compose(
+    f"select titrated, proportion_id::bigint as proportion_id, replicate, ({SEED_SQL})::bigint as seed, region_id, "
+    f"{rounded_scores()} from mix_scores"))
+def mixture_scores_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """An experiment that ends after one of two passes and is taken up again."""
+    pool = inputs.scored_pools(spark, d)
+    counts = materialize(pool_counts(pool), "pool-counts")
+    replicated = design.replicate(inputs.whole_blood(counts), labels.REPLICATES, labels.SEED)
+    path = scratch_path(spark, "experiment")
+    for most in (1, None):
+        scores = pipelines.continue_experiment(pool, counts, replicated, inputs.SHARE, path, labels.SEED, steps=2, most_steps=most)
+    return as_bigint(rounded(scores, *FLAGS), *ID, "seed")
+
+
 @query("mixture_scores_rows", compose(
     f"select titrated, proportion_id::bigint as proportion_id, replicate, ({SEED_SQL})::bigint as seed, region_id, "
     f"{rounded_scores()} from row_scores",

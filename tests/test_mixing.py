@@ -1,4 +1,6 @@
 import math
+import pathlib
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,3 +318,72 @@ def test_pool_pieces_follow_the_counts(spark, monkeypatch, broadcast):
     hot = [len({r["region_id"] for r in piece}) for piece in by_piece.values() if piece[0]["cell_type"] == "hot"]
     assert sorted(hot)[len(hot) // 2] == 1  # the crowded region has pieces of its own
     assert pipelines.dealt_by_counts(table.where("false")).collect() == []
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    """Small scored pools with dense and sparse mixtures: two types, three regions."""
+    rows = [(f"m{c}{i}", "s0", c, f"r{i % 3}", "chr1", 1 + i % 2, i, i + 5, "CCTTCT" if i % 4 else "CCCCCC", 0, 10)
+            for c, n in POOL_ROWS.items() for i in range(n)]
+    table = spark.createDataFrame(rows, "molecule_id string, sample_id string, cell_type string, region_id string, chr string, number_molecules int, "
+                                        "cpg_index_min bigint, cpg_index_max bigint, pat_string string, region_cpg_index_min bigint, region_cpg_index_max bigint")
+    stored = pipelines.scored_pools(table)
+    return stored, stored.groupBy("cell_type").agg(F.count(F.lit(1)).alias("pool_rows"))
+
+
+def titration(spark, replicates, shares=(0.0, 0.001, 0.5)):
+    rows = [("big", p, r, c, s if c == "big" else 1 - s, 100 + r) for p, s in enumerate(shares) for r in range(replicates) for c in POOL_ROWS]
+    return spark.createDataFrame(rows, "titrated string, proportion_id int, replicate int, cell_type string, proportion double, seed bigint")
+
+
+def lines(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def folders(path):
+    return {str(f): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("part-*.parquet")}
+
+
+def test_a_stopped_experiment_goes_on(spark, scored, tmp_path):
+    pools, counts = scored
+    plan, path = titration(spark, 3), str(tmp_path / "e")
+    whole = lines(pipelines.mixture_scores(pools, counts, plan, 0.2))
+    first = pipelines.continue_experiment(pools, counts, plan, 0.2, path, steps=3, most_steps=1)
+    assert 0 < len(lines(first)) < len(whole) and set(lines(first)) <= set(whole)
+    # a pass that breaks off after its scores and before its list leaves folders, which the next run replaces
+    shutil.copytree(path + "/finished", path + "/before")
+    broken = pipelines.continue_experiment(pools, counts, plan, 0.2, path, steps=3, most_steps=1)
+    broken_lines = lines(broken)
+    shutil.rmtree(path + "/finished")
+    shutil.copytree(path + "/before", path + "/finished")
+    assert lines(pipelines.continue_experiment(pools, counts, plan, 0.2, path, steps=3)) == whole
+    assert set(broken_lines) <= set(whole)
+    files = folders(path)
+    assert lines(pipelines.continue_experiment(pools, counts, plan, 0.2, path, steps=3)) == whole and folders(path) == files
+    assert spark.read.parquet(path + "/finished").count() == 9
+
+
+def test_an_added_replicate_scores_its_own_mixtures(spark, scored, tmp_path, monkeypatch):
+    pools, counts = scored
+    path = str(tmp_path / "e")
+    before = lines(pipelines.continue_experiment(pools, counts, titration(spark, 2), 0.2, path))
+    files, seen, only = folders(path + "/scores"), [], mixing.only_mixtures
+
+    def watched(plan, keys):
+        part = only(plan, keys)
+        for table in (part.dense, part.intervals):
+            if table is not None:
+                seen.extend(r[0] for r in table.join(part.names, "mixture_no", "left").select("replicate").collect())
+        return part
+
+    monkeypatch.setattr(mixing, "only_mixtures", watched)
+    after = pipelines.continue_experiment(pools, counts, titration(spark, 3), 0.2, path)
+    assert set(seen) == {2}  # no draws but those of the new replicate
+    assert lines(after.where("replicate < 2")) == before and after.where("replicate = 2").count() > 0
+    assert files.items() <= folders(path + "/scores").items()
+
+
+def test_an_experiment_without_mixtures(spark, scored, tmp_path):
+    pools, counts = scored
+    none = pipelines.continue_experiment(pools, counts, titration(spark, 0), 0.2, str(tmp_path / "e"))
+    assert none.collect() == []
