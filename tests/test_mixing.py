@@ -387,3 +387,71 @@ def test_an_experiment_without_mixtures(spark, scored, tmp_path):
     pools, counts = scored
     none = pipelines.continue_experiment(pools, counts, titration(spark, 0), 0.2, str(tmp_path / "e"))
     assert none.collect() == []
+
+
+def test_totals_are_sums_of_the_drawn_rows(spark, pools):
+    """Dense and sparse mixtures, several copies, null values and cell types."""
+    nulls = pools.where("row_x % 9 < 3").unionByName(pools.withColumn("cell_type", F.lit(None).cast("string")).limit(5)).select(
+        "cell_type", "row_x", "row_y", "region_id", F.when(F.col("region_id") != "r3", F.col("number_molecules")).alias("n"),
+        F.when(F.col("row_y") % 3 == 0, F.col("row_y") * (1 << 20)).alias("wide")).cache()
+    plan = fractions(spark, [{"big": 0.3, "small": 2.5}, {"big": 0.002, "small": 1.0}, {"big": 3.7, "small": 0.01}], 3)
+    keys = [*mixing.MIXTURE_KEYS, "seed", "cell_type"]
+    rows = mixing.mix(nulls, plan, 5).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("drawn"), F.max("copy_no").cast("bigint").alias("most_copies"), F.sum("n").alias("n"), F.sum("wide").alias("wide"))
+    totals = mixing.mix_totals(nulls, plan, 5, ["n", "wide"])
+    assert sorted(totals.select(rows.columns).collect()) == sorted(rows.collect())
+    assert sorted(mixing.realised_counts(totals).collect()) == sorted(mixing.realised_counts(mixing.mix(nulls, plan, 5)).collect())
+    numbered = mixing.mixture_plan(plan, 5)
+    values = {"n": F.col("n"), "wide": F.col("wide")}
+    sums = {(r["mixture_no"], r["region_id"]): r[2:] for r in mixing._summed(nulls, numbered, "region_id", values).collect()}
+    parts = [part.select("mixture_no", "region_id", "n", "wide", "copy_no") for part in mixing._draws(nulls, numbered)]
+    drawn = parts[0].unionByName(parts[1]).groupBy("mixture_no", "region_id").agg(
+        F.count(F.lit(1)), F.max("copy_no").cast("bigint"), F.sum("n"), F.sum("wide"))
+    assert sums == {(r[0], r[1]): r[2:] for r in drawn.collect()}
+    assert any(v[2] is None for v in sums.values())
+    nulls.unpersist()
+
+
+@pytest.mark.parametrize("pairs, mixtures, held", [(1 << 16, 512, 1 << 22), (64, 3, 1), (8, 1, 40)])
+def test_blocks_of_draws(pairs, mixtures, held):
+    """Blocks smaller than a group's rows and mixtures; largest and smallest words and limits."""
+    rows = [("a" if i % 7 else None, x, y, i % 3, None if i % 4 == 1 else i) for i, (x, y) in enumerate(
+        (x, y) for x in (0, 1, 5, 2 ** 27 + 3, 2 ** 28 - 1) for y in (0, 2, 77777, 2 ** 28 - 1))]
+    words = [(1, 1, 0), (2 ** 28, 2 ** 28, 2 ** 28 - 1), (12345, 2 ** 27, 99), (2 ** 28, 3, 7), (8, 1, mixing.hashing.PRIME // 16)]
+    prime = mixing.hashing.PRIME
+    draws = [("a", m, n + 1, *w, limit) for m, w in enumerate(words) for n, limit in enumerate((float(prime), 0.5 * prime + 0.5, 1.0)[:m + 1])]
+    table = mixing.blocks.pa.Table.from_pylist([dict(zip(("cell_type", "mixture_no", "copy_no", "mix_a", "mix_b", "mix_c", "limit"), d)) for d in draws])
+    names, pa = ["cell_type", "row_x", "row_y", "g", "v"], mixing.blocks.pa
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part], pa.schema([("cell_type", pa.string())] + [(n, pa.int64()) for n in names[1:]]))
+               for part in (rows[:9], [], rows[9:])]
+    schema = pa.schema([(n, pa.int64()) for n in ("mixture_no", "g", "drawn", "most_copies", "v")])
+    found, wanted = {}, {}
+    for batch in mixing.blocks.summed_draws(iter(batches), mixing.blocks.draws_by_type(table), schema, pairs, mixtures, held):
+        for r in batch.to_pylist():
+            own = found.setdefault((r["mixture_no"], r["g"]), [0, 0, []])
+            own[0], own[1] = own[0] + r["drawn"], max(own[1], r["most_copies"])
+            own[2].append(r["v"])
+    for cell_type, x, y, g, v in rows:
+        for own_type, m, copy, a, b, c, limit in draws:
+            if cell_type == own_type and (a * x + b * y + c) % prime < limit:
+                own = wanted.setdefault((m, g), [0, 0, []])
+                own[0], own[1] = own[0] + 1, max(own[1], copy)
+                own[2].append(v)
+    total = {k: (n, most, sum(v for v in vs if v is not None), all(v is None for v in vs)) for k, (n, most, vs) in found.items()}
+    assert total == {k: (n, most, sum(v for v in vs if v is not None), all(v is None for v in vs)) for k, (n, most, vs) in wanted.items()}
+
+
+def test_sums_of_drawn_rows_do_not_join_rows_with_mixtures(spark, pools):
+    """Dense mixtures are drawn in the tasks that sum them; a joined plan made a row of every (pool row, mixture) pair."""
+    scored = pools
+    for name in mixing.scoring.score_columns():
+        scored = scored.withColumn(name, F.lit(1).cast("bigint"))
+    sums = mixing.mix_scores(scored, fractions(spark, [{"big": 0.5, "small": 0.5}]), 5)
+    text = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "limit" not in text
+
+
+def test_values_beyond_the_sums_are_an_error(spark, pools):
+    huge = pools.withColumn("n", F.lit(2 ** 61))
+    with pytest.raises(Exception, match="too large"):
+        mixing.mix_totals(huge, fractions(spark, [{"big": 0.5}]), 5, ["n"]).collect()
