@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +86,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    # Workers are used again: what this task no longer needs goes back to the system.
+    release_memory()
+
+
+def release_memory() -> None:
+    """Workers are used again: what a task no longer needs goes back to the system, freed blocks of the C heap (glibc) with it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -90,3 +90,18 @@ def test_small_generations_change_nothing(own, monkeypatch):
         own.young, own.old, own.chunks = {}, {}, {}
         assert [own.encode(t).tolist() for t in texts] == whole
         assert len(own.young) <= kept and len(own.old) <= kept and len(own.chunks) <= kept
+
+
+def test_ended_tasks_give_memory_back(monkeypatch):
+    """Slices release what the task allocated, also on the C heap, once the last is taken."""
+    import pyarrow as pa
+    from methmix.llm import words
+    calls = []
+
+    class Heap:
+        @staticmethod
+        def malloc_trim(pad):
+            calls.append(pad)
+    monkeypatch.setattr(words.ctypes, "CDLL", lambda name: Heap)
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "b"]})
+    assert sum(s.num_rows for s in words.slices(iter([batch]), "text")) == 3 and calls == [0]
