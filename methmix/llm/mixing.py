@@ -80,20 +80,19 @@ def boundary(sized: DataFrame, state: DataFrame) -> DataFrame:
         # Only documents of the bucket in which the budget ends are counted again.
         inside = ((F.shiftright("__llm_hash", shift + LEVEL_BITS) == F.col("__llm_prefix"))
                   & (F.col("__llm_hash") >= F.col("__llm_from")) & (F.col("size") <= F.col("__llm_cap")))
-        counted = (sized.join(state.select("__llm_key", "__llm_prefix", "__llm_from", "__llm_cap"), "__llm_key").filter(inside)
-                   .groupBy("__llm_key", F.shiftright("__llm_hash", shift).alias("__llm_at")).agg(F.sum("size").alias("__llm_total")))
+        # One scan and one plan a level: the rows of a bucket's total carry the state of their source.
+        counted = (sized.join(state.drop("__llm_words"), "__llm_key").filter(inside)
+                   .groupBy("__llm_key", "__llm_below", "__llm_rest", F.shiftright("__llm_hash", shift).alias("__llm_at"))
+                   .agg(F.sum("size").alias("__llm_total")))
         upto = Window.partitionBy("__llm_key").orderBy("__llm_at")
+        ends = F.when(F.col("__llm_upto") > F.col("__llm_rest"), F.struct("__llm_at", "__llm_upto", "__llm_total"))
         found = (
-            counted.join(state.select("__llm_key", "__llm_below", "__llm_rest"), "__llm_key")
-            .withColumn("__llm_upto", F.col("__llm_below") + F.sum("__llm_total").over(upto))
-            .filter(F.col("__llm_upto") > F.col("__llm_rest"))
-            .groupBy("__llm_key").agg(F.min(F.struct("__llm_at", "__llm_upto", "__llm_total")).alias("__llm_b"))
+            counted.withColumn("__llm_upto", F.col("__llm_below") + F.sum("__llm_total").over(upto))
+            .groupBy("__llm_key").agg(F.min(ends).alias("__llm_b"), F.sum("__llm_total").alias("__llm_whole"))
         )
         # No bucket passes the budget: every document of the last prefix lies under the threshold.
         last = F.shiftleft(F.col("__llm_prefix") + 1, LEVEL_BITS)
-        inner = sized.join(state.select("__llm_key", "__llm_prefix", "__llm_from", "__llm_cap"), "__llm_key").filter(inside)
-        whole = inner.groupBy("__llm_key").agg(F.sum("size").alias("__llm_whole"))
-        joined = state.join(found, "__llm_key", "left").join(whole, "__llm_key", "left")
+        joined = state.join(found, "__llm_key", "left")
         state = stored(joined.select(
             "__llm_key", "__llm_from", "__llm_cap", "__llm_rest", F.coalesce("__llm_b.__llm_at", last).alias("__llm_prefix"),
             F.coalesce(F.col("__llm_b.__llm_upto") - F.col("__llm_b.__llm_total"), F.col("__llm_below") + F.coalesce("__llm_whole", F.lit(0))).alias("__llm_below"),

@@ -87,3 +87,20 @@ def test_registered_query(spark):
         taken[source] = taken.get(source, 0) + r["taken"]
     for source, words in taken.items():
         assert abs(words - expected[source]) <= max(len(WORDS.findall(d["text"] or "")) for d in docs.values() if d["source"] == source)
+
+
+def test_a_level_of_the_histogram_reads_the_sizes_once(spark, monkeypatch):
+    """Each level is a plan of the driver; two joins, with the state and back to it, and one scan of the sizes are enough."""
+    plans = []
+
+    def recorded(df, name):
+        if name == "mix-state":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    stored = mixing.stored
+    monkeypatch.setattr(mixing, "stored", recorded)
+    check(spark, rows(["w " * (n % 7) + str(n) for n in range(60)], sources=["a", None, "b"] * 20))
+    assert len(plans) == mixing.BANDS * mixing.HASH_BITS // mixing.LEVEL_BITS
+    scans = [[line for line in plan.splitlines() if "Relation [" in line and "__llm_hash" in line] for plan in plans]
+    assert all(plan.count("Join ") == 2 and len(found) == 1 for plan, found in zip(plans, scans))
