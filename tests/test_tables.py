@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from methmix import labels, schema
 from methmix.operators import atlas, relational
-from methmix.session import fits_broadcast, materialize, scratch_path
+from methmix.session import deal_single_file, fits_broadcast, materialize, scratch_path
 from methmix.sources import tables
 
 
@@ -62,6 +62,22 @@ def test_materialize_keeps_rows_and_order_of_columns(spark):
     assert sorted(map(tuple, stored.select("n", "cell_type").collect())) == [(1, "x"), (2, "y")]
 
 
+@pytest.mark.parametrize("block, dealt", [(1 << 30, True), (1 << 14, False)])
+def test_only_a_file_that_few_tasks_read_is_dealt(spark, block, dealt):
+    """One file of 50,000 rows, as one row group and as many."""
+    path = scratch_path(spark, "t")
+    spark.range(0, 50_000, 1, 1).selectExpr("id", "md5(cast(id as string)) as v").write \
+        .option("parquet.block.size", block).option("parquet.page.size", 1 << 12).parquet(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 18)
+    try:
+        table = deal_single_file(spark.read.parquet(path))
+        assert ("RoundRobin" in table._jdf.queryExecution().executedPlan().toString()) == dealt
+        assert table.selectExpr("count(*)", "sum(id)").first() == (50_000, 50_000 * 49_999 // 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_broadcast_limits(spark):
     frame = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("s"))
     assert fits_broadcast(frame) and not fits_broadcast(frame, max_rows=99) and not fits_broadcast(frame, max_bytes=50_000)
