@@ -2,9 +2,11 @@ import math
 import pathlib
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from methmix.functions import hashing
 from methmix.operators import design, mixing
 from methmix.plans import pipelines
 
@@ -455,3 +457,14 @@ def test_values_beyond_the_sums_are_an_error(spark, pools):
     huge = pools.withColumn("n", F.lit(2 ** 61))
     with pytest.raises(Exception, match="too large"):
         mixing.mix_totals(huge, fractions(spark, [{"big": 0.5}]), 5, ["n"]).collect()
+
+
+def test_block_draws_are_the_draws_of_rows():
+    """One product gives every draw to the step, with the largest and smallest words as well."""
+    rng, top, prime = np.random.default_rng(5), (1 << 28) - 1, hashing.PRIME
+    x, y = (np.r_[0, top, 0, top, rng.integers(0, top + 1, 2000)] for _ in range(2))
+    a, b, c = (np.r_[least, most, least, most, rng.integers(least, most + 1, 500)] for least, most in ((1, top + 1), (1, top + 1), (0, top)))
+    exact = (x[:, None] * a + y[:, None] * b + c) % prime
+    share = mixing.blocks.Room(exact.size).draws(mixing.blocks.row_parts(x, y), mixing.blocks.word_weights(a, b, c))
+    assert (share >= exact / prime).all() and (share < (exact + 1) / prime).all()
+    assert (np.abs(share * prime - exact - 0.5) < 0.25).all()
