@@ -17,6 +17,8 @@ don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,16 @@ from methmix.llm.common import stored, table
 from methmix.llm.components import components
 from methmix.llm.hnsw import Graph
 from methmix.llm.registry import query
-from methmix.llm.vectors import PACKED, finite, meet, pack, unpack
+from methmix.llm.vectors import ASKING, dealt, everywhere, finite, gathered, in_turn, meetings, pack, small_batches, unpack
 
 COSINE = 0.95
 LEAST_SHARDS = 6
 VECTORS_PER_SHARD = 100_000
+NUMBERS_PER_SHARD = 64 * VECTORS_PER_SHARD
+PIECE_BYTES = 4 << 20
+LABELS = ASKING - 1
 VECTORS_PER_QUERY_BLOCK = 1024
-QUERY_BLOCKS_PER_TASK = 8
+QUERY_BLOCKS_PER_TASK = 64
 BEAM = 16
 AUDITED = 512            # classes of the first sample at least
 AUDITED_SHARE = 0.001    # of all classes
@@ -51,12 +56,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+PIECES = "dim int, block int, turn int, ids binary, vectors binary, layers array<binary>"
+PIECES_ARROW = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("turn", pa.int32()), ("ids", pa.binary()),
+                          ("vectors", pa.binary()), ("layers", pa.list_(pa.binary()))])
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        graphs = [Graph.build(unpack(ids, vectors, dim)[1].astype(np.float32)).to_bytes()
-                  for dim, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors")))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(graphs, pa.list_(pa.binary()))],
-                                         names=[*batch.schema.names, "layers"])
+    """The graph of every shard in pieces of PIECE_BYTES; a layer's links are cut like the vectors."""
+    for dim, block, ids, exact in gathered(batches, unit):
+        layers = Graph.build(exact.astype(np.float32)).layers
+        some = max(1, PIECE_BYTES // (8 * dim))
+        for turn, at in enumerate(range(0, len(ids), some)):
+            cut = Graph(None, [links[at:at + some] for links in layers]).to_bytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dim], pa.int32()), pa.array([block], pa.int32()), pa.array([turn], pa.int32()),
+                 pa.array([ids[at:at + some].tobytes()], pa.binary()), pa.array([exact[at:at + some].tobytes()], pa.binary()),
+                 pa.array([cut], pa.list_(pa.binary()))], schema=PIECES_ARROW)
 
 
 LINKS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -66,69 +81,75 @@ def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=LINKS_ARROW)
 
 
+def _shard(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray, Graph]:
+    """Ids, vectors and graph of a shard."""
+    ids, exact = map(np.concatenate, zip(*(unpack(p["ids"], p["vectors"], p["dim"]) for p in pieces)))
+    return ids, exact, Graph.from_bytes(exact.astype(np.float32), [b"".join(links) for links in zip(*(p["layers"] for p in pieces))])
+
+
 def _search(beam: int, cosine: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph, ids, exact = None, None, None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if last != (row["dim"], row["block"]):
-                    last = row["dim"], row["block"]
-                    ids, exact = unpack(row["ids"], row["vectors"], row["dim"])
-                    graph = Graph.from_bytes(exact.astype(np.float32), row["layers"])
-                q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["dim"])
-                nodes, sims = graph.search(q.astype(np.float32), beam)
-                a, b = np.nonzero((nodes >= 0) & (sims >= cosine - 1e-3))
-                found = nodes[a, b]
-                true = np.einsum("ij,ij->i", q[a], exact[found]) >= cosine
-                u, v = q_ids[a[true]], ids[found[true]]
-                yield _links(u[u != v], v[u != v])
+        for (ids, exact, graph), row in meetings(batches, _shard):
+            q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["dim"])
+            nodes, sims = graph.search(q.astype(np.float32), beam)
+            a, b = np.nonzero((nodes >= 0) & (sims >= cosine - 1e-3))
+            found = nodes[a, b]
+            true = np.einsum("ij,ij->i", q[a], exact[found]) >= cosine
+            u, v = q_ids[a[true]], ids[found[true]]
+            yield _links(u[u != v], v[u != v])
     return task
 
 
+def _labelled(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors (in double and single precision) and components of each piece of a shard, which come after the pieces."""
+    known = [r for r in rows if r["turn"] == LABELS]
+    nodes, labels = (np.array([x for r in known for x in r[c]], np.int64) for c in ("nodes", "labels"))
+    order = np.argsort(nodes)
+    nodes, labels = nodes[order], labels[order]
+    pieces = []
+    for row in rows:
+        if row["turn"] != LABELS:
+            ids, exact = unpack(row["ids"], row["vectors"], row["dim"])
+            own = ids.copy()  # one without a component is its own
+            if len(nodes):
+                at = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
+                own = np.where(nodes[at] == ids, labels[at], ids)
+            pieces.append((ids, exact, exact.astype(np.float32), own))
+    return pieces
+
+
 def _audit(cosine: float):
     """Every audited class with all of a shard: a link to each component in which it has links."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, exact = unpack(row["ids"], row["vectors"], row["dim"])
-                labels = np.frombuffer(row["labels"], np.int64)
-                q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["dim"])
-                single = exact.astype(np.float32)
+        for pieces, row in meetings(batches, _labelled):
+            q_ids, q = unpack(row["q_ids"], row["q_vectors"], row["dim"])
+            single = q.astype(np.float32)
+            met: dict[tuple[int, int], tuple[int, int]] = {}
+            for ids, exact, short, labels in pieces:
                 for at in range(0, len(q), AUDITED_ROWS):
-                    near = q[at:at + AUDITED_ROWS].astype(np.float32) @ single.T >= cosine - 1e-3
+                    near = single[at:at + AUDITED_ROWS] @ short.T >= cosine - 1e-3
                     for place in np.flatnonzero(near.any(axis=1)):
                         found = np.flatnonzero(near[place])
                         found = found[(exact[found] @ q[at + place] >= cosine) & (ids[found] != q_ids[at + place])]
                         _, first = np.unique(labels[found], return_index=True)
-                        yield _links(np.full(len(first), q_ids[at + place]), ids[found[first]])
+                        for f in found[first]:
+                            met.setdefault((at + place, int(labels[f])), (q_ids[at + place], ids[f]))
+            yield _links(*np.array(list(met.values()), np.int64).reshape(-1, 2).T)
     return task
 
 
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the component of each of their ids, in order of the ids; one without a component is its own."""
-    for batch in batches:
-        labels = []
-        for ids, pairs in zip(batch.column("ids").to_pylist(), batch.column("pairs").to_pylist()):
-            own = np.frombuffer(ids, np.int64).copy()
-            if pairs:
-                known = np.array([(p["id"], p["component"]) for p in pairs], np.int64)
-                own[np.searchsorted(own, known[:, 0])] = known[:, 1]
-            labels.append(own.tobytes())
-        kept = ["dim", "block", "ids", "vectors"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(labels, pa.binary())], names=[*kept, "labels"])
-
-
 def _count(cosine: float):
     """Per left member of a block pair, the copies of the right members that it is linked with."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, list]] = {}
-        for batch in batches:
-            for component, left, right, side, node, copies, vector in zip(*(column.to_pylist() for column in batch.columns)):
-                held.setdefault((component, left, right), ([], []))[side].append((node, copies, vector))
         nodes, counts = [], []
-        for lefts, rights in held.values():
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        for _, group in groupby(rows, key=itemgetter(0, 1, 2)):
+            sides: tuple[list, list] = ([], [])
+            for _, _, _, side, node, copies, vector in group:
+                sides[side].append((node, copies, vector))
+            lefts, rights = sides
             if lefts and rights:
                 a, b = unit(np.array([v for _, _, v in lefts])), unit(np.array([v for _, _, v in rights]))
                 a_nodes, b_nodes = np.array([n for n, _, _ in lefts]), np.array([n for n, _, _ in rights])
@@ -144,16 +165,17 @@ def _count(cosine: float):
 def link_components(classes: DataFrame, cosine: float) -> DataFrame:
     """(id, component) of every class (node, vector) that is linked with another one."""
     points = classes.select(F.col("node").alias("id"), "vector")
-    count = points.count()
-    shards = max(LEAST_SHARDS, count // VECTORS_PER_SHARD + 1)
-    graphs = stored(pack(points, shards, unit).mapInArrow(_build, PACKED + ", layers array<binary>"), "graphs")
+    count, numbers = points.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    shards = max(LEAST_SHARDS, count // VECTORS_PER_SHARD + 1, numbers // NUMBERS_PER_SHARD + 1)
+    graphs = stored(dealt(points, shards).mapInArrow(_build, PIECES), "graphs")
     blocks = count // VECTORS_PER_QUERY_BLOCK + 1
     asked = stored(pack(points, blocks, unit), "queries")
     salts = blocks // QUERY_BLOCKS_PER_TASK + 1
     beam = BEAM
     while True:
-        found = meet(asked, graphs, shards, salts).mapInArrow(_search(beam, cosine), "u long, v long")
-        links = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        found = in_turn(graphs, everywhere(asked, shards, salts), shards, salts).mapInArrow(_search(beam, cosine), "u long, v long")
+        with small_batches(points.sparkSession):
+            links = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         parts = stored(components(links), "components")
         more, whole, linked, missed = audited(points, count, graphs, shards, parts, cosine)
         if whole or missed <= (1 - RECALL) * linked or beam >= count:
@@ -165,9 +187,11 @@ def link_components(classes: DataFrame, cosine: float) -> DataFrame:
 def audited(points: DataFrame, count: int, graphs: DataFrame, shards: int, parts: DataFrame, cosine: float):
     """True links (u, v) of a sample that `parts` does not join, whether every class is in the sample, and how many of its
     classes have links and have links not joined."""
-    dealt = parts.join(points, "id").groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("block")
+    pairs = parts.join(points, "id").groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("block")
                                              ).agg(F.collect_list(F.struct("id", "component")).alias("pairs"))
-    blocks = stored(graphs.drop("layers").join(dealt, ["dim", "block"], "left").mapInArrow(_label, PACKED + ", labels binary"), "labelled")
+    labels = stored(pairs.select("dim", "block", F.lit(LABELS).alias("turn"), F.col("pairs.id").alias("nodes"),
+                                 F.col("pairs.component").alias("labels")), "labels")
+    blocks = graphs.drop("layers").unionByName(labels, allowMissingColumns=True)
     left = parts.select(F.col("id").alias("u"), F.col("component").alias("cu"))
     right = parts.select(F.col("id").alias("v"), F.col("component").alias("cv"))
     # A hash of its own, so that a sample has about its share of every shard.
@@ -176,8 +200,10 @@ def audited(points: DataFrame, count: int, graphs: DataFrame, shards: int, parts
     while True:
         packs = max(1, int(count * (min(share, 1.0) - before)) // VECTORS_PER_QUERY_BLOCK + 1)
         sample = pack(points.filter((place >= before) & (place < share)), packs, unit)
-        true = stored(meet(sample, blocks, shards, packs // QUERY_BLOCKS_PER_TASK + 1)
-                      .mapInArrow(_audit(cosine), "u long, v long"), "audit")
+        salts = packs // QUERY_BLOCKS_PER_TASK + 1
+        with small_batches(points.sparkSession):
+            true = stored(in_turn(blocks, everywhere(sample, shards, salts), shards, salts)
+                          .mapInArrow(_audit(cosine), "u long, v long"), "audit")
         checked = true if checked is None else checked.unionByName(true)
         judged = checked.join(left, "u", "left").join(right, "v", "left").withColumn(
             "missed", F.coalesce("cu", "u") != F.coalesce("cv", "v"))
@@ -198,7 +224,8 @@ def count_links(classes: DataFrame, parts: DataFrame, cosine: float) -> DataFram
     rows = own.select("*", every)
     left = rows.select("component", F.col("own").alias("l"), F.col("other").alias("r"), F.lit(0).alias("side"), "node", "copies", "vector")
     right = rows.select("component", F.col("other").alias("l"), F.col("own").alias("r"), F.lit(1).alias("side"), "node", "copies", "vector")
-    return (left.unionByName(right).repartition("component", "l", "r").mapInArrow(_count(cosine), "node long, n long")
+    return (left.unionByName(right).repartition("component", "l", "r")
+            .sortWithinPartitions("component", "l", "r").mapInArrow(_count(cosine), "node long, n long")
             .groupBy("node").agg(F.sum("n").alias("n")))
 
 

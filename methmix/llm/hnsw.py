@@ -29,11 +29,12 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
     while len(active):
         # Each new node once, and never one seen before.
         fresh = np.sort(fresh, axis=1)
-        new = ~np.take_along_axis(seen[active], fresh, 1)
+        new = ~seen[active[:, None], fresh]
         new[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]
         seen[active[:, None], fresh] = True
-        found = np.einsum("qmd,qd->qm", vectors[np.minimum(fresh, n - 1)], queries[active])
-        found[~new] = -np.inf
+        rows, places = np.nonzero(new)
+        found = np.full(fresh.shape, -np.inf, np.float32)
+        found[rows, places] = np.einsum("nd,nd->n", vectors[fresh[rows, places]], queries[active[rows]])
         all_nodes = np.concatenate([nodes[active], np.where(new, fresh, -1)], axis=1)
         all_sims = np.concatenate([sims[active], found], axis=1)
         all_done = np.concatenate([done[active], ~new], axis=1)
@@ -62,7 +63,7 @@ def diverse(vectors: np.ndarray, nodes: np.ndarray, sims: np.ndarray, most: int)
     places go to the best of the others. -1 for none."""
     count, width = nodes.shape
     near = vectors[np.maximum(nodes, 0)]
-    between = np.einsum("qad,qbd->qab", near, near)
+    between = near @ near.transpose(0, 2, 1)
     valid = nodes >= 0
     chosen = np.zeros((count, width), bool)
     for c in range(width):

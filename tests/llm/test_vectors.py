@@ -1,6 +1,7 @@
 """Searches over vectors against comparison of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,44 @@ def test_audit_of_a_part(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "AUDITED_LINKED", 10)
     monkeypatch.setattr(embeddings, "BEAM", 1)
     check_links(spark, vectors(1))
+
+
+def test_a_shard_reaches_its_search_once(spark, monkeypatch):
+    """Not again with each block of queries, which had let tasks run out of memory. Links stay whole."""
+    monkeypatch.setattr(embeddings, "VECTORS_PER_QUERY_BLOCK", 8)
+    monkeypatch.setattr(embeddings, "AUDITED", 40)
+    sent, search = spark.sparkContext.accumulator(0), embeddings._search
+
+    def watched(beam, cosine):
+        task = search(beam, cosine)
+
+        def run(batches):
+            def passed():
+                for batch in batches:
+                    sent.add(batch.nbytes)
+                    yield batch
+            return task(passed())
+        return run
+
+    monkeypatch.setattr(embeddings, "_search", watched)
+    check_links(spark, vectors(6))
+    # About 80 kB of shards with their links and 240 kB of queries; joined, the shards come 8 times.
+    assert 0 < sent.value < 500_000, sent.value
+
+
+def test_a_shard_in_pieces(monkeypatch):
+    """Pieces of a shard are small, and together they are the shard."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([16] * 300, pa.int32()), pa.array([0] * 200 + [6] * 100, pa.int32()), pa.array(range(300), pa.int64()),
+         pa.array(list(x), pa.list_(pa.float64()))], names=["dim", "block", "id", "vector"])
+    monkeypatch.setattr(embeddings, "PIECE_BYTES", 2048)
+    # Rows come in batches of any size.
+    rows = [r for b in embeddings._build(iter([batch.slice(0, 70), batch.slice(70, 0), batch.slice(70)])) for r in b.to_pylist()]
+    assert [(r["block"], r["turn"]) for r in rows] == [(0, t) for t in range(13)] + [(6, t) for t in range(7)]
+    assert max(len(r["vectors"]) for r in rows) == 2048
+    ids, exact, graph = embeddings._shard(rows[:13])
+    whole = hnsw.Graph.build(embeddings.unit(x[:200]).astype(np.float32))
+    assert (ids == np.arange(200)).all() and (exact == embeddings.unit(x[:200])).all()
+    assert all((a == b).all() for a, b in zip(graph.layers, whole.layers, strict=True))
