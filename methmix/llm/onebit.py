@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from methmix.llm.common import stored, table
 from methmix.llm.registry import query
-from methmix.llm.vectors import PACKED, PACKED_ARROW, finite, pack, unpack
+from methmix.llm.vectors import PACKED, PACKED_ARROW, dealt, everywhere, finite, gathered, in_turn, meetings, pack, small_batches, unpack
 
 TOP = 5
 LENGTHEN = 4
@@ -40,7 +40,7 @@ FIRST_RANKED = 4    # times k candidates of a block, ranked exactly to begin wit
 SEED = 12
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
-QUERY_BLOCKS_PER_TASK = 8
+QUERY_BLOCKS_PER_TASK = 32
 WORD_BITS = 64
 # Doubles lose less than this in a cosine.
 ROUNDING = 1e-9
@@ -58,10 +58,8 @@ def plain(vectors: np.ndarray) -> np.ndarray:
 
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products row by row, components added one after the other."""
-    total = np.zeros(len(a))
-    for at in range(a.shape[1]):
-        total += a[:, at] * b[:, at]
-    return total
+    # Running sums add in that order; adding 0 turns -0 into 0.
+    return np.add.accumulate(a * b, axis=1)[:, -1] + 0.0
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,31 +84,49 @@ def encode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Question:
     """A rotated query rounded to 2^PLANES steps, as bit planes of the width of a code."""
 
-    def __init__(self, unit_query: np.ndarray):
-        turned = unit_query @ rotation(len(unit_query))
+    def __init__(self, unit_query: np.ndarray, turned: np.ndarray | None = None):
+        turned = unit_query @ rotation(len(unit_query)) if turned is None else turned
         self.bits = len(turned)
         self.low = turned.min()
         self.step = max((turned.max() - self.low) / ((1 << PLANES) - 1), 1e-300)
-        steps = np.rint((turned - self.low) / self.step).astype(np.uint64)
+        steps = np.rint((turned - self.low) / self.step).astype(np.uint8)
         self.total = int(steps.sum())
-        self.planes = [np.packbits((steps >> np.uint64(p)) & np.uint64(1) == 1, bitorder="little").view(np.uint64) for p in range(PLANES)]
+        bits = (steps >> np.arange(PLANES, dtype=np.uint8)[:, None]) & np.uint8(1)
+        self.planes = list(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
         rounded = self.low + self.step * steps
         # The corner's coordinates are +-1 / sqrt(bits), so rounding shifts the product by no more than this.
         self.slack = np.abs(turned - rounded).sum() / math.sqrt(self.bits)
 
-    def products(self, codes: np.ndarray) -> np.ndarray:
-        """Inner products of the rounded query with the corners of the codes."""
-        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    @classmethod
+    def all(cls, units: np.ndarray) -> list["Question"]:
+        return [cls(u, t) for u, t in zip(units, units @ rotation(units.shape[1]))]
+
+    def products(self, codes: np.ndarray, ones: np.ndarray | None = None) -> np.ndarray:
+        """Inner products of the rounded query with the corners of the codes; `ones` are the codes' set bits."""
+        ones = set_bits(codes) if ones is None else ones
         inside = np.zeros(len(codes), np.int64)
         for p, plane in enumerate(self.planes):
-            inside += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << p
+            inside += set_bits(codes, plane).astype(np.int64) << p
         # Coordinates with a set bit count +, the others -: twice the sum over the set ones less the sum over all.
         return (2 * (self.low * ones + self.step * inside) - (self.low * self.bits + self.step * self.total)) / math.sqrt(self.bits)
 
-    def bounds(self, codes: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, codes: np.ndarray, corners: np.ndarray, ones: np.ndarray | None = None,
+               spread: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Estimated cosines, and the errors they are taken to stay within."""
-        error = SPREAD * np.sqrt(np.maximum(1 - corners * corners, 0) / (self.bits - 1)) + self.slack
-        return self.products(codes) / corners, error / corners + ROUNDING
+        error = (spread_of(corners, self.bits) if spread is None else spread) + self.slack
+        return self.products(codes, ones) / corners, error / corners + ROUNDING
+
+
+def set_bits(codes: np.ndarray, plane: np.ndarray | None = None) -> np.ndarray:
+    """Set bits of each code, or those that `plane` has, too; word by word, as codes are few words of many rows."""
+    total = np.zeros(len(codes), np.uint32)
+    for word in range(codes.shape[1]):
+        total += np.bitwise_count(codes[:, word] if plane is None else codes[:, word] & plane[word])
+    return total
+
+
+def spread_of(corners: np.ndarray, bits: int) -> np.ndarray:
+    return SPREAD * np.sqrt(np.maximum(1 - corners * corners, 0) / (bits - 1))
 
 
 class Block:
@@ -118,35 +134,48 @@ class Block:
 
     def __init__(self, ids: bytes, vectors: bytes, codes: bytes, corners: bytes, dim: int):
         self.ids, self.vectors = unpack(ids, vectors, dim)
-        self.codes = np.frombuffer(codes, np.uint64).reshape(len(self.ids), -1)
+        # Words of all codes lie side by side.
+        self.codes = np.asfortranarray(np.frombuffer(codes, np.uint64).reshape(len(self.ids), -1))
         self.corners = np.frombuffer(corners, np.float64)
         self.norms = np.sqrt(in_order(self.vectors, self.vectors))
+        self.ones = set_bits(self.codes)
+        self.spread = spread_of(self.corners, self.codes.shape[1] * WORD_BITS)
 
     def cosines(self, places: np.ndarray, q: np.ndarray) -> np.ndarray:
-        products = in_order(self.vectors[places], np.broadcast_to(q, (len(places), len(q))))
-        return products / (np.sqrt(in_order(q[None], q[None]))[0] * self.norms[places])
+        return in_order(self.vectors[places], q[None]) / (np.sqrt(in_order(q[None], q[None]))[0] * self.norms[places])
 
-    def near(self, query_id: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    def near(self, query_id: int, q: np.ndarray, k: int, floor: float,
+             question: Question | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and cosines of the `k` best candidates found, those under `floor` left out, and how many were ranked exactly."""
-        estimate, error = Question(unit(q[None])[0]).bounds(self.codes, self.corners)
-        others = np.flatnonzero(self.ids != query_id)
-        if len(others) > k:
+        question = Question(unit(q[None])[0]) if question is None else question
+        estimate, error = question.bounds(self.codes, self.corners, self.ones, self.spread)
+        above = estimate + error
+        kept = np.flatnonzero(above >= floor)
+        kept = kept[self.ids[kept] != query_id]
+        few = FIRST_RANKED * k
+        if len(kept) > few:
             # The best estimates, ranked exactly, say what the others must reach.
-            few = min(FIRST_RANKED * k, len(others))
-            ahead = others[np.argpartition(-estimate[others], few - 1)[:few]]
-            floor = max(floor, np.partition(self.cosines(ahead, q), few - k)[few - k])
-        kept = others[(estimate + error)[others] >= floor]
+            ahead = kept[np.argpartition(-estimate[kept], few - 1)[:few]]
+            kept = kept[above[kept] >= np.partition(self.cosines(ahead, q), few - k)[few - k]]
+        if not len(kept):
+            return self.ids[:0], self.corners[:0], 0
         exact = self.cosines(kept, q)
         order = np.lexsort((self.ids[kept], -exact))[:k]
         return self.ids[kept[order]], exact[order], len(kept)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [encode(unit(unpack(ids, vectors, dim)[1])) for dim, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors")))]
+    for dim, block, ids, vectors in gathered(batches, plain):
+        codes, corners = encode(unit(vectors))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in PACKED_ARROW.names), pa.array([c.tobytes() for c, _ in made], pa.binary()),
-             pa.array([x.tobytes() for _, x in made], pa.binary())], names=[*PACKED_ARROW.names, "codes", "corners"])
+            [pa.array([dim], pa.int32()), pa.array([block], pa.int32()),
+             *(pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, codes, corners))], names=[*PACKED_ARROW.names, "codes", "corners"])
+
+
+def _block(rows: list[dict]) -> Block:
+    """The block of a row; a block has one."""
+    row, = rows
+    return Block(row["ids"], row["vectors"], row["codes"], row["corners"], row["dim"])
 
 
 FOUND = "query_id long, dim int, q_block int, vec_id long, score double, n_ranked long"
@@ -156,21 +185,18 @@ FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("dim", pa.int32()), ("q_bloc
 
 def _search(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if last != (dim, row["block"]):
-                    last = dim, row["block"]
-                    block = Block(row["ids"], row["vectors"], row["codes"], row["corners"], dim)
-                floors = dict(zip(row["asked"] or [], row["floors"] or []))
-                for query_id, q in zip(*unpack(row["q_ids"], row["q_vectors"], dim)):
-                    ids, scores, ranked = block.near(query_id, q, k, floors.get(query_id, -np.inf))
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, query_id), pa.int64()), pa.array(np.full(n, dim), pa.int32()),
-                         pa.array(np.full(n, row["q_block"]), pa.int32()), pa.array(ids, pa.int64()), pa.array(scores),
-                         pa.array(np.full(n, ranked), pa.int64())], schema=FOUND_ARROW)
+        for block, row in meetings(batches, _block):
+            floors = dict(zip(row["asked"] or [], row["floors"] or []))
+            q_ids, vectors = unpack(row["q_ids"], row["q_vectors"], row["dim"])
+            found = [block.near(query_id, q, k, floors.get(query_id, -np.inf), question)
+                     for query_id, q, question in zip(q_ids, vectors, Question.all(unit(vectors)))]
+            counts = [len(ids) for ids, _, _ in found]
+            n = sum(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(q_ids, counts), pa.int64()), pa.array(np.full(n, row["dim"]), pa.int32()),
+                 pa.array(np.full(n, row["q_block"]), pa.int32()), pa.array(np.concatenate([ids for ids, _, _ in found]), pa.int64()),
+                 pa.array(np.concatenate([scores for _, scores, _ in found])),
+                 pa.array(np.repeat([ranked for _, _, ranked in found], counts), pa.int64())], schema=FOUND_ARROW)
     return task
 
 
@@ -184,23 +210,21 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFram
     candidates = candidates.filter(usable)
     blocks = candidates.count() // VECTORS_PER_BLOCK + 1
     asked = queries.count() // QUERIES_PER_BLOCK + 1
-    coded = stored(pack(candidates, blocks, plain).mapInArrow(_encode, PACKED + ", codes binary, corners binary"), "codes")
-    packed = stored(pack(queries, asked, plain), "questions")
-    salts = asked // QUERY_BLOCKS_PER_TASK + 1
-    asked_by = packed.withColumnsRenamed({"block": "q_block", "ids": "q_ids", "vectors": "q_vectors"})
-    # Each block of queries first meets one block of candidates, another one for each.
-    one = F.pmod(F.xxhash64("q_block"), F.lit(blocks)).cast("int")
-    none = {"asked": F.array().cast("array<bigint>"), "floors": F.array().cast("array<double>")}
-    known = (asked_by.withColumns({"block": one, **none}).join(coded, ["dim", "block"]).mapInArrow(_search(k), FOUND)
-             .groupBy("query_id", "dim", "q_block").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")))
-    # Fewer than k scores bound nothing. A block of queries has no more floors than queries.
-    floors = known.filter(F.col("n") >= k).groupBy("dim", "q_block").agg(F.collect_list("query_id").alias("asked"), F.collect_list("floor").alias("floors"))
-    bounded = stored(asked_by.join(floors, ["dim", "q_block"], "left"), "bounded-questions")
-    # A block of candidates meets the query blocks of a salt in one task.
-    salts = asked // QUERY_BLOCKS_PER_TASK + 1
-    every = bounded.withColumns({"salt": F.pmod("q_block", F.lit(salts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    copies = coded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = every.join(copies, ["dim", "block", "salt"]).mapInArrow(_search(k), FOUND)
+    with small_batches(candidates.sparkSession):
+        coded = stored(dealt(candidates, blocks).mapInArrow(_encode, PACKED + ", codes binary, corners binary"), "codes").withColumn("turn", F.lit(0))
+        packed = stored(pack(queries, asked, plain), "questions")
+        # Each block of queries first meets one block of candidates, another one for each.
+        first = (everywhere(packed, 1, 1).withColumn("block", F.pmod(F.xxhash64("q_block"), F.lit(blocks)).cast("int"))
+                 .withColumns({"asked": F.array().cast("array<bigint>"), "floors": F.array().cast("array<double>")}))
+        known = (in_turn(coded, first, blocks, 1).mapInArrow(_search(k), FOUND)
+                 .groupBy("query_id", "dim", "q_block").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")))
+        # Fewer than k scores bound nothing. A block of queries has no more floors than queries.
+        floors = known.filter(F.col("n") >= k).groupBy("dim", F.col("q_block").alias("block")).agg(
+            F.collect_list("query_id").alias("asked"), F.collect_list("floor").alias("floors"))
+        bounded = stored(packed.join(floors, ["dim", "block"], "left"), "bounded-questions")
+        # A block of candidates meets the query blocks of a salt in one task.
+        salts = asked // QUERY_BLOCKS_PER_TASK + 1
+        found = stored(in_turn(coded, everywhere(bounded, blocks, salts), blocks, salts).mapInArrow(_search(k), FOUND), "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

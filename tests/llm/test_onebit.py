@@ -100,3 +100,24 @@ def test_bounds():
     rounded = onebit.Question(q[0])
     steps = sum(np.unpackbits(p.view(np.uint8), bitorder="little").astype(int) << n for n, p in enumerate(rounded.planes))
     assert rounded.products(codes[:3]) == pytest.approx(turned @ (rounded.low + rounded.step * steps))
+
+
+def test_a_block_reaches_its_search_once(spark, monkeypatch):
+    """Not again with each block of queries."""
+    monkeypatch.setattr(onebit, "QUERIES_PER_BLOCK", 1)
+    sent, task = spark.sparkContext.accumulator(0), onebit._search
+
+    def watched(k):
+        def run(batches):
+            def passed():
+                for batch in batches:
+                    sent.add(batch.nbytes)
+                    yield batch
+            return task(k)(passed())
+        return run
+
+    monkeypatch.setattr(onebit, "_search", watched)
+    data = vectors(7, 400)
+    assert search(spark, data) == best(data, 5)
+    # One block of about 62 kB, met twice; 9 blocks of queries.
+    assert 0 < sent.value < 300_000, sent.value
